@@ -90,3 +90,14 @@ SELECT doc_id, size, source_size, target,
   ((whole + CASE WHEN left_over > 0 AND 2 * earlier + size <= 2 * left_over THEN 1 ELSE 0 END) * size)::BIGINT AS taken
 FROM z
 """
+
+REPEATS = rf"""
+WITH d AS (SELECT doc_id, {WORDS} AS words FROM documents),
+spot AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i, len(words) AS n FROM d),
+run AS (SELECT doc_id, i, n, list(w) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) AS ws FROM spot),
+often AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY array_to_string(ws, ' ')) AS c FROM run WHERE i + 34 <= n) WHERE c > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM often),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS t, count(*) AS n FROM spot ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""

@@ -12,6 +12,7 @@ from quoin.llm.decontaminate import decontaminate
 from quoin.llm.mixing import mix
 from quoin.llm.quality import quality_rules
 from quoin.llm.shards import shard_by_bytes
+from quoin.llm.substrings import remove_repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,13 +33,17 @@ def op4_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_decontaminate, op4_shard_by_bytes, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_decontaminate, op4_shard_by_bytes, op6_substring_dedup, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": oracles.QUALITY, "op3_decontaminate": oracles.DECONTAMINATE, "op10_mix_sources": oracles.MIX}
+    return {"op1_quality_rules": oracles.QUALITY, "op3_decontaminate": oracles.DECONTAMINATE, "op6_substring_dedup": oracles.REPEATS, "op10_mix_sources": oracles.MIX}
