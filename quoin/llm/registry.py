@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quoin.llm import oracles
 from quoin.llm.decontaminate import decontaminate
+from quoin.llm.jaccard import near_duplicates
 from quoin.llm.mixing import mix
 from quoin.llm.quality import quality_rules
 from quoin.llm.shards import shard_by_bytes
@@ -37,13 +38,17 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("class")
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_decontaminate, op4_shard_by_bytes, op6_substring_dedup, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_decontaminate, op4_shard_by_bytes, op6_substring_dedup, op9_ngram_jaccard, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": oracles.QUALITY, "op3_decontaminate": oracles.DECONTAMINATE, "op6_substring_dedup": oracles.REPEATS, "op10_mix_sources": oracles.MIX}
+    return {"op1_quality_rules": oracles.QUALITY, "op3_decontaminate": oracles.DECONTAMINATE, "op6_substring_dedup": oracles.REPEATS, "op9_ngram_jaccard": oracles.NEAR_DUPLICATES, "op10_mix_sources": oracles.MIX}
