@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quoin.llm._spark import n_words, prefix_sums
+from quoin.llm._spark import materialise, n_words, prefix_sums
 
 WEIGHTS = (5, 2, 1)
 LIMIT = 3
@@ -50,7 +50,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     and share u. An empty table gives no rows. Ties in q go by id.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(text_col).alias("size"))
-    rows = rows.withColumn("pull", F.greatest(F.lit(1), F.floor(F.sqrt("size"))).cast("long"))
+    # words are counted once: the sums, the bounds of the ranges and the rows all need them
+    rows = materialise(rows.withColumn("pull", F.greatest(F.lit(1), F.floor(F.sqrt("size"))).cast("long")), "sizes")
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("pull")).alias("pulled"))
     targets = source_targets(sums.select("source", "source_size"), weights, limit).withColumnRenamed("source", "t_source")
     sums = sums.drop("source_size").join(targets, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
