@@ -64,8 +64,11 @@ def run_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
 class Texts:
     """Some texts side by side: words with their text, place, bytes and hashes."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool | np.ndarray):
+        """fold: lower-case A-Z for the hashes; or a table of bytes to translate the texts by."""
         self.n = len(offsets) - 1
+        if fold is not True and fold is not False:
+            data, fold = fold[data], False
         self.data, self.offsets = data, offsets
         inside = ~SPACE[data]
         edge = np.zeros(len(data) + 1, bool)
@@ -94,7 +97,7 @@ class Texts:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes().split()
 
 
-def chunks(column: pa.Array | pa.ChunkedArray, fold: bool = False) -> Iterator[tuple[int, Texts]]:
+def chunks(column: pa.Array | pa.ChunkedArray, fold: bool | np.ndarray = False) -> Iterator[tuple[int, Texts]]:
     """(first row, texts) for stretches of about CHUNK_BYTES of a string column; null reads as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

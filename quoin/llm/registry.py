@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quoin.llm import oracles
 from quoin.llm.decontaminate import decontaminate
+from quoin.llm.html import extract
 from quoin.llm.jaccard import near_duplicates
 from quoin.llm.mixing import mix
 from quoin.llm.quality import quality_rules
+from quoin.llm.secrets import find_secrets
 from quoin.llm.shards import shard_by_bytes
 from quoin.llm.substrings import remove_repeats
+from quoin.llm.toxicity import score_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +28,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -38,6 +45,14 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents")).drop("n_novel")
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("class")
 
@@ -47,7 +62,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_decontaminate, op4_shard_by_bytes, op6_substring_dedup, op9_ngram_jaccard, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_site_templates, op3_decontaminate, op4_shard_by_bytes, op6_substring_dedup, op7_toxicity, op8_secrets, op9_ngram_jaccard, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
