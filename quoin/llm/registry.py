@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quoin.llm import oracles
@@ -16,6 +17,7 @@ from quoin.llm.quality import quality_rules
 from quoin.llm.secrets import find_secrets
 from quoin.llm.shards import shard_by_bytes
 from quoin.llm.substrings import remove_repeats
+from quoin.llm.tokens import read_blocks, write_blocks
 from quoin.llm.toxicity import score_toxicity
 
 
@@ -41,6 +43,11 @@ def op4_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op5_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return read_blocks(write_blocks(table(spark, sf_dir, "documents"), path), path)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -62,7 +69,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_site_templates, op3_decontaminate, op4_shard_by_bytes, op6_substring_dedup, op7_toxicity, op8_secrets, op9_ngram_jaccard, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_site_templates, op3_decontaminate, op4_shard_by_bytes, op5_repair_tokens, op6_substring_dedup, op7_toxicity, op8_secrets, op9_ngram_jaccard, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
