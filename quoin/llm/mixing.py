@@ -28,9 +28,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, limit:
     line = Window.orderBy(F.col("full") / F.col("weight"), F.col("source").asc_nulls_last())
     before, after = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     t = t.withColumn("rest", F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("full").over(before), F.lit(0))).withColumn("open", F.sum("weight").over(after))
-    # once a source is not full, no later one is; its level then holds for all that follow
+    # the level of the first source that is not full holds for it and all that follow
     level = F.when(F.col("full") * F.col("open") > F.col("rest") * F.col("weight"), F.col("rest").cast("double") / F.col("open"))
-    t = t.withColumn("level", F.min(level).over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    t = t.withColumn("level", F.first(level, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     return t.select("source", "source_size", F.when(F.col("level").isNull(), F.col("full").cast("double")).otherwise(F.least(F.col("full").cast("double"), F.col("level") * F.col("weight"))).alias("target"))
 
 
@@ -69,3 +69,23 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     inside = (F.col("before_size") - F.col("s_before")) * 2 + F.col("size") <= F.col("rest") * 2
     copies = F.col("whole") + F.when(inside & (F.col("rest") > 0), 1).otherwise(0)
     return line.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> DataFrame:
+    """The documents with their own columns, each as many times as the mix takes it.
+
+    Rows that repeat an id are matched one to one with their numbers of copies: those of
+    equal id and size have equal ranks but for ties, so the copies are summed and dealt to
+    the rows in turn. Documents without words are taken with their whole copies.
+    """
+    taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, weights=weights, limit=limit)
+    taken = taken.groupBy(F.col(id_col).alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
+    rows = docs.withColumn("__words", n_words(text_col))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
+    both = rows.join(taken.where("__copies > 0"), same)
+    alone = both.where("__rows = 1").withColumn("__n", F.col("__copies"))
+    turn = F.row_number().over(Window.partitionBy(id_col, source_col, "__words").orderBy(text_col)) - 1
+    several = both.where("__rows > 1").withColumn("__turn", turn)
+    several = several.withColumn("__n", F.floor(F.col("__copies") / F.col("__rows")) + F.when(F.col("__turn") < F.col("__copies") % F.col("__rows"), 1).otherwise(0)).drop("__turn")
+    out = alone.unionByName(several).where("__n > 0").withColumn("__n", F.explode(F.array_repeat(F.lit(0), F.col("__n").cast("int"))))
+    return out.select(*docs.columns)

@@ -74,7 +74,7 @@ t AS (
     (sum(weight) OVER (l ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS open
   FROM s WINDOW l AS (ORDER BY (3 * source_size)::DOUBLE / weight, source NULLS LAST)
 ),
-u AS (SELECT *, min(CASE WHEN full_size * open > rest * weight THEN rest::DOUBLE / open END) OVER () AS level FROM t),
+u AS (SELECT *, (SELECT rest::DOUBLE / open FROM t WHERE full_size * open > rest * weight ORDER BY full_size::DOUBLE / weight, source NULLS LAST LIMIT 1) AS level FROM t),
 v AS (SELECT source, source_size, pulled, CASE WHEN level IS NULL THEN full_size::DOUBLE ELSE least(full_size::DOUBLE, level * weight) END AS target FROM u),
 x AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM v),
 y AS (SELECT *, target - whole * source_size AS left_over FROM x),
