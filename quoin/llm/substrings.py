@@ -8,11 +8,12 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoin.llm._words import BASES, Texts, chunks, lists, signed, within
 
+SALTS = 16  #: parts of a group of equal texts
 #: Difference covers: any two offsets modulo the period meet the cover at a common shift.
 COVERS = {1: (0,), 3: (0, 1), 7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16)}
 
@@ -80,7 +81,9 @@ def removed_rows(window: int):
             bounds, repeated = lists(b["found"])
             for row, t in chunks(b["text"]):
                 own = repeated[bounds[row] : bounds[row + t.n]]
-                gone = np.zeros(len(t.starts), bool)
+                n = np.diff(t.first)
+                copied = np.asarray(b["copied"].slice(row, t.n).to_pylist(), bool) & (n >= window)
+                gone = copied[t.text]
                 if len(own):
                     of = np.repeat(np.arange(t.n), np.diff(bounds[row : row + t.n + 1]))
                     start, h = t.windows(window)
@@ -88,9 +91,8 @@ def removed_rows(window: int):
                     step = np.zeros(len(t.starts) + 1, np.int64)
                     step[hit] += 1
                     np.subtract.at(step, hit + window, 1)
-                    gone = np.cumsum(step)[:-1] > 0
+                    gone = gone | (np.cumsum(step)[:-1] > 0)
                 sums = np.concatenate([[0], np.cumsum(gone)])
-                n = np.diff(t.first)
                 n_removed = np.diff(sums[t.first])
                 kept = []
                 for i in range(t.n):
@@ -128,15 +130,27 @@ def remove_repeats(docs: DataFrame, window: int = 35, *, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
+    # of texts that occur several times one row alone looks for windows: the others lose all
+    # their windows anyway, and what they share with other texts that one row shares too
+    marks = rows.select("id", F.md5(F.col("text").cast("binary")).alias("sum"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")).where("text is not null")
+    groups = marks.groupBy("sum").agg(F.count("*").alias("copies"), F.min("id").alias("lead")).where("copies > 1")
+    groups = groups.select("sum", "lead", F.explode(F.array(*[F.lit(k).cast("long") for k in range(SALTS)])).alias("salt"))
+    copies = marks.join(groups, ["sum", "salt"]).groupBy(F.col("id").alias("c_id")).agg(F.collect_set("sum").alias("copied"), F.collect_set(F.when(F.col("id") != F.col("lead"), F.col("sum"))).alias("led"))
+
     def shared(found: DataFrame, *keys: str) -> DataFrame:
         """For each id, the first key of all that are found twice or more."""
         often = found.withColumn("n", F.sum("n").over(Window.partitionBy(*keys))).where("n > 1")
         return often.groupBy(F.col("id").alias("f_id")).agg(F.collect_set(keys[0]).alias("found"))
 
+    def has(column: str) -> Column:
+        return F.coalesce(F.array_contains(column, F.md5(F.col("text").cast("binary"))), F.lit(False))
+
     def beside(found: DataFrame) -> DataFrame:
-        return rows.join(found, F.col("id").eqNullSafe(F.col("f_id")), "left").select("id", "text", "found")
+        both = rows.join(found, F.col("id").eqNullSafe(F.col("f_id")), "left").join(copies, F.col("id").eqNullSafe(F.col("c_id")), "left")
+        return both.select("id", "text", "found", has("copied").alias("copied"), has("led").alias("led"))
 
     met = rows.mapInArrow(anchor_rows(window), f"h long, id {kind}, n int")
-    candidates = beside(shared(met, "h")).where("found is not null").mapInArrow(candidate_rows(window), f"h1 long, h2 long, id {kind}, n int")
-    out = beside(shared(candidates, "h1", "h2")).mapInArrow(removed_rows(window), f"id {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    open_ = beside(shared(met, "h")).where("found is not null and not led").select("id", "text", "found")
+    candidates = open_.mapInArrow(candidate_rows(window), f"h1 long, h2 long, id {kind}, n int")
+    out = beside(shared(candidates, "h1", "h2")).select("id", "text", "found", "copied").mapInArrow(removed_rows(window), f"id {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string")
     return out.withColumnRenamed("id", id_col)
