@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,11 +17,11 @@ from quoin.llm._spark import materialise
 
 END = 2  #: appended to each document
 BLOCK = 1 << 22  #: ids of a block, which has a grammar of its own; a longer document is a block by itself
-ROUNDS = 4  #: of replacement
-PAIRS = 3000  #: replaced in a round at most
+ROUNDS = 3  #: of replacement
+PAIRS = 5000  #: replaced in a round at most
 LEAST = 24  #: occurrences of a pair that is worth a rule
-SLOTS = 1 << 22  #: of the table that counts pairs
-CACHE = 1_000_000  #: pieces of text whose ids a worker remembers
+SLOT_BITS = 20  #: of the table that counts pairs
+CACHE = 1_400_000  #: pieces of text whose ids a worker remembers
 
 #: Texts whose white space is single spaces and newlines can be cut there: the byte-level
 #: pre-tokenizer starts a new piece at each such place whatever stands around it.
@@ -32,6 +33,19 @@ def uneven(text: str) -> bool:
 
 
 
+class Pieces(dict):
+    """Numbers of pieces; a new one gets the next number and is noted."""
+
+    def __init__(self, of: Encoder):
+        super().__init__()
+        self.of, self.new = of, []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = self.of.number()
+        self.new.append(piece)
+        return n
+
+
 class Encoder:
     """Encodes texts by the pieces between their spaces, each distinct piece once.
 
@@ -53,33 +67,36 @@ class Encoder:
         return cls.loaded[path]
 
     def forget(self) -> None:
-        self.first: dict[str, int] = {}  # pieces at the start of a line
-        self.later: dict[str, int] = {}  # pieces after a space, without it
+        self.pieces = 0
         self.pool, self.used = np.zeros(1 << 20, np.int32), 0
-        self.start, self.size, self.pieces = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32), 0
-
-    def add(self, ids: np.ndarray, sizes: np.ndarray) -> int:
-        """Store the ids of some pieces; the number of the first."""
-        k, n, more = self.pieces, len(ids), len(sizes)
-        if k + more > len(self.start):
-            self.start, self.size = np.resize(self.start, 2 * (k + more)), np.resize(self.size, 2 * (k + more))
-        if self.used + n > len(self.pool):
-            self.pool = np.resize(self.pool, 2 * (self.used + n))
-        self.pool[self.used : self.used + n] = ids
-        self.size[k : k + more] = sizes
-        self.start[k : k + more] = self.used + np.cumsum(sizes) - sizes
-        self.used += n
-        self.pieces += more
-        return k
-
-    def learn(self, known: dict[str, int], words: list[str], lead: str) -> None:
-        """Encode words, many to a call, a newline (a piece of its own) before each."""
-        calls = ["\n" + lead + ("\n" + lead).join(words[k : k + 200]) for k in range(0, len(words), 200)]
-        ids = np.array([i for got in self.whole(calls) for i in got], np.int32)
-        cut = ids == self.break_id
-        at = np.append(np.flatnonzero(cut), len(ids))
-        k = self.add(ids[~cut], np.diff(at) - 1)
-        known.update(zip(words, range(k, k + len(words))))
+        self.start, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32)
+        self.first, self.later = Pieces(self), Pieces(self)  # at the start of a line; after a space, without it
+        self.break_id = None
+
+    def number(self) -> int:
+        self.pieces += 1
+        return self.pieces - 1
+
+    def store(self, numbers: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Keep the ids of numbered pieces."""
+        if self.pieces > len(self.start):
+            self.start, self.size = np.resize(self.start, 2 * self.pieces), np.resize(self.size, 2 * self.pieces)
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.resize(self.pool, 2 * (self.used + len(ids)))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.size[numbers] = sizes
+        self.start[numbers] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+
+    def learn(self, pieces: Pieces, lead: str) -> None:
+        """Encode new pieces, many to a call, a newline (a piece of its own) before each."""
+        words, pieces.new = pieces.new, []
+        if words:
+            calls = ["\n" + lead + ("\n" + lead).join(words[k : k + 200]) for k in range(0, len(words), 200)]
+            ids = np.array([i for got in self.whole(calls) for i in got], np.int32)
+            cut = ids == self.break_id
+            sizes = np.diff(np.append(np.flatnonzero(cut), len(ids))) - 1
+            self.store([pieces[w] for w in words], ids[~cut], sizes)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -88,46 +105,33 @@ class Encoder:
         """(ids, ids of each text), end included."""
         if self.pieces > CACHE:
             self.forget()
-        if not self.pieces:
+        if self.break_id is None:
             (self.break_id,) = self.whole(["\n"])[0]
-            self.newline = self.add(np.array([self.break_id, end]), np.array([1, 1]))
-            self.end = self.newline + 1
-            self.first[""] = self.add(np.zeros(0, np.int32), np.array([0]))
-        first, later = self.first, self.later
-        split: list[list[list[str]] | None] = []
-        new_first, new_later = set(), set()
-        for t in texts:
-            if uneven(t):
-                split.append(None)
-                continue
-            lines = [x.split(" ") for x in t.split("\n")]
-            split.append(lines)
-            for x in lines:
-                if x[0] not in first:
-                    new_first.add(x[0])
-                new_later.update(x[1:])
-        new_later.difference_update(later)
-        for known, new, lead in ((first, new_first, ""), (later, new_later, " ")):
-            if new:
-                self.learn(known, list(new), lead)
-        odd = iter(self.whole([t for t, x in zip(texts, split) if x is None]))
-        pieces: list[int] = []
+            self.newline, self.end, self.first[""] = self.number(), self.number(), self.number()
+            self.store([self.newline, self.end, self.first[""]], np.array([self.break_id, end]), np.array([1, 1, 0]))
+        first, later = self.first.__getitem__, self.later.__getitem__
+        pieces = array("i")
+        odd: list[tuple[int, str]] = []
         counts = np.zeros(len(texts), np.int64)
-        for k, lines in enumerate(split):
+        for k, t in enumerate(texts):
             before = len(pieces)
-            if lines is None:
-                own = next(odd)
-                pieces.append(self.add(np.array(own, np.int32), np.array([len(own)])))
+            if uneven(t):
+                odd.append((self.number(), t))
+                pieces.append(odd[-1][0])
             else:
-                for n, x in enumerate(lines):
+                for n, line in enumerate(t.split("\n")):
                     if n:
                         pieces.append(self.newline)
-                    pieces.append(first[x[0]])
-                    if len(x) > 1:
-                        pieces += map(later.__getitem__, x[1:])
+                    words = line.split(" ")
+                    pieces.append(first(words[0]))
+                    pieces.extend(map(later, words[1:]))
             pieces.append(self.end)
             counts[k] = len(pieces) - before
-        p = np.array(pieces, np.int64)
+        self.learn(self.first, "")
+        self.learn(self.later, " ")
+        for (n, _), own in zip(odd, self.whole([t for _, t in odd])):
+            self.store([n], np.array(own, np.int32), np.array([len(own)]))
+        p = np.frombuffer(pieces, np.int32)
         size = self.size[p].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.pool[np.repeat(self.start[p] - total[:-1], size) + np.arange(total[-1])]
@@ -151,25 +155,23 @@ def compress(ids: np.ndarray, sizes: np.ndarray, vocabulary: int) -> tuple[np.nd
         if len(seq) < 2 or len(rules) >= room:
             break
         key = seq[:-1] << 32 | seq[1:]
-        slot = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int32)
+        slot = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
         slot[last[:-1]] = 0
-        count = np.bincount(slot, minlength=SLOTS)
+        count = np.bincount(slot, minlength=1 << SLOT_BITS)
         count[0] = 0
         best = np.flatnonzero(count >= LEAST)
         best = best[np.argsort(-count[best], kind="stable")[: min(PAIRS, room - len(rules))]]
         if not len(best):
             break
-        mark = np.zeros(SLOTS, bool)
-        mark[best] = True
-        at = np.flatnonzero(mark[slot])
-        pairs, n = np.unique(key[at], return_counts=True)  # two pairs may share a slot
-        pairs = pairs[n >= LEAST]
-        pairs = pairs[: room - len(rules)]
-        if not len(pairs):
-            break
-        rule = np.searchsorted(pairs, key[at])
-        fits = pairs[np.minimum(rule, len(pairs) - 1)] == key[at]
-        at, rule = at[fits & ~last[at]], rule[fits & ~last[at]]
+        number = np.full(1 << SLOT_BITS, -1, np.int32)
+        number[best] = np.arange(len(best))
+        rule = number[slot]
+        at = np.flatnonzero(rule >= 0)
+        rule = rule[at]
+        pairs = np.zeros(len(best), np.int64)
+        pairs[rule] = key[at]  # a slot stands for one of its pairs, mostly the frequent one
+        fits = pairs[rule] == key[at]
+        at, rule = at[fits], rule[fits]
         if len(at):
             starts = np.ones(len(at), bool)
             starts[1:] = at[1:] != at[:-1] + 1
