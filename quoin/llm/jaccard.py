@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoin.llm._spark import materialise
-from quoin.llm._words import BASES, Texts, chunks, run_hashes, scramble, signed
+from quoin.llm._words import BASES, Texts, chunks, lists, run_hashes, scramble, signed
 from quoin.llm.components import components
 
 SHINGLE = 5  #: words
@@ -18,7 +19,11 @@ PERCENT = 75  #: similarity that links
 BAND = 4  #: sizes of a band differ by less than this factor
 FILL = 0.45  #: segments of a band, to its largest size; a third is needed, the rest is slack for empty ones
 SMALL = 5  #: sets up to this size differ in one element at most and are found by one-deletion neighbourhoods
-COUNTERS = 1 << 20  #: of key frequencies: a fixed size, whatever the corpus
+HOT = 24  #: classes of a key that are compared in blocks
+MANY = 4  #: classes of a component that is compared in blocks
+BLOCK = 32
+ROUNDS = 3  #: partners that each class is compared with first
+COUNTER_BITS = 18  #: of key frequencies: a fixed size, whatever the corpus
 MAP_BITS = 1 << 23  #: of the map that spares sets without a candidate; also fixed
 
 
@@ -116,7 +121,7 @@ def keys_of(text: np.ndarray, h: np.ndarray, size: np.ndarray, percent: int = PE
 
 
 def counter_of(key: np.ndarray) -> np.ndarray:
-    return (key >> np.uint64(44)).astype(np.int64)
+    return (key >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
 
 def allocate(keys: tuple[np.ndarray, ...], count: np.ndarray) -> np.ndarray:
@@ -132,6 +137,48 @@ def allocate(keys: tuple[np.ndarray, ...], count: np.ndarray) -> np.ndarray:
     return order[rank < quota[order]]
 
 
+def sketches(text: np.ndarray, h: np.ndarray, size: np.ndarray) -> pa.Array:
+    """A histogram of each set: elements by the top bits of a hash, a bucket for two to
+    four elements, counts up to 255 in a byte. Folding neighbouring buckets gives the
+    coarser histogram of a smaller set."""
+    bits = np.maximum(np.ceil(np.log2(np.maximum(size, 1) / 4)), 3).astype(np.int64)
+    base = np.concatenate([[0], np.cumsum(1 << bits)])
+    bucket = (scramble(h, 0x1D8E4E27C47D124F) >> (64 - bits[text]).astype(np.uint64)).astype(np.int64)
+    count = np.minimum(np.bincount(base[text] + bucket, minlength=base[-1]), 255).astype(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(base.astype(np.int32)), pa.py_buffer(count)])
+
+
+def close_rows(percent: int):
+    """Of pairs with their sketches, those whose sets may link: histograms of linked sets
+    differ by no more than the sets do."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = np.zeros(len(b), bool)
+            if not len(b):
+                continue
+            n = np.asarray(b["size_a"]) + np.asarray(b["size_b"])
+            parts = []
+            for c in ("sketch_a", "sketch_b"):
+                _, where, raw = b[c].buffers()
+                at = np.frombuffer(where, np.int32)[b[c].offset : b[c].offset + len(b) + 1].astype(np.int64)
+                parts.append((at[:-1], np.diff(at), np.frombuffer(raw, np.uint8)))
+            (at_a, of_a, raw_a), (at_b, of_b, raw_b) = parts
+            shape = of_a << 32 | of_b
+            for s in np.unique(shape):
+                every = np.flatnonzero(shape == s)
+                x, y = int(s >> 32), int(s & 0xFFFFFFFF)
+                for k in range(0, len(every), max(1, (1 << 22) // max(x, y))):
+                    at = every[k : k + max(1, (1 << 22) // max(x, y))]
+                    z = min(x, y)
+                    p = raw_a[at_a[at][:, None] + np.arange(x)].reshape(len(at), z, x // z).sum(2, dtype=np.int32)
+                    q = raw_b[at_b[at][:, None] + np.arange(y)].reshape(len(at), z, y // z).sum(2, dtype=np.int32)
+                    keep[at] = np.abs(p - q).sum(1) * (100 + percent) <= (100 - percent) * n[at]
+            yield b.select([c for c in b.schema.names if c[:4] not in ("size", "sket")]).filter(pa.array(keep))
+
+    return rows
+
+
 class Classes:
     """Sets that a task has met, so that copies of a text are indexed once in a task."""
 
@@ -148,10 +195,10 @@ class Classes:
 
 
 def scan_rows(percent: int):
-    """A row for each text (kind 0), and at a task's end one for each counter that stands out (kind 1)."""
+    """A row for each text (kind 0), and at a task's end one for each counter in use (kind 1)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, classes, names = np.zeros(COUNTERS, np.int64), Classes(), ["kind", "id", "size", "class", "counter", "n"]
+        count, classes, names = np.zeros(1 << COUNTER_BITS, np.int64), Classes(), ["kind", "id", "size", "class", "sketch", "counter", "n"]
         kind_of_id = None
         for b in batches:
             kind_of_id = b["id"].type
@@ -160,12 +207,12 @@ def scan_rows(percent: int):
                 size, cls = set_hashes(text, h, t.n)
                 pick = classes.fresh(cls, size)[text]
                 key = keys_of(text[pick], h[pick], size, percent)[2]
-                count += np.bincount(counter_of(key), minlength=COUNTERS)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(t.n, np.int32)), b["id"].slice(row, t.n), pa.array(size), signed(cls), pa.nulls(t.n, pa.int32()), pa.nulls(t.n, pa.int64())], names)
-        at = np.flatnonzero(count >= max(8, 4 * count.mean()))
+                count += np.bincount(counter_of(key), minlength=1 << COUNTER_BITS)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(t.n, np.int32)), b["id"].slice(row, t.n), pa.array(size), signed(cls), sketches(text, h, size), pa.nulls(t.n, pa.int32()), pa.nulls(t.n, pa.int64())], names)
+        at = np.flatnonzero(count)
         if len(at):
             n = len(at)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, kind_of_id), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(at.astype(np.int32)), pa.array(count[at])], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, kind_of_id), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(at.astype(np.int32)), pa.array(count[at])], names)
 
     return rows
 
@@ -181,7 +228,7 @@ def key_rows(percent: int, counters):
                 keys = keys_of(text[pick], h[pick], size, percent)
                 at = allocate(keys, count)
                 of = keys[0][at]
-                yield pa.RecordBatch.from_arrays([signed(keys[2][at]), signed(cls[of]), pa.array(size[of].astype(np.int32))], ["key", "class", "size"])
+                yield pa.RecordBatch.from_arrays([signed(keys[2][at]), signed(cls[of])], ["key", "class"])
 
     return rows
 
@@ -205,23 +252,148 @@ def set_rows(wanted):
     return rows
 
 
-def links(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link, by the overlap of their whole sets."""
-    spark = pairs.sparkSession
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("class"))
+def close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, ...) that their sketches allow to link; exact, as no linked pair fails."""
+    more = [f for f in pairs.schema.fields if f.name not in ("a", "b")]
+    for s in "ab":
+        pairs = pairs.join(nodes.select(F.col("class").alias(s), F.col("size").alias(f"size_{s}"), F.col("sketch").alias(f"sketch_{s}")), s)
+    schema = ", ".join(["a long", "b long", *[f"{f.name} {f.dataType.simpleString()}" for f in more]])
+    return pairs.select("a", "b", *[f.name for f in more], "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(close_rows(percent), schema)
+
+
+def set_table(classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(class, elements) of at least the classes asked for, as a table. A map of bits of
+    fixed size spares most others; the rest falls out in the joins that follow."""
+    spark = rows.sparkSession
     bit = F.col("class") % MAP_BITS
     bit = F.when(bit < 0, bit + MAP_BITS).otherwise(bit)  # 2**64 is a multiple of MAP_BITS
-    bytes_ = ends.groupBy(F.shiftright(bit, 3).alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(pmod(class, 8) as int))")).alias("bits")).toPandas()
+    found = classes.groupBy(F.shiftright(bit, 3).alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(pmod(class, 8) as int))")).alias("bits")).toPandas()
     wanted = np.zeros(MAP_BITS >> 3, np.uint8)  # 1 MB at most, however many classes
-    wanted[bytes_["at"].to_numpy(np.int64)] = bytes_["bits"].to_numpy(np.int64).astype(np.uint8)
-    sets = rows.mapInArrow(set_rows(spark.sparkContext.broadcast(wanted)), "class long, elements array<long>")
-    sets = sets.groupBy("class").agg(F.any_value("elements").alias("elements"))
+    wanted[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype(np.uint8)
+    return materialise(rows.mapInArrow(set_rows(spark.sparkContext.broadcast(wanted)), "class long, elements array<long>"), "elements")
+
+
+def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that link, by the overlap of their whole sets. Tasks may
+    have written a set more than once, so links may repeat."""
     both = pairs.join(sets.select(F.col("class").alias("a"), F.col("elements").alias("of_a")), "a")
     both = both.join(sets.select(F.col("class").alias("b"), F.col("elements").alias("of_b")), "b")
     met = F.size(F.array_intersect("of_a", "of_b"))
     return both.where(100 * met >= percent * (F.size("of_a") + F.size("of_b") - met)).select("a", "b")
 
 
+def dealt(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(of, block, class): the classes of each group `of` in blocks of about BLOCK."""
+    block = F.pmod(F.xxhash64("class"), F.ceil(F.col("n") / BLOCK)).cast("int")
+    return rows.join(sizes, "of").select("of", block.alias("block"), "class")
+
+
+def sides(named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Large components and the classes outside that share a key with them, in blocks. A
+    class and a component are one candidate, however many members the component has."""
+    large = named.where("large").select("key", F.col("label").alias("of")).distinct()
+    asks = named.join(large, "key").where("label != of and (large is null or label < of)").select("class", "of").distinct()
+    told = named.where("large").select("class", F.col("label").alias("of")).distinct()
+    told = told.join(asks.select("of").distinct(), "of", "left_semi")
+    return tuple(dealt(x, x.groupBy("of").agg(F.count("*").alias("n"))) for x in (asks, told))
+
+
+def hot_links(hot: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among the classes of keys with HOT classes or more, by blocks of each key. A
+    pair is compared at its first common hot key alone: by its histograms, then its sets."""
+    keys = hot.groupBy("class").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    whole = hot.select("key", F.pmod(F.xxhash64("class"), F.ceil(F.col("g") / BLOCK)).cast("int").alias("block"), "class", "label").join(keys, "class").join(nodes.select("class", "sketch"), "class").join(sets, "class")
+    # two tasks may have written a set: the first of each class counts
+    whole = whole.groupBy("key", "block").agg(F.collect_list(F.struct("class", "label", "keys", "sketch", "elements")).alias("a"))
+    pairs = whole.join(whole.select("key", F.col("block").alias("other"), F.col("a").alias("b")), "key").where("block <= other")
+    return pairs.select("key", "a", "b").mapInArrow(hot_rows(percent), "a long, b long").distinct()
+
+
+def folded(sketch: list[np.ndarray], to: int) -> np.ndarray:
+    return np.stack([x.reshape(to, -1).sum(1, dtype=np.int32) for x in sketch])
+
+
+def hot_rows(percent: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                key = batch["key"][k].as_py()
+                sides, found = [], []
+                for c in "ab":
+                    f = batch[c].slice(k, 1).flatten()
+                    ids, first = np.unique(np.asarray(f.field("class"), np.int64), return_index=True)
+                    own = f.take(pa.array(first))
+                    sketch = [np.frombuffer(x.as_buffer(), np.uint8) for x in own.field("sketch")]
+                    sides.append((ids, np.asarray(own.field("label"), np.int64), lists(own.field("keys")), sketch, lists(own.field("elements"))))
+                (ids_a, of_a, (ka, keys_a), sk_a, (ea, el_a)), (ids_b, of_b, (kb, keys_b), sk_b, (eb, el_b)) = sides
+                every = np.unique(np.concatenate([keys_a, keys_b]).view(np.int64))
+                has = []
+                for bounds, keys in ((ka, keys_a), (kb, keys_b)):
+                    m = np.zeros((len(bounds) - 1, len(every)), bool)
+                    m[np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), np.searchsorted(every, keys.view(np.int64))] = True
+                    has.append(m)
+                here = int(np.searchsorted(every, key))
+                n_a, n_b = np.diff(ea), np.diff(eb)
+                size = np.array([len(x) for x in sk_b])
+                for i in range(len(ids_a)):
+                    first = np.argmax(has[0][i] & has[1], axis=1) == here
+                    total = n_a[i] + n_b
+                    ask = np.flatnonzero(first & (of_b != of_a[i]) & (ids_b > ids_a[i]) if ids_a[0] == ids_b[0] else first & (of_b != of_a[i]))
+                    for z in np.unique(np.minimum(size[ask], len(sk_a[i]))):
+                        some = ask[np.minimum(size[ask], len(sk_a[i])) == z]
+                        apart = np.abs(folded([sk_b[j] for j in some], z) - folded([sk_a[i]], z)).sum(1)
+                        for j in some[apart * (100 + percent) <= (100 - percent) * total[some]]:
+                            met = len(np.intersect1d(el_a[ea[i] : ea[i + 1]], el_b[eb[j] : eb[j + 1]], assume_unique=True))
+                            if 100 * met >= percent * (total[j] - met):
+                                found.append((int(ids_a[i]), int(ids_b[j])))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    return rows
+
+
+def blocks(asks: DataFrame, told: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between blocks of asks and of told with the same `of`: a row holds two whole
+    blocks, so that no pairs are emitted but one link for each class of asks."""
+    a, b = (side.join(sets, "class").groupBy("of", "block").agg(F.collect_list(F.struct("class", "elements")).alias("sets")) for side in (asks, told))
+    pairs = a.select("of", F.col("sets").alias("a")).join(b.select("of", F.col("sets").alias("b")), "of")
+    return pairs.select("a", "b").mapInArrow(block_rows(percent), "a long, b long").distinct()
+
+
+def block_rows(percent: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                a, b = (batch[c].slice(k, 1).flatten() for c in "ab")
+                (at_a, sets_a), (at_b, sets_b) = lists(a.field("elements")), lists(b.field("elements"))
+                ids_a, ids_b = np.asarray(a.field("class"), np.int64), np.asarray(b.field("class"), np.int64)
+                of_b, n_b = np.repeat(np.arange(len(ids_b)), np.diff(at_b)), np.diff(at_b)
+                order = np.argsort(sets_b, kind="stable")
+                values, of_b = sets_b[order], of_b[order]
+                out: list[tuple[int, int]] = []
+                for i in range(len(ids_a)):
+                    own = sets_a[at_a[i] : at_a[i + 1]]
+                    lo, hi = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+                    n = hi - lo
+                    spots = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    met = np.bincount(of_b[spots], minlength=len(ids_b))
+                    linked = np.flatnonzero(100 * met >= percent * (len(own) + n_b - met))
+                    out += [(int(ids_a[i]), int(ids_b[j])) for j in linked[:1]]  # one link joins the component
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+    return rows
+
+
+def open_keys(shared: DataFrame, label: DataFrame | None) -> DataFrame:
+    """The keys whose classes lie in several components, with the label of each class."""
+    group = Window.partitionBy("key")
+    if label is None:
+        return shared.withColumn("label", F.col("class"))
+    named = shared.join(label.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    return named.withColumn("lo", F.min("label").over(group)).withColumn("hi", F.max("label").over(group)).where("lo != hi").select("key", "class", "size", "label")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The exact similarity join of all texts with all others, as classes and components.
 
@@ -232,10 +404,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     segments of a partitioned universe, and by the pigeonhole principle linked sets agree
     in a segment among those that each is allocated (allocate, by cost: a table of fixed
     size counts keys over the whole corpus, so that frequent segments are passed over).
-    Every candidate is verified on whole sets, in two rounds: first each class with the
-    partner it shares most keys with, of those that come first in some key's group; then,
-    where a key's group still has several components, all pairs across them. Pairs inside
-    one component can't change the result and are left out; none is dropped otherwise.
+    Candidates whose histograms differ by more than linked sets can are dropped (close), the
+    others are verified on whole sets: first each class with up to ROUNDS partners, which it
+    shares most keys with; then, where a key's group still has several components, all pairs
+    across, those with large components and of hot keys in blocks (sides, blocks, hot_links). Pairs inside one
+    component can't change the result and are left out; none is dropped otherwise.
 
     Returns id_col, n_shingles, class (a hash of the set), component_id: the smallest id
     that links reach, by the id's own order. Null and empty texts have no shingles, a class
@@ -246,34 +419,69 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    scan = materialise(rows.mapInArrow(scan_rows(percent), f"kind int, id {kind}, size long, class long, counter int, n long"), "sets")
-    texts = scan.where("kind = 0").select("id", "size", "class")
-    heavy = scan.where("kind = 1").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()  # COUNTERS rows at most
-    count = np.zeros(COUNTERS, np.int64)
+    scan = materialise(rows.mapInArrow(scan_rows(percent), f"kind int, id {kind}, size long, class long, sketch binary, counter int, n long"), "sets")
+    texts = scan.where("kind = 0").select("id", "size", "class", "sketch")
+    heavy = scan.where("kind = 1").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()  # a row for each counter at most
+    count = np.zeros(1 << COUNTER_BITS, np.int64)
     count[heavy["counter"].to_numpy(np.int64)] = heavy["n"].to_numpy(np.int64)
+    # what chance alone puts into a counter tells nothing of its keys
+    count[count <= count.mean() + 6 * np.sqrt(count.mean()) + 2] = 0
 
-    keys = rows.mapInArrow(key_rows(percent, spark.sparkContext.broadcast(count.astype(np.int32) if count.max(initial=0) < 1 << 31 else count)), "key long, class long, size int")
+    keys = rows.mapInArrow(key_rows(percent, spark.sparkContext.broadcast(count.astype(np.int32) if count.max(initial=0) < 1 << 31 else count)), "key long, class long")
     group = Window.partitionBy("key")
-    keys = keys.withColumn("head", F.min(F.struct("size", "class")).over(group)).withColumn("tail", F.max(F.struct("size", "class")).over(group))
-    shared = materialise(keys.where("head != tail").select("key", "class", "size", F.col("head.class").alias("head"), F.col("head.size").alias("head_size")).distinct(), "keys")
-
-    fits = F.expr(f"100 * head_size >= {percent} * size and class != head")
-    best = shared.where(fits).groupBy("class", "head").count().groupBy("class").agg(F.max_by("head", F.struct("count", "head")).alias("head"))
-    first = materialise(links(best.select(F.col("class").alias("a"), F.col("head").alias("b")), rows, percent), "links")
-    label = components(first)
-
-    named = shared.select("key", "class", "size").join(label.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    named = named.withColumn("lo", F.min("label").over(group)).withColumn("hi", F.max("label").over(group)).where("lo != hi").select("key", "class", "size", "label")
-    named = materialise(named, "open")
-    a, b = (named.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "size", "label")]) for s in "ab")
+    ends = keys.withColumn("lo", F.min("class").over(group)).withColumn("hi", F.max("class").over(group)).where("lo != hi")
+    nodes = materialise(texts.where("size > 0").groupBy("class").agg(F.first("size").alias("size"), F.any_value("sketch").alias("sketch")), "nodes")
+    # keys of several classes; a class that several tasks met stands in a group once
+    shared = materialise(ends.select("key", "class").distinct().join(nodes.select("class", "size"), "class"), "keys")
+
+    # each class with one partner for each of ROUNDS orders: of the classes that come first
+    # in the groups of its keys, the one it shares most keys with
+    best = None
+    for k in range(ROUNDS):
+        heads = shared.withColumn("head", F.min(F.struct(F.xxhash64("class", F.lit(k)).alias("h"), "size", "class")).over(group)).where("class != head.class")
+        heads = heads.where(f"100 * least(size, head.size) >= {percent} * greatest(size, head.size)").groupBy(F.col("class").alias("a"), F.col("head.class").alias("b")).agg(F.count("*").alias("keys"))
+        heads = heads.groupBy("a").agg(F.max_by("b", F.struct("keys", "b")).alias("b"))
+        best = heads if best is None else best.unionByName(heads)
+    tried = materialise(close(best.distinct(), nodes, percent), "pairs")
+    met = materialise(links(tried, set_table(tried.select(F.explode(F.array("a", "b")).alias("class")), rows), percent), "links")
+    label = components(met)
+
+    # what is left lies across components: with large ones and in hot keys by blocks, else by pairs
+    many = label.groupBy("label").agg(F.count("*").alias("members")).where(F.col("members") >= MANY).select("label", F.lit(True).alias("large"))
+    named = open_keys(shared, label).join(many, "label", "left")
+    named = materialise(named.withColumn("g", F.count(F.when(F.col("large").isNull(), 1)).over(group)), "open")
+    few = named.where("large is null")
+    a, b = (few.where(F.col("g") < HOT).select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "size", "label")]) for s in "ab")
     across = a.join(b, "key").where(f"label_a != label_b and (size_a, class_a) < (size_b, class_b) and 100 * size_a >= {percent} * size_b")
-    across = materialise(across.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct(), "pairs")
-    second = materialise(links(across, rows, percent), "links")
-    label = components(first.unionByName(second))
-
-    texts = texts.join(label.withColumnRenamed("node", "class"), "class", "left")
+    across = across.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
+    for pair in (["a", "b"], ["b", "a"]):
+        across = across.join(tried.toDF(*pair), ["a", "b"], "left_anti")
+    across = materialise(close(across, nodes, percent), "pairs")
+    asks, told = sides(named)
+    asks, told, hot = materialise(asks, "asks"), materialise(told, "told"), few.where(F.col("g") >= HOT)
+    wanted = [asks.select("class"), told.select("class"), hot.select("class"), across.select(F.explode(F.array("a", "b")).alias("class"))]
+    sets = set_table(reduce(DataFrame.unionByName, wanted), rows)
+    found = [links(across, sets, percent), blocks(asks, told, sets, percent), hot_links(hot, nodes, sets, percent)]
+    label = components(met.unionByName(materialise(reduce(DataFrame.unionByName, found), "links")))
+
+    texts = texts.drop("sketch").join(label.withColumnRenamed("node", "class"), "class", "left")
     node = F.when(F.col("size") > 0, F.coalesce("label", "class"))
     texts = texts.withColumn("node", node)
     least = texts.where("node is not null").groupBy("node").agg(F.min("id").alias("least")).withColumnRenamed("node", "l_node")
     texts = texts.join(least, F.col("node") == F.col("l_node"), "left")
     return texts.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "class", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The documents with their own columns, one of each component: that of the smallest id.
+
+    Documents without shingles link with nothing and stay. Of rows that repeat an id with
+    the same set one stays.
+    """
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, percent=percent)
+    # texts of one class and id are the same node: count them to find repeats to drop
+    least = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__id")).agg(F.max("n_shingles").alias("__most"), F.count("*").alias("__rows"))
+    kept = docs.join(least, F.col(id_col).eqNullSafe(F.col("__id")))
+    single = kept.where("__rows = 1 or __most = 0").select(*docs.columns)
+    repeated = kept.where("__rows > 1 and __most > 0").select(*docs.columns).dropDuplicates([id_col, text_col])
+    return single.unionByName(repeated)
