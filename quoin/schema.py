@@ -36,7 +36,7 @@ IDML = {
     "font": _struct("doc_id string, self string, family string, name string, style string, postscript string, status string, type string"),
     "swatch": _struct("doc_id string, id string, type string, name string, space string, model string, value list<double>, base string, tint double, stops list<string>"),
     "story": _struct("doc_id string, story_id string, src string, text string, chars int, tables int, footnotes int, anchored int, notes int, specials int, line_breaks int, variables int, anchored_stories list<string>, paragraphs int"),
-    "run": _struct("doc_id string, story_id string, para_ord int, run_ord int, text string, para_style string, p_font string, p_font_style string, p_size string, p_leading string, p_justification string, p_fill string, p_tracking string, char_style string, c_font string, c_font_style string, c_size string, c_leading string, c_justification string, c_fill string, c_tracking string, in_table boolean"),
+    "run": _struct("doc_id string, story_id string, para_ord int, run_ord int, text string, para_style string, p_font string, p_font_style string, p_size string, p_leading string, p_justification string, p_fill string, p_tracking string, char_style string, c_font string, c_font_style string, c_size string, c_leading string, c_justification string, c_fill string, c_tracking string, in_table boolean, range_ord int"),
     "page": _struct("doc_id string, spread_id string, page_id string, ord int, name string, box box, width_pt double, height_pt double, master string, is_master boolean"),
     "item": _struct("doc_id string, spread_id string, item_id string, kind string, ord int, name string, parent_id string, layer_id string, hidden boolean, locked boolean, world list<double>, fill string, stroke string, box box, axis_rect boolean, story_id string, prev string, next string, columns int, inset list<double>, vj string, auto_size string, placed list<string>, linked int, embedded int, text_paths int, is_master boolean"),
 }
