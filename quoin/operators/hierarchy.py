@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quoin.functions.colour import cmyk_to_rgb, hex_of
+from quoin.lineage import cut
 
 FIELDS = ("font", "font_style", "size", "leading", "justification", "fill", "tracking")
 
@@ -25,9 +26,11 @@ def resolve_chain(styles: DataFrame, scope: list[str], *, key: str = "self", par
     """
     now = styles.select(*scope, key, F.col(parent).alias("__next"), *[given(F.col(f)).alias(f) for f in fields])
     for _ in range(doublings):
+        now = cut(now)  # each round reads the one before twice: without a cut the plan doubles too
         up = now.select(*[F.col(s).alias(f"__{s}") for s in scope], F.col(key).alias("__key"), F.col("__next").alias("__after"), *[F.col(f).alias(f"__{f}") for f in fields])
         both = now.join(up, [*[now[s].eqNullSafe(up[f"__{s}"]) for s in scope], now["__next"] == up["__key"]], "left")
         now = both.select(*[now[s] for s in scope], now[key], up["__after"].alias("__next"), *[F.coalesce(now[f], up[f"__{f}"]).alias(f) for f in fields])
+    now = cut(now)
     if root is not None:
         base = styles.where(F.col(key) == root).select(*[F.col(s).alias(f"__{s}") for s in scope], *[given(F.col(f)).alias(f"__{f}") for f in fields])
         both = now.join(base, [now[s].eqNullSafe(base[f"__{s}"]) for s in scope], "left") if scope else now.crossJoin(F.broadcast(base.limit(1)))
@@ -43,10 +46,11 @@ def depth_of(rows: DataFrame, scope: list[str], *, key: str, parent: str, doubli
     now = now.join(known, [*[now[s] == known[f"__{s}"] for s in scope], now["__next"] == known["__key"]], "left")
     now = now.select(*scope, key, F.col("__key").alias("__next"), F.coalesce(F.col("__key"), F.col(key)).alias("root"), F.when(F.col("__key").isNotNull(), 1).otherwise(0).alias("depth"))
     for _ in range(doublings):
+        now = cut(now)
         up = now.select(*[F.col(s).alias(f"__{s}") for s in scope], F.col(key).alias("__key"), F.col("__next").alias("__after"), F.col("root").alias("__root"), F.col("depth").alias("__depth"))
         both = now.join(up, [*[now[s] == up[f"__{s}"] for s in scope], now["__next"] == up["__key"]], "left")
         now = both.select(*[now[s] for s in scope], now[key], up["__after"].alias("__next"), F.coalesce(up["__root"], now["root"]).alias("root"), (now["depth"] + F.coalesce(up["__depth"], F.lit(0))).alias("depth"))
-    return now.drop("__next")
+    return cut(now).drop("__next")
 
 
 def cascade(run: Column, char: Column, para_local: Column, para: Column, fields: tuple[str, ...] = FIELDS) -> Column:
@@ -80,8 +84,8 @@ def resolve_swatches(swatches: DataFrame, scope: list[str], depth: int = 4) -> D
         F.when(F.col("model") == "Registration", 4).when(four & spot, 1).when(four, inks).alias("inks"),
         F.coalesce(four & (F.col("model").isNull() | (F.col("model") != "Registration")) & (inks == 0), F.lit(False)).alias("reversed"),
     )
-    done = swatches.where("type = 'color'").select(*scope, "id", "name", flat.alias("r"))
-    kind_type = done.schema["r"].dataType
+    kind_type = "struct<kind:string,rgb:string,cmyk:array<double>,inks:int,reversed:boolean>"
+    done = swatches.where("type = 'color'").select(*scope, "id", "name", flat.cast(kind_type).alias("r"))
     refs = swatches.where("type != 'color'").select(*scope, "id", "name", "type", "tint", F.posexplode_outer(F.when(F.col("type") == "tint", F.array("base")).otherwise(F.col("stops"))).alias("pos", "ref"))
     empty = refs.select(*scope, "id", "name").distinct().select(*scope, "id", "name", F.lit(None).cast(kind_type).alias("r"))
     state = done.unionByName(empty)

@@ -130,9 +130,10 @@ def compare_with_pdf(items: DataFrame, pages: DataFrame, story: DataFrame, pdf_t
 
 def findings(t: dict[str, DataFrame]) -> DataFrame:
     """(doc_id, level, code, refs, count) of all documents; refs are the first 20."""
-    items = placed_items(t["item"], t["page"])
+    # fourteen reports read these two: they are computed once
+    items = placed_items(t["item"], t["page"]).persist()
     frames, masters = items.where("kind = 'TextFrame'"), t["item"].where("kind = 'TextFrame' and is_master")
-    effective = effective_runs(t["run"], resolved_styles(t["style"]))
+    effective = effective_runs(t["run"], resolved_styles(t["style"])).persist()
     used = swatch_usage(items, effective, t["swatch"])
     stories = t["story"].select("doc_id", "story_id")
     named = masters.select("doc_id", "story_id").unionByName(frames.select("doc_id", "story_id")).unionByName(t["story"].select("doc_id", F.explode("anchored_stories").alias("story_id")))
