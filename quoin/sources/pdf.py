@@ -278,7 +278,7 @@ class Scan:
         return None
 
     def add(self, key: str, kind: str, label: str, rgb, source: str = "artwork", **more) -> None:
-        self.rows["paint"].append({"page": self.page, "seq": self.next(), "key": key, "kind": kind, "label": label, "rgb": hexed(rgb) if rgb else None, "source": source, "icc": False} | more)
+        self.rows["paint"].append({"page": self.page, "seq": self.next(), "key": key, "kind": kind, "label": label, "rgb": rgb if isinstance(rgb, str) else hexed(rgb) if rgb else None, "source": source, "icc": False} | more)
 
     def mark(self, box, k: str, label: str, tac: float | None = None) -> None:
         if box and all(map(math.isfinite, box)) and self.marks < MARKS:
@@ -337,7 +337,7 @@ class Scan:
                 out = evaluate(self.doc, function, [end])
                 rgb = shown(self.doc, space, out)[0] if out else None
                 colours[k] = hexed(rgb) if rgb else None
-        self.add(f"grad:{space.family}:{colours[0]}:{colours[1]}", "gradient", f"Gradient ({space.family})", None, "gradient", family=space.family, rgb=colours[0], rgb2=colours[1])
+        self.add(f"grad:{space.family}:{colours[0]}:{colours[1]}", "gradient", f"Gradient ({space.family})", colours[0], "gradient", family=space.family, rgb2=colours[1])
         if space.kind == "sep" and space.family == "Spot":
             self.spot(space, 0, 1.0, "gradient")
 

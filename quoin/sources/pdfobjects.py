@@ -230,7 +230,7 @@ class Document:
             raise ValueError("not a PDF")
         try:
             self.tables()
-        except (ValueError, IndexError, KeyError, TypeError, RecursionError):
+        except (ValueError, IndexError, KeyError, TypeError, AttributeError, RecursionError):
             self.places, self.trailer = {}, {}
         if not isinstance(self.get(self.trailer.get("Root")), dict):
             self.search()

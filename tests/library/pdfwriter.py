@@ -37,7 +37,7 @@ def simple() -> bytes:
 def colourful(xref: bool = True) -> bytes:
     """One page with every kind of colour."""
     content = b"""/Spot cs 1 scn 0 0 10 10 re f 0.5 scn 0 0 10 10 re f
-/Dn cs 1 scn 5 5 10 10 re f /All cs 1 scn 9 9 2 2 re S /Sampled cs 1 scn 1 1 2 2 re f /Blk cs 0.5 scn 1 1 2 2 re f
+/Dn cs 1 scn 5 5 10 10 re f /All CS 1 SCN 9 9 2 2 re S /Sampled cs 1 scn 1 1 2 2 re f /Blk cs 0.5 scn 1 1 2 2 re f
 0.8 0.7 0.7 1 k 60 60 20 20 re f 1 0 0 rg 60 10 20 20 re f 0.2 0.4 0.6 rg 0.5 g 1 1 1 1 re f
 /G1 gs /Sh1 sh /Sh2 sh 0 0 0 1 k q 2 0 0 2 0 0 cm BT /F 10 Tf 3 Tr (x) Tj 0 Tr (y) Tj ET Q /Form Do"""
     space = lambda name, fn: f"[/Separation /{name} /DeviceCMYK {fn}]"
