@@ -298,15 +298,23 @@ def sides(named: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tuple(dealt(x, x.groupBy("of").agg(F.count("*").alias("n"))) for x in (asks, told))
 
 
-def hot_links(hot: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among the classes of keys with HOT classes or more, by blocks of each key. A
-    pair is compared at its first common hot key alone: by its histograms, then its sets."""
+def hot_pairs(hot: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(key, k, near): of the classes of keys with HOT classes or more those pairs, packed
+    by blocks of each key, whose histograms allow a link. A pair counts at its first common
+    hot key alone. near holds two lists of classes of equal length."""
     keys = hot.groupBy("class").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    whole = hot.select("key", F.pmod(F.xxhash64("class"), F.ceil(F.col("g") / BLOCK)).cast("int").alias("block"), "class", "label").join(keys, "class").join(nodes.select("class", "sketch"), "class").join(sets, "class")
-    # two tasks may have written a set: the first of each class counts
-    whole = whole.groupBy("key", "block").agg(F.collect_list(F.struct("class", "label", "keys", "sketch", "elements")).alias("a"))
+    whole = hot.select("key", F.pmod(F.xxhash64("class"), F.ceil(F.col("g") / BLOCK)).cast("int").alias("block"), "class", "label").join(keys, "class").join(nodes.select("class", "size", "sketch"), "class")
+    whole = whole.groupBy("key", "block").agg(F.collect_list(F.struct("class", "label", "keys", "sketch", "size")).alias("a"))
     pairs = whole.join(whole.select("key", F.col("block").alias("other"), F.col("a").alias("b")), "key").where("block <= other")
-    return pairs.select("key", "a", "b").mapInArrow(hot_rows(percent), "a long, b long").distinct()
+    return pairs.select("key", "a", "b").mapInArrow(hot_rows(percent), "a array<long>, b array<long>").withColumn("k", F.monotonically_increasing_id())
+
+
+def hot_links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs of hot_pairs that link, by their whole sets: each row of pairs meets the
+    sets of its classes once."""
+    of = near.select("k", F.explode(F.array_distinct(F.concat("a", "b"))).alias("class")).join(sets, "class")
+    of = of.groupBy("k").agg(F.collect_list(F.struct("class", "elements")).alias("sets"))
+    return near.join(of, "k").select("a", "b", "sets").mapInArrow(near_rows(percent), "a long, b long").distinct()
 
 
 def folded(sketch: list[np.ndarray], to: int) -> np.ndarray:
@@ -317,37 +325,49 @@ def hot_rows(percent: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
-                key = batch["key"][k].as_py()
-                sides, found = [], []
+                key, sides, found = batch["key"][k].as_py(), [], []
                 for c in "ab":
-                    f = batch[c].slice(k, 1).flatten()
-                    ids, first = np.unique(np.asarray(f.field("class"), np.int64), return_index=True)
-                    own = f.take(pa.array(first))
+                    own = batch[c].slice(k, 1).flatten()
                     sketch = [np.frombuffer(x.as_buffer(), np.uint8) for x in own.field("sketch")]
-                    sides.append((ids, np.asarray(own.field("label"), np.int64), lists(own.field("keys")), sketch, lists(own.field("elements"))))
-                (ids_a, of_a, (ka, keys_a), sk_a, (ea, el_a)), (ids_b, of_b, (kb, keys_b), sk_b, (eb, el_b)) = sides
+                    sides.append((np.asarray(own.field("class"), np.int64), np.asarray(own.field("label"), np.int64), lists(own.field("keys")), sketch, np.asarray(own.field("size"), np.int64)))
+                (ids_a, of_a, (ka, keys_a), sk_a, n_a), (ids_b, of_b, (kb, keys_b), sk_b, n_b) = sides
                 every = np.unique(np.concatenate([keys_a, keys_b]).view(np.int64))
                 has = []
                 for bounds, keys in ((ka, keys_a), (kb, keys_b)):
                     m = np.zeros((len(bounds) - 1, len(every)), bool)
                     m[np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), np.searchsorted(every, keys.view(np.int64))] = True
                     has.append(m)
-                here = int(np.searchsorted(every, key))
-                n_a, n_b = np.diff(ea), np.diff(eb)
-                size = np.array([len(x) for x in sk_b])
+                here, width = int(np.searchsorted(every, key)), np.array([len(x) for x in sk_b])
+                same = len(ids_a) == len(ids_b) and set(ids_a) == set(ids_b)
                 for i in range(len(ids_a)):
                     first = np.argmax(has[0][i] & has[1], axis=1) == here
-                    total = n_a[i] + n_b
-                    ask = np.flatnonzero(first & (of_b != of_a[i]) & (ids_b > ids_a[i]) if ids_a[0] == ids_b[0] else first & (of_b != of_a[i]))
-                    for z in np.unique(np.minimum(size[ask], len(sk_a[i]))):
-                        some = ask[np.minimum(size[ask], len(sk_a[i])) == z]
+                    ask = np.flatnonzero(first & (of_b != of_a[i]) & ((ids_b > ids_a[i]) | (not same)))
+                    for z in np.unique(np.minimum(width[ask], len(sk_a[i]))):
+                        some = ask[np.minimum(width[ask], len(sk_a[i])) == z]
                         apart = np.abs(folded([sk_b[j] for j in some], z) - folded([sk_a[i]], z)).sum(1)
-                        for j in some[apart * (100 + percent) <= (100 - percent) * total[some]]:
-                            met = len(np.intersect1d(el_a[ea[i] : ea[i + 1]], el_b[eb[j] : eb[j + 1]], assume_unique=True))
-                            if 100 * met >= percent * (total[j] - met):
-                                found.append((int(ids_a[i]), int(ids_b[j])))
+                        near = some[apart * (100 + percent) <= (100 - percent) * (n_a[i] + n_b[some])]
+                        found += [(int(ids_a[i]), int(ids_b[j])) for j in near]
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array([[x for x, _ in found]], pa.list_(pa.int64())), pa.array([[y for _, y in found]], pa.list_(pa.int64()))], ["a", "b"])
+
+    return rows
+
+
+def near_rows(percent: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                own, out = batch["sets"].slice(k, 1).flatten(), []
+                at, values = lists(own.field("elements"))
+                place = {c: n for n, c in enumerate(own.field("class").to_pylist())}
+                for x, y in zip(batch["a"][k].as_py(), batch["b"][k].as_py()):
+                    i, j = place[x], place[y]
+                    p, q = values[at[i] : at[i + 1]], values[at[j] : at[j + 1]]
+                    met = len(np.intersect1d(p, q, assume_unique=True))
+                    if 100 * met >= percent * (len(p) + len(q) - met):
+                        out.append((x, y))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
     return rows
 
@@ -407,7 +427,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Candidates whose histograms differ by more than linked sets can are dropped (close), the
     others are verified on whole sets: first each class with up to ROUNDS partners, which it
     shares most keys with; then, where a key's group still has several components, all pairs
-    across, those with large components and of hot keys in blocks (sides, blocks, hot_links). Pairs inside one
+    across, those with large components and of hot keys in blocks (sides, blocks, hot_pairs). Pairs inside one
     component can't change the result and are left out; none is dropped otherwise.
 
     Returns id_col, n_shingles, class (a hash of the set), component_id: the smallest id
@@ -458,10 +478,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         across = across.join(tried.toDF(*pair), ["a", "b"], "left_anti")
     across = materialise(close(across, nodes, percent), "pairs")
     asks, told = sides(named)
-    asks, told, hot = materialise(asks, "asks"), materialise(told, "told"), few.where(F.col("g") >= HOT)
-    wanted = [asks.select("class"), told.select("class"), hot.select("class"), across.select(F.explode(F.array("a", "b")).alias("class"))]
+    asks, told, near = materialise(asks, "asks"), materialise(told, "told"), materialise(hot_pairs(few.where(F.col("g") >= HOT), nodes, percent), "near")
+    wanted = [asks.select("class"), told.select("class"), near.select(F.explode(F.concat("a", "b")).alias("class")), across.select(F.explode(F.array("a", "b")).alias("class"))]
     sets = set_table(reduce(DataFrame.unionByName, wanted), rows)
-    found = [links(across, sets, percent), blocks(asks, told, sets, percent), hot_links(hot, nodes, sets, percent)]
+    found = [links(across, sets, percent), blocks(asks, told, sets, percent), hot_links(near, sets, percent)]
     label = components(met.unionByName(materialise(reduce(DataFrame.unionByName, found), "links")))
 
     texts = texts.drop("sketch").join(label.withColumnRenamed("node", "class"), "class", "left")
