@@ -17,10 +17,9 @@ from quoin.llm._spark import materialise
 
 END = 2  #: appended to each document
 BLOCK = 1 << 22  #: ids of a block, which has a grammar of its own; a longer document is a block by itself
-ROUNDS = 3  #: of replacement
 PAIRS = 5000  #: replaced in a round at most
 LEAST = 24  #: occurrences of a pair that is worth a rule
-SLOT_BITS = 20  #: of the table that counts pairs
+SLOT_BITS = 20  #: of the table whose sums tell which pairs need an exact count
 CACHE = 1_400_000  #: pieces of text whose ids a worker remembers
 
 #: Texts whose white space is single spaces and newlines can be cut there: the byte-level
@@ -142,50 +141,111 @@ class Encoder:
 def compress(ids: np.ndarray, sizes: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, symbols of each document, rules, first rule of each round) of a block.
 
-    Each round counts all neighbouring pairs inside documents and gives the frequent ones
-    a nonterminal each; occurrences are replaced from the left, without overlap. Rules of
-    a round are made of symbols of earlier ones, so that a block expands round by round.
+    Rounds go on until no pair inside documents comes LEAST times without overlap, or no
+    number is left for a rule. A round gives the most frequent pairs, counted exactly, a
+    nonterminal each and replaces their occurrences; where pairs overlap the more frequent
+    one wins, and a pair that keeps fewer than LEAST waits. Pairs are taken down to a
+    quarter of the best count; then that floor falls, so that rules go by frequency over
+    the whole block. A pair of old symbols can only get rarer: what fell below LEAST is not
+    counted again until a neighbour is replaced.
     """
-    seq = ids.astype(np.int64)
-    last = np.zeros(len(seq), bool)  # the last symbol of a document takes no right partner
-    last[np.cumsum(sizes) - 1] = True
-    rules, rounds = np.zeros((0, 2), np.int64), []
+    n = len(ids)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
     room = (1 << 16) - vocabulary if vocabulary < 1 << 16 else 1 << 20
-    for _ in range(ROUNDS):
-        if len(seq) < 2 or len(rules) >= room:
-            break
-        key = seq[:-1] << 32 | seq[1:]
-        slot = ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
-        slot[last[:-1]] = 0
-        count = np.bincount(slot, minlength=1 << SLOT_BITS)
-        count[0] = 0
-        best = np.flatnonzero(count >= LEAST)
-        best = best[np.argsort(-count[best], kind="stable")[: min(PAIRS, room - len(rules))]]
+    narrow = vocabulary < 1 << 16
+    seq = np.append(ids, -1).astype(np.int32)  # position n stands for no neighbour
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    ends = np.cumsum(sizes)
+    after[ends - 1], before[ends - sizes], after[n], before[n] = n, n, n, n
+    there, level = np.ones(n + 1, bool), np.zeros(n + 1, np.uint8)  # bits of the count that the pair at a waiting position has at most
+    there[n], mark = False, np.zeros(n + 1, bool)
+    none = np.iinfo(np.int32).max
+    rank_at, number = np.full(n + 1, none, np.int32), np.full(1 << SLOT_BITS, -1, np.int32)
+    rules, rounds, made = [], [], 0
+    floor, at = 0, np.flatnonzero(after < n)
+    while made < room:
+        a, b = seq[at], seq[after[at]]
+        if narrow:
+            key = a.astype(np.uint32) << np.uint32(16) | b.astype(np.uint32)
+            slot = (key * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOT_BITS)
+        else:
+            key = a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
+            slot = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
+        slot = slot.astype(np.int32)
+        bound = np.bincount(slot, minlength=1 << SLOT_BITS).astype(np.int32)[slot]  # no less than the pair's count
+        may = bound >= max(LEAST, floor)
+        if floor > LEAST:
+            wait = np.flatnonzero((bound >= LEAST) & ~may)
+            level[at[wait]] = np.frexp(bound[wait].astype(np.float32))[1]
+        may = np.flatnonzero(may)
+        at, key, slot = at[may], key[may], slot[may]
+        twin = np.flatnonzero(a[may] == b[may])
+        del a, b, bound, may  # a first round holds a number for each id in all of these
+        counted = key
+        if len(twin):  # of x x x, one pair of x
+            first = np.ones(len(twin), bool)
+            first[1:] = before[at[twin[1:]]] != at[twin[:-1]]
+            run = np.maximum.accumulate(np.where(first, np.arange(len(twin)), 0))
+            counted = np.delete(key, twin[(np.arange(len(twin)) - run) % 2 == 1])
+        counted = np.sort(counted)
+        edge = np.flatnonzero(np.append(True, counted[1:] != counted[:-1])) if len(counted) else np.zeros(0, np.int64)
+        count = np.diff(np.append(edge, len(counted)))
+        if not floor and len(count):
+            floor = max(LEAST, int(count.max()) // 4)
+        best = np.flatnonzero(count >= max(LEAST, floor))
         if not len(best):
-            break
-        number = np.full(1 << SLOT_BITS, -1, np.int32)
-        number[best] = np.arange(len(best))
-        rule = number[slot]
-        at = np.flatnonzero(rule >= 0)
-        rule = rule[at]
-        pairs = np.zeros(len(best), np.int64)
-        pairs[rule] = key[at]  # a slot stands for one of its pairs, mostly the frequent one
-        fits = pairs[rule] == key[at]
-        at, rule = at[fits], rule[fits]
-        if len(at):
-            starts = np.ones(len(at), bool)
-            starts[1:] = at[1:] != at[:-1] + 1
-            run = np.maximum.accumulate(np.where(starts, np.arange(len(at)), 0))
-            take = (np.arange(len(at)) - run) % 2 == 0  # in a run of overlapping pairs every other one
-            at, rule = at[take], rule[take]
-        rounds.append(len(rules))
-        seq[at] = vocabulary + len(rules) + rule
-        last[at] = last[at + 1]
-        rules = np.concatenate([rules, np.stack([pairs >> 32, pairs & 0xFFFFFFFF], 1)])
-        stay = np.ones(len(seq), bool)
-        stay[at + 1] = False
-        seq, last = seq[stay], last[stay]
-    return seq, np.diff(np.concatenate([[-1], np.flatnonzero(last)])) if len(seq) else np.zeros(0, np.int64), rules, np.array(rounds, np.int64)
+            if floor <= LEAST:
+                break
+            floor = max(LEAST, floor // 4)
+            level[at] = 0
+            at = np.sort(np.concatenate([at, np.flatnonzero(level >= floor.bit_length())]))
+            level[at] = 0
+            continue
+        best = best[np.argsort(-count[best], kind="stable")[: min(PAIRS, room - made)]]
+        pairs = counted[edge[best]]
+        mult, bits = (np.uint32(0x9E3779B1), 32) if narrow else (np.uint64(0x9E3779B97F4A7C15), 64)
+        of = ((pairs * mult) >> pairs.dtype.type(bits - SLOT_BITS)).astype(np.int32)
+        own = np.sort(np.unique(of, return_index=True)[1])  # of pairs in one slot the most frequent; others wait
+        pairs, of = pairs[own], of[own]
+        number[of] = np.arange(len(of))
+        rank = number[slot]
+        number[of] = -1
+        hit = np.flatnonzero(rank >= 0)
+        hit = hit[pairs[rank[hit]] == key[hit]]
+        spot, rank = at[hit], rank[hit]
+        rank_at[spot] = rank
+        wins = (rank <= rank_at[before[spot]]) & (rank <= rank_at[after[spot]])
+        rank_at[spot] = none
+        spot, rank = spot[wins], rank[wins]
+        first = np.ones(len(spot), bool)
+        first[1:] = (before[spot[1:]] != spot[:-1]) | (rank[1:] != rank[:-1])
+        run = np.maximum.accumulate(np.where(first, np.arange(len(spot)), 0))
+        take = (np.arange(len(spot)) - run) % 2 == 0
+        spot, rank = spot[take], rank[take]
+        good = np.bincount(rank, minlength=len(pairs)) >= LEAST
+        take = good[rank]
+        spot, rank, pairs = spot[take], (np.cumsum(good) - 1)[rank[take]], pairs[good]
+        shift = pairs.dtype.type(bits // 2)
+        rules.append(np.stack([pairs >> shift, pairs & ((pairs.dtype.type(1) << shift) - pairs.dtype.type(1))], 1).astype(np.int64))
+        rounds.append(made)
+        right = after[spot]
+        seq[spot] = vocabulary + made + rank
+        made += len(pairs)
+        there[right] = False
+        level[right] = 0
+        follow = after[right]
+        after[spot] = follow
+        before[follow] = spot
+        new = np.concatenate([spot, before[spot]])
+        level[new] = 0
+        mark[at] = mark[new] = True
+        mark[right] = mark[n] = False
+        at = np.flatnonzero(mark)
+        mark[at] = False
+        at = at[np.flatnonzero(after[at] < n)]
+    per = np.add.reduceat(there[:n], ends - sizes, dtype=np.int64)
+    return seq[there].astype(np.int64), per, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), np.array(rounds, np.int64)
 
 
 def expansion_lengths(rules: np.ndarray, rounds: np.ndarray, vocabulary: int) -> np.ndarray:
@@ -198,18 +258,17 @@ def expansion_lengths(rules: np.ndarray, rounds: np.ndarray, vocabulary: int) ->
 
 def expand(symbols: np.ndarray, rules: np.ndarray, rounds: np.ndarray, vocabulary: int) -> np.ndarray:
     """The ids of any stretch of symbols, so also of one document alone."""
+    length = np.concatenate([np.ones(vocabulary, np.int64), expansion_lengths(rules, rounds, vocabulary)])
     seq = symbols.astype(np.int64)
-    for s in rounds[::-1]:
-        of = np.flatnonzero(seq >= vocabulary + s)
-        if not len(of):
-            continue
-        pair = rules[seq[of] - vocabulary]
-        size = np.ones(len(seq), np.int64)
-        size[of] = 2
-        at = np.cumsum(size)[of] - 2
-        seq = np.repeat(seq, size)
-        seq[at], seq[at + 1] = pair[:, 0], pair[:, 1]
-    return seq
+    size = length[seq]
+    at = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.int64)
+    while len(seq):  # each symbol is written or gives its two, which start where it starts and after the first
+        low = seq < vocabulary
+        out[at[low]] = seq[low]
+        at, pair = at[~low], rules[seq[~low] - vocabulary]
+        seq, at = np.concatenate([pair[:, 0], pair[:, 1]]), np.concatenate([at, at + length[pair[:, 0]]])
+    return out
 
 
 SCHEMA = "shard int, block int, ids array<{id}>, sizes binary, symbols binary, symbol_sizes binary, rules binary, rounds binary, lengths binary, width int, n_ids long"
@@ -230,6 +289,7 @@ def block_rows(path: str, end: int):
             if held:
                 keys = pa.concat_arrays([k for k, _, _ in held])
                 ids, sizes = np.concatenate([i for _, i, _ in held]), np.concatenate([s for _, _, s in held])
+                held.clear()
                 symbols, per, rules, rounds = compress(ids, sizes, vocabulary)
                 kind = np.uint16 if vocabulary + len(rules) <= 1 << 16 else np.uint32
                 one = lambda x, t: pa.array([np.ascontiguousarray(x, t).tobytes()])
@@ -239,7 +299,6 @@ def block_rows(path: str, end: int):
                     names,
                 )
                 block += 1
-                held.clear()
 
         for b in batches:
             for k in range(0, len(b), 500):

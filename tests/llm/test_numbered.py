@@ -407,3 +407,32 @@ def test_pipeline(spark, tmp_path):
     for x in out:
         slots[x.shard].append(x.slot)
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def test_repair_goes_on_until_no_pair_is_frequent():
+    import numpy as np
+
+    from quoin.llm.tokens import LEAST, compress, expand, expansion_lengths
+
+    r = np.random.default_rng(1)
+    passage = r.integers(0, 5000, 600)  # a group of copies, and noise between them
+    docs = [x for _ in range(200) for x in (passage, r.integers(0, 5000, 50), np.zeros(7, np.int64))]
+    ids, sizes = np.concatenate(docs), np.array([len(d) for d in docs])
+    seq, per, rules, rounds = compress(ids, sizes, 5000)
+    assert (expand(seq, rules, rounds, 5000) == ids).all()
+    assert expansion_lengths(rules, rounds, 5000).max() >= 500  # not 8 ids at most
+    pairs, start = Counter(), 0
+    for n in per.tolist():
+        doc = seq[start : start + n].tolist()
+        start += n
+        last = None
+        for at, pair in enumerate(zip(doc, doc[1:])):
+            if last != (at - 1, pair):  # x x x holds one pair
+                pairs[pair] += 1
+                last = (at, pair)
+            else:
+                last = None
+    assert max(pairs.values()) < LEAST
+    first = compress(ids, sizes, 5000)[2][: rounds[1] if len(rounds) > 1 else None]
+    seen = Counter((a, b) for d in docs for a, b in zip(d.tolist(), d.tolist()[1:]))
+    assert all(seen[tuple(p)] >= LEAST for p in first.tolist())  # no sum of rare pairs gets a rule
