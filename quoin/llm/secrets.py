@@ -18,6 +18,8 @@ KINDS = ("assign", "access", "hex", "novel")
 
 SENSITIVE = re.compile(r"passw|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|authorization|signature", re.I | re.A)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+GLUED = re.compile(r"[A-Za-z0-9]*(?:[-_./]*=+|[-_./]*)")  #: the rest of a sensitive word and what parts it from a string
+NAME = re.compile(r"=*(?:[A-Za-z]+[-_.])*[A-Za-z]+=+(?=[A-Za-z0-9+/_=.-]{16})|=+")  #: of a value in the same run
 NEAR = 64  #: code points of a line before a candidate that make it sensitive
 AROUND = 512  #: code points on either side that prime the compressor
 NOVEL = 0.6  #: marginal compressed bytes for each character of a novel string
@@ -49,22 +51,27 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def novel_spans(text: str, known: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Strings of mixed characters after a sensitive word of their line, outside known spans, that don't compress."""
-    out, spots = [], [m.end() for m in SENSITIVE.finditer(text)]
-    seen = set()
-    for at in spots:
+    out, seen, run = [], set(), -1
+    for at in (m.end() for m in SENSITIVE.finditer(text)):
         stop = text.find("\n", at)
-        line = text[at : min(len(text) if stop < 0 else stop, at + NEAR + 4096)]
-        for m in CANDIDATE.finditer(line):
-            if m.start() > NEAR:
-                break
-            s, e = at + m.start(), at + m.end()
-            if s > 0 and CANDIDATE.fullmatch(text[s - 1] * 16):  # the tail of a longer string
-                continue
-            word = m[0].strip(".=-_/")
-            if (s, e) in seen or not (re.search(r"[0-9]", word) and re.search(r"[A-Za-z]", word)) or any(s < y and x < e for x, y, _ in known):
+        stop, pos = len(text) if stop < 0 else stop, at
+        while m := CANDIDATE.search(text, pos, min(stop, at + NEAR + 16)):  # what starts within NEAR shows there, and is taken whole
+            s = m.start()
+            pos = e = run = run if s < run else CANDIDATE.match(text, s, stop).end()
+            if s == at:  # not the tail of a longer word, but what comes after its separators
+                s = GLUED.match(text, s, e).end()
+                if s > at and text[s - 1].isalnum():
+                    continue
+            if n := NAME.match(text, s, e):
+                s = n.end()
+            whole = text[s:e]
+            word = whole.strip(".=-_/")
+            if e - s < 16 or (s, e) in seen or not (re.search(r"[0-9]", word) and re.search(r"[A-Za-z]", word)) or any(s < y and x < e for x, y, _ in known):
                 continue
             seen.add((s, e))
-            if marginal(m[0], text[max(0, s - AROUND) : s], text[e : e + AROUND]) >= NOVEL * len(m[0]):
+            if out and s < out[-1][1]:  # another sensitive word inside a string that is found already
+                continue
+            if marginal(whole, text[max(0, s - AROUND) : s], text[e : e + AROUND]) >= NOVEL * len(whole):
                 out.append((s, e, "novel"))
     return out
 
@@ -93,8 +100,8 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     Assignments, access keys and long hexadecimal runs are found by pattern, leftmost and
     without overlap in each kind. Besides, a string of 16 characters or more, letters with
-    digits, that follows a sensitive word in its line and lies outside those spans is
-    measured: the bytes that zstandard needs for it, primed with the text around it and
+    digits, that follows a sensitive word in its line, or is joined to it by one of = - _ . /, and
+    lies outside those spans is measured whole: the bytes that zstandard needs for it, primed with the text around it and
     with common identifiers. NOVEL bytes a character or more make it a 'novel' span.
     Spans are kind:start:end in code points, end exclusive, by start, then by kind in the
     order of KINDS. Null and empty texts have none. Each row is scanned by itself, without

@@ -436,3 +436,23 @@ def test_repair_goes_on_until_no_pair_is_frequent():
     first = compress(ids, sizes, 5000)[2][: rounds[1] if len(rounds) > 1 else None]
     seen = Counter((a, b) for d in docs for a, b in zip(d.tolist(), d.tolist()[1:]))
     assert all(seen[tuple(p)] >= LEAST for p in first.tolist())  # no sum of rare pairs gets a rule
+
+
+@pytest.mark.parametrize("before", ["AWS_SECRET_ACCESS_KEY=", "private_key=", "X-Api-Key=", "https://a.example/x?signature=", "secret_", "passwordhash=", "access_key: ", "api_secret_key=", "bearer.", "private_key=\"", "private_key =", "credential/"])
+def test_secrets_joined_to_their_word(before):
+    from quoin.llm.secrets import base_spans, novel_spans
+
+    key = "9vQ2mL7pRw4tYz8NbC3dXk5HsJ1gFa6e"
+    text = f"x = 1\n{before}{key}\nnext line"
+    at = text.index(key)
+    assert novel_spans(text, base_spans(text)) == [(at, at + len(key), "novel")]
+
+
+def test_secrets_are_taken_whole_and_once():
+    from quoin.llm.secrets import novel_spans
+
+    r = random.Random(2)
+    key = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(9000))
+    text = f"the secret of the private_key={key}\nafter"
+    assert novel_spans(text, []) == [(30, 30 + len(key), "novel")]
+    assert novel_spans("secretary9vQ2mL7pRw4tYz8NbC3dXk5H secretABC+9vQ2mL7pRw4tYz8NbC3dXk5H", []) == []  # tails of words
