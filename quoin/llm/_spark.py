@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,25 +15,43 @@ DIR = "spark.checkpoint.dir"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: the one the cluster names in
-    spark.checkpoint.dir, and one of our own only where that is unset (tests)."""
-    found = spark.conf.get(DIR, None)
-    if found:
-        return found.rstrip("/")
-    checkpoint_dir = spark.sparkContext.getCheckpointDir()
-    if not checkpoint_dir:
+    spark.checkpoint.dir. Where nothing is named, a local session (tests) gets a folder of
+    its own; on a cluster that is an error, since no machine's own folder would do."""
+    found = spark.conf.get(DIR, None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{DIR} must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        checkpoint_dir = spark.sparkContext.getCheckpointDir()
-    return checkpoint_dir.rstrip("/")
+        found = spark.sparkContext.getCheckpointDir()
+    return found.rstrip("/")
+
+
+#: Tables written by this session and not dropped yet.
+WRITTEN: list[str] = []
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: the lineage ends
     here, and the files outlive any executor."""
     path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Drop the tables that are materialised inside, once what was made of them is written."""
+    before = len(WRITTEN)
+    try:
+        yield
+    finally:
+        for path in WRITTEN[before:]:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        del WRITTEN[before:]
+
+
 def prefix_sums(df: DataFrame, order: list[str], sums: list[str]) -> DataFrame:
     """df with before_<c> for each c in sums: the sum of c over all rows that come
     earlier in the order of the columns named by order.

@@ -11,10 +11,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19  #: of text that is worked on at once: the arrays beside it take some fifty times as much
 
 
+def release() -> None:
+    """Give back what Arrow's pool holds unused: workers are kept for later stages."""
+    pa.default_memory_pool().release_unused()
+
+
+def slices(batch: pa.RecordBatch, column: str, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in stretches of about `size` bytes of a string column, a row at least."""
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch[column]), 0), np.int64)
+    ends, row = np.cumsum(lengths), 0
+    while row < len(batch):
+        before = ends[row - 1] if row else 0
+        stop = max(row + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield batch.slice(row, stop - row)
+        row = stop
+    release()
+
 
 def scramble(z: np.ndarray, salt: int = 0) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
@@ -115,6 +132,7 @@ def chunks(column: pa.Array | pa.ChunkedArray, fold: bool | np.ndarray = False)
         stop = min(stop, len(column))
         yield row, Texts(data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row], fold)
         row = stop
+    release()
 
 
 def lists(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -430,8 +430,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     across, those with large components and of hot keys in blocks (sides, blocks, hot_pairs). Pairs inside one
     component can't change the result and are left out; none is dropped otherwise.
 
-    Returns id_col, n_shingles, class (a hash of the set), component_id: the smallest id
-    that links reach, by the id's own order. Null and empty texts have no shingles, a class
+    Returns id_col, n_shingles, class (a hash of the set), component (a class of those that
+    links join), component_id: the smallest id that links reach, by the id's own order. Null and empty texts have no shingles, a class
     of their own and no links. Repeated rows and equal sets are linked; rows that share an
     id are one node of the graph only where their sets link. Null ids come last when a
     smallest id is sought. An empty table gives no rows; other columns are not read.
@@ -450,7 +450,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     keys = rows.mapInArrow(key_rows(percent, spark.sparkContext.broadcast(count.astype(np.int32) if count.max(initial=0) < 1 << 31 else count)), "key long, class long")
     group = Window.partitionBy("key")
     ends = keys.withColumn("lo", F.min("class").over(group)).withColumn("hi", F.max("class").over(group)).where("lo != hi")
-    nodes = materialise(texts.where("size > 0").groupBy("class").agg(F.first("size").alias("size"), F.any_value("sketch").alias("sketch")), "nodes")
+    nodes = materialise(texts.where("size > 0").groupBy("class").agg(F.first("size").alias("size"), F.any_value("sketch").alias("sketch"), F.min("id").alias("least")), "nodes")
     # keys of several classes; a class that several tasks met stands in a group once
     shared = materialise(ends.select("key", "class").distinct().join(nodes.select("class", "size"), "class"), "keys")
 
@@ -484,24 +484,49 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     found = [links(across, sets, percent), blocks(asks, told, sets, percent), hot_links(near, sets, percent)]
     label = components(met.unionByName(materialise(reduce(DataFrame.unionByName, found), "links")))
 
-    texts = texts.drop("sketch").join(label.withColumnRenamed("node", "class"), "class", "left")
-    node = F.when(F.col("size") > 0, F.coalesce("label", "class"))
-    texts = texts.withColumn("node", node)
-    least = texts.where("node is not null").groupBy("node").agg(F.min("id").alias("least")).withColumnRenamed("node", "l_node")
-    texts = texts.join(least, F.col("node") == F.col("l_node"), "left")
-    return texts.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "class", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
+    # the least id of a component comes from its classes; each table is written before it is
+    # joined, so that the rows of one component or of one class can be dealt to several tasks
+    linked = materialise(nodes.select("class", "least").join(label.withColumnRenamed("node", "class"), "class"), "linked")
+    least = materialise(linked.groupBy("label").agg(F.min("least").alias("of_all")), "least")
+    linked = materialise(linked.select("class", "label").join(least, "label"), "linked")
+    named = nodes.select("class", "least").join(linked, "class", "left")
+    named = materialise(named.select("class", F.coalesce("label", "class").alias("component"), F.when(F.col("label").isNull(), F.col("least")).otherwise(F.col("of_all")).alias("component_id")), "named")
+    texts = texts.drop("sketch").join(named, "class", "left")
+    alone = F.col("size") == 0
+    return texts.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), "class", "component", F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def class_rows(text_col: str):
+    """Rows as they come, with the class of their text."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, t in chunks(b[text_col], fold=True):
+                text, h = shingles(t)
+                yield b.slice(row, t.n).append_column("__class", signed(set_hashes(text, h, t.n)[1]))
+
+    return rows
 
 
 def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents with their own columns, one of each component: that of the smallest id.
 
-    Documents without shingles link with nothing and stay. Of rows that repeat an id with
-    the same set one stays.
+    Documents without shingles link with nothing and stay. Rows that repeat an id are told
+    apart by their sets: of those in one component whose smallest id is theirs one stays,
+    the first by set, text and the other columns (of types that have an order).
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, percent=percent)
-    # texts of one class and id are the same node: count them to find repeats to drop
-    least = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__id")).agg(F.max("n_shingles").alias("__most"), F.count("*").alias("__rows"))
-    kept = docs.join(least, F.col(id_col).eqNullSafe(F.col("__id")))
-    single = kept.where("__rows = 1 or __most = 0").select(*docs.columns)
-    repeated = kept.where("__rows > 1 and __most > 0").select(*docs.columns).dropDuplicates([id_col, text_col])
-    return single.unionByName(repeated)
+    found = materialise(near_duplicates(docs, id_col=id_col, text_col=text_col, percent=percent), "found")
+    own = F.col(id_col).eqNullSafe(F.col("component_id"))
+    ids = materialise(found.groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__rows"), F.count_if(own).alias("__own")), "ids")
+    once = docs.join(ids.where("__rows = 1 and __own = 1").select("__id"), F.col(id_col).eqNullSafe(F.col("__id"))).select(*docs.columns)
+    often = ids.where("__rows > 1 and __own > 0").select("__id")
+    if often.isEmpty():
+        return once
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "__class long"])
+    several = docs.join(often, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").mapInArrow(class_rows(text_col), schema)
+    first = found.where(own & (F.col("n_shingles") > 0)).groupBy(F.col(id_col).alias("__id"), "component").agg(F.min("class").alias("__first"))
+    kept = several.join(first, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__class") == F.col("__first")))
+    order = [c.name for c in docs.schema if "map<" not in c.dataType.simpleString() and "variant" not in c.dataType.simpleString()]
+    kept = kept.withColumn("__n", F.row_number().over(Window.partitionBy(id_col, "__class").orderBy(*order))).where("__n = 1").select(*docs.columns)
+    bare = set_hashes(np.zeros(0, np.int64), np.zeros(0, np.uint64), 1)[1].view(np.int64)[0]  # the class of texts without words
+    return once.unionByName(kept).unionByName(several.where(F.col("__class") == int(bare)).select(*docs.columns))

@@ -1,8 +1,11 @@
 """DuckDB SQL for the numbered queries that SQL can express."""
 
+from quoin.llm.quality import BOILERPLATE_TEXT, NOISY_TEXT
+
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
-QUALITY = rf"""
+BOILERPLATE_SQL = BOILERPLATE_TEXT.replace("'", "''")
+QUALITY_PARTS = rf"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS words FROM documents),
 one AS (SELECT doc_id, unnest(words) AS w1, generate_subscripts(words, 1) AS i FROM w),
 tri AS (SELECT doc_id, i, w1, lead(w1) OVER l AS w2, lead(w1, 2) OVER l AS w3 FROM one WINDOW l AS (PARTITION BY doc_id ORDER BY i)),
@@ -13,12 +16,12 @@ rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM w),
 lw AS (SELECT doc_id, text AS line, k, {WORDS} AS words FROM lines),
 judged AS (
-  SELECT doc_id, length(array_to_string(words, '')) AS chars,
+  SELECT doc_id, k, length(array_to_string(words, '')) AS chars,
     row_number() OVER (PARTITION BY doc_id, line ORDER BY k) > 1 AS again,
-    3 * len(list_filter(words, lambda x: regexp_matches(x, '[#*$%&<>]{{2}}|[#$%&]$|!!|\?\?'))) >= len(words)
+    3 * len(list_filter(words, lambda x: regexp_matches(x, '{NOISY_TEXT}'))) >= len(words)
     OR (len(words) >= 25 AND NOT regexp_matches(line, '[.,;:!?]|…|。|[\x{{FF00}}-\x{{FF3F}}]'))
     OR (len(list_filter(words, lambda x: x IN ('|', '>', '·', '»'))) >= 3 AND 6 * len(list_filter(words, lambda x: x IN ('|', '>', '·', '»'))) >= len(words))
-    OR (len(words) <= 25 AND regexp_matches(lower(line), 'cookie|javascript|all rights reserved|terms of (use|service)|privacy policy|subscribe (now|to)|sign (up|in) |log in |click here|copyright|©')) AS bad
+    OR (len(words) <= 25 AND regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{BOILERPLATE_SQL}')) AS bad
   FROM lw WHERE len(words) > 0
 ),
 loss AS (
@@ -29,11 +32,20 @@ base AS (
     (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
     coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0) AS lost
   FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN loss USING (doc_id)
+),
+verdict AS (
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * lost <= word_chars AS kept
+  FROM base
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * lost <= word_chars AS kept
-FROM base
+"""
+QUALITY = f"{QUALITY_PARTS} SELECT * FROM verdict"
+
+#: The documents that pass, their texts without the lines that fail.
+CLEANED = f"""{QUALITY_PARTS},
+cleaned AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY k) AS text FROM lw LEFT JOIN judged USING (doc_id, k) WHERE NOT coalesce(again OR bad, false) GROUP BY doc_id)
+SELECT d.doc_id, cleaned.text, d.source FROM documents d JOIN verdict USING (doc_id) JOIN cleaned USING (doc_id) WHERE verdict.kept
 """
 
 FOLDED = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
@@ -60,7 +72,7 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(hits.n, 0)::BIGINT AS n_h
 FROM doc LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-MIX = rf"""
+MIX_PARTS = rf"""
 WITH d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size FROM documents),
 e AS (SELECT *, greatest(1, floor(sqrt(size)))::BIGINT AS pull FROM d),
 s AS (
@@ -85,11 +97,10 @@ p AS (
   FROM e JOIN y ON e.source IS NOT DISTINCT FROM y.source
 ),
 q AS (SELECT *, (r / (1 - r)) * ((1 - pr) / pr) AS q FROM p),
-z AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY q, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM q)
-SELECT doc_id, size, source_size, target,
-  ((whole + CASE WHEN left_over > 0 AND 2 * earlier + size <= 2 * left_over THEN 1 ELSE 0 END) * size)::BIGINT AS taken
-FROM z
+z AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY q, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM q),
+m AS (SELECT doc_id, size, source_size, target, (whole + CASE WHEN left_over > 0 AND 2 * earlier + size <= 2 * left_over THEN 1 ELSE 0 END)::BIGINT AS copies FROM z)
 """
+MIX = f"{MIX_PARTS} SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken FROM m"
 
 REPEATS = rf"""
 WITH d AS (SELECT doc_id, {WORDS} AS words FROM documents),
@@ -116,3 +127,47 @@ reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT reach.x, link.y FR
 least AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM d JOIN least USING (doc_id) LEFT JOIN size USING (doc_id)
 """
+
+#: CRC-32 by its table, folded over the bytes of a text
+SHARDS = r"""
+WITH RECURSIVE step AS (SELECT i, i::BIGINT AS v, 0 AS k FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, k + 1 FROM step WHERE k < 8),
+crc_table AS (SELECT list(v ORDER BY i) AS tab FROM step WHERE k = 8),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+h AS (SELECT doc_id, text, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM d),
+s AS (
+  SELECT doc_id, len(bytes) + 1 AS size, ('0x' || substr(md5(text), 1, 15))::BIGINT AS grp,
+    CASE WHEN text = '' THEN 0 ELSE xor(list_reduce(bytes, lambda c, x: xor(c >> 8, list_extract(tab, xor(c, x) % 256 + 1)), 4294967295::BIGINT), 4294967295) END AS text_crc32
+  FROM h, crc_table
+),
+line AS (
+  SELECT *, (sum(size) OVER w)::BIGINT - size AS before_size, row_number() OVER w AS nth, (sum(size) OVER ())::BIGINT AS total
+  FROM s WINDOW w AS (ORDER BY grp, text_crc32, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING)
+),
+ends AS (SELECT grp, text_crc32, total, min(before_size) AS lo, max(before_size + size) AS hi FROM line GROUP BY ALL),
+moved AS (
+  SELECT cut, CASE WHEN cut * total / 16 - lo <= hi - cut * total / 16 THEN lo ELSE hi END AS edge
+  FROM (SELECT *, unnest(range(1, 16)) AS cut FROM ends) WHERE cut * total > lo * 16 AND cut * total <= hi * 16
+    AND least(cut * total / 16 - lo, hi - cut * total / 16) <= 0.01::DOUBLE * total / 16
+),
+plain AS (SELECT *, ((2 * before_size + size)::HUGEINT * 16 // (2 * total))::INT AS n FROM line),
+dealt AS (
+  SELECT l.*, l.n - coalesce(2 * before_size + size < 2 * a.edge, false)::INT + coalesce(2 * before_size + size >= 2 * b.edge, false)::INT AS shard
+  FROM plain l LEFT JOIN moved a ON a.cut = l.n LEFT JOIN moved b ON b.cut = l.n + 1
+)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard::INT AS shard, nth - min(nth) OVER (PARTITION BY shard) AS slot, NULL::INT AS grown_shard FROM dealt
+"""
+
+
+def over(sql: str, documents: str) -> str:
+    """The SQL with another table in the place of documents."""
+    return sql.replace("FROM documents", f"FROM {documents}")
+
+
+#: The stages of the pipeline, each over what the one before keeps.
+PIPELINE = f"""
+WITH q_docs AS MATERIALIZED ({CLEANED}),
+j_docs AS MATERIALIZED (SELECT q_docs.* FROM q_docs JOIN ({over(NEAR_DUPLICATES, "q_docs")}) USING (doc_id) WHERE doc_id = component_id),
+c_docs AS MATERIALIZED (SELECT j_docs.* FROM j_docs JOIN ({over(DECONTAMINATE, "j_docs")}) USING (doc_id) WHERE NOT contaminated),
+m_docs AS MATERIALIZED (SELECT doc_id, text FROM (SELECT c_docs.doc_id, c_docs.text, unnest(range(copies)) FROM c_docs JOIN ({over(MIX_PARTS, "c_docs")} SELECT doc_id, copies FROM m) USING (doc_id)))
+SELECT * FROM ({over(SHARDS, "m_docs")})
+"""

@@ -61,7 +61,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("class")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("class", "component")
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": oracles.QUALITY, "op3_decontaminate": oracles.DECONTAMINATE, "op6_substring_dedup": oracles.REPEATS, "op9_ngram_jaccard": oracles.NEAR_DUPLICATES, "op10_mix_sources": oracles.MIX}
+    return {"op1_quality_rules": oracles.QUALITY, "op3_decontaminate": oracles.DECONTAMINATE, "op4_shard_by_bytes": oracles.SHARDS, "op6_substring_dedup": oracles.REPEATS, "op9_ngram_jaccard": oracles.NEAR_DUPLICATES, "op10_mix_sources": oracles.MIX}

@@ -50,8 +50,11 @@ def by_id(df, key="doc_id"):
 
 
 def test_quality(docs, rows, empty):
-    from quoin.llm.quality import keep_good, quality_rules
+    from pyspark.sql import functions as F
 
+    from quoin.llm.quality import bad_line, keep_good, quality_rules
+
+    docs = docs.withColumn("n", F.length("text"))
     got = by_id(quality_rules(docs))
     for i, t, _, _ in rows:
         w = WORD.findall(t or "")
@@ -64,7 +67,18 @@ def test_quality(docs, rows, empty):
         assert r.base_failed == (len(w) < 50 or 2 * len(cover) > len(w))
         assert not (r.kept and r.base_failed)
     assert quality_rules(empty).count() == 0
-    assert keep_good(docs).columns == docs.columns
+    good = by_id(keep_good(docs, chars_col="n"))
+    assert set(good) == {i for i in got if got[i].kept}
+    for i, t, s, z in rows:
+        if i in good:
+            assert (good[i].source, good[i].size, good[i].n) == (s, z, len(good[i].text))
+            left, seen = [], set()
+            for x in t.split("\n"):
+                if not WORD.search(x) or (x not in seen and not bad_line(x.encode(), x.encode().split())):
+                    left.append(x)
+                seen.add(x)
+            assert good[i].text == "\n".join(left)
+    assert keep_good(empty.withColumn("n", F.lit(0))).count() == 0
 
 
 def test_quality_lines(spark):
@@ -72,10 +86,12 @@ def test_quality_lines(spark):
 
     prose = "\n".join(", ".join(f"word{i}x{k}" for k in range(12)) + "." for i in range(8))
     nav = "\n".join(" | ".join(f"item{i}{k}" for k in range(8)) for i in range(12))
-    assert judge(prose)[6]
-    assert not judge(nav)[6]
-    assert judge(prose + "\nhome | news | sport | about")[6]
-    assert "home | news" not in judge(prose + "\nhome | news | sport | about")[9]
+    kept = lambda t: judge(t.encode())[0][6]
+    assert kept(prose) and judge(prose.encode())[1] is None
+    assert not kept(nav)
+    for bad in ("home | news | sport | about", "Alle Rechte vorbehalten", "Politique de confidentialité", "Suscríbete ahora"):
+        assert kept(f"{prose}\n{bad}")
+        assert judge(f"{prose}\n\n{bad}\n \n".encode())[1] == [*prose.encode().split(b"\n"), b"", b" ", b""]
 
 
 FOLDED = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -136,7 +152,7 @@ def test_shards_are_even_and_keep_groups(spark):
 
     data = [(i, f"text {i // 3} " + "x" * (i // 3 % 90)) for i in range(6000)]
     data += [(10_000 + i, "hot text " * 5) for i in range(3000)]
-    got = shard_by_bytes(spark.createDataFrame(data, "doc_id long, text string").repartition(5), together=0.02).collect()
+    got = shard_by_bytes(spark.createDataFrame(data, "doc_id long, text string").repartition(5), slack=0.02).collect()
     size, homes = Counter(), defaultdict(set)
     t = dict(data)
     for x in got:
