@@ -234,17 +234,17 @@ def key_rows(percent: int, counters):
 
 
 def set_rows(wanted):
-    """The sets of those texts whose class is marked in a map of bits; a few others slip in."""
+    """The sets of those texts whose id is marked in a map of bits; others may slip in."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, bits = Classes(), wanted.value
         for b in batches:
+            bit = (np.asarray(b["mark"]).view(np.uint64) % np.uint64(MAP_BITS)).astype(np.int64)
+            b = b.filter(pa.array((bits[bit >> 3] >> (bit & 7)) & 1 == 1))
             for _, t in chunks(b["text"], fold=True):
                 text, h = shingles(t)
                 size, cls = set_hashes(text, h, t.n)
-                bit = (cls % np.uint64(MAP_BITS)).astype(np.int64)
-                marked = size * ((bits[bit >> 3] >> (bit & 7)) & 1)
-                keep = classes.fresh(cls, marked)
+                keep = classes.fresh(cls, size)
                 at = np.flatnonzero(keep)
                 bounds = np.concatenate([[0], np.cumsum(size[at])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([signed(cls[at]), pa.ListArray.from_arrays(pa.array(bounds), signed(h[keep[text]]))], ["class", "elements"])
@@ -261,16 +261,18 @@ def close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", *[f.name for f in more], "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(close_rows(percent), schema)
 
 
-def set_table(classes: DataFrame, rows: DataFrame) -> DataFrame:
-    """(class, elements) of at least the classes asked for, as a table. A map of bits of
-    fixed size spares most others; the rest falls out in the joins that follow."""
+def set_table(classes: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(class, elements) of at least the classes asked for, as a table. A class is read off
+    the text of its least id. A map of bits of fixed size tells which ids those are before
+    a text is looked at; others that pass fall out in the joins that follow."""
     spark = rows.sparkSession
-    bit = F.col("class") % MAP_BITS
-    bit = F.when(bit < 0, bit + MAP_BITS).otherwise(bit)  # 2**64 is a multiple of MAP_BITS
-    found = classes.groupBy(F.shiftright(bit, 3).alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(pmod(class, 8) as int))")).alias("bits")).toPandas()
+    mark = F.xxhash64("least")
+    ids = classes.distinct().join(nodes.select("class", "least"), "class").select(F.when(mark % MAP_BITS < 0, mark % MAP_BITS + MAP_BITS).otherwise(mark % MAP_BITS).alias("bit"))  # 2**64 is a multiple of MAP_BITS
+    found = ids.groupBy(F.shiftright("bit", 3).alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(bit % 8 as int))")).alias("bits")).toPandas()
     wanted = np.zeros(MAP_BITS >> 3, np.uint8)  # 1 MB at most, however many classes
     wanted[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype(np.uint8)
-    return materialise(rows.mapInArrow(set_rows(spark.sparkContext.broadcast(wanted)), "class long, elements array<long>"), "elements")
+    marked = rows.select(F.xxhash64("id").alias("mark"), "text")
+    return materialise(marked.mapInArrow(set_rows(spark.sparkContext.broadcast(wanted)), "class long, elements array<long>"), "elements")
 
 
 def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -299,19 +301,19 @@ def sides(named: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def hot_pairs(hot: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(key, k, near): of the classes of keys with HOT classes or more those pairs, packed
-    by blocks of each key, whose histograms allow a link. A pair counts at its first common
-    hot key alone. near holds two lists of classes of equal length."""
+    """Lists a, b of classes, packed by blocks of each key: of the classes of keys with HOT
+    classes or more those pairs whose histograms allow a link. A pair counts at its first
+    common hot key alone."""
     keys = hot.groupBy("class").agg(F.sort_array(F.collect_set("key")).alias("keys"))
     whole = hot.select("key", F.pmod(F.xxhash64("class"), F.ceil(F.col("g") / BLOCK)).cast("int").alias("block"), "class", "label").join(keys, "class").join(nodes.select("class", "size", "sketch"), "class")
     whole = whole.groupBy("key", "block").agg(F.collect_list(F.struct("class", "label", "keys", "sketch", "size")).alias("a"))
     pairs = whole.join(whole.select("key", F.col("block").alias("other"), F.col("a").alias("b")), "key").where("block <= other")
-    return pairs.select("key", "a", "b").mapInArrow(hot_rows(percent), "a array<long>, b array<long>").withColumn("k", F.monotonically_increasing_id())
+    return pairs.select("key", "a", "b").mapInArrow(hot_rows(percent), "a array<long>, b array<long>")
 
 
 def hot_links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs of hot_pairs that link, by their whole sets: each row of pairs meets the
-    sets of its classes once."""
+    """The pairs of ask_pairs and hot_pairs that link, by their whole sets: each row of
+    pairs meets the sets of its classes once."""
     of = near.select("k", F.explode(F.array_distinct(F.concat("a", "b"))).alias("class")).join(sets, "class")
     of = of.groupBy("k").agg(F.collect_list(F.struct("class", "elements")).alias("sets"))
     return near.join(of, "k").select("a", "b", "sets").mapInArrow(near_rows(percent), "a long, b long").distinct()
@@ -325,30 +327,24 @@ def hot_rows(percent: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
-                key, sides, found = batch["key"][k].as_py(), [], []
-                for c in "ab":
-                    own = batch[c].slice(k, 1).flatten()
-                    sketch = [np.frombuffer(x.as_buffer(), np.uint8) for x in own.field("sketch")]
-                    sides.append((np.asarray(own.field("class"), np.int64), np.asarray(own.field("label"), np.int64), lists(own.field("keys")), sketch, np.asarray(own.field("size"), np.int64)))
-                (ids_a, of_a, (ka, keys_a), sk_a, n_a), (ids_b, of_b, (kb, keys_b), sk_b, n_b) = sides
+                key, found = batch["key"][k].as_py(), []
+                a, b = (batch[c].slice(k, 1).flatten() for c in "ab")
+                (ids_a, (sk_a, _, n_a)), (ids_b, others) = sketched(a), sketched(b)
+                (of_a, (ka, keys_a)), (of_b, (kb, keys_b)) = ((np.asarray(x.field("label"), np.int64), lists(x.field("keys"))) for x in (a, b))
                 every = np.unique(np.concatenate([keys_a, keys_b]).view(np.int64))
                 has = []
                 for bounds, keys in ((ka, keys_a), (kb, keys_b)):
                     m = np.zeros((len(bounds) - 1, len(every)), bool)
                     m[np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), np.searchsorted(every, keys.view(np.int64))] = True
                     has.append(m)
-                here, width = int(np.searchsorted(every, key)), np.array([len(x) for x in sk_b])
+                here = int(np.searchsorted(every, key))
                 same = len(ids_a) == len(ids_b) and set(ids_a) == set(ids_b)
                 for i in range(len(ids_a)):
                     first = np.argmax(has[0][i] & has[1], axis=1) == here
                     ask = np.flatnonzero(first & (of_b != of_a[i]) & ((ids_b > ids_a[i]) | (not same)))
-                    for z in np.unique(np.minimum(width[ask], len(sk_a[i]))):
-                        some = ask[np.minimum(width[ask], len(sk_a[i])) == z]
-                        apart = np.abs(folded([sk_b[j] for j in some], z) - folded([sk_a[i]], z)).sum(1)
-                        near = some[apart * (100 + percent) <= (100 - percent) * (n_a[i] + n_b[some])]
-                        found += [(int(ids_a[i]), int(ids_b[j])) for j in near]
+                    found += [(int(ids_a[i]), int(ids_b[j])) for j in near_of(sk_a[i], n_a[i], others, ask, percent)]
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([[x for x, _ in found]], pa.list_(pa.int64())), pa.array([[y for _, y in found]], pa.list_(pa.int64()))], ["a", "b"])
+                    yield packed(found)
 
     return rows
 
@@ -372,35 +368,45 @@ def near_rows(percent: int):
     return rows
 
 
-def blocks(asks: DataFrame, told: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between blocks of asks and of told with the same `of`: a row holds two whole
-    blocks, so that no pairs are emitted but one link for each class of asks."""
-    a, b = (side.join(sets, "class").groupBy("of", "block").agg(F.collect_list(F.struct("class", "elements")).alias("sets")) for side in (asks, told))
-    pairs = a.select("of", F.col("sets").alias("a")).join(b.select("of", F.col("sets").alias("b")), "of")
-    return pairs.select("a", "b").mapInArrow(block_rows(percent), "a long, b long").distinct()
+def ask_pairs(asks: DataFrame, told: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Lists a, b of classes: pairs of asks and of told with the same `of` whose histograms
+    allow a link. A row that is compared holds two blocks of histograms, not of sets."""
+    sketch = nodes.select("class", "size", "sketch")
+    a, b = (side.join(sketch, "class").groupBy("of", "block").agg(F.collect_list(F.struct("class", "sketch", "size")).alias("some")) for side in (asks, told))
+    pairs = a.select("of", F.col("some").alias("a")).join(b.select("of", F.col("some").alias("b")), "of")
+    return pairs.select("a", "b").mapInArrow(ask_rows(percent), "a array<long>, b array<long>")
+
+
+def near_of(sketch: list[np.ndarray], size: int, others: list[list[np.ndarray] | np.ndarray], some: np.ndarray, percent: int) -> list[int]:
+    """Which of `some` of the others (histograms, lengths, sizes) may link with a set."""
+    histograms, width, sizes = others
+    out, shape = [], np.minimum(width[some], len(sketch))
+    for z in np.unique(shape):
+        at = some[shape == z]
+        apart = np.abs(folded([histograms[j] for j in at], z) - folded([sketch], z)).sum(1)
+        out += at[apart * (100 + percent) <= (100 - percent) * (size + sizes[at])].tolist()
+    return out
+
+
+def sketched(own: pa.Array) -> tuple[np.ndarray, list]:
+    """(classes, [histograms, their lengths, sizes]) of a list of structs."""
+    sketch = [np.frombuffer(x.as_buffer(), np.uint8) for x in own.field("sketch")]
+    return np.asarray(own.field("class"), np.int64), [sketch, np.array([len(x) for x in sketch]), np.asarray(own.field("size"), np.int64)]
+
 
+def packed(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([list(side)], pa.list_(pa.int64())) for side in zip(*found)], ["a", "b"])
 
-def block_rows(percent: int):
+
+def ask_rows(percent: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
-                a, b = (batch[c].slice(k, 1).flatten() for c in "ab")
-                (at_a, sets_a), (at_b, sets_b) = lists(a.field("elements")), lists(b.field("elements"))
-                ids_a, ids_b = np.asarray(a.field("class"), np.int64), np.asarray(b.field("class"), np.int64)
-                of_b, n_b = np.repeat(np.arange(len(ids_b)), np.diff(at_b)), np.diff(at_b)
-                order = np.argsort(sets_b, kind="stable")
-                values, of_b = sets_b[order], of_b[order]
-                out: list[tuple[int, int]] = []
-                for i in range(len(ids_a)):
-                    own = sets_a[at_a[i] : at_a[i + 1]]
-                    lo, hi = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
-                    n = hi - lo
-                    spots = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    met = np.bincount(of_b[spots], minlength=len(ids_b))
-                    linked = np.flatnonzero(100 * met >= percent * (len(own) + n_b - met))
-                    out += [(int(ids_a[i]), int(ids_b[j])) for j in linked[:1]]  # one link joins the component
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+                (ids_a, (sk_a, _, n_a)), (ids_b, others) = (sketched(batch[c].slice(k, 1).flatten()) for c in "ab")
+                every = np.arange(len(ids_b))
+                found = [(int(ids_a[i]), int(ids_b[j])) for i in range(len(ids_a)) for j in near_of(sk_a[i], n_a[i], others, every, percent)]
+                if found:
+                    yield packed(found)
 
     return rows
 
@@ -427,7 +433,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Candidates whose histograms differ by more than linked sets can are dropped (close), the
     others are verified on whole sets: first each class with up to ROUNDS partners, which it
     shares most keys with; then, where a key's group still has several components, all pairs
-    across, those with large components and of hot keys in blocks (sides, blocks, hot_pairs). Pairs inside one
+    across, those with large components and of hot keys in blocks (sides, ask_pairs, hot_pairs). Pairs inside one
     component can't change the result and are left out; none is dropped otherwise.
 
     Returns id_col, n_shingles, class (a hash of the set), component (a class of those that
@@ -456,14 +462,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     # each class with one partner for each of ROUNDS orders: of the classes that come first
     # in the groups of its keys, the one it shares most keys with
-    best = None
-    for k in range(ROUNDS):
-        heads = shared.withColumn("head", F.min(F.struct(F.xxhash64("class", F.lit(k)).alias("h"), "size", "class")).over(group)).where("class != head.class")
-        heads = heads.where(f"100 * least(size, head.size) >= {percent} * greatest(size, head.size)").groupBy(F.col("class").alias("a"), F.col("head.class").alias("b")).agg(F.count("*").alias("keys"))
-        heads = heads.groupBy("a").agg(F.max_by("b", F.struct("keys", "b")).alias("b"))
-        best = heads if best is None else best.unionByName(heads)
+    head = lambda k: F.min(F.struct(F.xxhash64("class", F.lit(k)).alias("h"), "size", "class", F.lit(k).alias("k"))).over(group)
+    heads = shared.repartition("key").withColumns({f"head{k}": head(k) for k in range(ROUNDS)})
+    heads = heads.select("class", "size", F.explode(F.array(*(f"head{k}" for k in range(ROUNDS)))).alias("head")).where("class != head.class")
+    heads = heads.where(f"100 * least(size, head.size) >= {percent} * greatest(size, head.size)").groupBy(F.col("class").alias("a"), F.col("head.class").alias("b"), "head.k").agg(F.count("*").alias("keys"))
+    best = heads.groupBy("a", "k").agg(F.max_by("b", F.struct("keys", "b")).alias("b")).select("a", "b")
     tried = materialise(close(best.distinct(), nodes, percent), "pairs")
-    met = materialise(links(tried, set_table(tried.select(F.explode(F.array("a", "b")).alias("class")), rows), percent), "links")
+    met = materialise(links(tried, set_table(tried.select(F.explode(F.array("a", "b")).alias("class")), nodes, rows), percent), "links")
     label = components(met)
 
     # what is left lies across components: with large ones and in hot keys by blocks, else by pairs
@@ -478,10 +483,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         across = across.join(tried.toDF(*pair), ["a", "b"], "left_anti")
     across = materialise(close(across, nodes, percent), "pairs")
     asks, told = sides(named)
-    asks, told, near = materialise(asks, "asks"), materialise(told, "told"), materialise(hot_pairs(few.where(F.col("g") >= HOT), nodes, percent), "near")
-    wanted = [asks.select("class"), told.select("class"), near.select(F.explode(F.concat("a", "b")).alias("class")), across.select(F.explode(F.array("a", "b")).alias("class"))]
-    sets = set_table(reduce(DataFrame.unionByName, wanted), rows)
-    found = [links(across, sets, percent), blocks(asks, told, sets, percent), hot_links(near, sets, percent)]
+    asks, told = materialise(asks, "asks"), materialise(told, "told")
+    near = ask_pairs(asks, told, nodes, percent).unionByName(hot_pairs(few.where(F.col("g") >= HOT), nodes, percent))
+    near = materialise(near.withColumn("k", F.monotonically_increasing_id()), "near")
+    wanted = near.select(F.explode(F.concat("a", "b")).alias("class")).unionByName(across.select(F.explode(F.array("a", "b")).alias("class")))
+    sets = set_table(wanted, nodes, rows)
+    found = [links(across, sets, percent), hot_links(near, sets, percent)]
     label = components(met.unionByName(materialise(reduce(DataFrame.unionByName, found), "links")))
 
     # the least id of a component comes from its classes; each table is written before it is
