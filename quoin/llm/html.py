@@ -6,6 +6,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -14,13 +15,18 @@ from pyspark.sql import functions as F
 from quoin.llm._spark import materialise
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*|[^>]*)>|<[/!?a-zA-Z][^<>]*\Z", re.S)
-NAMED = re.compile(r"(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+NAMED = re.compile(r"(?<![^\s\"'])(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 SPACES = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: nothing in these is markup, up to the end tag
 RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video".split())
 FURNITURE = frozenset("head nav footer aside form menu button select dialog".split()) | RAW
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
+#: of RAW, those whose end tag is looked for to the end of the page
+LETTERS = frozenset("script style textarea title iframe".split())
+ZONE = frozenset(["article", "main"])
+WHOLE = ZONE | {"html", "body"}
 HEAD_ONLY = frozenset("base head html link meta noscript script style template title".split())
 #: an opening tag ends an open element of the same family, up to the nearest scope
 FAMILY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -29,19 +35,13 @@ SCOPE = frozenset("article aside body div dl footer form header html li main nav
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies contentinfo copyright disqus footer hidden login menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+REMARKS = frozenset("comment comments disqus replies reply respond".split())
 #: words that may stand beside a mark in one class, as in cookie-banner-box or related-posts
 BESIDE = frozenset("area bar block bottom box buttons container content form global icons inner item items left links list main menu outer overlay page panel posts right section site slot text thread top unit wrap wrapper".split())
 #: A subtree is template if it recurs on so many pages of its host, and on such a share of them.
 PAGES, SHARE = 5, 0.05
-
-
-class Element:
-    __slots__ = ("tag", "gone", "marked", "article", "parts", "chars", "linked", "link", "number")
-
-    def __init__(self, tag: str, gone: bool, article: bool, link: bool, number: int, marked: bool = False):
-        self.tag, self.gone, self.article, self.link, self.number, self.marked = tag, gone, article, link, number, marked
-        self.parts: list[str] = [tag]
-        self.chars = self.linked = 0
+#: Elements below this depth stand beside each other; none of their text is lost.
+DEPTH = 256
 
 
 def marks_of(attributes: str) -> set[str]:
@@ -56,133 +56,226 @@ def marks_of(attributes: str) -> set[str]:
     return out
 
 
-def parse(page: str | None) -> tuple[list[tuple[str, list[int], bool]], list[int]]:
-    """(blocks, subtrees): the blocks of text outside page furniture, each with the hashes
-    of the subtrees that it may be deleted with, and whether it is in an article; and the
-    hashes of all subtrees with text."""
-    page = page or ""
-    root = Element("", False, False, False, 0)
-    stack, hashes, made = [root], {}, 1
-    blocks: list[tuple[str, list[Element], bool]] = []
-    buffer: list[str] = []
-    stuck: list[Element] = []  # the elements that hold the first text of the block
-
-    def flush() -> None:
-        nonlocal stuck
-        if buffer:
-            text = SPACES.sub(" ", entities.unescape("".join(buffer))).strip()
+class Element:
+    """An open or closed element; gone, zone and link hold for all that is in it."""
+
+    __slots__ = ("tag", "parent", "gone", "zone", "link", "marked", "closed", "parts", "chars", "linked", "hash", "place")
+
+    def __init__(self, tag: str, parent: Element | None, gone: bool = False, zone: bool = False, link: bool = False, marked: int = 0):
+        self.tag, self.parent, self.gone, self.zone, self.link, self.marked = tag, parent, gone, zone, link, marked
+        self.closed, self.parts, self.chars, self.linked, self.hash, self.place = False, [tag], 0, 0, None, -1
+
+    def close(self) -> None:
+        """Hash the subtree, if it has text, and count it in the parent."""
+        self.closed = True
+        if self.chars:
+            self.hash = xxhash.xxh64_intdigest("\x00".join(self.parts)) - (1 << 63)
+            self.parent.parts.append(str(self.hash))
+            self.parent.chars += self.chars
+            self.parent.linked += self.linked
+        self.parts.clear()
+
+
+class Tree:
+    """The elements of a page, and its blocks of text outside page furniture."""
+
+    def __init__(self, page: str):
+        self.page, self.root = page, Element("", None)
+        self.stack, self.elements = [self.root], [self.root]
+        self.blocks: list[tuple[str, Element]] = []
+        self.buffer: list[tuple[str, bool]] = []  # text, in a link
+        self.holder: Element | None = None  # of the first text of the block
+        self.in_head, self.unclosed = False, set()
+        at, last = 0, page.rfind(">")
+        while at <= last:
+            m = TOKEN.search(page, at)
+            if m is None or m.end() > last + 1:
+                break
+            self.text(page[at : m.start()])
+            at = m.end() if m[2] is None else self.end(m) if m[1] else self.start(m)
+        rest = page[at:]  # no tag ends here
+        cut = re.search(r"<[/!?a-zA-Z]", rest)
+        self.text(rest[: cut.start()] if cut else rest)
+        self.flush()
+        self.close(1)
+
+    def text(self, text: str) -> None:
+        top = self.stack[-1]
+        if text and not top.gone:
+            if self.holder is None and not text.isspace():
+                self.holder = top
+            self.buffer.append((text, top.link))
+
+    def flush(self) -> None:
+        if self.holder is not None:
+            text = SPACES.sub(" ", entities.unescape("".join(t for t, _ in self.buffer))).strip()
             if text:
-                top = stuck[-1]
-                for e in stuck:
-                    e.chars += len(text)
-                    e.linked += len(text) if any(x.link for x in stuck) else 0
-                top.parts.append(text)
-                if not any(e.gone for e in stuck):
-                    blocks.append((text, list(stuck), any(e.article for e in stuck)))
-            buffer.clear()
-
-    def close(upto: int) -> None:
-        while len(stack) > upto:
-            e = stack.pop()
+                e = self.holder
+                while e.closed:
+                    e = e.parent
+                e.parts.append(text)
+                e.chars += len(text)
+                linked = sum(len(t.strip()) for t, link in self.buffer if link)
+                e.linked += len(text) if 2 * linked >= sum(len(t.strip()) for t, _ in self.buffer) else 0
+                self.blocks.append((text, e))
+        self.buffer.clear()
+        self.holder = None
+
+    def close(self, upto: int) -> None:
+        while len(self.stack) > upto:
+            e = self.stack[-1]
             if e.tag in BLOCK:
-                flush()
-            if e.chars or len(e.parts) > 1:
-                hashes[e.number] = xxhash.xxh64_intdigest("\x00".join(e.parts)) - (1 << 63)
-                stack[-1].parts.append(str(hashes[e.number]))
-
-    at = 0
-    while at <= len(page):
-        m = TOKEN.search(page, at)
-        text = page[at : m.start() if m else len(page)]
-        if text:
-            if not buffer or not text.isspace():
-                if not buffer or "".join(buffer).isspace():
-                    stuck = list(stack)
-            buffer.append(text)
-        if not m:
-            break
-        at = m.end()
-        if m[2] is None:
-            continue
+                self.flush()
+            self.stack.pop().close()
+            self.in_head = self.in_head and e.tag != "head"
+
+    def open(self, e: Element) -> None:
+        if len(self.stack) > DEPTH:
+            self.close(len(self.stack) - 1)
+            e.parent = self.stack[-1]
+        self.stack.append(e)
+        self.elements.append(e)
+
+    def end(self, m: re.Match) -> int:
         tag = m[2].lower()
-        if m[1]:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if tag in BLOCK:
-                flush()
-            if k:
-                close(k)
-            continue
+        if tag in BLOCK:
+            self.flush()
+        k = next((k for k in range(len(self.stack) - 1, 0, -1) if self.stack[k].tag == tag), 0)
+        if k:
+            self.close(k)
+        return m.end()
+
+    def end_implied(self, tag: str) -> None:
+        """Close what an opening block ends: a paragraph, or an element of its family."""
+        for k in range(len(self.stack) - 1, 0, -1):
+            open_tag = self.stack[k].tag
+            if open_tag == "p" or open_tag in FAMILY.get(tag, ()):
+                self.close(k)
+                if tag != "tr" or all(e.tag not in FAMILY["tr"] for e in self.stack[max(1, k - 2) :]):
+                    return
+            elif open_tag in SCOPE:
+                return
+
+    def start(self, m: re.Match) -> int:
+        tag, attributes, at = m[2].lower(), m[3] or "", m.end()
         if tag == "br":
-            buffer.append(" ")
-            continue
+            self.text(" ")
+            return at
         if tag in BLOCK:
-            flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p" or stack[k].tag in FAMILY.get(tag, ()):
-                    close(k)
-                    if tag != "tr" or all(e.tag not in FAMILY["tr"] for e in stack[max(1, k - 2) :]):
-                        break
-                elif stack[k].tag in SCOPE:
-                    break
-        if tag not in HEAD_ONLY and (k := next((k for k in range(1, len(stack)) if stack[k].tag == "head"), 0)):
-            close(k)
-        if tag in VOID:
-            continue
-        if tag in ("svg", "math") and (m[3] or "").endswith("/"):
-            continue
+            self.flush()
+            self.end_implied(tag)
+        if self.in_head and tag not in HEAD_ONLY:
+            self.close(next(k for k in range(1, len(self.stack)) if self.stack[k].tag == "head"))
+        if tag in VOID or (tag in ("svg", "math") and attributes.endswith("/")):
+            return at
+        up = self.stack[-1]
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
-            at = end.start() if end else len(page)
-            stack.append(Element(tag, True, False, False, made))
-            made += 1
-            continue
-        marks = marks_of(m[3] or "")
-        inside = any(e.article for e in stack)
-        gone = tag in FURNITURE or (tag == "header" and not inside)
-        marked = bool(marks and tag not in ("html", "body", "article", "main"))
-        if tag == "article" and marks & {"comment", "comments", "reply", "related", "promo"}:
-            gone = True
-        stack.append(Element(tag, gone, tag == "article" and not gone, tag == "a", made, marked))
-        made += 1
-    flush()
-    close(1)
-    # marks don't count on what holds the article, where no article or main stands outside marks
-    last = lambda chain: max((k for k, e in enumerate(chain) if e.tag in ("article", "main")), default=0)
-    held = [chain[: last(chain)] for _, chain, _ in blocks if last(chain)]
-    if held and all(any(e.marked for e in outer) for outer in held):
-        for outer in held:
-            for e in outer:
-                e.marked = False
-    blocks = [b for b in blocks if not any(e.marked for e in b[1])]
-    out = []
-    for text, chain, article in blocks:
-        # prose may recur, as in copies of an article; inside an article only lists of links are template
-        may = [e for e in chain[1:] if e.tag not in ("html", "body", "article", "main") and (not article or 2 * e.linked >= e.chars)]
-        out.append((text, [hashes[e.number] for e in may if e.number in hashes], article))
-    if any(a for _, _, a in out):
-        out = [b for b in out if b[2]]
-    return out, sorted(set(hashes.values()))
+            end = None if tag in self.unclosed else re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(self.page, at)
+            if end is None:
+                self.unclosed.add(tag)
+                if tag in LETTERS:  # no markup up to the end of the page
+                    return len(self.page)
+            self.open(Element(tag, up, True))
+            return end.start() if end else at
+        marks = marks_of(attributes)
+        gone = up.gone or tag in FURNITURE or (tag == "header" and not up.zone) or (tag == "article" and bool(marks & {"comment", "comments", "reply", "related", "promo"}))
+        marked = 0 if tag in WHOLE or not marks else 2 if marks & REMARKS else 1
+        self.open(Element(tag, up, gone, not gone and (up.zone or tag in ZONE), up.link or tag == "a", marked))
+        self.in_head = self.in_head or tag == "head"
+        return at
+
+
+def unmarked(tree: Tree) -> list[tuple[str, Element]]:
+    """The blocks outside elements that their names mark. Names don't count on what holds
+    the article, where no article or main stands outside marks, nor on an element with more
+    than half of the text of a page that has neither, unless it is one of readers' remarks."""
+    under: dict[Element, bool] = {}
+
+    def marked(e: Element | None) -> bool:
+        chain = []
+        while e is not None and e not in under:
+            chain.append(e)
+            e = e.parent
+        got = under[e] if e is not None else False
+        for x in reversed(chain):
+            got = under[x] = got or x.marked > 0
+        return got
+
+    zones = [e for e in tree.elements if e.tag in ZONE and e.zone and e.chars]
+    if zones and all(marked(e) for e in zones):
+        for e in zones:
+            while (e := e.parent) is not None and e.marked >= 0:
+                e.marked = -1  # seen, and no mark
+        under.clear()
+    elif not zones:
+        for e in tree.elements:
+            if e.marked == 1 and 2 * e.chars > tree.root.chars:
+                e.marked = 0
+        under.clear()
+    return [b for b in tree.blocks if not marked(b[1])]
+
+
+def parse(page: str | None) -> dict[str, list]:
+    """The blocks of a page: texts, and for each the element that holds it (at), elements
+    given by their parents (before them; -1 at the top) and by the hash of the subtree that
+    they may be deleted as (0 for none); and the hashes of all subtrees with text (subtrees).
+
+    Where a page has an article or a main part, its blocks are those inside it, and there
+    only subtrees that are mostly links may be deleted: prose may recur, as in copies of an
+    article. The time is in proportion to the page, however its tags are nested.
+    """
+    tree = Tree(page or "")
+    blocks = unmarked(tree)
+    zone = any(e.zone for _, e in blocks)
+    blocks = [b for b in blocks if b[1].zone or not zone]
+    parents, hashes, at = [], [], []
+    for _, e in blocks:
+        chain = []
+        while e is not None and e.place < 0:
+            chain.append(e)
+            e = e.parent
+        for x in reversed(chain):
+            may = x.hash is not None and x.tag not in WHOLE and (not zone or 2 * x.linked >= x.chars)
+            parents.append(x.parent.place if x.parent is not None else -1)
+            hashes.append(x.hash if may else 0)
+            x.place = len(parents) - 1
+    at = [e.place for _, e in blocks]
+    return {"texts": [t for t, _ in blocks], "at": at, "parents": parents, "hashes": hashes, "subtrees": sorted({e.hash for e in tree.elements if e.hash is not None})}
+
+
+def left_of(page: dict, gone: set[int]) -> list[str]:
+    """The texts of a parsed page outside the subtrees that are gone."""
+    dead: list[bool] = []
+    for p, h in zip(page["parents"], page["hashes"]):
+        dead.append((h != 0 and h in gone) or (p >= 0 and dead[p]))
+    return [t for t, e in zip(page["texts"], page["at"]) if not dead[e]]
 
 
 def host_of(url: pd.Series) -> pd.Series:
     return url.fillna("").str.extract(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", expand=False).fillna("").str.lower()
 
 
+COLUMNS = "texts array<string>, at array<int>, parents array<int>, hashes array<bigint>, subtrees array<bigint>"
+
+
 def page_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        for k in range(0, len(b), 200):
-            part = b.iloc[k : k + 200]
-            parsed = [parse(h) for h in part["html"]]
-            yield pd.DataFrame(
-                {
-                    "id": part["id"],
-                    "url": part["url"],
-                    "host": host_of(part["url"]),
-                    "blocks": [[{"text": t, "within": c} for t, c, _ in blocks] for blocks, _ in parsed],
-                    "open": [sorted({h for _, c, _ in blocks for h in c}) for blocks, _ in parsed],
-                    "subtrees": [s for _, s in parsed],
-                }
-            )
+        for k in range(0, len(b), 100):
+            part = b.iloc[k : k + 100]
+            parsed = pd.DataFrame([parse(h) for h in part["html"]])
+            yield pd.concat([part[["id", "url"]].reset_index(drop=True), host_of(part["url"]).rename("host").reset_index(drop=True), parsed], axis=1)
+
+
+def text_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        texts, deleted = [], []
+        for texts_of, at, parents, hashes, gone in zip(b["texts"], b["at"], b["parents"], b["hashes"], b["gone"]):
+            left = list(texts_of)
+            if gone is not None and len(gone):
+                left = left_of({"texts": texts_of, "at": np.asarray(at).tolist(), "parents": np.asarray(parents).tolist(), "hashes": np.asarray(hashes).tolist()}, set(np.asarray(gone).tolist()))
+            texts.append("\n".join(left))
+            deleted.append(len(texts_of) - len(left))
+        yield pd.DataFrame({"id": b["id"], "url": b["url"], "text": texts, "n_deleted": deleted})
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = PAGES, share: float = SHARE) -> DataFrame:
@@ -190,29 +283,27 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
     Each page is parsed once, in whole. Scripts, styles, menus, headers outside articles,
     footers, sidebars, forms, notices, adverts and comments go by their tags and by whole
-    names in their class, id and role, unless they hold the page's only article or main. Every element's subtree is hashed; Spark counts the
-    pages of each host that hold a hash, and blocks in a subtree found on `least` pages
-    and on `share` of the host's pages or more are deleted. Where a page has articles, its
-    text is theirs, and in them only lists of links count as template, since an article
-    and its copies may stand on many pages. Character references are decoded, white space
-    in a block becomes one space, blocks are joined by one newline in page order.
+    names in their class, id and role (unmarked tells where names don't count). Every
+    element's subtree is hashed; Spark counts the pages of each host that hold a hash, and
+    blocks in a subtree found on `least` pages and on `share` of the host's pages or more
+    are deleted. Where a page has an article or a main part, its text is theirs, and in them
+    only lists of links count as template, since an article and its copies may stand on many
+    pages. Character references are decoded, white space in a block becomes one space,
+    blocks are joined by one newline in page order.
 
     Pages of a hot host are spread: counts are combined before the shuffle, and only
     pages that could lose a block take part in the join. Null or empty html gives an empty
     text; null urls form one host; repeated rows are separate pages (each is counted and
-    returned); an empty table gives no rows; other columns are not read.
+    returned); an empty table gives no rows; other columns are not read, so none can clash.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kind = rows.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, url string, host string, blocks array<struct<text: string, within: array<bigint>>>, open array<bigint>, subtrees array<bigint>"
-    parsed = materialise(rows.mapInPandas(page_rows, schema).withColumn("row", F.monotonically_increasing_id()), "pages")
+    parsed = materialise(rows.mapInPandas(page_rows, f"id {kind}, url string, host string, {COLUMNS}").withColumn("row", F.monotonically_increasing_id()), "pages")
     hosts = parsed.groupBy("host").agg(F.count("*").alias("of_host"))
     found = parsed.select("host", F.explode("subtrees").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     templates = found.join(hosts, "host").where(F.col("n") >= share * F.col("of_host")).select("host", "hash")
-    loose = parsed.where(F.size("open") > 0)
-    hits = loose.select("row", "host", F.explode("open").alias("hash")).join(templates, ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("gone"))
-    both = loose.join(hits, "row", "left").select("id", "url", "blocks", F.coalesce("gone", F.array().cast("array<bigint>")).alias("gone"))
-    both = both.unionByName(parsed.where(F.size("open") == 0).select("id", "url", "blocks", F.array().cast("array<bigint>").alias("gone")))
-    kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["within"], F.col("gone")))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    return both.select(F.col("id").alias(id_col), "url", text.alias("text"), (F.size("blocks") - F.size(kept)).alias("n_deleted")).withColumn("n_chars", F.length("text").cast("long"))
+    open_hashes = parsed.select("row", "host", F.explode(F.array_distinct("hashes")).alias("hash")).where("hash != 0")
+    hits = open_hashes.join(templates, ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("gone"))
+    both = parsed.join(hits, "row", "left").select("id", "url", "texts", "at", "parents", "hashes", "gone")
+    out = both.mapInPandas(text_rows, f"id {kind}, url string, text string, n_deleted int")
+    return out.withColumnRenamed("id", id_col).withColumn("n_chars", F.length("text").cast("long"))
