@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quoin.functions.numbers import places
 
+# What counts as skewed or scaled, and as a right angle (degrees).
+SKEW, RIGHT = 1e-3, 0.5
+
 
 def compose(outer: Column, inner: Column) -> Column:
     """The map that applies inner, then outer. In the row-vector notation of page
@@ -53,17 +56,17 @@ def flipped(m: Column) -> Column:
 
 def skewed(m: Column) -> Column:
     a, b = sides(m)
-    return F.abs((m[0] * m[2] + m[1] * m[3]) / F.when(a * b == 0, F.lit(1.0)).otherwise(a * b)) > 1e-3
+    return F.abs((m[0] * m[2] + m[1] * m[3]) / F.when(a * b == 0, F.lit(1.0)).otherwise(a * b)) > SKEW
 
 
 def scaled(m: Column) -> Column:
     a, b = sides(m)
-    return (F.abs(a - 1) > 1e-3) | (F.abs(b - 1) > 1e-3)
+    return (F.abs(a - 1) > SKEW) | (F.abs(b - 1) > SKEW)
 
 
 def rotation_bucket(degrees: Column) -> Column:
     """The right angle within half a degree, as text; -180 counts as 180."""
     out = F.lit("other")
     for t in (-180, -90, 180, 90, 0):
-        out = F.when(F.abs(degrees - t) < 0.5, F.lit("180" if t == -180 else str(t))).otherwise(out)
+        out = F.when(F.abs(degrees - t) < RIGHT, F.lit("180" if t == -180 else str(t))).otherwise(out)
     return out

@@ -1,4 +1,5 @@
-"""Names, words and markup as column expressions."""
+"""Names, words and markup as column expressions. The patterns of clean_family, font_label,
+is_light, is_bold and is_default_paragraph are fixed values."""
 
 import pandas as pd
 from pyspark.sql import Column

@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame
 
 def cut(df: DataFrame) -> DataFrame:
     """df written to the folder that spark.checkpoint.dir names, and read back from it. Where
-    nothing is named, as in tests, the folder is a temporary one of our own."""
+    nothing is named, a local session (tests) gets a folder of its own; on a cluster that is
+    an error, since no machine's own folder is seen by the others."""
     spark = df.sparkSession
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()

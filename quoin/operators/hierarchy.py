@@ -16,21 +16,25 @@ def given(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-def resolve_chain(styles: DataFrame, scope: list[str], *, key: str = "self", parent: str = "based_on", fields: tuple[str, ...] = FIELDS, doublings: int = 6, root: str | None = None) -> DataFrame:
+def resolve_chain(styles: DataFrame, scope: list[str], *, key: str = "self", parent: str = "based_on", fields: tuple[str, ...] = FIELDS, root: str | None = None) -> DataFrame:
     """Each style's fields, unset ones taken from the nearest ancestor that sets them.
 
     Pointer doubling: after k rounds a style knows what its 2**k nearest ancestors set and
-    points to the next one, so chains of 2**doublings need that many joins, whatever the
-    number of documents, and no recursion limit applies. A cycle only brings back what is
-    known already. The root style, if named, is the weakest ancestor of all.
+    points to the next one, so chains of any length need log2 of it joins, whatever the
+    number of documents. Rounds end when no style learns anything: none loses its pointer
+    and none gains a field, so a cycle, which brings back what is known, ends them too. The
+    root style, if named, is the weakest ancestor of all.
     """
     now = styles.select(*scope, key, F.col(parent).alias("__next"), *[given(F.col(f)).alias(f) for f in fields])
-    for _ in range(doublings):
+    state = None
+    while True:
         now = cut(now)  # each round reads the one before twice: without a cut the plan doubles too
+        before, state = state, now.agg(F.count("__next"), *[F.count(f) for f in fields]).first()
+        if state == before or not state[0]:
+            break
         up = now.select(*[F.col(s).alias(f"__{s}") for s in scope], F.col(key).alias("__key"), F.col("__next").alias("__after"), *[F.col(f).alias(f"__{f}") for f in fields])
         both = now.join(up, [*[now[s].eqNullSafe(up[f"__{s}"]) for s in scope], now["__next"] == up["__key"]], "left")
         now = both.select(*[now[s] for s in scope], now[key], up["__after"].alias("__next"), *[F.coalesce(now[f], up[f"__{f}"]).alias(f) for f in fields])
-    now = cut(now)
     if root is not None:
         base = styles.where(F.col(key) == root).select(*[F.col(s).alias(f"__{s}") for s in scope], *[given(F.col(f)).alias(f"__{f}") for f in fields])
         both = now.join(base, [now[s].eqNullSafe(base[f"__{s}"]) for s in scope], "left") if scope else now.crossJoin(F.broadcast(base.limit(1)))
@@ -38,19 +42,24 @@ def resolve_chain(styles: DataFrame, scope: list[str], *, key: str = "self", par
     return now.select(*scope, key, *fields)
 
 
-def depth_of(rows: DataFrame, scope: list[str], *, key: str, parent: str, doublings: int = 6) -> DataFrame:
-    """(scope, key, root, depth): the end of each row's chain and the steps to it."""
+def depth_of(rows: DataFrame, scope: list[str], *, key: str, parent: str) -> DataFrame:
+    """(scope, key, root, depth): the end of each row's chain and the steps to it, both null
+    for rows whose chain runs into a cycle."""
     now = rows.select(*scope, key, F.col(parent).alias("__next"), F.col(key).alias("root"), F.lit(0).alias("depth"))
     known = rows.select(*[F.col(s).alias(f"__{s}") for s in scope], F.col(key).alias("__key"))
     # a parent that is not in the table ends the chain
     now = now.join(known, [*[now[s] == known[f"__{s}"] for s in scope], now["__next"] == known["__key"]], "left")
     now = now.select(*scope, key, F.col("__key").alias("__next"), F.coalesce(F.col("__key"), F.col(key)).alias("root"), F.when(F.col("__key").isNotNull(), 1).otherwise(0).alias("depth"))
-    for _ in range(doublings):
+    left = None
+    while True:
         now = cut(now)
+        before, left = left, now.agg(F.count("__next")).first()[0]
+        if not left or left == before:  # each round ends the chains that are left, but for cycles
+            break
         up = now.select(*[F.col(s).alias(f"__{s}") for s in scope], F.col(key).alias("__key"), F.col("__next").alias("__after"), F.col("root").alias("__root"), F.col("depth").alias("__depth"))
         both = now.join(up, [*[now[s] == up[f"__{s}"] for s in scope], now["__next"] == up["__key"]], "left")
         now = both.select(*[now[s] for s in scope], now[key], up["__after"].alias("__next"), F.coalesce(up["__root"], now["root"]).alias("root"), (now["depth"] + F.coalesce(up["__depth"], F.lit(0))).alias("depth"))
-    return cut(now).drop("__next")
+    return now.select(*scope, key, *[F.when(F.col("__next").isNull(), F.col(c)).alias(c) for c in ("root", "depth")])
 
 
 def cascade(run: Column, char: Column, para_local: Column, para: Column, fields: tuple[str, ...] = FIELDS) -> Column:

@@ -46,12 +46,22 @@ def assign_boxes(items: DataFrame, pages: DataFrame, scope: list[str], *, item:
     """For each item the page of its scope that holds the centre of its box (edges count;
     the first page wins), else the page that it overlaps most, else null.
 
-    Boxes are structs (x, y, w, h) in a column named box on both sides. The equi-key scope,
-    such as the spread, keeps the pairs few; the best is taken by one aggregate with
-    map-side combining, so no group is ever sorted or collected.
+    Boxes are structs (x, y, w, h) in a column named box on both sides. The equi-key is the
+    scope, such as the spread, and a cell of a grid as coarse as the largest page of the
+    scope, so that a page lies in four cells at most and an item meets the pages around it
+    alone. The best is taken by one aggregate with map-side combining, so no group is ever
+    sorted or collected.
     """
-    p = pages.select(*scope, F.col(page).alias("__page"), F.col(order).alias("__order"), F.col("box").alias("__of"))
-    both = items.select(*scope, item, "box").where("box is not null").join(p, scope)
+    p = pages.where("box is not null").select(*scope, F.col(page).alias("__page"), F.col(order).alias("__order"), F.col("box").alias("__of"))
+    grid = p.groupBy(*scope).agg(*[F.greatest(F.max(F.abs(f"__of.{f}")), F.lit(1e-9)).alias(f"__{f}") for f in "wh"])
+
+    def in_cells(rows: DataFrame, box: str) -> DataFrame:
+        cells = lambda at, size: F.sequence(F.floor((F.col(f"{box}.{at}") + F.least(F.lit(0.0), F.col(f"{box}.{size}"))) / F.col(f"__{size}")), F.floor((F.col(f"{box}.{at}") + F.greatest(F.lit(0.0), F.col(f"{box}.{size}"))) / F.col(f"__{size}")))
+        rows = rows.join(grid, scope).withColumn("__cx", F.explode(cells("x", "w"))).withColumn("__cy", F.explode(cells("y", "h")))
+        return rows.drop("__w", "__h")
+
+    of_items = items.select(*scope, item, "box").where("box is not null").distinct()
+    both = in_cells(of_items, "box").join(in_cells(p, "__of"), [*scope, "__cx", "__cy"])
     b, r = (lambda f: F.col(f"box.{f}")), (lambda f: F.col(f"__of.{f}"))
     inside = F.lit(True)
     spans = []
@@ -72,9 +82,9 @@ def worst_status(usage: DataFrame, resources: DataFrame, scope: list[str], *, ke
     # unknown statuses rank lowest, so that any known one replaces them
     worth = F.coalesce(rank[F.col(status)], F.lit(0))
     usage = usage.withColumn("__id", F.struct(*usage.columns))
-    hits = None
+    hits = None  # a row for each key at most: resources are reduced to their worst before they meet the usage
     for left, right in keys:
-        r = resources.select(*[F.col(s).alias(f"__{s}") for s in scope], F.col(right).alias("__key"), F.col(status), worth.alias("__worth"))
+        r = resources.groupBy(*[F.col(s).alias(f"__{s}") for s in scope], F.col(right).alias("__key")).agg(F.max_by(status, worth).alias(status), F.max(worth).alias("__worth"))
         h = usage.join(r, [*[usage[s] == r[f"__{s}"] for s in scope], usage[left] == r["__key"]]).select("__id", status, "__worth")
         hits = h if hits is None else hits.unionByName(h)
     best = hits.groupBy("__id").agg(F.max_by(status, "__worth").alias(status))
@@ -102,9 +112,42 @@ def near_numbers(a: DataFrame, b: DataFrame, cols: list[str], tolerance: float)
     return both
 
 
-def restore_order(rows: DataFrame, manifest: DataFrame, scope: list[str], key: str, order: str) -> DataFrame:
-    """rows numbered from 0 in the order of the manifest; what it doesn't name comes last, by key."""
+def restore_order(rows: DataFrame, manifest: DataFrame, scope: list[str], key: str, order: str, own: str | None = None) -> DataFrame:
+    """rows numbered from 0 in the order of the manifest; what it doesn't name comes last, by key.
+
+    own, if named, is the rows' own order: in scopes where the manifest names another number
+    of rows than there are, it holds instead of the manifest's."""
     m = manifest.select(*scope, F.col(key).alias("__k"), F.col(order).alias("__o"))
     both = rows.join(m, [*[rows[s] == m[s] for s in scope], rows[key] == m["__k"]], "left").select(*[rows[c] for c in rows.columns], "__o")
+    if own is not None:
+        whole = Window.partitionBy(*scope)
+        agree = F.count("__o").over(whole) == F.count("*").over(whole)
+        both = both.withColumn("__agree", agree).withColumn("__o", F.when(F.col("__agree"), F.col("__o"))).withColumn("__own", F.when(~F.col("__agree"), F.col(own)))
+        w = Window.partitionBy(*scope).orderBy("__own", F.col("__o").asc_nulls_last(), key)
+        return both.withColumn("ord", F.row_number().over(w) - 1).drop("__o", "__own", "__agree")
     w = Window.partitionBy(*scope).orderBy(F.col("__o").asc_nulls_last(), key)
     return both.withColumn("ord", F.row_number().over(w) - 1).drop("__o")
+
+
+def swatch_match(colours: DataFrame, swatches: DataFrame, inks: list[str], *, key: str, tolerance: float = 0.6, tint_tolerance: float = 0.8) -> DataFrame:
+    """colours (key, inks in percent) with match: 'exact' where a swatch has all inks within
+    the tolerance, 'tint' where all inks of a swatch, times one factor up to 1, come within
+    tint_tolerance of the colour's, else 'other'.
+
+    The factor is that of the swatch's first ink that is not 0, which the colour then has to
+    use too: the two sides meet on that ink. Both are the distinct colours and swatches of
+    one document or palette, a set of hundreds.
+    """
+    near = near_numbers(colours.select(key, *inks), swatches.select(*inks).distinct(), inks, tolerance).select(F.col(key).alias("__k")).distinct().withColumn("__exact", F.lit(True))
+    left, right = (df.select(*[F.col(c).alias(f"{c}_{s}") for c in inks], *([key] if s == "a" else [])) for df, s in ((colours, "a"), (swatches.distinct(), "b")))
+    first = F.coalesce(*[F.when(F.col(f"{c}_b") > 0, F.lit(i)) for i, c in enumerate(inks)])
+    right = right.withColumn("__first", first).where("__first is not null")
+    # a colour can be a tint by any ink that it has; a swatch only by its first
+    left = left.withColumn("__first", F.explode(F.filter(F.array(*[F.when(F.col(f"{c}_a") > 0, F.lit(i)) for i, c in enumerate(inks)]), lambda x: x.isNotNull())))
+    at = lambda s: F.element_at(F.array(*[F.col(f"{c}_{s}") for c in inks]), F.col("__first") + 1)
+    both = left.join(right, "__first").withColumn("__f", at("a") / at("b")).where("__f > 0 and __f < 1.001")
+    for c in inks:
+        both = both.where(F.abs(F.col(f"{c}_b") * F.col("__f") - F.col(f"{c}_a")) <= tint_tolerance)
+    tints = both.select(F.col(key).alias("__t")).distinct().withColumn("__tint", F.lit(True))
+    out = colours.join(near, colours[key] == near["__k"], "left").join(tints, colours[key] == tints["__t"], "left")
+    return out.select(*[colours[c] for c in colours.columns], F.when(F.col("__exact"), "exact").when(F.col("__tint"), "tint").otherwise("other").alias("match"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoin.functions.numbers import half_up
+from quoin.lineage import cut
 
 
 def islands(rows: DataFrame, by: list[str], order: list[str], value: Column, gap: float) -> DataFrame:
@@ -32,15 +33,19 @@ def contained_words(words: DataFrame, page_words: DataFrame, page: list[str], fr
     that a word comes in a frame it is there if the page has it k times or more. A word
     of five letters or more that the page lacks is there too if the page's words, written
     without gaps, contain it (a word broken over two lines). Counting by row_number makes
-    this one window and two equi-joins; the joined text is one row for each page.
+    this one window and equi-joins. Only long words that the bag lacks, once for each page,
+    meet the joined text, and that is built only for the pages that have such words.
     """
     bag = page_words.groupBy(*page, word).agg(F.count("*").alias("__have"))
     ordered = F.array_sort(F.collect_list(F.struct(pos, word)))
-    compact = page_words.groupBy(*page).agg(F.array_join(F.transform(ordered, lambda x: x[word]), "").alias("__compact"))
     nth = F.row_number().over(Window.partitionBy(*page, *frame, word).orderBy(pos))
-    both = words.withColumn("__nth", nth).join(bag, [*page, word], "left").join(compact, page, "left")
-    ok = F.when(F.col("__have").isNotNull(), F.col("__nth") <= F.col("__have")).otherwise((F.length(word) >= 5) & F.coalesce(F.contains(F.col("__compact"), F.col(word)), F.lit(False)))
-    return both.withColumn("ok", ok).drop("__nth", "__have", "__compact")
+    both = words.withColumn("__nth", nth).join(bag, [*page, word], "left")
+    lost = both.where(F.col("__have").isNull() & (F.length(word) >= 5)).select(*page, word).distinct()
+    compact = page_words.join(lost.select(*page).distinct(), page, "left_semi").groupBy(*page).agg(F.array_join(F.transform(ordered, lambda x: x[word]), "").alias("__compact"))
+    within = lost.join(compact, page).where(F.contains(F.col("__compact"), F.col(word))).select(*page, word, F.lit(True).alias("__within"))
+    both = both.join(within, [*page, word], "left")
+    ok = F.when(F.col("__have").isNotNull(), F.col("__nth") <= F.col("__have")).otherwise(F.coalesce("__within", F.lit(False)))
+    return both.withColumn("ok", ok).drop("__nth", "__have", "__within")
 
 
 def frame_verdicts(words: DataFrame, page: list[str], frame: list[str], *, pos: str = "pos", word: str = "word") -> DataFrame:
@@ -107,3 +112,15 @@ def sample_run(runs: DataFrame, by: list[str], *, text: str, size: str, upright:
     score = F.when(upright, 500).otherwise(0) + F.when(n <= 65, 100).otherwise(0) - F.abs(n - F.when(F.col(size) >= 16, 12).otherwise(32))
     w = Window.partitionBy(*by).orderBy(score.desc(), *order)
     return runs.where(F.trim(text) != "").withColumn("score", score).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def ranked(rows: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """rows numbered from 1 in one order over all: numbered inside ranges of the order, plus
+    the rows of the ranges before, of which there is one total each. The order must break ties."""
+    ranges = cut(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    totals = ranges.groupBy("__range").agg(F.count("*").alias("__n"))
+    earlier = totals.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    # a row for each range: bounded by the number of partitions
+    out = ranges.withColumn(name, inside).join(F.broadcast(earlier), "__range")
+    return out.withColumn(name, (F.col(name) + F.col("__before")).cast("int")).drop("__range", "__before")

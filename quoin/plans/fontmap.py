@@ -13,14 +13,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quoin.functions.text import font_key
+from quoin.lineage import cut
 from quoin.operators.hierarchy import FIELDS
 from quoin.plans.structure import effective_runs, resolved_styles
 from quoin.sources.idml import scan_idml, tables, unzipped, zipped
 
 STYLES = "Resources/Styles.xml"
 TAG = re.compile(r"<(/?)([\w:.-]+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>")
+# The parts of a definition that say its font, and what a font edit may touch.
 PROPERTIES = re.compile(r"\s*<Properties>(.*?)</Properties>", re.S)
 FONT = re.compile(r"<AppliedFont\b[^>]*>[^<]*</AppliedFont>")
+STYLE = re.compile(r"\bFontStyle\s*=\s*(?:\"[^\"]*\"|'[^']*')")
+FONT_SETTINGS = (r'\sFontStyle="[^"]*"', r"<AppliedFont\b[^>]*>[^<]*</AppliedFont>", r"<Properties>\s*</Properties>", r"<Properties\s*/>")
 
 
 def font_map(entries: DataFrame) -> DataFrame:
@@ -41,7 +45,7 @@ def wanted(fonts: DataFrame, mapping: DataFrame) -> DataFrame:
     return both.drop("__key", "m_doc", "m_key", "m_family", "m_style")
 
 
-def plan_styles(style: DataFrame, mapping: DataFrame, rounds: int = 6) -> DataFrame:
+def plan_styles(style: DataFrame, mapping: DataFrame) -> DataFrame:
     """Styles with new_font and new_font_style, set where the style must say its font itself.
 
     Styles that set a font or a style, and whose font in effect is mapped, take the target.
@@ -54,7 +58,7 @@ def plan_styles(style: DataFrame, mapping: DataFrame, rounds: int = 6) -> DataFr
     mapped = F.col("eff").isNotNull() & ((F.col("want_font") != F.col("eff")) | (F.col("want_style") != F.coalesce("eff_style", F.lit("Regular"))))
     takes = mapped & (F.col("font").isNotNull() | F.col("font_style").isNotNull())
     now = now.withColumn("new_font", F.when(takes, F.col("want_font")).otherwise(F.col("font"))).withColumn("new_font_style", F.when(takes, F.col("want_style")).otherwise(F.col("font_style")))
-    for _ in range(rounds):
+    while True:  # a style that is pinned is right from then on, so rounds end
         trial = now.select("doc_id", "kind", "self", "based_on", F.col("new_font").alias("font"), F.col("new_font_style").alias("font_style"))
         for f in FIELDS:
             if f not in trial.columns:
@@ -62,7 +66,7 @@ def plan_styles(style: DataFrame, mapping: DataFrame, rounds: int = 6) -> DataFr
         got = resolved_styles(trial).select("doc_id", "kind", "self", F.col("font").alias("got"), F.coalesce("font_style", F.lit("Regular")).alias("got_style"))
         both = now.join(got, ["doc_id", "kind", "self"])
         wrong = F.col("eff").isNotNull() & (~F.col("got").eqNullSafe(F.col("want_font")) | (F.col("got_style") != F.col("want_style")))
-        both = both.withColumn("wrong", wrong).persist()
+        both = cut(both.withColumn("wrong", wrong))
         changed = not both.where("wrong").isEmpty()
         now = both.withColumn("new_font", F.when(F.col("wrong"), F.col("want_font")).otherwise(F.col("new_font"))).withColumn("new_font_style", F.when(F.col("wrong"), F.col("want_style")).otherwise(F.col("new_font_style"))).drop("got", "got_style", "wrong")
         if not changed:
@@ -77,9 +81,12 @@ def plan_runs(run: DataFrame, style: DataFrame, mapping: DataFrame) -> DataFrame
     return wanted(fonts, mapping)
 
 
-def verify(before: dict[str, DataFrame], after: dict[str, DataFrame], mapping: DataFrame) -> DataFrame:
+def verify(before: dict[str, DataFrame], after: dict[str, DataFrame], mapping: DataFrame, parts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """For each document: whether texts and structure are the same and every run has the
-    font it should have; how many runs and characters changed."""
+    font it should have; how many runs and characters changed.
+
+    parts, if given: the XML parts (doc_id, name, xml) of the packages before and after; ok
+    then also says that nothing but font settings differs in any of them (only_fonts)."""
     key = ["doc_id", "story_id", "para_ord", "run_ord"]
     old = plan_runs(before["run"], before["style"], mapping).select(*key, F.col("text").alias("text_a"), "n", "font", F.coalesce("font_style", F.lit("Regular")).alias("font_style"), "want_font", "want_style")
     new = effective_runs(after["run"], resolved_styles(after["style"])).select(*key, F.col("text").alias("text_b"), F.col("e.font").alias("got"), F.coalesce("e.font_style", F.lit("Regular")).alias("got_style"))
@@ -88,32 +95,50 @@ def verify(before: dict[str, DataFrame], after: dict[str, DataFrame], mapping: D
     right = F.col("font").isNull() | ((F.col("got") == F.col("want_font")) & (F.col("got_style") == F.col("want_style")))
     changed = seen & F.col("font").isNotNull() & (~F.col("got").eqNullSafe(F.col("font")) | (F.col("got_style") != F.col("font_style")))
     out = both.groupBy("doc_id").agg(
+        F.bool_and(F.col("text_a").isNotNull() & F.col("text_b").isNotNull()).alias("same_structure"),
         F.bool_and(F.col("text_a").eqNullSafe(F.col("text_b"))).alias("same_text"), F.count_if(seen).alias("total"), F.count_if(changed).alias("changed"), F.count_if(seen & ~F.coalesce(changed, F.lit(False))).alias("unchanged"),
         F.coalesce(F.sum(F.when(changed, F.col("n"))), F.lit(0)).alias("chars"), F.count_if(seen & ~F.coalesce(right, F.lit(False))).alias("mismatches"),
     )
-    return out.withColumn("ok", F.col("same_text") & (F.col("mismatches") == 0))
+    if parts is not None:
+        a, b = (p.select("doc_id", "name", F.md5(strip_fonts(F.col("xml"))).alias(f"sum_{s}")) for p, s in zip(parts, "ab"))
+        same = a.join(b, ["doc_id", "name"], "full_outer").groupBy("doc_id").agg(F.bool_and(F.col("sum_a").eqNullSafe(F.col("sum_b"))).alias("only_fonts"))
+        out = out.join(same, "doc_id", "left")
+    only = F.coalesce("only_fonts", F.lit(False)) if parts is not None else F.lit(True)
+    return out.withColumn("ok", F.col("same_text") & F.col("same_structure") & (F.col("mismatches") == 0) & only)
+
+
+def xml_parts(files: DataFrame) -> DataFrame:
+    """(doc_id, name, xml) of the XML parts of packages (doc_id, content)."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for doc_id, content in zip(b["doc_id"], b["content"]):
+                yield pd.DataFrame([(doc_id, n, x) for n, x in unzipped(bytes(content)).items()], columns=["doc_id", "name", "xml"])
+
+    return files.select("doc_id", "content").mapInPandas(rows, "doc_id string, name string, xml string")
 
 
 def strip_fonts(xml):
     """Column: XML without what a font edit may touch, to compare two texts by."""
-    for pattern in (r'\sFontStyle="[^"]*"', r"<AppliedFont\b[^>]*>[^<]*</AppliedFont>", r"<Properties>\s*</Properties>", r"<Properties\s*/>"):
+    for pattern in FONT_SETTINGS:
         xml = F.regexp_replace(xml, pattern, "")
     return xml
 
 
 # ------------------------------------------------------------------ editing texts
-def set_font(xml: str, m: re.Match, family: str, style: str) -> tuple[int, int, str]:
-    """An edit (start, end, text) of a start tag and the properties after it."""
-    own = f'FontStyle="{escape(style).replace("&#x27;", chr(39)).replace("&gt;", ">")}"'
-    attributes, n = re.subn(r"FontStyle=(?:\"[^\"]*\"|'[^']*')", lambda _: own, m[3])
-    tag = f"<{m[2]}{attributes if n else m[3].rstrip() + ' ' + own}>"
+def splice(xml: str, tag: re.Match, family: str, style: str) -> list[tuple[int, int, str]]:
+    """Edits (start, end, text) that give the element of a start tag its font: the style is
+    an attribute, the family a child of the properties; each replaces its like or is added."""
+    quoted = style.replace("&", "&amp;").replace("<", "&lt;").replace('"', "&quot;")
     font = f'<AppliedFont type="string">{escape(family, quote=False)}</AppliedFont>'
-    p = PROPERTIES.match(xml, m.end())
-    if p is None:
-        return m.start(), m.end(), f"{tag}<Properties>{font}</Properties>"
-    inner = FONT.sub(lambda _: font, p[1], count=1) if FONT.search(p[1]) else p[1] + font
-    lead = p[0][: p[0].index("<")]
-    return m.start(), p.end(), f"{tag}{lead}<Properties>{inner}</Properties>"
+    old = STYLE.search(xml, tag.start(3), tag.end(3))
+    tail = len(tag[3]) - len(tag[3].rstrip())
+    edits = [(*old.span(), f'FontStyle="{quoted}"') if old else (tag.end(3) - tail, tag.end(3), f' FontStyle="{quoted}"')]
+    properties = PROPERTIES.match(xml, tag.end())
+    if properties is None:
+        return [*edits, (tag.end(), tag.end(), f"<Properties>{font}</Properties>")]
+    old = FONT.search(xml, properties.start(1), properties.end(1))
+    return [*edits, (*old.span(), font) if old else (properties.end(1), properties.end(1), font)]
 
 
 def edited(xml: str, edits: list[tuple[int, int, str]]) -> str:
@@ -131,14 +156,14 @@ def edit_styles(xml: str, new: dict[tuple[str, str], tuple[str, str]]) -> str:
         kind = {"ParagraphStyle": "para", "CharacterStyle": "char"}.get(m[2])
         own = re.search(r'\bSelf="([^"]*)"', m[3])
         if kind and not m[1] and not m[4] and own and (kind, own[1]) in new:
-            edits.append(set_font(xml, m, *new[kind, own[1]]))
+            edits += splice(xml, m, *new[kind, own[1]])
     return edited(xml, edits)
 
 
 def edit_story(xml: str, new: dict[int, tuple[str, str]]) -> str:
     """Set the fonts of character ranges, by their numbers in the order of their start tags."""
     ranges = [m for m in TAG.finditer(xml) if m[2] == "CharacterStyleRange" and not m[1]]
-    return edited(xml, [set_font(xml, m, *new[n]) for n, m in enumerate(ranges) if n in new and not m[4]])
+    return edited(xml, [e for n, m in enumerate(ranges) if n in new and not m[4] for e in splice(xml, m, *new[n])])
 
 
 def _rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quoin.functions.numbers import half_up, mm, number_or, places, plain
 from quoin.functions.text import page_list
+from quoin.lineage import cut
 from quoin.operators.aggregates import best_row, distinct_sorted, flags, histogram, inventory, level_counts
 
 # What a printer accepts unless told otherwise.
@@ -22,8 +23,13 @@ SEVERITY = ("error", "warn", "info", "pass")
 MM_PT = 72 / 25.4
 
 
+MOST_PROFILES = 1000  #: that are compared at once: all rules broadcast them
+
+
 def profile_table(spark: SparkSession, profiles: dict[str, dict]) -> DataFrame:
     """A row for each named profile, with defaults for what it leaves out."""
+    if len(profiles) > MOST_PROFILES:
+        raise ValueError(f"{len(profiles)} profiles; {MOST_PROFILES} at a time")
     rows = [(name, *[type(v)(given.get(k, v)) for k, v in DEFAULTS.items()]) for name, given in profiles.items()]
     kinds = ", ".join(f"{k} {'boolean' if isinstance(v, bool) else 'double'}" for k, v in DEFAULTS.items())
     return spark.createDataFrame(rows, f"profile_id string, {kinds}")
@@ -94,7 +100,7 @@ def evaluate(facts: dict[str, DataFrame], profiles: DataFrame, idml: DataFrame |
     doc = facts["doc"].where("error is null").select("doc_id", "page_count", "pdfx", "has_intent", "intent_id", "inline_images")
     page = bleed_of(facts["page"])
     real = facts["placement"].where(~F.col("mask") & ~F.col("soft_mask"))
-    inv = colours(all_paint(facts["paint"], facts["placement"], facts["image"]))
+    inv = cut(colours(all_paint(facts["paint"], facts["placement"], facts["image"])))  # nine rules read it
     every = lambda df: df.crossJoin(F.broadcast(profiles))  # noqa: E731  profiles: the users' few rows
     out = []
 
@@ -223,11 +229,32 @@ def page_marks(facts: dict[str, DataFrame], profiles: DataFrame) -> DataFrame:
     return out.unionByName(mark.select("doc_id", "profile_id", "page", (F.col("seq") + (1 << 30)).alias("seq"), "box", m_level.alias("level"), "id", F.lit(False).alias("also_rgb")))
 
 
-def report_json(findings: DataFrame) -> DataFrame:
-    """One JSON text for each document and profile: its summary and findings in order."""
+def facts_digest(facts: dict[str, DataFrame]) -> DataFrame:
+    """doc_id, facts: of each document its pages, fonts, numbers of images and placements,
+    spot colours, and what it says of its output."""
+    doc = facts["doc"].where("error is null")
+    font = facts["font"].groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("name", "type", "embedded", "subset"))).alias("fonts"))
+    number = lambda t: facts[t].groupBy("doc_id").agg(F.count("*").alias(f"{t}s"))
+    spot = facts["paint"].where("kind = 'spot'").select("doc_id", "label").union(facts["image"].select("doc_id", F.explode("spot"))).groupBy("doc_id").agg(distinct_sorted("label").alias("spots"))
+    out = doc.join(font, "doc_id", "left").join(number("image"), "doc_id", "left").join(number("placement"), "doc_id", "left").join(spot, "doc_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    output = F.struct("pdfx", "has_intent", "intent_id").alias("output")
+    return out.select("doc_id", F.struct(F.col("page_count").alias("pages"), "fonts", zero("images"), zero("placements"), "spots", output, F.struct("producer", "creator", "pdf_version").alias("meta")).alias("facts"))
+
+
+def report_json(findings: DataFrame, profiles: DataFrame | None = None, facts: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One JSON text for each document and profile: the file, its summary and findings in
+    order; with profiles the settings too, with facts a digest of them."""
     f = F.struct("place", "level", "id", "detail", "pages", "count")
-    body = findings.groupBy("doc_id", "profile_id").agg(F.array_sort(F.collect_list(f)).alias("findings"))
-    return body.join(summary(findings), ["doc_id", "profile_id"]).select("doc_id", "profile_id", F.to_json(F.struct("verdict", F.struct(*SEVERITY).alias("summary"), "findings")).alias("json"))
+    body = findings.groupBy("doc_id", "profile_id").agg(F.array_sort(F.collect_list(f)).alias("findings")).join(summary(findings), ["doc_id", "profile_id"])
+    parts = [F.col("doc_id").alias("file"), "verdict", F.struct(*SEVERITY).alias("summary"), "findings"]
+    if profiles is not None:
+        body = body.join(profiles.select("profile_id", F.struct(*profiles.columns).alias("profile")), "profile_id")
+        parts.insert(1, "profile")
+    if facts is not None:
+        body = body.join(facts_digest(facts), "doc_id", "left")
+        parts.append("facts")
+    return body.select("doc_id", "profile_id", F.to_json(F.struct(*parts)).alias("json"))
 
 
 def report_text(findings: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quoin.functions.text import is_bold
+from quoin.functions.numbers import plain
+from quoin.functions.text import escape_attribute, is_bold
 from quoin.operators.aggregates import best_row
 
 # What names mean, in order; the first that matches counts.
@@ -53,12 +54,30 @@ def mood_of(role: Column, mood: str) -> Column:
     return F.when(role == "none", F.lit(None)).when(role.isin(*HEADINGS), head).when(role.isin(*LABELS), label).otherwise(body)
 
 
-def canonical_id(role: Column) -> Column:
-    return F.concat(F.lit("ParagraphStyle/PW_Clean_"), F.regexp_replace(role, "(?i)[^a-z0-9]+", "_"))
+def canonical_id(role: Column, prefix: str = "Role_") -> Column:
+    return F.concat(F.lit(f"ParagraphStyle/{prefix}"), F.regexp_replace(role, "(?i)[^a-z0-9]+", "_"))
 
 
-def remap_styles(runs: DataFrame, styles: DataFrame, scope: list[str], *, style: str = "para_style", key: str = "self") -> DataFrame:
+def remap_styles(runs: DataFrame, styles: DataFrame, scope: list[str], *, style: str = "para_style", key: str = "self", prefix: str = "Role_") -> DataFrame:
     """Runs with the styles that have a role renamed to the role's canonical style; ids are
     compared whole, so no id that begins like another is hit."""
-    to = styles.where("role != 'none'").select(*scope, F.col(key).alias(style), canonical_id(F.col("role")).alias("__to"))
+    to = styles.where("role != 'none'").select(*scope, F.col(key).alias(style), canonical_id(F.col("role"), prefix).alias("__to"))
     return runs.join(to, [*scope, style], "left").withColumn(style, F.coalesce("__to", style)).drop("__to")
+
+
+def canonical_styles(styles: DataFrame, scope: list[str], mood: str, *, key: str = "self", prefix: str = "Role_") -> DataFrame:
+    """A style for each role in use: scope, role, self, name, based_on (the style that the
+    role's master is based on), the mood's font, size and leading, and xml, its definition."""
+    masters = role_masters(styles, scope, key=key)
+    based = F.coalesce(F.nullif(F.col("based_on"), F.lit("")), F.lit("ParagraphStyle/$ID/NormalParagraphStyle"))
+    out = masters.select(*scope, "role", canonical_id(F.col("role"), prefix).alias("self"), F.initcap(F.regexp_replace("role", "-", " ")).alias("name"), based.alias("based_on"), mood_of(F.col("role"), mood).alias("m")).select(*scope, "role", "self", "name", "based_on", "m.*")
+    own = lambda name, value: F.concat(F.lit(f' {name}="'), escape_attribute(value), F.lit('"'))
+    child = lambda name, kind, value: F.concat(F.lit(f'<{name} type="{kind}">'), escape_attribute(value), F.lit(f"</{name}>"))
+    start = F.concat(F.lit("<ParagraphStyle"), own("Self", F.col("self")), own("Name", F.col("name")), own("FontStyle", F.col("font_style")), own("PointSize", plain(F.col("size"))), F.lit(">"))
+    inner = F.concat(child("BasedOn", "object", F.col("based_on")), child("AppliedFont", "string", F.col("font")), child("Leading", "unit", plain(F.col("leading"))))
+    return out.withColumn("xml", F.concat(start, F.lit("<Properties>"), inner, F.lit("</Properties></ParagraphStyle>")))
+
+
+def without_unified(styles: DataFrame) -> DataFrame:
+    """The style definitions that stay once each role has its canonical style."""
+    return styles.where("role = 'none'")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quoin.functions import affine
 from quoin.functions.numbers import places
 from quoin.functions.text import clean_family, is_default_paragraph, visible_length
+from quoin.lineage import cut
 from quoin.operators import aggregates, joins
 from quoin.operators.hierarchy import FIELDS, cascade, resolve_chain, resolve_swatches
 
@@ -99,6 +100,45 @@ def page_sizes(page: DataFrame) -> DataFrame:
     return aggregates.histogram(page.where("not is_master"), ["doc_id"], size, page="ord").drop("pages")
 
 
+def spread_sizes(page: DataFrame) -> DataFrame:
+    """How many spreads have how many pages."""
+    per = page.where("not is_master").groupBy("doc_id", "spread_id").agg(F.count("*").alias("pages"))
+    return per.groupBy("doc_id", "pages").agg(F.count("*").alias("spreads"))
+
+
+def art_stats(items: DataFrame) -> DataFrame:
+    """Shapes, what is placed in them (linked, embedded) and texts on paths."""
+    art = items.where("kind not in ('TextFrame', 'Group')")
+    total = lambda c, n: F.coalesce(F.sum(c), F.lit(0)).alias(n)
+    return art.groupBy("doc_id").agg(F.count("*").alias("shapes"), total(F.greatest(F.size(F.coalesce("placed", F.array().cast("array<string>"))), F.lit(0)), "placed"), total("linked", "linked"), total("embedded", "embedded"), total("text_paths", "text_paths"))
+
+
+def art_formats(items: DataFrame) -> DataFrame:
+    """Placed files by format: the kind of the placed element."""
+    placed = items.where("kind not in ('TextFrame', 'Group')").select("doc_id", F.explode("placed").alias("placed"))
+    return placed.groupBy("doc_id", F.substring_index("placed", ":", 1).alias("format")).agg(F.count("*").alias("n"))
+
+
+def story_stats(story: DataFrame, orphans: DataFrame) -> DataFrame:
+    """Stories by what they hold; orphans: doc_id, story_id of those that nothing refers to."""
+    some = {"empty": F.trim("text") == "", **{f"with_{c}": F.col(c) > 0 for c in ("tables", "footnotes", "anchored", "specials", "line_breaks")}}
+    lost = orphans.select("doc_id", "story_id").distinct().withColumn("lost", F.lit(True))
+    told = story.join(lost, ["doc_id", "story_id"], "left")
+    return told.groupBy("doc_id").agg(F.count("*").alias("total"), F.count_if("lost").alias("orphan"), *[F.count_if(c).alias(n) for n, c in some.items()], F.coalesce(F.sum("paragraphs"), F.lit(0)).alias("paragraphs"))
+
+
+def layer_stats(layer: DataFrame, items: DataFrame) -> DataFrame:
+    """Layers with the number of their text frames."""
+    frames = items.where("kind = 'TextFrame' and not is_master").groupBy("doc_id", F.col("layer_id").alias("self")).agg(F.count("*").alias("frames"))
+    return layer.join(frames, ["doc_id", "self"], "left").withColumn("frames", F.coalesce("frames", F.lit(0)))
+
+
+def word_counts(story: DataFrame, by: list[str], text: str = "text") -> DataFrame:
+    """Words of all texts: runs of characters other than white space."""
+    n = F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[ \t\n\r\f\x0B]+"), lambda w: w != ""))
+    return story.groupBy(*by).agg(F.sum(n).alias("words"))
+
+
 def swatch_usage(items: DataFrame, effective: DataFrame, swatches: DataFrame) -> DataFrame:
     """Swatches in use: by items' fills and strokes, and once for each frame by its text."""
     shown = items.where("not hidden and kind != 'Group'")
@@ -131,9 +171,9 @@ def compare_with_pdf(items: DataFrame, pages: DataFrame, story: DataFrame, pdf_t
 def findings(t: dict[str, DataFrame]) -> DataFrame:
     """(doc_id, level, code, refs, count) of all documents; refs are the first 20."""
     # fourteen reports read these two: they are computed once
-    items = placed_items(t["item"], t["page"]).persist()
+    items = cut(placed_items(t["item"], t["page"]))
     frames, masters = items.where("kind = 'TextFrame'"), t["item"].where("kind = 'TextFrame' and is_master")
-    effective = effective_runs(t["run"], resolved_styles(t["style"])).persist()
+    effective = cut(effective_runs(t["run"], resolved_styles(t["style"])))
     used = swatch_usage(items, effective, t["swatch"])
     stories = t["story"].select("doc_id", "story_id")
     named = masters.select("doc_id", "story_id").unionByName(frames.select("doc_id", "story_id")).unionByName(t["story"].select("doc_id", F.explode("anchored_stories").alias("story_id")))
@@ -141,7 +181,10 @@ def findings(t: dict[str, DataFrame]) -> DataFrame:
 
     def report(rows: DataFrame, level: str, code: str, ref: str | Column) -> DataFrame:
         ref = F.col(ref) if isinstance(ref, str) else ref
-        out = rows.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_set(ref)), 1, 20).alias("refs"), F.count("*").alias("count"))
+        # the first 20 in the order of the refs, found without gathering the others
+        counts = rows.groupBy("doc_id").agg(F.count("*").alias("count"))
+        refs = aggregates.examples(rows.select("doc_id", ref.alias("ref")).where("ref is not null").distinct(), ["doc_id"], [F.col("ref")], 20)
+        out = counts.join(refs.groupBy("doc_id").agg(F.array_sort(F.collect_list("ref")).alias("refs")), "doc_id", "left").withColumn("refs", F.coalesce("refs", F.array().cast("array<string>")))
         return out.select("doc_id", F.lit(level).alias("level"), F.lit(code).alias("code"), "refs", "count")
 
     parts = t["manifest"]
@@ -149,8 +192,7 @@ def findings(t: dict[str, DataFrame]) -> DataFrame:
     art = items.where("kind not in ('TextFrame', 'Group')")
     totals = text_totals(effective)
     fonts = font_usage(effective, t["font"])
-    spreads = t["page"].select("doc_id", "spread_id").distinct()
-    missing = parts.where("kind = 'Spread'").withColumn("spread_id", F.regexp_extract("src", r"_([^_/]+)\.xml$", 1)).join(spreads, ["doc_id", "spread_id"], "left_anti")
+    missing = parts.where("kind = 'Spread' and not there")  # whatever the part is named, and whether it has pages or not
     out = [
         report(missing, "error", "missing-spread", "src"),
         report(joins.dangling(parts.where("kind = 'Story'"), have, [("doc_id", "doc_id"), ("src", "src")]), "error", "missing-story", "src"),

@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quoin.functions import affine, colour, numbers, text
+from quoin.lineage import cut
 from quoin.operators import aggregates, hierarchy, joins, ordered
+from quoin.plans import alternatives, roles, structure
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,11 +42,12 @@ def joined(pages: Column | str) -> Column:
 
 # ------------------------------------------------------------------ text containment
 BAG = r"""
-words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM documents)),
-items AS (SELECT item_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM benchmark)),
--- a document is a page of those items that share a rare word with it
-often AS (SELECT word FROM (SELECT DISTINCT doc_id, word FROM words) GROUP BY word HAVING count(*) > 20),
-pair AS (SELECT DISTINCT doc_id, item_id FROM (SELECT DISTINCT doc_id, word FROM words) JOIN (SELECT DISTINCT item_id, word FROM items) USING (word) WHERE word NOT IN (SELECT word FROM often)),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM (SELECT doc_id, list_filter(regexp_split_to_array(strip_accents(lower(coalesce(text, ''))), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM documents)),
+items AS (SELECT item_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM (SELECT item_id, list_filter(regexp_split_to_array(strip_accents(lower(coalesce(text, ''))), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM benchmark)),
+-- a document is a page of those items that share three words in a row with it
+doc_runs AS (SELECT DISTINCT doc_id, run FROM (SELECT doc_id, word || ' ' || lead(word) OVER w || ' ' || lead(word, 2) OVER w AS run FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WHERE run IS NOT NULL),
+item_runs AS (SELECT DISTINCT item_id, run FROM (SELECT item_id, word || ' ' || lead(word) OVER w || ' ' || lead(word, 2) OVER w AS run FROM items WINDOW w AS (PARTITION BY item_id ORDER BY pos)) WHERE run IS NOT NULL),
+pair AS (SELECT DISTINCT doc_id, item_id FROM doc_runs JOIN item_runs USING (run)),
 bag AS (SELECT doc_id, word, count(*) AS have FROM words GROUP BY ALL),
 compact AS (SELECT doc_id, string_agg(word, '' ORDER BY pos) AS txt FROM words GROUP BY doc_id),
 checked AS (
@@ -60,14 +63,16 @@ verdict AS (
 
 
 def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of benchmark items (frames) on documents (pages) that share a rare word with them."""
-    tokens = lambda t, key: table(spark, sf_dir, t).select(key, F.posexplode(text.words(F.col("text"), ascii_only=True)).alias("pos", "word"))
-    words, items = tokens("documents", "doc_id"), tokens("benchmark", "item_id")
-    by_doc = words.select("doc_id", "word").distinct()
-    rare = by_doc.groupBy("word").agg(F.count("*").alias("n")).where("n <= 20").select("word")
-    # pairs are bounded by 20 documents for each word of an item
-    pair = by_doc.join(rare, "word").join(items.select("item_id", "word").distinct(), "word").select("doc_id", "item_id").distinct()
-    return ordered.contained_words(pair.join(items, "item_id"), words, ["doc_id"], ["item_id"])
+    """Words of benchmark items (frames) on documents (pages) that share three words in a row
+    with them; only the words of such documents and items go further."""
+    told = lambda t, key: table(spark, sf_dir, t).select(key, text.words(F.col("text")).alias("ws"))
+    runs = lambda df, key: df.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("ws") - 2), lambda k: F.array_join(F.slice("ws", k, 3), " ")))).alias("run"))
+    docs, items = cut(told("documents", "doc_id")), told("benchmark", "item_id")
+    long = lambda df: df.where(F.size("ws") >= 3)
+    pair = cut(runs(long(docs), "doc_id").join(runs(long(items), "item_id"), "run").select("doc_id", "item_id").distinct())
+    spread = lambda df, key: df.select(key, F.posexplode("ws").alias("pos", "word"))
+    words = spread(docs.join(pair.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
+    return ordered.contained_words(pair.join(spread(items, "item_id"), "item_id"), words, ["doc_id"], ["item_id"])
 
 
 @query(f'WITH {BAG} SELECT doc_id, item_id, words, missing, first_missing, "trailing" FROM verdict')
@@ -107,8 +112,8 @@ def colour_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uses, pages and sources of each key, ordered by pages and uses."""
     e = table(spark, sf_dir, "events")
     e = e.withColumn("key", F.concat("event_type", F.lit(":"), F.floor(F.col("value") / 50).cast("string"))).withColumn("source", F.get_json_object("props", "$.k").cast("long") % 3)
-    out = aggregates.inventory(e, [], "key", page="user_id", order="event_id", sets=["source"], base=["event_type"])
-    return out.select("key", "uses", F.size("pages").alias("n_pages"), joined("sources").alias("sources"), F.col("event_type").alias("kind"), "place")
+    out = aggregates.inventory(e, [], "key", page="user_id", order="event_id", sets=["source"], base=["event_type"], lists=False)
+    return out.select("key", "uses", F.col("n_pages").cast("int").alias("n_pages"), joined("sources").alias("sources"), F.col("event_type").alias("kind"), "place")
 
 
 @query("""
@@ -297,10 +302,10 @@ def resolution_and_bleed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ joins
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_totalprice > 200000)")
 def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stories that no frame refers to."""
-    return joins.unreferenced(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), table(spark, sf_dir, "orders"), [("c_custkey", "o_custkey")])
+    """Stories that no frame of a kind refers to."""
+    return joins.unreferenced(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and o_totalprice > 200000"), [("c_custkey", "o_custkey")])
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size > 10)")
@@ -445,7 +450,7 @@ def styles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH RECURSIVE s AS ({STYLES}),
-up AS (SELECT self, self AS cur, 0 AS d FROM s UNION ALL SELECT up.self, s.based_on, d + 1 FROM up JOIN s ON s.self = up.cur WHERE s.based_on IS NOT NULL AND d < 64)
+up AS (SELECT self, self AS cur, 0 AS d FROM s UNION ALL SELECT up.self, s.based_on, d + 1 FROM up JOIN s ON s.self = up.cur WHERE s.based_on IS NOT NULL)
 SELECT up.self, arg_min(nullif(s.font, ''), d) FILTER (WHERE nullif(s.font, '') IS NOT NULL) AS font, arg_min(nullif(s.font_style, ''), d) FILTER (WHERE nullif(s.font_style, '') IS NOT NULL) AS font_style
 FROM up JOIN s ON s.self = up.cur GROUP BY up.self
 """)
@@ -455,7 +460,7 @@ def style_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE up AS (SELECT p_partkey AS self, p_partkey AS cur, 0 AS d FROM part UNION ALL SELECT self, p_partkey // 2, d + 1 FROM up JOIN part ON p_partkey = cur WHERE p_partkey > 1 AND d < 64 AND EXISTS (SELECT 1 FROM part q WHERE q.p_partkey = part.p_partkey // 2))
+WITH RECURSIVE up AS (SELECT p_partkey AS self, p_partkey AS cur, 0 AS d FROM part UNION ALL SELECT self, p_partkey // 2, d + 1 FROM up JOIN part ON p_partkey = cur WHERE p_partkey > 1 AND EXISTS (SELECT 1 FROM part q WHERE q.p_partkey = part.p_partkey // 2))
 SELECT self, arg_max(cur, d) AS root, max(d)::INT AS depth FROM up GROUP BY self
 """)
 def style_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -510,23 +515,17 @@ def name_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT source, sum(len(list_filter(regexp_split_to_array(trim(coalesce(text, '')), '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '')))::BIGINT AS words FROM documents GROUP BY source".replace("\\\\", "\\"))
 def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all stories."""
-    n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\r\f\x0B]+"), lambda w: w != ""))
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.sum(n).alias("words"))
+    return structure.word_counts(table(spark, sf_dir, "documents"), ["source"])
 
 
-ROLE = r"""CASE WHEN regexp_matches(n, 'card.*(head|heading|title|name)|(head|heading|title|name).*card') THEN 'card-heading' WHEN regexp_matches(n, 'item.*(head|heading|title|name)|(head|heading|title|name).*item') THEN 'item-heading'
-WHEN regexp_matches(n, 'item.*(desc|description|copy|text)|description|flavour|flavor') THEN 'item-description' WHEN regexp_matches(n, 'caption|folio|credit|footer|small|figure|fig\.?') THEN 'caption'
-WHEN regexp_matches(n, 'rule.*note|note|tip|warning|callout|important|remember|example') THEN 'rules-note' WHEN regexp_matches(n, 'section|chapter|subhead|sub head|heading ?[123]|head ?[123]|^heading$|^title$|main head') THEN 'section-heading'
-WHEN regexp_matches(n, 'body|normal|copy|paragraph|para|main text|body text|rules text|description text') THEN 'body' WHEN size >= 18 AND bold THEN 'section-heading' WHEN size >= 13 AND bold THEN 'item-heading' WHEN size > 0 AND size <= 9 THEN 'caption' ELSE 'none' END"""
+ROLE = "CASE " + " ".join(f"WHEN regexp_matches(n, '{pattern}') THEN '{role}'" for role, pattern in roles.NAMES) + " WHEN size >= 18 AND bold THEN 'section-heading' WHEN size >= 13 AND bold THEN 'item-heading' WHEN size > 0 AND size <= 9 THEN 'caption' ELSE 'none' END"
 ROLE_STYLES = "SELECT p_partkey, p_brand, regexp_replace(lower(p_name || ' ' || p_type), '[_-]+', ' ', 'g') AS n, p_size::DOUBLE AS size, p_partkey % 2 = 0 AS bold FROM part"
 
 
 def role_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quoin.plans.roles import guess_role
-
     p = table(spark, sf_dir, "part")
     style = F.when(F.col("p_partkey") % 2 == 0, "Semibold").otherwise("Regular")
-    return p.select("p_partkey", "p_brand", F.col("p_size").cast("double").alias("size"), guess_role(F.concat_ws(" ", "p_name", "p_type"), F.col("p_size").cast("double"), style).alias("role"))
+    return p.select("p_partkey", "p_brand", F.col("p_size").cast("double").alias("size"), roles.guess_role(F.concat_ws(" ", "p_name", "p_type"), F.col("p_size").cast("double"), style).alias("role"))
 
 
 @query(f"SELECT p_partkey, {ROLE} AS role FROM ({ROLE_STYLES})")
@@ -538,9 +537,7 @@ def role_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT p_brand, role, arg_min(p_partkey, (-size, p_partkey)) AS master FROM (SELECT *, {ROLE} AS role FROM ({ROLE_STYLES})) WHERE role <> 'none' GROUP BY ALL")
 def role_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest style of each role."""
-    from quoin.plans.roles import role_masters
-
-    return role_masters(role_styles(spark, sf_dir), ["p_brand"], key="p_partkey", order="p_partkey").select("p_brand", "role", F.col("p_partkey").alias("master"))
+    return roles.role_masters(role_styles(spark, sf_dir), ["p_brand"], key="p_partkey", order="p_partkey").select("p_brand", "role", F.col("p_partkey").alias("master"))
 
 
 @query(r"""
@@ -552,8 +549,6 @@ SELECT raw, arg_max(base, d) AS base FROM s GROUP BY raw
 """)
 def suffix_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base names without their style suffixes."""
-    from quoin.plans.alternatives import strip_styles
-
     s = F.col("p_size") % 4
     name = F.concat(F.split("p_name", " ")[0], F.when(s == 0, "BoldItalic").when(s == 1, "StdMT").when(s == 2, "-Light").otherwise(""))
-    return table(spark, sf_dir, "part").select(text.alias_key(name).alias("raw")).distinct().select("raw", strip_styles(F.col("raw")).alias("base"))
+    return table(spark, sf_dir, "part").select(text.alias_key(name).alias("raw")).distinct().select("raw", alternatives.strip_styles(F.col("raw")).alias("base"))

@@ -30,7 +30,7 @@ PDF = {
 }
 
 IDML = {
-    "manifest": _struct("doc_id string, kind string, ord int, src string"),
+    "manifest": _struct("doc_id string, kind string, ord int, src string, there boolean"),
     "layer": _struct("doc_id string, self string, name string, visible boolean, locked boolean, printable boolean"),
     "style": _struct("doc_id string, kind string, ord int, self string, name string, based_on string, font string, font_style string, size string, leading string, justification string, fill string, tracking string"),
     "font": _struct("doc_id string, self string, family string, name string, style string, postscript string, status string, type string"),

@@ -93,7 +93,7 @@ class Package:
         root = parsed(xml)
         for kind in ("Spread", "MasterSpread", "Story"):
             for n, e in enumerate(x for x in root.iter() if tag(x) == kind and x.get("src")):
-                self.rows["manifest"].append({"kind": kind, "ord": n, "src": e.get("src")})
+                self.rows["manifest"].append({"kind": kind, "ord": n, "src": e.get("src"), "there": bool(self.parts.get(e.get("src")))})
         for e in root.iter():
             if tag(e) == "Layer":
                 self.rows["layer"].append({"self": e.get("Self"), "name": e.get("Name"), "visible": e.get("Visible") != "false", "locked": e.get("Locked") == "true", "printable": e.get("Printable") != "false"})
@@ -258,8 +258,8 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             try:
                 found = Package(unzipped(bytes(content))).run()
                 rows = [(doc_id, kind, json.dumps(r | {"doc_id": doc_id})) for kind, some in found.items() for r in some]
-            except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError) as e:
-                rows = [(doc_id, "error", json.dumps({"doc_id": doc_id, "error": str(e)[:200]}))]
+            except Exception as e:  # whatever is wrong with one package must not end the scan of the others
+                rows = [(doc_id, "error", json.dumps({"doc_id": doc_id, "error": f"{type(e).__name__}: {e}"[:200]}))]
             yield pd.DataFrame(rows, columns=["doc_id", "kind", "row"])
 
 

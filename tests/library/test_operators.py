@@ -48,7 +48,7 @@ def test_roles(spark):
     assert [x.r for x in df.collect()] == ["card-heading", "item-description", "caption", "body", "section-heading", "caption", "none"]
     runs = spark.createDataFrame([("d", "P/A"), ("d", "P/AB")], "doc_id string, para_style string")
     styles = spark.createDataFrame([("d", "P/A", "body")], "doc_id string, self string, role string")
-    assert sorted(x.para_style for x in remap_styles(runs, styles, ["doc_id"]).collect()) == ["P/AB", "ParagraphStyle/PW_Clean_body"]
+    assert sorted(x.para_style for x in remap_styles(runs, styles, ["doc_id"]).collect()) == ["P/AB", "ParagraphStyle/Role_body"]
     assert styles.select(mood_of(F.col("role"), "editorial").alias("m")).first().m.font == "Source Serif 4"
 
 
