@@ -16,10 +16,9 @@ from tokenizers import Tokenizer
 from quoin.llm._spark import materialise
 
 END = 2  #: appended to each document
-BLOCK = 1 << 22  #: ids of a block, which has a grammar of its own; a longer document is a block by itself
+BLOCK = 1 << 17  #: ids of a block, which has a grammar of its own; a longer document is a block by itself
 PAIRS = 5000  #: replaced in a round at most
-LEAST = 24  #: occurrences of a pair that is worth a rule
-SLOT_BITS = 20  #: of the table whose sums tell which pairs need an exact count
+LEAST = 2  #: occurrences of a pair that get it a rule
 CACHE = 1_400_000  #: pieces of text whose ids a worker remembers
 
 #: Texts whose white space is single spaces and newlines can be cut there: the byte-level
@@ -141,8 +140,7 @@ class Encoder:
 def compress(ids: np.ndarray, sizes: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, symbols of each document, rules, first rule of each round) of a block.
 
-    Rounds go on until no pair inside documents comes LEAST times without overlap, or no
-    number is left for a rule. A round gives the most frequent pairs, counted exactly, a
+    Rounds go on until no pair inside documents comes LEAST times without overlap. A round gives the most frequent pairs, counted exactly, a
     nonterminal each and replaces their occurrences; where pairs overlap the more frequent
     one wins, and a pair that keeps fewer than LEAST waits. Pairs are taken down to a
     quarter of the best count; then that floor falls, so that rules go by frequency over
@@ -152,8 +150,7 @@ def compress(ids: np.ndarray, sizes: np.ndarray, vocabulary: int) -> tuple[np.nd
     n = len(ids)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
-    room = (1 << 16) - vocabulary if vocabulary < 1 << 16 else 1 << 20
-    narrow = vocabulary < 1 << 16
+    slot_bits = min(20, max(10, n.bit_length() - 1))  # of the table whose sums tell which pairs need an exact count
     seq = np.append(ids, -1).astype(np.int32)  # position n stands for no neighbour
     after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
     ends = np.cumsum(sizes)
@@ -161,19 +158,20 @@ def compress(ids: np.ndarray, sizes: np.ndarray, vocabulary: int) -> tuple[np.nd
     there, level = np.ones(n + 1, bool), np.zeros(n + 1, np.uint8)  # bits of the count that the pair at a waiting position has at most
     there[n], mark = False, np.zeros(n + 1, bool)
     none = np.iinfo(np.int32).max
-    rank_at, number = np.full(n + 1, none, np.int32), np.full(1 << SLOT_BITS, -1, np.int32)
+    rank_at, number = np.full(n + 1, none, np.int32), np.full(1 << slot_bits, -1, np.int32)
     rules, rounds, made = [], [], 0
     floor, at = 0, np.flatnonzero(after < n)
-    while made < room:
+    while True:
         a, b = seq[at], seq[after[at]]
+        narrow = vocabulary + made + PAIRS <= 1 << 16  # two numbers fit 32 bits
         if narrow:
             key = a.astype(np.uint32) << np.uint32(16) | b.astype(np.uint32)
-            slot = (key * np.uint32(0x9E3779B1)) >> np.uint32(32 - SLOT_BITS)
+            slot = (key * np.uint32(0x9E3779B1)) >> np.uint32(32 - slot_bits)
         else:
             key = a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
-            slot = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
+            slot = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - slot_bits)
         slot = slot.astype(np.int32)
-        bound = np.bincount(slot, minlength=1 << SLOT_BITS).astype(np.int32)[slot]  # no less than the pair's count
+        bound = np.bincount(slot, minlength=1 << slot_bits).astype(np.int32)[slot]  # no less than the pair's count
         may = bound >= max(LEAST, floor)
         if floor > LEAST:
             wait = np.flatnonzero((bound >= LEAST) & ~may)
@@ -202,10 +200,10 @@ def compress(ids: np.ndarray, sizes: np.ndarray, vocabulary: int) -> tuple[np.nd
             at = np.sort(np.concatenate([at, np.flatnonzero(level >= floor.bit_length())]))
             level[at] = 0
             continue
-        best = best[np.argsort(-count[best], kind="stable")[: min(PAIRS, room - made)]]
+        best = best[np.argsort(-count[best], kind="stable")[:PAIRS]]
         pairs = counted[edge[best]]
         mult, bits = (np.uint32(0x9E3779B1), 32) if narrow else (np.uint64(0x9E3779B97F4A7C15), 64)
-        of = ((pairs * mult) >> pairs.dtype.type(bits - SLOT_BITS)).astype(np.int32)
+        of = ((pairs * mult) >> pairs.dtype.type(bits - slot_bits)).astype(np.int32)
         own = np.sort(np.unique(of, return_index=True)[1])  # of pairs in one slot the most frequent; others wait
         pairs, of = pairs[own], of[own]
         number[of] = np.arange(len(of))
@@ -336,6 +334,24 @@ def read_document(row: dict, vocabulary: int, k: int) -> np.ndarray:
     return expand(own, np.frombuffer(row["rules"], kind).astype(np.int64).reshape(-1, 2), np.frombuffer(row["rounds"], np.uint32).astype(np.int64), vocabulary)
 
 
+def read_slice(row: dict, vocabulary: int, k: int, start: int, stop: int) -> np.ndarray:
+    """The ids from start to stop of document k of a block: the stored lengths tell which
+    symbols they lie in, and only those are expanded."""
+    kind = np.uint16 if row["width"] == 2 else np.uint32
+    per = np.cumsum(np.concatenate([[0], np.frombuffer(row["symbol_sizes"], np.uint32).astype(np.int64)]))
+    own = np.frombuffer(row["symbols"], kind)[per[k] : per[k + 1]].astype(np.int64)
+    length, ruled = np.ones(len(own), np.int64), own >= vocabulary
+    length[ruled] = np.frombuffer(row["lengths"], np.uint32)[own[ruled] - vocabulary]
+    ends = np.cumsum(length)
+    start, stop = max(0, start), min(stop, int(ends[-1]) if len(ends) else 0)
+    if start >= stop:
+        return np.zeros(0, np.int64)
+    a, b = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop, "left")) + 1
+    ids = expand(own[a:b], np.frombuffer(row["rules"], kind).astype(np.int64).reshape(-1, 2), np.frombuffer(row["rounds"], np.uint32).astype(np.int64), vocabulary)
+    skip = start - int(ends[a] - length[a])
+    return ids[skip : skip + stop - start]
+
+
 def digest_rows(path: str, end: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = max(Encoder.of(path).tokenizer.get_vocab_size(), end + 1)

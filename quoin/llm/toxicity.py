@@ -122,7 +122,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     least hash of the id; only their terms reach the driver."""
     order = F.xxhash64(F.col(id_col).cast("string"))
     picked = labels.where(~held_out(id_col) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("l_id"), F.col(label_col).cast("double").alias("label"), order.alias("order"))
-    picked = picked.dropDuplicates(["l_id"]).orderBy("order").limit(sample)
+    picked = picked.groupBy("l_id", "order").agg(F.max("label").alias("label")).orderBy("order", "l_id").limit(sample)  # of several labels the highest
     # `sample` rows of an id and a label: a bound that doesn't grow with the data
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), F.col("id") == F.col("l_id")).select("order", "label", "text")
     got = rows.mapInArrow(sample_rows, "order long, label double, terms array<int>").orderBy("order").toArrow().combine_chunks()
@@ -139,7 +139,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     weighs the TERMS most telling terms and, by inner products of their factors, all their
     pairs; it is fitted on the driver on a bounded sample and broadcast (about 2 MB, fixed).
     Null and empty texts score the bias alone, near the base rate; without any labelled
-    row every score is 0.5. Repeated rows score alike; a label given twice counts once; an
+    row every score is 0.5. Repeated rows score alike; of several labels of an id the highest counts, once; an
     empty table gives no rows. Nothing but the text enters a score.
     """
     machine = learn(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, sample=sample)

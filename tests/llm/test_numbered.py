@@ -290,7 +290,7 @@ def test_tokens(spark, docs, rows, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    from quoin.llm.tokens import read_blocks, read_document, write_blocks
+    from quoin.llm.tokens import read_blocks, read_document, read_slice, write_blocks
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
@@ -302,10 +302,17 @@ def test_tokens(spark, docs, rows, empty):
         crc = zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[i]))
         assert tuple(got[i]) == (i, start, len(ids[i]), crc), i
         start += len(ids[i])
+    some = random.Random(8)
     for b in blocks.collect():
         for k, i in enumerate(b.ids):
             if i % 3 == 0:
                 assert read_document(b.asDict(), tok.get_vocab_size(), k).tolist() == ids[i]
+            for _ in range(5):
+                a, z = some.randrange(len(ids[i]) + 1), some.randrange(len(ids[i]) + 9)
+                assert read_slice(b.asDict(), tok.get_vocab_size(), k, a, z).tolist() == ids[i][a:z]
+    with_nulls = spark.createDataFrame([(1, "a b"), (None, "c"), (1, "a b"), (None, None)], "doc_id long, text string")
+    found = sorted((str(x.doc_id), x.start, x.n_tokens) for x in read_blocks(write_blocks(with_nulls, path), path).collect())
+    assert [x[0] for x in found] == ["1", "1", "None", "None"] and [x[1:] for x in found[:2]] == [(3, 3), (6, 3)]
     assert read_blocks(write_blocks(empty, path), path).count() == 0
 
 
@@ -324,6 +331,17 @@ def test_repair_round_trip():
         assert length[seq].sum() == n
 
 
+def test_repair_with_more_rules_than_16_bits_hold():
+    import numpy as np
+
+    from quoin.llm.tokens import compress, expand
+
+    r = np.random.default_rng(3)
+    ids = np.tile(r.permutation(60_000), 2)  # every neighbouring pair comes twice
+    seq, per, rules, rounds = compress(ids, np.array([len(ids)]), 60_000)
+    assert (expand(seq, rules, rounds, 60_000) == ids).all() and 60_000 + len(rules) > 1 << 16 and len(seq) == 2 * (len(seq) // 2) <= 4
+
+
 def test_secrets(docs, rows, spark, empty):
     from quoin.llm.secrets import find_secrets
 
@@ -527,7 +545,7 @@ def test_repair_goes_on_until_no_pair_is_frequent():
                 last = (at, pair)
             else:
                 last = None
-    assert max(pairs.values()) < LEAST
+    assert LEAST == 2 and max(pairs.values()) < LEAST
     first = compress(ids, sizes, 5000)[2][: rounds[1] if len(rounds) > 1 else None]
     seen = Counter((a, b) for d in docs for a, b in zip(d.tolist(), d.tolist()[1:]))
     assert all(seen[tuple(p)] >= LEAST for p in first.tolist())  # no sum of rare pairs gets a rule
@@ -632,3 +650,97 @@ def test_html_templates_against_a_plain_counter(spark):
     assert sum(x.n_deleted for x in got.values()) > 50
     twice = extract(df.union(df)).collect()
     assert len(twice) == 2 * len(pages)
+
+
+def test_novel_spans_against_a_plain_scan():
+    """Each maximal run of a line that comes near after a sensitive word, one by one."""
+    import zstandard
+
+    from quoin.llm import secrets
+
+    def plain(text, known):
+        out = set()
+        for m in secrets.SENSITIVE.finditer(text):
+            stop = text.find("\n", m.end())
+            stop = len(text) if stop < 0 else stop
+            for run in re.finditer(r"[A-Za-z0-9+/_=.-]+", text[:stop]):
+                s, e = run.span()
+                if e <= m.end() or s > m.end() + secrets.NEAR:
+                    continue
+                if s <= m.end():  # the run goes on from the word: what comes after its separators counts
+                    rest = re.match(r"[A-Za-z0-9]*(?:[-_./]*=+|[-_./]*)", text[m.end() : e])[0]
+                    if m.end() < e and rest and rest[-1].isalnum():
+                        continue
+                    s = m.end() + len(rest)
+                named = re.match(r"=*(?:[A-Za-z]+[-_.])*[A-Za-z]+=+(?=[A-Za-z0-9+/_=.-]{16})|=+", text[s:e])
+                s += len(named[0]) if named else 0
+                word = text[s:e]
+                core = word.strip(".=-_/")
+                if len(word) < 16 or not re.search("[0-9]", core) or not re.search("[A-Za-z]", core) or any(s < y and x < e for x, y, _ in known):
+                    continue
+                before, after = text[max(0, s - secrets.AROUND) : s], text[e : e + secrets.AROUND]
+                prime = f"{secrets.DICTIONARY} {before.lower()} {after.lower()} {after} {before}".encode()
+                z = zstandard.ZstdCompressor(level=19, dict_data=zstandard.ZstdCompressionDict(prime, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False)
+                if len(z.compress(word.encode())) - len(z.compress(b"")) >= secrets.NOVEL * len(word):
+                    out.add((s, e))
+        return {x for x in out if not any(y[0] < x[0] < y[1] for y in out)}
+
+    r = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    key = lambda n: "".join(r.choice(letters) for _ in range(n))
+    pieces = ["secret", "token", "private_key=", "api-key: ", "Bearer ", "\n", " ", "é ", "the ", "word ", "=", "user_name_field_1234567 ", "password='x'\n", "aaaaaaaaaaaaaaaaaaaaaa1 ", "https://h.example/a?signature="]
+    hits = 0
+    for _ in range(300):
+        text = "".join(r.choice(pieces) if r.random() < 0.7 else key(r.randint(8, 40)) + r.choice([" ", "\n", ";"]) for _ in range(r.randint(2, 14)))
+        known = secrets.base_spans(text)
+        got = {(s, e) for s, e, _ in secrets.novel_spans(text, known)}
+        assert got == plain(text, known), text
+        hits += len(got)
+    assert hits > 100
+
+
+def test_machine_against_plain_sums():
+    import numpy as np
+
+    from quoin.llm.toxicity import BITS, Machine
+
+    r = np.random.default_rng(5)
+    place = np.full(1 << BITS, 20, np.int32)
+    place[:20] = np.arange(20)
+    m = Machine(place, 0.3, np.append(r.normal(size=20), 0.0), np.vstack([r.normal(size=(20, 4)), np.zeros((1, 4))]))
+    texts = [sorted(set(r.integers(0, 25, n).tolist())) for n in (0, 1, 5, 20)]
+    row, term = np.repeat(np.arange(4), [len(t) for t in texts]), np.array([x for t in texts for x in t])
+    for z, t in zip(m.logits(4, row, term), texts):
+        known = [x for x in t if x < 20]
+        assert z == pytest.approx(0.3 + sum(m.w[x] for x in known) + sum(float(m.v[a] @ m.v[b]) for k, a in enumerate(known) for b in known[:k]))
+
+
+def test_toxicity_edges(spark, empty):
+    """Of labels that conflict the higher counts, whatever their order; null ids, long and empty texts have scores."""
+    from quoin.llm.toxicity import score_toxicity
+
+    docs = spark.createDataFrame([(i, "idiot scum text " * 3 if i % 3 == 1 else "fine words here " * 3, "c") for i in range(200)] + [(None, "x " * 200_000, "c"), (7, None, "c")], "doc_id long, text string, label string")
+    labels = [(i, int(i % 3 == 1)) for i in range(200)]
+    runs = [{(x.doc_id, x.score) for x in score_toxicity(docs, spark.createDataFrame(some, "doc_id long, toxic int").repartition(n)).collect()} for n, some in ((1, labels + [(k, 0) for k in range(1, 200, 3)]), (3, [(k, 0) for k in range(1, 200, 3)] + labels))]
+    assert runs[0] == runs[1] and len(runs[0]) == 202
+    assert min(s for i, s in runs[0] if i and i % 3 == 1 and i != 7) > 0.5 > max(s for i, s in runs[0] if i and i % 3 == 0)
+    assert score_toxicity(empty, spark.createDataFrame(labels, "doc_id long, toxic int")).count() == 0
+
+
+def test_mix_with_repeated_ids(spark):
+    from quoin.llm.mixing import mix, mixed
+
+    data = [(1, "a b c", "s"), (1, "a b c", "s"), (1, "d e", "t"), (None, "f", None), (None, "f", None), (2, "g h " * 50, "s")]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    out = mix(df).collect()
+    assert len(out) == len(data) and sum(x["size"] for x in out) == 110 and all(x.taken == x.copies * x["size"] for x in out)
+    assert Counter(str(x.doc_id) for x in mixed(df).collect()) == Counter({k: n for k, n in ((k, sum(x.copies for x in out if str(x.doc_id) == k)) for k in ("1", "2", "None")) if n})
+
+
+def test_secrets_and_shards_with_clashing_columns(spark):
+    from quoin.llm.secrets import find_secrets
+    from quoin.llm.shards import shard_by_bytes
+
+    df = spark.createDataFrame([(1, "token=abcdefgh", "x", 3), (1, "token=abcdefgh", "x", 3), (None, None, None, None)], "doc_id long, text string, spans string, size long")
+    assert sorted((str(x.doc_id), x.n_assign) for x in find_secrets(df).collect()) == [("1", 1), ("1", 1), ("None", 0)]
+    assert sorted((str(x.doc_id), x["size"]) for x in shard_by_bytes(df, 2).collect()) == [("1", 15), ("1", 15), ("None", 1)]
