@@ -228,7 +228,7 @@ def key_rows(percent: int, counters):
                 keys = keys_of(text[pick], h[pick], size, percent)
                 at = allocate(keys, count)
                 of = keys[0][at]
-                yield pa.RecordBatch.from_arrays([signed(keys[2][at]), signed(cls[of])], ["key", "class"])
+                yield pa.RecordBatch.from_arrays([signed(keys[2][at]), signed(cls[of]), pa.array(size[of])], ["key", "class", "size"])
 
     return rows
 
@@ -312,8 +312,9 @@ def hot_pairs(hot: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def hot_links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs of ask_pairs and hot_pairs that link, by their whole sets: each row of
-    pairs meets the sets of its classes once."""
+    """Links among the pairs of ask_pairs and hot_pairs, by their whole sets: each row of
+    pairs meets the sets of its classes once. Of a row only links that join what it has not
+    joined yet are told, fewer than it has classes, since more would not change a component."""
     of = near.select("k", F.explode(F.array_distinct(F.concat("a", "b"))).alias("class")).join(sets, "class")
     of = of.groupBy("k").agg(F.collect_list(F.struct("class", "elements")).alias("sets"))
     return near.join(of, "k").select("a", "b", "sets").mapInArrow(near_rows(percent), "a long, b long").distinct()
@@ -356,12 +357,20 @@ def near_rows(percent: int):
                 own, out = batch["sets"].slice(k, 1).flatten(), []
                 at, values = lists(own.field("elements"))
                 place = {c: n for n, c in enumerate(own.field("class").to_pylist())}
+                up = list(range(len(own)))
                 for x, y in zip(batch["a"][k].as_py(), batch["b"][k].as_py()):
                     i, j = place[x], place[y]
+                    tops = [i, j]
+                    for n in (0, 1):
+                        while up[tops[n]] != tops[n]:
+                            up[tops[n]] = tops[n] = up[up[tops[n]]]
+                    if tops[0] == tops[1]:
+                        continue
                     p, q = values[at[i] : at[i + 1]], values[at[j] : at[j + 1]]
                     met = len(np.intersect1d(p, q, assume_unique=True))
                     if 100 * met >= percent * (len(p) + len(q) - met):
                         out.append((x, y))
+                        up[tops[0]] = tops[1]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
@@ -453,12 +462,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # what chance alone puts into a counter tells nothing of its keys
     count[count <= count.mean() + 6 * np.sqrt(count.mean()) + 2] = 0
 
-    keys = rows.mapInArrow(key_rows(percent, spark.sparkContext.broadcast(count.astype(np.int32) if count.max(initial=0) < 1 << 31 else count)), "key long, class long")
+    keys = rows.mapInArrow(key_rows(percent, spark.sparkContext.broadcast(count.astype(np.int32) if count.max(initial=0) < 1 << 31 else count)), "key long, class long, size long")
     group = Window.partitionBy("key")
     ends = keys.withColumn("lo", F.min("class").over(group)).withColumn("hi", F.max("class").over(group)).where("lo != hi")
     nodes = materialise(texts.where("size > 0").groupBy("class").agg(F.first("size").alias("size"), F.any_value("sketch").alias("sketch"), F.min("id").alias("least")), "nodes")
     # keys of several classes; a class that several tasks met stands in a group once
-    shared = materialise(ends.select("key", "class").distinct().join(nodes.select("class", "size"), "class"), "keys")
+    shared = materialise(ends.select("key", "class", "size").distinct(), "keys")
 
     # each class with one partner for each of ROUNDS orders: of the classes that come first
     # in the groups of its keys, the one it shares most keys with
