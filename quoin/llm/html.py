@@ -304,6 +304,9 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     templates = found.join(hosts, "host").where(F.col("n") >= share * F.col("of_host")).select("host", "hash")
     open_hashes = parsed.select("row", "host", F.explode(F.array_distinct("hashes")).alias("hash")).where("hash != 0")
     hits = open_hashes.join(templates, ["host", "hash"]).groupBy("row").agg(F.collect_set("hash").alias("gone"))
-    both = parsed.join(hits, "row", "left").select("id", "url", "texts", "at", "parents", "hashes", "gone")
+    columns = ["id", "url", "texts", "at", "parents", "hashes"]
+    may = F.exists("hashes", lambda h: h != 0)  # pages that could not lose a block stay out of the join
+    both = parsed.where(may).join(hits, "row", "left").select(*columns, "gone")
+    both = both.unionByName(parsed.where(~may).select(*columns, F.lit(None).cast("array<bigint>").alias("gone")))
     out = both.mapInPandas(text_rows, f"id {kind}, url string, text string, n_deleted int")
     return out.withColumnRenamed("id", id_col).withColumn("n_chars", F.length("text").cast("long"))
