@@ -25,6 +25,7 @@ BLOCK = 32
 ROUNDS = 3  #: partners that each class is compared with first
 COUNTER_BITS = 18  #: of key frequencies: a fixed size, whatever the corpus
 MAP_BITS = 1 << 23  #: of the map that spares sets without a candidate; also fixed
+PAIRS = "a array<long>, b array<long>, classes array<long>"  #: pairs of two blocks
 
 
 def shingles(t: Texts, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -301,21 +302,21 @@ def sides(named: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def hot_pairs(hot: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Lists a, b of classes, packed by blocks of each key: of the classes of keys with HOT
+    """Lists a, b of classes (and each class once), packed by blocks of each key: of the classes of keys with HOT
     classes or more those pairs whose histograms allow a link. A pair counts at its first
     common hot key alone."""
     keys = hot.groupBy("class").agg(F.sort_array(F.collect_set("key")).alias("keys"))
     whole = hot.select("key", F.pmod(F.xxhash64("class"), F.ceil(F.col("g") / BLOCK)).cast("int").alias("block"), "class", "label").join(keys, "class").join(nodes.select("class", "size", "sketch"), "class")
     whole = whole.groupBy("key", "block").agg(F.collect_list(F.struct("class", "label", "keys", "sketch", "size")).alias("a"))
     pairs = whole.join(whole.select("key", F.col("block").alias("other"), F.col("a").alias("b")), "key").where("block <= other")
-    return pairs.select("key", "a", "b").mapInArrow(hot_rows(percent), "a array<long>, b array<long>")
+    return pairs.select("key", "a", "b").mapInArrow(hot_rows(percent), PAIRS)
 
 
 def hot_links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links among the pairs of ask_pairs and hot_pairs, by their whole sets: each row of
     pairs meets the sets of its classes once. Of a row only links that join what it has not
     joined yet are told, fewer than it has classes, since more would not change a component."""
-    of = near.select("k", F.explode(F.array_distinct(F.concat("a", "b"))).alias("class")).join(sets, "class")
+    of = near.select("k", F.explode("classes").alias("class")).join(sets, "class")
     of = of.groupBy("k").agg(F.collect_list(F.struct("class", "elements")).alias("sets"))
     return near.join(of, "k").select("a", "b", "sets").mapInArrow(near_rows(percent), "a long, b long").distinct()
 
@@ -378,12 +379,12 @@ def near_rows(percent: int):
 
 
 def ask_pairs(asks: DataFrame, told: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Lists a, b of classes: pairs of asks and of told with the same `of` whose histograms
+    """Lists a, b of classes (and each class once): pairs of asks and of told with the same `of` whose histograms
     allow a link. A row that is compared holds two blocks of histograms, not of sets."""
     sketch = nodes.select("class", "size", "sketch")
     a, b = (side.join(sketch, "class").groupBy("of", "block").agg(F.collect_list(F.struct("class", "sketch", "size")).alias("some")) for side in (asks, told))
     pairs = a.select("of", F.col("some").alias("a")).join(b.select("of", F.col("some").alias("b")), "of")
-    return pairs.select("a", "b").mapInArrow(ask_rows(percent), "a array<long>, b array<long>")
+    return pairs.select("a", "b").mapInArrow(ask_rows(percent), PAIRS)
 
 
 def near_of(sketch: list[np.ndarray], size: int, others: list[list[np.ndarray] | np.ndarray], some: np.ndarray, percent: int) -> list[int]:
@@ -404,7 +405,9 @@ def sketched(own: pa.Array) -> tuple[np.ndarray, list]:
 
 
 def packed(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([list(side)], pa.list_(pa.int64())) for side in zip(*found)], ["a", "b"])
+    """The pairs of two blocks, and each class among them once: two blocks at most."""
+    a, b = (list(side) for side in zip(*found))
+    return pa.RecordBatch.from_arrays([pa.array([x], pa.list_(pa.int64())) for x in (a, b, sorted({*a, *b}))], ["a", "b", "classes"])
 
 
 def ask_rows(percent: int):
@@ -495,7 +498,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     asks, told = materialise(asks, "asks"), materialise(told, "told")
     near = ask_pairs(asks, told, nodes, percent).unionByName(hot_pairs(few.where(F.col("g") >= HOT), nodes, percent))
     near = materialise(near.withColumn("k", F.monotonically_increasing_id()), "near")
-    wanted = near.select(F.explode(F.concat("a", "b")).alias("class")).unionByName(across.select(F.explode(F.array("a", "b")).alias("class")))
+    wanted = near.select(F.explode("classes").alias("class")).unionByName(across.select(F.explode(F.array("a", "b")).alias("class")))
     sets = set_table(wanted, nodes, rows)
     found = [links(across, sets, percent), hot_links(near, sets, percent)]
     label = components(met.unionByName(materialise(reduce(DataFrame.unionByName, found), "links")))
