@@ -295,7 +295,8 @@ def sides(named: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Large components and the classes outside that share a key with them, in blocks. A
     class and a component are one candidate, however many members the component has."""
     large = named.where("large").select("key", F.col("label").alias("of")).distinct()
-    asks = named.join(large, "key").where("label != of and (large is null or label < of)").select("class", "of").distinct()
+    asks = named.where("beside").join(large, "key").where("label != of and (large is null or label < of)").select("class", "of").distinct()
+    asks = materialise(asks, "asks")  # both sides read it
     told = named.where("large").select("class", F.col("label").alias("of")).distinct()
     told = told.join(asks.select("of").distinct(), "of", "left_semi")
     return tuple(dealt(x, x.groupBy("of").agg(F.count("*").alias("n"))) for x in (asks, told))
@@ -469,14 +470,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     group = Window.partitionBy("key")
     ends = keys.withColumn("lo", F.min("class").over(group)).withColumn("hi", F.max("class").over(group)).where("lo != hi")
     nodes = materialise(texts.where("size > 0").groupBy("class").agg(F.first("size").alias("size"), F.any_value("sketch").alias("sketch"), F.min("id").alias("least")), "nodes")
-    # keys of several classes; a class that several tasks met stands in a group once
-    shared = materialise(ends.select("key", "class", "size").distinct(), "keys")
+    # keys of several classes; a class that several tasks met stands in a group once. With
+    # them, from the same exchange, for each of ROUNDS orders the class that comes first
+    head = lambda k: F.min(F.struct(F.xxhash64("class", F.lit(k)).alias("h"), "size", "class")).over(group)
+    first = {f"head{k}": F.struct(head(k)["size"].alias("size"), head(k)["class"].alias("class"), F.lit(k).alias("k")) for k in range(ROUNDS)}
+    shared = materialise(ends.select("key", "class", "size").distinct().withColumns(first), "keys")
 
-    # each class with one partner for each of ROUNDS orders: of the classes that come first
+    # each class with one partner for each order: of the classes that come first
     # in the groups of its keys, the one it shares most keys with
-    head = lambda k: F.min(F.struct(F.xxhash64("class", F.lit(k)).alias("h"), "size", "class", F.lit(k).alias("k"))).over(group)
-    heads = shared.repartition("key").withColumns({f"head{k}": head(k) for k in range(ROUNDS)})
-    heads = heads.select("class", "size", F.explode(F.array(*(f"head{k}" for k in range(ROUNDS)))).alias("head")).where("class != head.class")
+    heads = shared.select("class", "size", F.explode(F.array(*first)).alias("head")).where("class != head.class")
     heads = heads.where(f"100 * least(size, head.size) >= {percent} * greatest(size, head.size)").groupBy(F.col("class").alias("a"), F.col("head.class").alias("b"), "head.k").agg(F.count("*").alias("keys"))
     best = heads.groupBy("a", "k").agg(F.max_by("b", F.struct("keys", "b")).alias("b")).select("a", "b")
     tried = materialise(close(best.distinct(), nodes, percent), "pairs")
@@ -485,8 +487,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     # what is left lies across components: with large ones and in hot keys by blocks, else by pairs
     many = label.groupBy("label").agg(F.count("*").alias("members")).where(F.col("members") >= MANY).select("label", F.lit(True).alias("large"))
-    named = open_keys(shared, label).join(many, "label", "left")
-    named = materialise(named.withColumn("g", F.count(F.when(F.col("large").isNull(), 1)).over(group)), "open")
+    named = open_keys(shared.select("key", "class", "size"), label).join(many, "label", "left")
+    beside = F.coalesce(F.max("large").over(group), F.lit(False))  # a large component shares the key
+    named = materialise(named.withColumns({"g": F.count(F.when(F.col("large").isNull(), 1)).over(group), "beside": beside}), "open")
     few = named.where("large is null")
     a, b = (few.where(F.col("g") < HOT).select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "size", "label")]) for s in "ab")
     across = a.join(b, "key").where(f"label_a != label_b and (size_a, class_a) < (size_b, class_b) and 100 * size_a >= {percent} * size_b")
@@ -494,8 +497,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     for pair in (["a", "b"], ["b", "a"]):
         across = across.join(tried.toDF(*pair), ["a", "b"], "left_anti")
     across = materialise(close(across, nodes, percent), "pairs")
-    asks, told = sides(named)
-    asks, told = materialise(asks, "asks"), materialise(told, "told")
+    asks, told = (materialise(x, "side") for x in sides(named))
     near = ask_pairs(asks, told, nodes, percent).unionByName(hot_pairs(few.where(F.col("g") >= HOT), nodes, percent))
     near = materialise(near.withColumn("k", F.monotonically_increasing_id()), "near")
     wanted = near.select(F.explode("classes").alias("class")).unionByName(across.select(F.explode(F.array("a", "b")).alias("class")))
