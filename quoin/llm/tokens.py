@@ -20,6 +20,7 @@ BLOCK = 1 << 17  #: ids of a block, which has a grammar of its own; a longer doc
 PAIRS = 5000  #: replaced in a round at most
 LEAST = 2  #: occurrences of a pair that get it a rule
 CACHE = 1_400_000  #: pieces of text whose ids a worker remembers
+LATIN = "\u0250"  #: below it Python and the pre-tokenizer agree on what a letter is
 
 #: Texts whose white space is single spaces and newlines can be cut there: the byte-level
 #: pre-tokenizer starts a new piece at each such place whatever stands around it.
@@ -56,6 +57,8 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
+        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that begin with a space
+        self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
         self.forget()
 
     @classmethod
@@ -86,15 +89,38 @@ class Encoder:
         self.start[numbers] = self.used + np.cumsum(sizes) - sizes
         self.used += len(ids)
 
-    def learn(self, pieces: Pieces, lead: str) -> None:
-        """Encode new pieces, many to a call, a newline (a piece of its own) before each."""
-        words, pieces.new = pieces.new, []
+    def learn_first(self) -> None:
+        """Encode new pieces of line starts, many to a call, a newline (a piece of its own) before each."""
+        words, self.first.new = self.first.new, []
         if words:
-            calls = ["\n" + lead + ("\n" + lead).join(words[k : k + 200]) for k in range(0, len(words), 200)]
-            ids = np.array([i for got in self.whole(calls) for i in got], np.int32)
+            ids = self.ids(["\n" + "\n".join(words[k : k + 200]) for k in range(0, len(words), 200)])
             cut = ids == self.break_id
-            sizes = np.diff(np.append(np.flatnonzero(cut), len(ids))) - 1
-            self.store([pieces[w] for w in words], ids[~cut], sizes)
+            self.store([self.first[w] for w in words], ids[~cut], np.diff(np.append(np.flatnonzero(cut), len(ids))) - 1)
+
+    def learn_later(self) -> None:
+        """Encode new pieces that follow a space, many to a call: a token that begins with
+        the space begins a piece. Letters with a mark behind them are the ids of the letters
+        and of the mark, which the pre-tokenizer parts."""
+        new, self.later.new = self.later.new, []
+        marked = [w for w in new if w[-1] in self.marks and w[:-1].isalpha() and max(w) < LATIN]
+        skip = set(marked)
+        stems = np.array([self.later[w[:-1]] for w in marked], np.int64)
+        words = [w for w in new if w not in skip] + self.later.new
+        self.later.new = []
+        if words:
+            ids = self.ids([" " + " ".join(words[k : k + 200]) for k in range(0, len(words), 200)])
+            self.store([self.later[w] for w in words], ids, np.diff(np.append(np.flatnonzero(self.spaced[ids]), len(ids))))
+        if marked:
+            size = self.size[stems].astype(np.int64)
+            last = np.cumsum(size + 1) - 1
+            ids, own = np.zeros(last[-1] + 1, np.int32), np.ones(last[-1] + 1, bool)
+            own[last] = False
+            ids[last] = [self.marks[w[-1]] for w in marked]
+            ids[own] = self.pool[np.repeat(self.start[stems] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+            self.store([self.later[w] for w in marked], ids, size + 1)
+
+    def ids(self, texts: list[str]) -> np.ndarray:
+        return np.array([i for got in self.whole(texts) for i in got], np.int32)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -105,6 +131,7 @@ class Encoder:
             self.forget()
         if self.break_id is None:
             (self.break_id,) = self.whole(["\n"])[0]
+            self.marks = {m: self.whole([m])[0][0] for m in ",."}
             self.newline, self.end, self.first[""] = self.number(), self.number(), self.number()
             self.store([self.newline, self.end, self.first[""]], np.array([self.break_id, end]), np.array([1, 1, 0]))
         first, later = self.first.__getitem__, self.later.__getitem__
@@ -125,8 +152,8 @@ class Encoder:
                     pieces.extend(map(later, words[1:]))
             pieces.append(self.end)
             counts[k] = len(pieces) - before
-        self.learn(self.first, "")
-        self.learn(self.later, " ")
+        self.learn_first()
+        self.learn_later()
         for (n, _), own in zip(odd, self.whole([t for _, t in odd])):
             self.store([n], np.array(own, np.int32), np.array([len(own)]))
         p = np.frombuffer(pieces, np.int32)
