@@ -81,3 +81,23 @@ def n_words(text: Column | str) -> Column:
     text = F.col(text) if isinstance(text, str) else text
     squeezed = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))
     return F.when(squeezed == "", F.lit(0)).otherwise(F.length(squeezed) - F.length(F.replace(squeezed, F.lit(" "), F.lit(""))) + 1).cast("long")
+
+
+def hot_keys(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """(key) of those whose count n is a quarter or more of a partition's share of `total`
+    rows: four for each shuffle partition at most, so they can be broadcast."""
+    partitions = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return counts.where(F.col(n) * 4 * partitions >= total).select(key)
+
+
+def join_counted(rows: DataFrame, lookup: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows left-joined with lookup, which has one row for each key and in n the number of rows
+    of that key among the `total` rows. The few keys with many rows are broadcast; their
+    rows take no part in the exchange by key, where each is sent to a place of its own."""
+    hot = lookup.join(F.broadcast(hot_keys(lookup, key, n, total)), key, "left_semi")
+    others = [c for c in lookup.columns if c != key]
+    first = rows.join(F.broadcast(hot.select(F.col(key).alias("__hot"), *[F.col(c).alias(f"__h_{c}") for c in others])), F.col(key) == F.col("__hot"), "left")
+    open_ = F.when(F.col("__hot").isNull(), F.col(key)).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))
+    cold = lookup.join(F.broadcast(hot.select(key)), key, "left_anti").select(F.col(key).alias("__cold"), *others)
+    both = first.withColumn("__open", open_).join(cold, F.col("__open") == F.col("__cold"), "left")
+    return both.select(*rows.columns, *[F.coalesce(f"__h_{c}", c).alias(c) for c in others])

@@ -171,3 +171,77 @@ c_docs AS MATERIALIZED (SELECT j_docs.* FROM j_docs JOIN ({over(DECONTAMINATE, "
 m_docs AS MATERIALIZED (SELECT doc_id, text FROM (SELECT c_docs.doc_id, c_docs.text, unnest(range(copies)) FROM c_docs JOIN ({over(MIX_PARTS, "c_docs")} SELECT doc_id, copies FROM m) USING (doc_id)))
 SELECT * FROM ({over(SHARDS, "m_docs")})
 """
+
+SEARCH = rf"""
+WITH d AS (SELECT doc_id, {FOLDED} AS words FROM documents),
+item AS (SELECT DISTINCT item_id, unnest({FOLDED}) AS term FROM benchmark),
+total AS (SELECT count(*) FILTER (WHERE len(words) > 0) AS docs, sum(len(words)) AS terms FROM d),
+occ AS (SELECT doc_id, term, len(words)::BIGINT AS n, count(*)::BIGINT AS tf FROM (SELECT doc_id, words, unnest(words) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM occ, total GROUP BY term, docs),
+gain AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms::BIGINT))))::BIGINT AS score FROM item JOIN occ USING (term) JOIN w USING (term), total GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM gain WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+MERKLE_LEVELS = 8  #: of 16 branches each, so 16**8 leaves a source
+
+
+def leaf_sql(text: str) -> str:
+    said = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    return "sha256(" + " || ".join(said(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def merkle_levels(name: str) -> str:
+    """Levels 1 and up of trees whose level 0 is {name}0 (tree, spot, h, n): a tree of one node stays as it is.
+    l and r are a node's siblings, up its parent's place, n the nodes of its tree."""
+    out = []
+    for k in range(MERKLE_LEVELS):
+        out.append(f"""{name}s{k} AS (SELECT *, CASE WHEN n > 1 THEN spot // 16 ELSE spot END AS up,
+  CASE WHEN n > 1 THEN coalesce(string_agg(h, '') OVER (PARTITION BY tree, spot // 16 ORDER BY spot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') ELSE '' END AS l,
+  CASE WHEN n > 1 THEN coalesce(string_agg(h, '') OVER (PARTITION BY tree, spot // 16 ORDER BY spot ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') ELSE '' END AS r FROM {name}{k})""")
+        out.append(f"{name}{k + 1} AS (SELECT tree, up AS spot, CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY spot)) ELSE any_value(h) END AS h, (n + 15) // 16 AS n FROM {name}s{k} GROUP BY tree, up, n)")
+    return ",\n".join(out)
+
+
+def merkle_climb(name: str, first: str) -> str:
+    """From {first} (tree, spot, x, proof) through all levels: x becomes the root that it folds to, proof gains the siblings."""
+    out, below = [], first
+    for k in range(MERKLE_LEVELS):
+        out.append(f"""{first}_{k} AS (SELECT p.* REPLACE (s.up AS spot, p.proof || s.l || s.r AS proof, CASE WHEN s.n > 1 THEN sha256(s.l || p.x || s.r) ELSE p.x END AS x)
+  FROM {below} p JOIN {name}s{k} s ON p.tree IS NOT DISTINCT FROM s.tree AND p.spot = s.spot)""")
+        below = f"{first}_{k}"
+    return ",\n".join(out)
+
+
+CRC_TABLE = """step AS (SELECT i, i::BIGINT AS v, 0 AS k FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, k + 1 FROM step WHERE k < 8),
+crc_table AS (SELECT list(v ORDER BY i) AS tab FROM step WHERE k = 8)"""
+
+MERKLE = rf"""
+WITH RECURSIVE {CRC_TABLE},
+d AS (
+  SELECT doc_id, source AS tree, {leaf_sql("text")} AS leaf, {leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS forged,
+    xor(list_reduce(list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda x: ('0x' || x)::BIGINT), lambda c, x: xor(c >> 8, list_extract(tab, xor(c, x) % 256 + 1)), 4294967295::BIGINT), 4294967295) % 5 = 0 AS chosen
+  FROM documents, crc_table
+),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS spot, count(*) OVER (PARTITION BY tree) AS n FROM d),
+low0 AS (SELECT tree, spot, leaf AS h, n FROM placed),
+{merkle_levels("low")},
+top0 AS (SELECT 0 AS tree, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS spot, h, count(*) OVER () AS n, tree AS source FROM low{MERKLE_LEVELS}),
+{merkle_levels("top")},
+climb AS (SELECT doc_id, leaf, tree, spot, CASE WHEN chosen THEN forged ELSE leaf END AS x, '' AS proof FROM placed),
+{merkle_climb("low", "climb")},
+upper AS (SELECT c.doc_id, c.leaf, t.h AS subroot, 0 AS tree, t.spot, c.x, c.proof FROM climb_{MERKLE_LEVELS - 1} c JOIN top0 t ON c.tree IS NOT DISTINCT FROM t.source),
+{merkle_climb("top", "upper")}
+SELECT u.doc_id, u.leaf, u.subroot, r.h AS root, sha256(u.proof) AS proof_sha256, u.x AS folded_root, u.x = r.h AS verified
+FROM upper_{MERKLE_LEVELS - 1} u, top{MERKLE_LEVELS} r
+"""
+
+#: Five hex digits at a time are four of base 32
+WARC = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+first AS (SELECT html, min(page_id) AS lead FROM p GROUP BY html)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(8), lambda g: array_to_string(list_transform([15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(sha1(html), 5 * g::INT + 1, 5))::BIGINT >> b::INT) & 31)::INT + 1, 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = lead THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> lead THEN lead END AS refers_to
+FROM p JOIN first USING (html)
+"""
