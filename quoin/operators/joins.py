@@ -42,36 +42,66 @@ def in_several(items: DataFrame, scope: list[str], group: str, linked: Column) -
     return items.groupBy(*scope, group).agg(F.count("*").alias("items"), F.bool_and(linked).alias("__all")).where("items > 1 and not __all").drop("__all")
 
 
+#: Extents below 2 ** FINEST share the finest grid, so that a box without extent has a cell too.
+FINEST = -20
+
+
+def _level(box: str) -> Column:
+    """The grid whose cells are as wide as the box or up to twice as wide."""
+    size = F.greatest(F.abs(f"{box}.w"), F.abs(f"{box}.h"), F.lit(2.0**FINEST))
+    return F.ceil(F.log2(size)).cast("int")
+
+
+def _cells(rows: DataFrame, levels: Column, box: Column) -> DataFrame:
+    """rows once for each cell that the box touches on each of the levels."""
+    rows = rows.withColumn("__level", F.explode(levels)).withColumn("__b", box)
+    size = F.pow(F.lit(2.0), F.col("__level"))
+    span = lambda at, extent: F.sequence(F.floor(F.col(f"__b.{at}") / size), F.floor((F.col(f"__b.{at}") + F.col(f"__b.{extent}")) / size))
+    return rows.withColumn("__cx", F.explode(span("x", "w"))).withColumn("__cy", F.explode(span("y", "h"))).drop("__b")
+
+
 def assign_boxes(items: DataFrame, pages: DataFrame, scope: list[str], *, item: str, page: str, order: str) -> DataFrame:
     """For each item the page of its scope that holds the centre of its box (edges count;
     the first page wins), else the page that it overlaps most, else null.
 
-    Boxes are structs (x, y, w, h) in a column named box on both sides. The equi-key is the
-    scope, such as the spread, and a cell of a grid as coarse as the largest page of the
-    scope, so that a page lies in four cells at most and an item meets the pages around it
-    alone. The best is taken by one aggregate with map-side combining, so no group is ever
-    sorted or collected.
+    Boxes are structs (x, y, w, h) in a column named box on both sides. Grids of cells of 2**k
+    stand on levels k, and every box belongs to the level of its own size, where it touches four cells at
+    most. An item's centre is looked up in one cell on each level that has pages. Boxes that overlap
+    meet on the coarser level of the two: items also stand on the coarser levels of pages, and pages
+    on the coarser ones of items, so neither a page nor an item of any size is spread over many cells, and
+    pages without extent have a cell of their own. A pair is looked at in one cell alone, that of the
+    corner of their overlap. The best is taken by one aggregate with map-side combining; no group is sorted or
+    collected.
+
+    Null boxes and boxes that are not finite have no page; a page of negative extent holds nothing, an item of
+    negative extent only has its centre. Pages of equal order: one of them. Rows of one item and box count once.
     """
-    p = pages.where("box is not null").select(*scope, F.col(page).alias("__page"), F.col(order).alias("__order"), F.col("box").alias("__of"))
-    grid = p.groupBy(*scope).agg(*[F.greatest(F.max(F.abs(f"__of.{f}")), F.lit(1e-9)).alias(f"__{f}") for f in "wh"])
-
-    def in_cells(rows: DataFrame, box: str) -> DataFrame:
-        cells = lambda at, size: F.sequence(F.floor((F.col(f"{box}.{at}") + F.least(F.lit(0.0), F.col(f"{box}.{size}"))) / F.col(f"__{size}")), F.floor((F.col(f"{box}.{at}") + F.greatest(F.lit(0.0), F.col(f"{box}.{size}"))) / F.col(f"__{size}")))
-        rows = rows.join(grid, scope).withColumn("__cx", F.explode(cells("x", "w"))).withColumn("__cy", F.explode(cells("y", "h")))
-        return rows.drop("__w", "__h")
-
-    of_items = items.select(*scope, item, "box").where("box is not null").distinct()
-    both = in_cells(of_items, "box").join(in_cells(p, "__of"), [*scope, "__cx", "__cy"])
-    b, r = (lambda f: F.col(f"box.{f}")), (lambda f: F.col(f"__of.{f}"))
-    inside = F.lit(True)
+    finite = lambda box: F.col(box).isNotNull() & F.forall(F.array(*[F.col(f"{box}.{f}") for f in "xywh"]), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < 1e300))
+    p = pages.select(*scope, F.col(page).alias("__page"), F.col(order).alias("__order"), F.col("box").alias("__of")).where(finite("__of")).where("__of.w >= 0 and __of.h >= 0")
+    p = p.withColumn("__own", _level("__of"))
+    b = items.select(*scope, item, "box").where(finite("box")).distinct().withColumn("__own", _level("box"))
+    # the levels of a scope: some dozens at most, whatever the number of boxes
+    of_pages, of_items = (rows.groupBy(*scope).agg(F.collect_set("__own").alias("__levels")) for rows in (p, b))
+    own, above = F.array("__own"), F.filter("__levels", lambda k: k > F.col("__own"))
+    centre = F.struct((F.col("box.x") + F.col("box.w") / 2).alias("x"), (F.col("box.y") + F.col("box.h") / 2).alias("y"), F.lit(0.0).alias("w"), F.lit(0.0).alias("h"))
+    key = [*scope, "__level", "__cx", "__cy"]
+
+    c = _cells(b.join(of_pages, scope).withColumn("__c", centre), F.col("__levels"), F.col("__c")).select(*key, item, "__c")
+    held = c.join(_cells(p, own, F.col("__of")).select(*key, "__page", "__order", "__of"), key)
+    held = held.where("__c.x between __of.x and __of.x + __of.w and __c.y between __of.y and __of.y + __of.h").select(*scope, item, "__page", "__order", F.lit(float("inf")).alias("__rank"))
+
+    wide = b.where("box.w > 0 and box.h > 0").join(of_pages, scope)
+    left = _cells(wide, F.array_union(own, above), F.col("box")).select(*key, item, "box", "__own")
+    right = _cells(p.join(of_items, scope), F.array_union(own, above), F.col("__of")).select(*key, "__page", "__order", "__of", F.col("__own").alias("__p_own"))
+    both = left.join(right, key).where("__level = greatest(__own, __p_own)")
     spans = []
-    for at, size in (("x", "w"), ("y", "h")):
-        centre = b(at) + b(size) / 2
-        inside = inside & (centre >= r(at)) & (centre <= r(at) + r(size))
-        spans.append(F.least(b(at) + b(size), r(at) + r(size)) - F.greatest(b(at), r(at)))
-    overlap = F.when((spans[0] > 0) & (spans[1] > 0), spans[0] * spans[1])
-    both = both.withColumn("__rank", F.when(inside, F.lit(float("inf"))).otherwise(overlap)).where("__rank is not null")
-    best = both.groupBy(*scope, item).agg(F.max_by("__page", F.struct("__rank", -F.col("__order"))).alias(page))
+    for at, size, cell in (("x", "w", "__cx"), ("y", "h", "__cy")):
+        corner = F.greatest(F.col(f"box.{at}"), F.col(f"__of.{at}"))
+        both = both.where(F.floor(corner / F.pow(F.lit(2.0), F.col("__level"))) == F.col(cell))
+        spans.append(F.least(F.col(f"box.{at}") + F.col(f"box.{size}"), F.col(f"__of.{at}") + F.col(f"__of.{size}")) - corner)
+    laid = both.where((spans[0] > 0) & (spans[1] > 0)).select(*scope, item, "__page", "__order", (spans[0] * spans[1]).alias("__rank"))
+
+    best = held.unionByName(laid).groupBy(*scope, item).agg(F.max_by("__page", F.struct("__rank", -F.col("__order"))).alias(page))
     return items.join(best, [*scope, item], "left")
 
 
