@@ -343,10 +343,11 @@ def pdf_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typography.font_runs(runs).select("doc_id", "font_key", "items", "pages", typography.size_label(F.col("sizes")).alias("sizes"))
 
 
-@query(r"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(strip_accents(lower(coalesce(text, ''))), '[^\p{L}\p{N}]+'), lambda x: x <> '')[1:20], ' ') AS words FROM documents")
+@query(r"SELECT doc_id, len(w)::INT AS n, md5(array_to_string(w, ' ')) AS words FROM (SELECT doc_id, list_filter(regexp_split_to_array(strip_accents(lower(coalesce(text, ''))), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents)")
 def plain_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first twenty words of each text, in lower case and without accents."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(text.words(F.col("text")), 1, 20), " ").alias("words"))
+    """The number of words of each whole text and a digest of them, in lower case and without accents."""
+    found = table(spark, sf_dir, "documents").select("doc_id", text.words(F.col("text")).alias("w"))
+    return found.select("doc_id", F.size("w").alias("n"), F.md5(F.array_join("w", " ").cast("binary")).alias("words"))
 
 
 @query("SELECT o_custkey, o_orderkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1)::INT AS index FROM orders")

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quoin.functions.text import font_key
-from quoin.lineage import cut
-from quoin.operators.hierarchy import FIELDS
-from quoin.plans.structure import effective_runs, resolved_styles
+from quoin.operators import joins
+from quoin.operators.hierarchy import given, pins
+from quoin.plans.structure import NORMAL, effective_runs, resolved_styles
 from quoin.sources.idml import scan_idml, tables, unzipped, zipped
 
 STYLES = "Resources/Styles.xml"
@@ -49,29 +49,29 @@ def plan_styles(style: DataFrame, mapping: DataFrame) -> DataFrame:
     """Styles with new_font and new_font_style, set where the style must say its font itself.
 
     Styles that set a font or a style, and whose font in effect is mapped, take the target.
-    Then, until nothing changes, any style whose new font in effect is not the one wanted
-    is pinned to it: one that inherits from a remapped parent but is not mapped keeps its font.
+    All others keep what they set, unless they would then show another font than the one
+    wanted, because of what they inherit: these are pinned to it (hierarchy.pins).
     """
     before = resolved_styles(style).select("doc_id", "kind", "self", "font", "font_style")
-    goal = wanted(before, mapping).select("doc_id", "kind", "self", F.col("font").alias("eff"), "want_font", "want_style", (F.col("want_font") != F.col("font")).alias("moved"), F.col("font_style").alias("eff_style"))
+    goal = wanted(before, mapping).select("doc_id", "kind", "self", F.col("font").alias("eff"), "want_font", "want_style", F.col("font_style").alias("eff_style"))
     now = style.join(goal, ["doc_id", "kind", "self"])
     mapped = F.col("eff").isNotNull() & ((F.col("want_font") != F.col("eff")) | (F.col("want_style") != F.coalesce("eff_style", F.lit("Regular"))))
-    takes = mapped & (F.col("font").isNotNull() | F.col("font_style").isNotNull())
+    takes = mapped & (given(F.col("font")).isNotNull() | given(F.col("font_style")).isNotNull())
     now = now.withColumn("new_font", F.when(takes, F.col("want_font")).otherwise(F.col("font"))).withColumn("new_font_style", F.when(takes, F.col("want_style")).otherwise(F.col("font_style")))
-    while True:  # a style that is pinned is right from then on, so rounds end
-        trial = now.select("doc_id", "kind", "self", "based_on", F.col("new_font").alias("font"), F.col("new_font_style").alias("font_style"))
-        for f in FIELDS:
-            if f not in trial.columns:
-                trial = trial.withColumn(f, F.lit(None).cast("string"))
-        got = resolved_styles(trial).select("doc_id", "kind", "self", F.col("font").alias("got"), F.coalesce("font_style", F.lit("Regular")).alias("got_style"))
-        both = now.join(got, ["doc_id", "kind", "self"])
-        wrong = F.col("eff").isNotNull() & (~F.col("got").eqNullSafe(F.col("want_font")) | (F.col("got_style") != F.col("want_style")))
-        both = cut(both.withColumn("wrong", wrong))
-        changed = not both.where("wrong").isEmpty()
-        now = both.withColumn("new_font", F.when(F.col("wrong"), F.col("want_font")).otherwise(F.col("new_font"))).withColumn("new_font_style", F.when(F.col("wrong"), F.col("want_style")).otherwise(F.col("new_font_style"))).drop("got", "got_style", "wrong")
-        if not changed:
-            break
-    return now.drop("eff", "eff_style", "moved", "want_font", "want_style")
+    # the parent as the chain goes on: the named style, if it is there, else the root of its kind
+    para = F.col("kind") == "para"
+    named = joins.normalised_key(F.col("based_on"), F.when(para, "ParagraphStyle/").otherwise("CharacterStyle/"))
+    there = style.select(F.col("doc_id").alias("__doc"), F.col("kind").alias("__kind"), F.col("self").alias("__named"))
+    now = now.withColumn("__key", named)
+    now = now.join(there, (now["doc_id"] == there["__doc"]) & (now["kind"] == there["__kind"]) & (now["__key"] == there["__named"]), "left").drop("__doc", "__kind", "__key")
+    now = now.withColumn("__up", F.coalesce("__named", F.when(para & (F.col("self") != NORMAL), NORMAL))).drop("__named")
+    # a style without any font hands on its style name as it was
+    wants = {"__font": F.when(F.col("eff").isNotNull(), F.col("want_font")), "__style": F.when(F.col("eff").isNotNull(), F.col("want_style")).otherwise(F.coalesce("eff_style", F.lit("Regular")))}
+    now = now.withColumns(wants).withColumn("__own_style", F.coalesce(given(F.col("new_font_style")), F.when(F.col("__up").isNull(), "Regular")))
+    now = pins(now, ["doc_id", "kind"], key="self", parent="__up", fields={"font": ("new_font", "__font"), "style": ("__own_style", "__style")})
+    pinned = F.col("pinned") & F.col("eff").isNotNull()
+    now = now.withColumn("new_font", F.when(pinned, F.col("want_font")).otherwise(F.col("new_font"))).withColumn("new_font_style", F.when(pinned, F.col("want_style")).otherwise(F.col("new_font_style")))
+    return now.drop("eff", "eff_style", "want_font", "want_style", "pinned", "__up", "__font", "__style", "__own_style")
 
 
 def plan_runs(run: DataFrame, style: DataFrame, mapping: DataFrame) -> DataFrame:
