@@ -85,7 +85,7 @@ def all_paint(paint: DataFrame, placement: DataFrame, image: DataFrame) -> DataF
     spots = image.select("doc_id", "image_id", "swatches", F.explode("spot").alias("name"))
     used = placement.where(~F.col("mask") & ~F.col("soft_mask") & (F.col("image_id") >= 0)).select("doc_id", "page", "seq", "image_id").join(spots, ["doc_id", "image_id"])
     base = {f.name: F.lit(None).cast(f.dataType) for f in paint.schema.fields}
-    base |= {"doc_id": F.col("doc_id"), "page": F.col("page"), "seq": F.col("seq") + (1 << 30), "key": F.concat(F.lit("spot:"), "name"), "kind": F.lit("spot"), "label": F.col("name"), "rgb": F.col("swatches")[F.col("name")], "source": F.lit("image")}
+    base |= {"doc_id": F.col("doc_id"), "page": F.col("page"), "seq": F.col("seq") + (1 << 62), "key": F.concat(F.lit("spot:"), "name"), "kind": F.lit("spot"), "label": F.col("name"), "rgb": F.col("swatches")[F.col("name")], "source": F.lit("image")}
     return paint.unionByName(used.select(*[c.alias(n) for n, c in base.items()]))
 
 
@@ -226,7 +226,7 @@ def page_marks(facts: dict[str, DataFrame], profiles: DataFrame) -> DataFrame:
     m_id = F.when((k == "rgb") & ~F.col("allow_rgb"), "vector-rgb").when(k == "lab", "colour-lab").when(k == "spot", "spot").when(k == "reg", "registration").when((k == "cmyk") & (F.col("max_ink") > 0) & (F.col("tac") > F.col("max_ink") + 0.5), "total-ink")
     mark = mark.withColumn("id", m_id).where("id is not null")
     m_level = F.when((k == "spot") & F.col("allow_spot"), "ok").otherwise("warn")
-    return out.unionByName(mark.select("doc_id", "profile_id", "page", (F.col("seq") + (1 << 30)).alias("seq"), "box", m_level.alias("level"), "id", F.lit(False).alias("also_rgb")))
+    return out.unionByName(mark.select("doc_id", "profile_id", "page", (F.col("seq") + (1 << 62)).alias("seq"), "box", m_level.alias("level"), "id", F.lit(False).alias("also_rgb")))
 
 
 def facts_digest(facts: dict[str, DataFrame]) -> DataFrame:

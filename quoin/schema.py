@@ -23,10 +23,10 @@ PDF = {
     "page": _struct("doc_id string, page int, media box, crop box, trim box, bleed box, art box, blend string, unreadable boolean, overprint boolean"),
     "font": _struct("doc_id string, font_id int, name string, subset boolean, type string, embedded boolean, pages list<int>"),
     "image": _struct("doc_id string, image_id int, w double, h double, bpc int, mask boolean, family string, label string, spot list<string>, swatches map<string>, filter string, has_smask boolean, uses int"),
-    "placement": _struct("doc_id string, seq int, page int, box list<double>, image_id int, family string, label string, mask boolean, soft_mask boolean, px_w double, px_h double, w_pt double, h_pt double, ppi_x double, ppi_y double"),
-    "paint": _struct("doc_id string, page int, seq int, key string, kind string, label string, family string, rgb string, rgb2 string, cmyk list<double>, tac double, icc boolean, source string, tint int"),
-    "mark": _struct("doc_id string, page int, seq int, k string, box list<double>, label string, tac double"),
-    "text": _struct("doc_id string, page int, seq int, str string, font_key string, size double, transform list<double>, vertical boolean"),
+    "placement": _struct("doc_id string, seq long, page int, box list<double>, image_id int, family string, label string, mask boolean, soft_mask boolean, px_w double, px_h double, w_pt double, h_pt double, ppi_x double, ppi_y double"),
+    "paint": _struct("doc_id string, page int, seq long, key string, kind string, label string, family string, rgb string, rgb2 string, cmyk list<double>, tac double, icc boolean, source string, tint int"),
+    "mark": _struct("doc_id string, page int, seq long, k string, box list<double>, label string, tac double"),
+    "text": _struct("doc_id string, page int, seq long, str string, font_key string, size double, transform list<double>, vertical boolean"),
 }
 
 IDML = {

@@ -1,10 +1,16 @@
-"""PDF files to fact tables: one scan, each document in one task, pages in order."""
+"""PDF files to fact tables.
+
+A first, light reading of a file gives its table of objects and its table of pages; ranges
+of pages then go to tasks of their own, each of which reads from the file only the objects that
+its pages need. Ids are numbers of objects and orders are counted page by page, so tasks agree without
+knowing of each other; what concerns a whole document is added up afterwards."""
 
 from __future__ import annotations
 
 import json
 import math
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -12,9 +18,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quoin.lineage import cut
 from quoin.schema import PDF
 from quoin.sources.pdfcolour import CMYK, GRAY, RGB, Space, evaluate, half_up, hexed, shown, space_of
-from quoin.sources.pdfobjects import Document, Encrypted, Keyword, Name, Reader, Stream
+from quoin.sources.pdfobjects import Document, Encrypted, Keyword, Name, Reader, Ref, Stream
+from quoin.sources.ranged import Opened
 
 # Nesting of forms, marks of a page, ink in percent from which paint is marked.
 FORM_DEPTH, MARKS, HEAVY = 8, 300, 200
@@ -82,12 +90,11 @@ class State:
 
 
 class Scan:
-    """The facts of one document, as rows by table."""
+    """The facts of some pages of one document, as rows by table."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, doc: Document):
         self.rows: dict[str, list[dict]] = {k: [] for k in PDF}
-        self.doc = Document(data)
-        self.size = len(data)
+        self.doc = doc
         self.streams: dict[int, list] = {}
         self.images: dict[int, dict] = {}
         self.fonts: dict[int, dict] = {}
@@ -107,8 +114,14 @@ class Scan:
         return v[:n] if len(v) >= n and all(isinstance(x, int | float) and not isinstance(x, bool) for x in v[:n]) else None
 
     def next(self) -> int:
+        """The place of a fact in the document: its page, then its turn on the page."""
         self.seq += 1
-        return self.seq - 1
+        return (self.page << 32) + self.seq - 1
+
+    def number(self, value, d: dict) -> int:
+        """The id of an image or font: its object's number; for one without, a negative number of its content."""
+        known = self.doc.number_of(value)
+        return known if known is not None else -2 - (zlib.crc32(repr(sorted(d.items(), key=str)).encode()) & 0x3FFFFFFF)
 
     def listing(self, stream: Stream) -> list:
         if id(stream) not in self.streams:
@@ -116,36 +129,41 @@ class Scan:
         return self.streams[id(stream)]
 
     # ---- documents and pages
-    def run(self) -> dict[str, list[dict]]:
+    def run(self, pages) -> dict[str, list[dict]]:
+        """Facts of pages (number, dictionary); of the document only what is counted on them."""
+        for n, page in pages:
+            self.one(n, page)
+        self.rows["doc"].append({"inline_images": self.inline, "gradients": self.gradients, "patterns": self.patterns})
+        self.rows["image"] = list(self.images.values())
+        self.rows["font"] = [f | {"pages": sorted(f["pages"])} for f in self.fonts.values()]
+        return self.rows
+
+    def one(self, n: int, page: dict) -> None:
+        doc = self.doc
+        box = lambda key: {"x": min(b[0], b[2]), "y": min(b[1], b[3]), "w": abs(b[2] - b[0]), "h": abs(b[3] - b[1])} if (b := self.numbers(page, key, 4)) else None
+        media = box("MediaBox") or {"x": 0.0, "y": 0.0, "w": 612.0, "h": 792.0}
+        group = self.entry(page, "Group")
+        blend = space_of(doc, group.get("CS")).family if isinstance(group, dict) else "none"
+        row = {"page": n, "media": media, "crop": box("CropBox") or media, "trim": box("TrimBox"), "bleed": box("BleedBox"), "art": box("ArtBox"), "blend": blend, "unreadable": False}
+        self.page, self.seq, self.marks, self.seen = n, 0, 0, set()
+        try:
+            content = self.entry(page, "Contents")
+            parts = [doc.get(c) for c in content] if isinstance(content, list) else [content]
+            data = b"\n".join(doc.decoded(s) for s in parts if isinstance(s, Stream))
+            self.interpret(operators(data), self.entry(page, "Resources") or {}, State(), 0, False)
+        except (ValueError, KeyError, IndexError, TypeError, AttributeError, ArithmeticError, RecursionError):
+            row["unreadable"] = True
+        self.rows["page"].append(row | {"overprint": n in self.over})
+
+    def about(self, page_count: int) -> dict:
+        """What the document says of itself."""
         doc = self.doc
-        pages = doc.pages()
-        for n, page in enumerate(pages):
-            box = lambda key: {"x": min(b[0], b[2]), "y": min(b[1], b[3]), "w": abs(b[2] - b[0]), "h": abs(b[3] - b[1])} if (b := self.numbers(page, key, 4)) else None  # noqa: E731, B023
-            media = box("MediaBox") or {"x": 0.0, "y": 0.0, "w": 612.0, "h": 792.0}
-            group = self.entry(page, "Group")
-            blend = space_of(doc, group.get("CS")).family if isinstance(group, dict) else "none"
-            row = {"page": n, "media": media, "crop": box("CropBox") or media, "trim": box("TrimBox"), "bleed": box("BleedBox"), "art": box("ArtBox"), "blend": blend, "unreadable": False}
-            self.page, self.marks, self.seen = n, 0, set()
-            try:
-                content = self.entry(page, "Contents")
-                parts = [doc.get(c) for c in content] if isinstance(content, list) else [content]
-                data = b"\n".join(doc.decoded(s) for s in parts if isinstance(s, Stream))
-                self.interpret(operators(data), self.entry(page, "Resources") or {}, State(), 0, False)
-            except (ValueError, KeyError, IndexError, TypeError, AttributeError, ArithmeticError, RecursionError):
-                row["unreadable"] = True
-            self.rows["page"].append(row | {"overprint": n in self.over})
         info, root = self.entry(doc.trailer, "Info"), doc.get(doc.trailer["Root"])
         said = lambda d, k: v.decode("utf-16" if v[:2] in (b"\xfe\xff", b"\xff\xfe") else "latin-1", "replace") if isinstance(v := self.entry(d, k), bytes) else (str(v) if isinstance(v, Name) else None)
         intents = self.entry(root, "OutputIntents")
         has = bool(intents)
-        version = re.search(rb"%PDF-(\d\.\d)", doc.data[:1024])
-        self.rows["doc"].append(
-            {"bytes": self.size, "page_count": len(pages), "pdfx": said(info, "GTS_PDFXVersion"), "has_intent": has, "intent_id": (said(intents[0], "OutputConditionIdentifier") or "") if has else None, "producer": said(info, "Producer") or "", "creator": said(info, "Creator") or ""}
-            | {"pdf_version": version[1].decode() if version else None, "inline_images": self.inline, "gradients": self.gradients, "patterns": self.patterns, "error": None}
-        )
-        self.rows["image"] = list(self.images.values())
-        self.rows["font"] = [f | {"pages": sorted(f["pages"])} for f in self.fonts.values()]
-        return self.rows
+        version = re.search(rb"%PDF-(\d\.\d)", doc.source.read(0, 1024))
+        return {"bytes": doc.source.size, "page_count": page_count, "pdfx": said(info, "GTS_PDFXVersion"), "has_intent": has, "intent_id": (said(intents[0], "OutputConditionIdentifier") or "") if has else None, "producer": said(info, "Producer") or "", "creator": said(info, "Creator") or "", "pdf_version": version[1].decode() if version else None, "error": None}
 
     # ---- the interpreter
     def interpret(self, ops, resources: dict, g: State, depth: int, masked: bool) -> None:
@@ -352,7 +370,7 @@ class Scan:
                     swatches[n] = hexed(rgb) if rgb else None
             f = self.entry(x, "Filter")
             f = self.doc.get(f[-1]) if isinstance(f, list) and f else f
-            row = {"image_id": len(self.images), "w": self.entry(x, "Width"), "h": self.entry(x, "Height"), "bpc": self.entry(x, "BitsPerComponent") or (1 if mask else 8), "mask": mask}
+            row = {"image_id": self.number(x, x.dict), "w": self.entry(x, "Width"), "h": self.entry(x, "Height"), "bpc": self.entry(x, "BitsPerComponent") or (1 if mask else 8), "mask": mask}
             self.images[id(x)] = row | {"family": "Mask" if mask else space.family, "label": "1-bit mask" if mask else space.label, "spot": space.spot, "swatches": swatches, "filter": str(f) if f else None, "has_smask": "SMask" in x.dict, "uses": 0}
         return self.images[id(x)]
 
@@ -374,7 +392,7 @@ class Scan:
             described = self.entry(holder, "FontDescriptor")
             embedded = kind == "Type3" or any(self.entry(described, k) is not None for k in ("FontFile", "FontFile2", "FontFile3"))
             subset = re.match(r"[A-Z]{6}\+", base)
-            self.fonts[id(d)] = {"font_id": len(self.fonts), "name": base[7:] if subset else base, "subset": bool(subset), "type": kind, "embedded": embedded, "pages": set()}
+            self.fonts[id(d)] = {"font_id": self.number(d, d), "name": base[7:] if subset else base, "subset": bool(subset), "type": kind, "embedded": embedded, "pages": set()}
         return self.fonts[id(d)]
 
     def text(self, d: dict, operands: list, at: tuple, size: float) -> None:
@@ -421,41 +439,141 @@ PATH_OPS = {b"m": 2, b"l": 2, b"c": 6, b"v": 4, b"y": 4, b"re": 4}
 PAINT_OPS = {b"n": ()} | dict.fromkeys((b"f", b"F", b"f*"), ("fill",)) | dict.fromkeys((b"S", b"s"), ("stroke",)) | dict.fromkeys((b"B", b"B*", b"b", b"b*"), ("fill", "stroke"))
 
 
+FAULTS = (ValueError, KeyError, IndexError, TypeError, AttributeError, RecursionError, ArithmeticError, OSError)
+
+
+def fault(e: Exception) -> str:
+    return "encrypted" if isinstance(e, Encrypted) else f"unreadable: {e}"[:200]
+
+
 def scan_bytes(data: bytes) -> dict[str, list[dict]]:
-    """Rows by table. A file that can't be opened is one row of doc with its error."""
+    """Rows by table of a whole file. A file that can't be opened is one row of doc with its error."""
     try:
-        return Scan(data).run()
-    except Encrypted:
-        error = "encrypted"
-    except (ValueError, KeyError, IndexError, TypeError, AttributeError, RecursionError, ArithmeticError) as e:
-        error = f"unreadable: {e}"[:200]
-    return {"doc": [{"bytes": len(data), "page_count": 0, "error": error}]}
+        scan = Scan(Document(data))
+        pages = scan.doc.pages()
+        rows = scan.run(enumerate(pages))
+        rows["doc"].append(scan.about(len(pages)))
+        return rows
+    except (*FAULTS, Encrypted) as e:
+        return {"doc": [{"bytes": len(data), "page_count": 0, "error": fault(e)}]}
+
+
+def tagged(doc_id: str, found: dict[str, list[dict]]) -> pd.DataFrame:
+    rows = [(doc_id, kind, json.dumps(r | {"doc_id": doc_id})) for kind, some in found.items() for r in some]
+    return pd.DataFrame(rows, columns=["doc_id", "kind", "row"])
 
 
 def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for doc_id, content in zip(b["doc_id"], b["content"]):
-            rows = [(doc_id, kind, json.dumps(r | {"doc_id": doc_id})) for kind, some in scan_bytes(bytes(content)).items() for r in some]
-            yield pd.DataFrame(rows, columns=["doc_id", "kind", "row"])
+            yield tagged(doc_id, scan_bytes(bytes(content)))
+
+
+FACTS = "doc_id string, kind string, row string"
 
 
 def scan_pdf(files: DataFrame) -> DataFrame:
-    """Tagged facts (doc_id, kind, row as JSON) of files (doc_id, content). Write or persist
-    them once; each table is then a filter and a parse without Python."""
-    return files.select("doc_id", "content").mapInPandas(_rows, "doc_id string, kind string, row string")
+    """Tagged facts (doc_id, kind, row as JSON) of files (doc_id, content), each in one task.
+    Write or persist them once; each table is then a filter and a parse without Python."""
+    return files.select("doc_id", "content").mapInPandas(_rows, FACTS)
+
+
+# ---- ranges of pages
+SURVEY = "doc_id string, path string, root int, numbers array<int>, places array<bigint>, turns array<int>, pages array<array<int>>, about string"
+
+
+def surveyed(doc_id: str, path: str) -> tuple:
+    """A file's objects, its pages and what it says of itself; nothing of its contents is read.
+    places: where an object begins in the file, or for one held in a stream of objects the
+    stream's number, with its turn there."""
+    source = None
+    try:
+        source = Opened(path)
+        doc = Document(source)
+        pages = [list(p) for p, _ in doc.walk()]
+        root = doc.trailer.get("Root")
+        numbers = sorted(doc.places)
+        spots = [p if isinstance(p, tuple) else (p, -1) for p in map(doc.places.get, numbers)]
+        about = Scan(doc).about(len(pages))
+        if not isinstance(root, Ref):
+            raise ValueError("no catalogue")
+        return doc_id, path, root[0], numbers, [p for p, _ in spots], [t for _, t in spots], pages, json.dumps(about | {"doc_id": doc_id})
+    except (*FAULTS, Encrypted) as e:
+        size = source.size if source else None
+        return doc_id, path, None, [], [], [], [], json.dumps({"doc_id": doc_id, "bytes": size, "page_count": 0, "error": fault(e)})
+    finally:
+        if source:
+            source.close()
+
+
+def survey(files: DataFrame) -> DataFrame:
+    """One row (SURVEY) for each of files (doc_id, path): its object table and its page table."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in SURVEY.split(", ")]
+        for b in batches:
+            for doc_id, path in zip(b["doc_id"], b["path"]):
+                one = surveyed(doc_id, path)
+                yield pd.DataFrame({n: pd.Series([v], dtype="Int32" if n == "root" else object) for n, v in zip(names, one)})
+
+    return files.select("doc_id", "path").mapInPandas(rows, SURVEY)
+
+
+def object_table(surveys: DataFrame) -> DataFrame:
+    """(doc_id, object, offset, length, holder, turn): where each object lies. length reaches to the
+    next object of the file; objects in a stream of objects have that stream as holder and no offset."""
+    each = surveys.select("doc_id", F.explode(F.arrays_zip("numbers", "places", "turns")).alias("o"), F.array_sort(F.filter(F.transform(F.arrays_zip("places", "turns"), lambda x: F.when(x["turns"] < 0, x["places"])), lambda x: x.isNotNull())).alias("starts"))
+    plain = F.col("o.turns") < 0
+    after = F.get("starts", F.array_position("starts", F.col("o.places")).cast("int"))
+    return each.select("doc_id", F.col("o.numbers").alias("object"), F.when(plain, F.col("o.places")).alias("offset"), F.when(plain, after - F.col("o.places")).alias("length"), F.when(~plain, F.col("o.places")).cast("int").alias("holder"), F.when(~plain, F.col("o.turns")).alias("turn"))
+
+
+def page_table(surveys: DataFrame) -> DataFrame:
+    """(doc_id, page, path): which kid to take at each node of the page tree."""
+    return surveys.select("doc_id", F.posexplode("pages").alias("page", "path"))
+
+
+def _range_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for r in b.itertuples(index=False):
+            source = Opened(r.path)
+            places = {int(n): int(p) if t < 0 else (int(p), int(t)) for n, p, t in zip(r.numbers, r.places, r.turns)}
+            doc = Document(source, places, {"Root": Ref((int(r.root), 0))})
+            yield tagged(r.doc_id, Scan(doc).run((int(r.first) + k, doc.page_at([int(i) for i in path])) for k, path in enumerate(r.paths)))
+            source.close()
+
+
+def scan_ranges(surveys: DataFrame, pages_per_range: int = 64) -> DataFrame:
+    """Tagged facts of surveyed files, pages_per_range pages at a time. A range's row takes the file's
+    table of objects along, some bytes an object, and reads the objects that it needs by their places."""
+    spark = surveys.sparkSession
+    step = int(pages_per_range)
+    cuts = surveys.where("root is not null and size(pages) > 0").select("*", F.explode(F.expr(f"sequence(0, size(pages) - 1, {step})")).alias("first"))
+    cuts = cuts.select("doc_id", "path", "root", "numbers", "places", "turns", "first", F.slice("pages", F.col("first") + 1, step).alias("paths"))
+    n = surveys.agg(F.sum(F.expr(f"(size(pages) + {step - 1}) div {step}"))).first()[0] or 1
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    facts = cuts.repartitionByRange(min(n, tasks), "doc_id", "first").mapInPandas(_range_rows, FACTS)
+    return facts.unionByName(surveys.select("doc_id", F.lit("doc").alias("kind"), F.col("about").alias("row")))
 
 
 def tables(facts: DataFrame) -> dict[str, DataFrame]:
-    """The tables of quoin.schema.PDF from tagged facts."""
-    return {kind: facts.where(F.col("kind") == kind).select(F.from_json("row", schema).alias("r")).select("r.*") for kind, schema in PDF.items()}
+    """The tables of quoin.schema.PDF from tagged facts. Documents, images and fonts are put
+    together from the rows of all ranges of pages that met them."""
+    found = {kind: facts.where(F.col("kind") == kind).select(F.from_json("row", schema).alias("r")).select("r.*") for kind, schema in PDF.items()}
+    counted, order = ("inline_images", "gradients", "patterns"), {k: [f.name for f in PDF[k]] for k in PDF}
+    found["doc"] = found["doc"].groupBy("doc_id").agg(*[(F.sum(c).cast("int") if c in counted else F.max(c)).alias(c) for c in order["doc"][1:]])
+    found["image"] = found["image"].groupBy("doc_id", "image_id").agg(*[(F.sum(c).cast("int") if c == "uses" else F.first(c)).alias(c) for c in order["image"][2:]])
+    found["font"] = found["font"].groupBy("doc_id", "font_id").agg(*[(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))) if c == "pages" else F.first(c)).alias(c) for c in order["font"][2:]])
+    return found
 
 
-def read_pdf(spark: SparkSession, path: str, store: str) -> dict[str, DataFrame]:
+def read_pdf(spark: SparkSession, path: str, store: str, pages_per_range: int = 64) -> dict[str, DataFrame]:
     """Scan all PDF files under a path into Parquet at store, by kind, and return the tables.
 
-    Files are dealt to tasks by Spark's file sizes; a document is one row, so a task holds
-    one document at a time.
+    Contents are not loaded as rows: tasks read the files by ranges of bytes, so one file
+    of any number of pages is the work of many tasks.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path)
-    scan_pdf(files.select(F.col("path").alias("doc_id"), "content")).write.partitionBy("kind").parquet(store)
+    surveys = cut(survey(files.select(F.col("path").alias("doc_id"), "path")))
+    scan_ranges(surveys, pages_per_range).write.partitionBy("kind").parquet(store)
     return tables(spark.read.schema("doc_id string, row string, kind string").parquet(store))

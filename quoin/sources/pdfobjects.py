@@ -1,4 +1,4 @@
-"""The object layer of PDF: enough of it to read facts from a file held in memory.
+"""The object layer of PDF: enough of it to read facts from a file, of which only what is asked for is read.
 
 Values: None, bool, int, float, Name, bytes (strings), list, dict, Ref, Stream.
 """
@@ -8,6 +8,9 @@ from __future__ import annotations
 import re
 import zlib
 from base64 import a85decode
+from collections.abc import Iterator
+
+from quoin.sources.ranged import Held
 
 SPACE = b"\x00\t\n\x0c\r "
 DELIMITERS = b"()<>[]{}/%"
@@ -28,10 +31,16 @@ class Ref(tuple):
 
 
 class Stream:
-    __slots__ = ("dict", "raw")
+    """A dictionary and the place of its bytes, which are read when they are needed: those of images never are."""
+
+    __slots__ = ("dict", "source", "start", "end")
+
+    def __init__(self, d: dict, source: Held, start: int, end: int):
+        self.dict, self.source, self.start, self.end = d, source, start, end
 
-    def __init__(self, d: dict, raw: bytes):
-        self.dict, self.raw = d, raw
+    @property
+    def raw(self) -> bytes:
+        return self.source.read(self.start, self.end)
 
 
 class Keyword(bytes):
@@ -42,6 +51,10 @@ class Encrypted(Exception):
     """The file asks for a password."""
 
 
+class NotThere(KeyError):
+    """No object begins where one should."""
+
+
 ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
 
@@ -221,12 +234,23 @@ def inflate(data: bytes) -> bytes:
         return bytes(out)
 
 
-class Document:
-    """All objects of a file, by number; found by its tables or else by looking for them."""
+LOOK = 4096  #: bytes that most objects fit into
 
-    def __init__(self, data: bytes):
-        self.data, self.known, self.places, self.trailer = data, {}, {}, {}
-        if b"%PDF" not in data[:1024] and not HEADER.search(data):
+
+class Document:
+    """All objects of a file, by number; found by its tables or else by looking for them.
+
+    Objects are read one by one as they are asked for. Given the places and the trailer that
+    another reading of the file has found, the file's tables are not read again."""
+
+    def __init__(self, source: bytes | Held, places: dict[int, int | tuple[int, int]] | None = None, trailer: dict | None = None):
+        self.source = Held(source) if isinstance(source, bytes) else source
+        self.known: dict[int, object] = {}
+        self.own: dict[int, int] = {}  # numbers by the identity of values
+        self.places, self.trailer = places or {}, trailer or {}
+        if places is not None:
+            return
+        if b"%PDF" not in self.source.read(0, 1024) and next(self.source.matches(HEADER), None) is None:
             raise ValueError("not a PDF")
         try:
             self.tables()
@@ -239,54 +263,89 @@ class Document:
         if not isinstance(self.get(self.trailer.get("Root")), dict):
             raise ValueError("no catalogue")
 
+    def around(self, at: int, parse, size: int = LOOK):
+        """What parse(bytes from `at` on) gives: (value, how far it read). Where it came to the
+        end of the bytes it was given, which could cut a value short, it is given more."""
+        while True:
+            data = self.source.read(at, at + size)
+            whole = at + len(data) >= self.source.size
+            try:
+                value, end = parse(data)
+            except (ValueError, IndexError, TypeError):
+                if whole:
+                    raise
+                end = len(data)
+            if whole or end + 32 < len(data):
+                return value, at + end
+            size *= 8
+
     def tables(self) -> None:
-        starts = list(re.finditer(rb"startxref\s+(\d+)", self.data))
-        todo, done = [int(starts[-1][1])] if starts else [], set()
+        starts, tail = [], LOOK
+        while not starts and tail < 8 * self.source.size + 8 * LOOK:
+            starts = re.findall(rb"startxref\s+(\d+)", self.source.read(self.source.size - tail, self.source.size))
+            tail *= 8
+        todo, done = [int(starts[-1])] if starts else [], set()
         while todo:
             at = todo.pop(0)
-            if at in done or at >= len(self.data):
+            if at in done or at >= self.source.size:
                 continue
             done.add(at)
-            r = Reader(self.data, at)
-            r.gap()
-            if self.data.startswith(b"xref", r.at):
-                r.at += 4
-                while True:
-                    first = r.value()
-                    if not isinstance(first, int):
-                        break
-                    for n in range(first, first + r.value()):
-                        offset, generation, kind = r.value(), r.value(), r.value()
-                        if kind == b"n" and offset:
-                            self.places.setdefault(n, offset)
-                trailer = r.value()
-            else:
+            (found, trailer), _ = self.around(at, self.table, 1 << 16)
+            if trailer is None:
                 stream = self.object_at(at)
                 trailer = stream.dict
-                width = trailer["W"]
-                table, pos = self.decoded(stream), 0
-                index = trailer.get("Index") or [0, trailer["Size"]]
-                for first, count in zip(index[::2], index[1::2]):
-                    for n in range(first, first + count):
-                        fields = []
-                        for w, default in zip(width, (1, 0, 0)):
-                            fields.append(int.from_bytes(table[pos : pos + w], "big") if w else default)
-                            pos += w
-                        if fields[0] == 1:
-                            self.places.setdefault(n, fields[1])
-                        elif fields[0] == 2:
-                            self.places.setdefault(n, (fields[1], fields[2]))
+                found = self.entries(stream)
+            for n, place in found.items():
+                self.places.setdefault(n, place)
             for k, v in trailer.items():
                 self.trailer.setdefault(k, v)
             todo += [trailer[k] for k in ("XRefStm", "Prev") if isinstance(trailer.get(k), int)]
 
+    @staticmethod
+    def table(data: bytes) -> tuple[tuple[dict, dict | None], int]:
+        """Places and trailer of a table in text; no trailer if it is a stream."""
+        r, found = Reader(data), {}
+        r.gap()
+        if not data.startswith(b"xref", r.at):
+            return (found, None), r.at
+        r.at += 4
+        while True:
+            first = r.value()
+            if not isinstance(first, int):
+                break
+            for n in range(first, first + r.value()):
+                offset, _, kind = r.value(), r.value(), r.value()
+                if kind == b"n" and offset:
+                    found.setdefault(n, offset)
+        trailer = r.value()
+        if not isinstance(trailer, dict):
+            raise ValueError("no trailer")
+        return (found, trailer), r.at
+
+    def entries(self, stream: Stream) -> dict[int, int | tuple[int, int]]:
+        """Places in a table that is a stream."""
+        width, index = stream.dict["W"], stream.dict.get("Index") or [0, stream.dict["Size"]]
+        table, pos, found = self.decoded(stream), 0, {}
+        for first, count in zip(index[::2], index[1::2]):
+            for n in range(first, first + count):
+                fields = []
+                for w, default in zip(width, (1, 0, 0)):
+                    fields.append(int.from_bytes(table[pos : pos + w], "big") if w else default)
+                    pos += w
+                if fields[0] == 1:
+                    found.setdefault(n, fields[1])
+                elif fields[0] == 2:
+                    found.setdefault(n, (fields[1], fields[2]))
+        return found
+
     def search(self) -> None:
         """Find objects and trailers by their keywords; later ones count."""
         self.known.clear()
-        self.places = {int(m[1]): m.start() for m in HEADER.finditer(self.data)}
-        for m in re.finditer(rb"\btrailer\b", self.data):
+        self.own.clear()
+        self.places = {int(m[1]): at for at, m in self.source.matches(HEADER)}
+        for at, m in self.source.matches(re.compile(rb"\btrailer\b")):
             try:
-                found = Reader(self.data, m.end()).value()
+                found, _ = self.around(at + len(m[0]), lambda data: ((r := Reader(data)).value(), r.at))
             except (ValueError, IndexError):
                 continue
             if isinstance(found, dict):
@@ -306,22 +365,29 @@ class Document:
         return [r.value() for _ in range(2 * int(self.get(stream.dict.get("N")) or 0))][::2]
 
     def object_at(self, at: int):
-        m = HEADER.match(self.data, GAP.match(self.data, at).end())
-        if not m:
-            raise ValueError("no object")
-        r = Reader(self.data, m.end())
-        value = r.value()
-        r.gap()
-        if isinstance(value, dict) and self.data.startswith(b"stream", r.at):
-            start = r.at + 6
-            start += 2 if self.data[start : start + 2] == b"\r\n" else 1
-            length = self.get(value.get("Length"))
-            end = start + length if isinstance(length, int) and length >= 0 else -1
-            if end < 0 or not re.compile(rb"\s*endstream").match(self.data, end):
-                end = self.data.find(b"endstream", start)
-                end = len(self.data) if end < 0 else end
-            return Stream(value, self.data[start:end])
-        return value
+        def parse(data: bytes):
+            m = HEADER.match(data, GAP.match(data, 0).end())
+            if not m:
+                raise NotThere(at)
+            r = Reader(data, m.end())
+            value = r.value()
+            r.gap()
+            start = None
+            if isinstance(value, dict) and data.startswith(b"stream", r.at):
+                start = r.at + 6
+                start += 2 if data[start : start + 2] == b"\r\n" else 1
+            return (value, start), r.at
+
+        (value, start), _ = self.around(at, parse)
+        if start is None:
+            return value
+        start += at
+        length = self.get(value.get("Length"))
+        end = start + length if isinstance(length, int) and length >= 0 else -1
+        if end < 0 or not re.match(rb"\s*endstream", self.source.read(end, end + 64)):
+            end = self.source.find(b"endstream", start)
+            end = self.source.size if end < 0 else end
+        return Stream(value, self.source, start, end)
 
     def get(self, value, limit: int = 20):
         """The value itself, after up to `limit` references."""
@@ -343,8 +409,14 @@ class Document:
                     self.known[n] = self.object_at(place)
             except (ValueError, IndexError, KeyError, TypeError, AttributeError):
                 self.known[n] = None
+            if isinstance(self.known[n], dict | list | Stream):
+                self.own[id(self.known[n])] = n
         return self.known[n]
 
+    def number_of(self, value) -> int | None:
+        """The number of an object that was fetched; null for a value inside another object."""
+        return self.own.get(id(value))
+
     def decoded(self, stream: Stream) -> bytes:
         filters, parms = self.get(stream.dict.get("Filter", stream.dict.get("F"))), self.get(stream.dict.get("DecodeParms", stream.dict.get("DP")))
         filters = filters if isinstance(filters, list) else [filters] if filters else []
@@ -368,20 +440,33 @@ class Document:
                 raise ValueError(f"filter {f}")
         return data
 
-    def pages(self) -> list[dict]:
-        """The page dictionaries in order, with what they inherit."""
-        out, seen = [], set()
-        todo = [(self.get(self.trailer["Root"]).get("Pages"), {})]
+    def walk(self) -> Iterator[tuple[tuple[int, ...], dict]]:
+        """(path, dictionary with what it inherits) of the pages in order. A path says which kid to take, from the root down."""
+        seen = set()
+        todo = [((), self.get(self.trailer["Root"]).get("Pages"), {})]
         while todo:
-            ref, given = todo.pop()
+            path, ref, given = todo.pop()
             node = self.get(ref)
             if not isinstance(node, dict) or id(node) in seen:
                 continue
             seen.add(id(node))
-            own = given | {k: node[k] for k in ("Resources", "MediaBox", "CropBox", "Rotate") if k in node}
+            own = given | {k: node[k] for k in INHERITED if k in node}
             kids = self.get(node.get("Kids"))
             if isinstance(kids, list):
-                todo += [(k, own) for k in reversed(kids)]
+                todo += [((*path, i), k, own) for i, k in reversed(list(enumerate(kids)))]
             else:
-                out.append(own | node)
-        return out
+                yield path, own | node
+
+    def pages(self) -> list[dict]:
+        return [page for _, page in self.walk()]
+
+    def page_at(self, path: list[int]) -> dict:
+        """The page that walk() finds under a path; only the nodes on the way are read."""
+        node, own = self.get(self.get(self.trailer["Root"]).get("Pages")), {}
+        for i in path:
+            own |= {k: node[k] for k in INHERITED if k in node}
+            node = self.get(self.get(node["Kids"])[i])
+        return own | {k: node[k] for k in INHERITED if k in node} | node
+
+
+INHERITED = ("Resources", "MediaBox", "CropBox", "Rotate")
