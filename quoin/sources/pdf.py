@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from quoin.lineage import cut
 from quoin.schema import PDF
 from quoin.sources.pdfcolour import CMYK, GRAY, RGB, Space, evaluate, half_up, hexed, shown, space_of
+from quoin.sources.pdffonts import says
 from quoin.sources.pdfobjects import Document, Encrypted, Keyword, Name, Reader, Ref, Stream
 from quoin.sources.ranged import Opened
 
@@ -397,43 +398,15 @@ class Scan:
 
     def text(self, d: dict, operands: list, at: tuple, size: float) -> None:
         if id(d) not in self.maps:
-            to = self.entry(d, "ToUnicode")
-            try:
-                self.maps[id(d)] = character_map(self.doc.decoded(to)) if isinstance(to, Stream) else ("simple" if self.entry(d, "Subtype") != "Type0" else None)
-            except ValueError:
-                self.maps[id(d)] = None
+            self.maps[id(d)] = says(self.doc, d)
         parts = [x for o in operands for x in (o if isinstance(o, list) else [o])]
         codes, known = b"".join(p for p in parts if isinstance(p, bytes)), self.maps[id(d)]
-        if known is None or not codes:
-            said = None
-        elif known == "simple":
-            said = codes.decode("cp1252", "replace")
-        else:
-            width, table = known
-            said = "".join(table.get(codes[k : k + width], "") for k in range(0, len(codes), width)) or None
+        said = known(codes) if known is not None and codes else None
         if codes and (said is None or said.strip()):
             f = self.font(d)
             self.rows["text"].append({"page": self.page, "seq": self.next(), "str": said, "font_key": f["name"], "size": half_up(10 * size) / 10, "transform": list(at), "vertical": str(self.entry(d, "Encoding") or "").endswith("-V")})
 
 
-def character_map(data: bytes) -> tuple[int, dict[bytes, str]]:
-    """(bytes of a code, code -> text) of a ToUnicode map."""
-    utf = lambda b: b.decode("utf-16-be", "replace")
-    table: dict[bytes, str] = {}
-    for op, operands in operators(data):
-        if op == b"endbfchar":
-            table |= {a: utf(b) for a, b in zip(operands[::2], operands[1::2]) if isinstance(a, bytes) and isinstance(b, bytes)}
-        elif op == b"endbfrange":
-            for lo, hi, to in zip(operands[::3], operands[1::3], operands[2::3]):
-                for k, code in enumerate(range(int.from_bytes(lo, "big"), int.from_bytes(hi, "big") + 1)):
-                    if isinstance(to, list):
-                        said = utf(to[k]) if k < len(to) else ""
-                    else:
-                        said = utf(to[:-2]) + utf((int.from_bytes(to[-2:], "big") + k).to_bytes(2, "big"))
-                    table[code.to_bytes(len(lo), "big")] = said
-    return max(map(len, table), default=1), table
-
-
 DEVICE_OPS = {op: (which, space, n) for ops, space, n in (((b"g", b"G"), GRAY, 1), ((b"rg", b"RG"), RGB, 3), ((b"k", b"K"), CMYK, 4)) for op, which in zip(ops, ("fill", "stroke"))}
 PATH_OPS = {b"m": 2, b"l": 2, b"c": 6, b"v": 4, b"y": 4, b"re": 4}
 PAINT_OPS = {b"n": ()} | dict.fromkeys((b"f", b"F", b"f*"), ("fill",)) | dict.fromkeys((b"S", b"s"), ("stroke",)) | dict.fromkeys((b"B", b"B*", b"b", b"b*"), ("fill", "stroke"))
