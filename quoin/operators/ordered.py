@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +31,61 @@ def text_lines(runs: DataFrame, by: list[str], *, seq: str, text: str, y: str, g
     return placed.groupBy(*by, "island").agg(line.alias("line")).where("line != ''")
 
 
+BITS = 1 << 22  #: of the filter that runs are tried on; it is broadcast and has this size for any number of runs
+
+
+def _runs(sizes: list[int], known: np.ndarray | None):
+    """(key, n, run, place) of each run of n words of a row, for n in sizes: its words and its bit of
+    the filter. With a filter only runs whose bit is set; without one, of a row with fewer words than the longest, all its words as one."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch["ws"]
+            lengths = np.asarray(lists.value_lengths().fill_null(0), np.int64)
+            starts = np.cumsum(lengths) - lengths
+            coded = lists.flatten().dictionary_encode()
+            vocabulary, word = coded.dictionary.to_pylist(), np.asarray(coded.indices, np.int64)
+            hashed = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in vocabulary], np.uint64)[word]
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            for n in sizes:
+                at = np.arange(len(word) - n + 1) if len(word) >= n else np.zeros(0, np.int64)
+                at = at[owner[at] == owner[at + n - 1]]
+                place = np.full(len(at), n, np.uint64)
+                for k in range(n):
+                    place = (place ^ hashed[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+                    place ^= place >> np.uint64(29)
+                place %= np.uint64(BITS)
+                if known is None:  # rows of fewer words than the longest run have one run of all of them
+                    keep = (n == sizes[-1]) | (lengths[owner[at]] == n)
+                else:
+                    keep = known[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1 > 0
+                at, place = at[keep], place[keep].astype(np.int64)
+                runs = [" ".join([vocabulary[word[i + k]] for k in range(n)]) for i in at.tolist()]
+                yield pa.RecordBatch.from_arrays([batch["key"].take(pa.array(owner[at])), pa.array(np.full(len(at), n, np.int32)), pa.array(runs, pa.string()), pa.array(place)], ["key", "n", "run", "place"])
+
+    return rows
+
+
+def shared_runs(docs: DataFrame, items: DataFrame, doc: str, item: str, words: str = "ws", length: int = 3) -> DataFrame:
+    """The pairs (doc, item) that share `length` words in a row; an item of fewer words, but not none,
+    must be there as a whole.
+
+    The runs of all items set bits of a filter of fixed size. Each document tries its runs on the filter
+    where its words are, so that only those that some item may have become rows; these
+    then meet the items' runs word for word. Null lists and empty ones share nothing;
+    rows with equal keys count as one."""
+    told = lambda df, key: df.select(F.col(key).alias("key"), F.col(words).alias("ws"))
+    kind = lambda df, key: f"key {df.schema[key].dataType.simpleString()}, n int, run string, place long"
+    known = cut(told(items, item).mapInArrow(_runs(list(range(1, length + 1)), None), kind(items, item)).distinct())
+    bits, sizes = bytearray(BITS // 8), set()
+    marks = known.groupBy(F.expr("place div 8").alias("cell")).agg(F.bit_or(F.expr("shiftleft(1, cast(place % 8 as int))")).alias("bits"), F.collect_set("n").alias("sizes"))
+    for r in marks.collect():  # BITS / 8 rows at most
+        bits[r.cell] = r.bits
+        sizes.update(r.sizes)
+    maybe = told(docs, doc).mapInArrow(_runs(sorted(sizes), np.frombuffer(bytes(bits), np.uint8)), kind(docs, doc)).select(F.col("key").alias(doc), "n", "run").distinct()
+    return maybe.join(known.select(F.col("key").alias(item), "n", "run"), ["n", "run"]).select(doc, item).distinct()
+
+
 def contained_words(words: DataFrame, page_words: DataFrame, page: list[str], frame: list[str], *, pos: str = "pos", word: str = "word") -> DataFrame:
     """For each word of each frame whether its page has it.
 

@@ -44,10 +44,12 @@ def joined(pages: Column | str) -> Column:
 BAG = r"""
 words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM (SELECT doc_id, list_filter(regexp_split_to_array(strip_accents(lower(coalesce(text, ''))), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM documents)),
 items AS (SELECT item_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM (SELECT item_id, list_filter(regexp_split_to_array(strip_accents(lower(coalesce(text, ''))), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM benchmark)),
--- a document is a page of those items that share three words in a row with it
-doc_runs AS (SELECT DISTINCT doc_id, run FROM (SELECT doc_id, word || ' ' || lead(word) OVER w || ' ' || lead(word, 2) OVER w AS run FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WHERE run IS NOT NULL),
-item_runs AS (SELECT DISTINCT item_id, run FROM (SELECT item_id, word || ' ' || lead(word) OVER w || ' ' || lead(word, 2) OVER w AS run FROM items WINDOW w AS (PARTITION BY item_id ORDER BY pos)) WHERE run IS NOT NULL),
-pair AS (SELECT DISTINCT doc_id, item_id FROM doc_runs JOIN item_runs USING (run)),
+-- a document is a page of those items that share three words in a row with it, or all their words, if these are fewer
+item_size AS (SELECT item_id, least(3, count(*)) AS n FROM items GROUP BY item_id),
+doc_runs AS (SELECT doc_id, [word, word || ' ' || lead(word) OVER w, word || ' ' || lead(word) OVER w || ' ' || lead(word, 2) OVER w] AS runs FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+item_runs AS (SELECT DISTINCT item_id, n, run FROM (SELECT item_id, [word, word || ' ' || lead(word) OVER w, word || ' ' || lead(word) OVER w || ' ' || lead(word, 2) OVER w] AS runs FROM items WINDOW w AS (PARTITION BY item_id ORDER BY pos)) JOIN item_size USING (item_id), unnest([runs[n]]) AS r(run) WHERE run IS NOT NULL),
+each_run AS (SELECT DISTINCT doc_id, n, runs[n] AS run FROM doc_runs, (SELECT DISTINCT n FROM item_size)),
+pair AS (SELECT DISTINCT doc_id, item_id FROM each_run JOIN item_runs USING (n, run)),
 bag AS (SELECT doc_id, word, count(*) AS have FROM words GROUP BY ALL),
 compact AS (SELECT doc_id, string_agg(word, '' ORDER BY pos) AS txt FROM words GROUP BY doc_id),
 checked AS (
@@ -65,13 +67,12 @@ verdict AS (
 def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of benchmark items (frames) on documents (pages) that share three words in a row
     with them; only the words of such documents and items go further."""
-    told = lambda t, key: table(spark, sf_dir, t).select(key, text.words(F.col("text")).alias("ws"))
-    runs = lambda df, key: df.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("ws") - 2), lambda k: F.array_join(F.slice("ws", k, 3), " ")))).alias("run"))
-    docs, items = cut(told("documents", "doc_id")), told("benchmark", "item_id")
-    long = lambda df: df.where(F.size("ws") >= 3)
-    pair = cut(runs(long(docs), "doc_id").join(runs(long(items), "item_id"), "run").select("doc_id", "item_id").distinct())
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    told = lambda df, key: df.select(key, text.words(F.col("text")).alias("ws"))
+    items = told(table(spark, sf_dir, "benchmark"), "item_id")
+    pair = cut(ordered.shared_runs(told(docs, "doc_id"), items, "doc_id", "item_id"))
     spread = lambda df, key: df.select(key, F.posexplode("ws").alias("pos", "word"))
-    words = spread(docs.join(pair.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
+    words = spread(cut(told(docs.join(pair.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")), "doc_id")
     return ordered.contained_words(pair.join(spread(items, "item_id"), "item_id"), words, ["doc_id"], ["item_id"])
 
 
