@@ -89,6 +89,29 @@ def all_paint(paint: DataFrame, placement: DataFrame, image: DataFrame) -> DataF
     return paint.unionByName(used.select(*[c.alias(n) for n, c in base.items()]))
 
 
+def steps_of(profiles: DataFrame, setting: str) -> list[float]:
+    """The distinct limits that profiles set, in order."""
+    found = sorted({r[0] for r in profiles.select(setting).limit(MOST_PROFILES + 1).collect()})
+    if len(found) > MOST_PROFILES:
+        raise ValueError(f"more than {MOST_PROFILES} profiles at a time")
+    return found
+
+
+def stepped(rows: DataFrame, value: Column, limits: list[float], pages: Column, *, above: bool = False) -> DataFrame:
+    """(doc_id, step, n, pages): facts summed between limits, before they meet any profile. step is how many
+    limits the value has reached (with above: passed); pages an array."""
+    reached = F.filter(F.array(*map(F.lit, limits)), (lambda t: t < value) if above else (lambda t: t <= value))
+    return rows.groupBy("doc_id", F.size(reached).alias("step")).agg(F.count("*").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(pages)))).alias("pages"))
+
+
+def beyond(sums: DataFrame, profiles: DataFrame, setting: str, limits: list[float], *, above: bool = False) -> DataFrame:
+    """(doc_id, profile_id, n, pages) of what lies below each profile's limit (with above: beyond it)."""
+    nth = F.array_position(F.array(*map(F.lit, limits)), F.col(setting)) - 1
+    p = F.broadcast(profiles.select("profile_id", nth.alias("__nth")))
+    both = sums.join(p, F.col("step") > F.col("__nth") if above else F.col("step") <= F.col("__nth"))
+    return both.groupBy("doc_id", "profile_id").agg(F.sum("n").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("pages"))
+
+
 def evaluate(facts: dict[str, DataFrame], profiles: DataFrame, idml: DataFrame | None = None) -> DataFrame:
     """All findings of all documents under all profiles, numbered by place: severity, then
     the order of the rules.
@@ -110,13 +133,13 @@ def evaluate(facts: dict[str, DataFrame], profiles: DataFrame, idml: DataFrame |
     out.append(finding(every(kinds), 1, "page-size", F.when(F.col("sizes") == 1, "pass").otherwise("warn"), F.col("list"), F.col("second")))
 
     # bleed
-    need = F.col("bleed_mm") * MM_PT
-    short = every(page).groupBy("doc_id", "profile_id", "bleed_mm").agg(
-        F.count_if(F.col("trim").isNull()).alias("unknown"), F.count("*").alias("pages_n"),
-        distinct_sorted(F.when(F.col("trim").isNull(), F.col("page"))).alias("no_box"),
-        distinct_sorted(F.when(F.col("bleed_pt") + 0.05 < need, F.col("page"))).alias("lacking"),
+    limits = steps_of(profiles, "bleed_mm")
+    lacking = beyond(stepped(page.where("bleed_pt is not null"), F.col("bleed_pt") + 0.05, [v * MM_PT for v in limits], F.array("page")), profiles, "bleed_mm", limits)
+    short = page.groupBy("doc_id").agg(
+        F.count_if(F.col("trim").isNull()).alias("unknown"), F.count("*").alias("pages_n"), distinct_sorted(F.when(F.col("trim").isNull(), F.col("page"))).alias("no_box"),
         F.slice(distinct_sorted(places(mm(F.col("bleed_pt")))), 1, 4).alias("have"),
     )
+    short = every(short).join(lacking.withColumnRenamed("pages", "lacking"), ["doc_id", "profile_id"], "left").withColumn("lacking", F.coalesce("lacking", F.array().cast("array<int>")))
     none = F.col("unknown") == F.col("pages_n")
     level = F.when(none & (F.col("bleed_mm") > 0), "error").when(none, "info").when(F.size("lacking") > 0, "error").otherwise("pass")
     out.append(finding(short, 2, "bleed", level, F.array_join(F.transform("have", plain), ", "), F.when(none, F.slice("no_box", 1, 200)).otherwise(F.col("lacking"))))
@@ -157,10 +180,13 @@ def evaluate(facts: dict[str, DataFrame], profiles: DataFrame, idml: DataFrame |
     out.append(finding(every(registered), 14, "registration", F.when(F.col("room"), "info").otherwise("warn"), "", F.col("on")))
 
     # total ink
-    ink = every(inv.where("kind = 'cmyk' and tac is not null").select("doc_id", "tac", "pages", "label", "place")).where("max_ink > 0")
-    over = F.col("tac") > F.col("max_ink") + 0.5
-    ink = ink.groupBy("doc_id", "profile_id").agg(F.bool_or(over).alias("over"), F.max_by("label", F.struct("tac", -F.col("place"))).alias("top"), F.max("tac").alias("most"), pages_of(over).alias("pages"))
-    out.append(finding(ink, 15, "total-ink", F.when(F.col("over"), "warn").otherwise("pass"), F.concat("top", F.lit(" = "), plain(F.col("most")), F.lit("%")), F.when(F.col("over"), F.col("pages"))))
+    paid = inv.where("kind = 'cmyk' and tac is not null").select("doc_id", "tac", "pages", "label", "place")
+    limits = steps_of(profiles, "max_ink")
+    over = beyond(stepped(paid, F.col("tac"), [v + 0.5 for v in limits], F.col("pages"), above=True), profiles, "max_ink", limits, above=True)
+    top = paid.groupBy("doc_id").agg(F.max_by("label", F.struct("tac", -F.col("place"))).alias("top"), F.max("tac").alias("most"))
+    ink = every(top).where("max_ink > 0").join(over, ["doc_id", "profile_id"], "left")
+    is_over = F.col("n").isNotNull()
+    out.append(finding(ink, 15, "total-ink", F.when(is_over, "warn").otherwise("pass"), F.concat("top", F.lit(" = "), plain(F.col("most")), F.lit("%")), F.when(is_over, F.col("pages"))))
 
     # overprint, resolution, PDF/X, pages that could not be read
     lists = page.groupBy("doc_id").agg(distinct_sorted(F.when(F.col("overprint"), F.col("page"))).alias("overprint"), distinct_sorted(F.when(F.col("unreadable"), F.col("page"))).alias("unreadable"))
@@ -168,10 +194,11 @@ def evaluate(facts: dict[str, DataFrame], profiles: DataFrame, idml: DataFrame |
     out.append(finding(lists.where(F.size("overprint") > 0), 16, "overprint", "info", "", F.col("overprint")))
     grade = gradeable(facts["placement"])
     worst = best_row(grade.select("doc_id", "page", "seq", "ppi"), ["doc_id"], [F.col("ppi"), F.col("seq")]).select("doc_id", F.col("page").alias("w_page"), F.col("ppi").alias("w_ppi"))
-    low = F.col("ppi") + 0.5 < F.col("min_ppi")
-    res = every(grade.select("doc_id", "page", "ppi")).groupBy("doc_id", "profile_id").agg(F.count_if(low).alias("low"), distinct_sorted(F.when(low, F.col("page"))).alias("pages")).join(worst, "doc_id")
-    is_low = F.col("low") > 0
-    out.append(finding(res, 17, "image-ppi", F.when(is_low, "warn").otherwise("pass"), half_up(F.col("w_ppi")).cast("string"), F.col("pages"), (F.when(is_low, F.col("w_page")), F.when(is_low, half_up(F.col("w_ppi"))))))
+    limits = steps_of(profiles, "min_ppi")
+    low = beyond(stepped(grade, F.col("ppi") + 0.5, limits, F.array("page")), profiles, "min_ppi", limits)
+    res = every(worst).join(low, ["doc_id", "profile_id"], "left")
+    is_low = F.col("n").isNotNull()
+    out.append(finding(res, 17, "image-ppi", F.when(is_low, "warn").otherwise("pass"), half_up(F.col("w_ppi")).cast("string"), F.when(is_low, F.col("pages")), (F.when(is_low, F.col("w_page")), F.when(is_low, half_up(F.col("w_ppi"))))))
     out.append(finding(every(doc), 18, "pdfx", "info", F.concat_ws(" ", "pdfx", "intent_id")))
     out.append(finding(lists.where(F.size("unreadable") > 0), 19, "unreadable", "info", "", F.col("unreadable")))
 
