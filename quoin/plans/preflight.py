@@ -220,6 +220,24 @@ def summary(findings: DataFrame) -> DataFrame:
     return s.withColumn("verdict", F.when(F.col("error") > 0, "bad").when(F.col("warn") > 0, "warn").otherwise("ok"))
 
 
+LEVELS = {"corpus": [], "profile": ["profile_id"], "rule": ["profile_id", "id"], "document": ["profile_id", "doc_id"]}
+
+
+def levels(findings: DataFrame) -> DataFrame:
+    """Findings counted at four levels in one pass: over all, by profile, by profile and
+    rule, by profile and document. scope names the level; keys that a level sums over are null. pages is the number
+    of page references, verdict as in summary(). Only sums cross the exchange."""
+    keys = ["profile_id", "id", "doc_id"]
+    rank = F.array_position(F.array(*map(F.lit, SEVERITY)), F.col("level"))
+    sums = [F.count_if(F.col("level") == s).alias(s) for s in SEVERITY]
+    sets = findings.select(*keys, "level", "count", rank.alias("__rank")).groupingSets([[F.col(c) for c in some] for some in LEVELS.values()], *keys)
+    out = sets.agg(F.grouping_id().alias("__g"), *sums, F.coalesce(F.sum("count"), F.lit(0)).alias("pages"), F.min("__rank").alias("__worst"))
+    bit = lambda some: sum(1 << (2 - i) for i, c in enumerate(keys) if c not in some)
+    scope = F.coalesce(*[F.when(F.col("__g") == bit(some), name) for name, some in LEVELS.items()])
+    verdict = F.when(F.col("__worst") == 1, "bad").when(F.col("__worst") == 2, "warn").otherwise("ok")
+    return out.select(scope.alias("scope"), *keys, *SEVERITY, "pages", verdict.alias("verdict"))
+
+
 def problems(inv: DataFrame, profiles: DataFrame) -> DataFrame:
     """The colour inventory under each profile, with problem."""
     bad = F.col("kind").isin("rgb", "lab", "registration") | ((F.col("kind") == "gradient") & (F.col("family") == "RGB")) | ((F.col("kind") == "spot") & ~F.col("allow_spot"))
