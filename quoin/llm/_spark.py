@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,26 +31,48 @@ def shared_dir(spark: SparkSession) -> str:
 WRITTEN: list[str] = []
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished writes now: it does so when the driver's
+    garbage is collected, which otherwise can be long after they are of use."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: the lineage ends
     here, and the files outlive any executor."""
     path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
     WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing will read again: all that was made of them is written."""
+    for df in tables:
+        files = df.inputFiles()
+        path = next((w for w in WRITTEN if files and files[0].rsplit("/", 1)[0].endswith(w.rsplit("/", 1)[1])), None)
+        if path:
+            delete(df.sparkSession, path)
+            WRITTEN.remove(path)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Drop the tables that are materialised inside, once what was made of them is written."""
-    before = len(WRITTEN)
+    before = set(WRITTEN)
     try:
         yield
     finally:
-        for path in WRITTEN[before:]:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        del WRITTEN[before:]
+        for path in [w for w in WRITTEN if w not in before]:
+            delete(spark, path)
+            WRITTEN.remove(path)
 
 
 def prefix_sums(df: DataFrame, order: list[str], sums: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quoin.llm._spark import materialise
+from quoin.llm._spark import drop, materialise
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -18,12 +18,15 @@ def components(links: DataFrame) -> DataFrame:
     both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).where("node != other")
     both = materialise(both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct(), "edges")
     label = materialise(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), "labels")
+    held = label
     while True:
         near = both.join(label.select(F.col("node").alias("other"), F.col("label").alias("heard")), "other").groupBy("node").agg(F.min("heard").alias("heard"))
         step = label.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "heard").alias("label"))
         jump = label.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
         step = materialise(step.join(jump, "label", "left").select("node", "was", F.least("label", "beyond").alias("label")), "labels")
         done = step.where("was != label").isEmpty()
-        label = step.select("node", "label")
+        drop(held)
+        held, label = step, step.select("node", "label")
         if done:
+            drop(both)
             return label

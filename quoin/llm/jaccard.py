@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quoin.llm._spark import materialise
+from quoin.llm._spark import drop, materialise
 from quoin.llm._words import BASES, Texts, chunks, lists, run_hashes, scramble, signed
 from quoin.llm.components import components
 
@@ -482,7 +482,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     heads = heads.where(f"100 * least(size, head.size) >= {percent} * greatest(size, head.size)").groupBy(F.col("class").alias("a"), F.col("head.class").alias("b"), "head.k").agg(F.count("*").alias("keys"))
     best = heads.groupBy("a", "k").agg(F.max_by("b", F.struct("keys", "b")).alias("b")).select("a", "b")
     tried = materialise(close(best.distinct(), nodes, percent), "pairs")
-    met = materialise(links(tried, set_table(tried.select(F.explode(F.array("a", "b")).alias("class")), nodes, rows), percent), "links")
+    sets = set_table(tried.select(F.explode(F.array("a", "b")).alias("class")), nodes, rows)
+    met = materialise(links(tried, sets, percent), "links")
+    drop(sets)
     label = components(met)
 
     # what is left lies across components: with large ones and in hot keys by blocks, else by pairs
@@ -490,6 +492,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     named = open_keys(shared.select("key", "class", "size"), label).join(many, "label", "left")
     beside = F.coalesce(F.max("large").over(group), F.lit(False))  # a large component shares the key
     named = materialise(named.withColumns({"g": F.count(F.when(F.col("large").isNull(), 1)).over(group), "beside": beside}), "open")
+    drop(shared)
     few = named.where("large is null")
     a, b = (few.where(F.col("g") < HOT).select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "size", "label")]) for s in "ab")
     across = a.join(b, "key").where(f"label_a != label_b and (size_a, class_a) < (size_b, class_b) and 100 * size_a >= {percent} * size_b")
@@ -497,13 +500,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     for pair in (["a", "b"], ["b", "a"]):
         across = across.join(tried.toDF(*pair), ["a", "b"], "left_anti")
     across = materialise(close(across, nodes, percent), "pairs")
+    drop(tried)
     asks, told = (materialise(x, "side") for x in sides(named))
     near = ask_pairs(asks, told, nodes, percent).unionByName(hot_pairs(few.where(F.col("g") >= HOT), nodes, percent))
     near = materialise(near.withColumn("k", F.monotonically_increasing_id()), "near")
+    drop(asks, told, named)
     wanted = near.select(F.explode("classes").alias("class")).unionByName(across.select(F.explode(F.array("a", "b")).alias("class")))
     sets = set_table(wanted, nodes, rows)
     found = [links(across, sets, percent), hot_links(near, sets, percent)]
-    label = components(met.unionByName(materialise(reduce(DataFrame.unionByName, found), "links")))
+    found = materialise(reduce(DataFrame.unionByName, found), "links")
+    drop(sets, near, across)
+    label = components(met.unionByName(found))
+    drop(met, found)
 
     # the least id of a component comes from its classes; each table is written before it is
     # joined, so that the rows of one component or of one class can be dealt to several tasks
