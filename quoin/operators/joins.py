@@ -159,25 +159,57 @@ def restore_order(rows: DataFrame, manifest: DataFrame, scope: list[str], key: s
     return both.withColumn("ord", F.row_number().over(w) - 1).drop("__o")
 
 
+def near_keys(a: DataFrame, b: DataFrame, cols: list[str], tolerance: float, key: str) -> DataFrame:
+    """The keys of a that have a row of b within the tolerance in all columns. Cells in all (up to three) columns."""
+    dims = cols[:3]
+    cell = lambda c: F.floor(F.col(c) / tolerance)
+    left = a.select(key, *cols, *[cell(c).alias(f"__c{i}") for i, c in enumerate(dims)])
+    right = b.select(*[F.col(c).alias(f"{c}_b") for c in cols]).distinct()
+    for i, c in enumerate(dims):
+        right = right.withColumn(f"__c{i}", F.explode(F.sequence(F.floor(F.col(f"{c}_b") / tolerance) - 1, F.floor(F.col(f"{c}_b") / tolerance) + 1)))
+    both = left.join(right, [f"__c{i}" for i in range(len(dims))])
+    for c in cols:
+        both = both.where(F.abs(F.col(c) - F.col(f"{c}_b")) <= tolerance)
+    return both.select(key).distinct()
+
+
+def scaled_matches(colours: DataFrame, swatches: DataFrame, inks: list[str], key: str, tolerance: float, most: float = 1.001) -> DataFrame:
+    """The keys of colours that are a swatch times one factor above 0 and below `most`, within the tolerance in every ink.
+
+    The factor is given by the swatch's first ink that is not 0. With it, whether the other inks fit
+    depends on their ratios to that ink alone: |ratio * own - ink| <= tolerance. So swatches of equal
+    ratios are one, of which the fullest counts, and colours meet swatches in cells of ratios. A colour's
+    cells are as wide as its tolerance, a power of two on the level of its own amount of that ink; swatches stand on all levels
+    that colours have, a few dozen, in the cells around their own."""
+    first = F.coalesce(*[F.when(F.col(c) > 0, F.lit(i)) for i, c in enumerate(inks)])
+    amounts = F.array(*[F.col(c).cast("double") for c in inks])
+    b = swatches.select(first.alias("__first"), amounts.alias("__v")).where("__first is not null")
+    lead = F.get("__v", F.col("__first"))
+    b = b.select("__first", lead.alias("__lead"), F.transform("__v", lambda v: F.try_divide(v, lead)).alias("__ratios"))
+    b = b.groupBy("__first", "__ratios").agg(F.max("__lead").alias("__lead"))
+    # a colour can be a tint by any ink that it has
+    a = colours.select(key, amounts.alias("__a")).select(key, "__a", F.posexplode("__a").alias("__first", "__own")).where("__own > 0")
+    a = a.withColumn("__level", F.ceil(F.log2(F.try_divide(F.lit(tolerance), F.col("__own")))).cast("int"))
+    levels = a.select("__first", "__level").distinct().groupBy("__first").agg(F.collect_set("__level").alias("__levels"))
+    others = lambda values: F.filter(values, lambda v, i: i != F.col("__first"))
+    cells = min(3, len(inks) - 1)
+    width = F.pow(F.lit(2.0), F.col("__level"))
+    b = b.join(levels, "__first").withColumn("__level", F.explode("__levels"))
+    for i in range(cells):
+        mid = F.floor(F.get(others("__ratios"), F.lit(i)) / width)
+        b = b.withColumn(f"__c{i}", F.explode(F.sequence(mid - 1, mid + 1)))
+        a = a.withColumn(f"__c{i}", F.floor(F.try_divide(F.get(others("__a"), F.lit(i)), F.col("__own")) / width))
+    both = a.join(b.drop("__levels"), ["__first", "__level", *[f"__c{i}" for i in range(cells)]]).where(F.try_divide(F.col("__own"), F.col("__lead")) < most)
+    fits = F.forall(F.arrays_zip("__a", "__ratios"), lambda x: F.abs(x["__ratios"] * F.col("__own") - x["__a"]) <= tolerance)
+    return both.where(fits).select(key).distinct()
+
+
 def swatch_match(colours: DataFrame, swatches: DataFrame, inks: list[str], *, key: str, tolerance: float = 0.6, tint_tolerance: float = 0.8) -> DataFrame:
     """colours (key, inks in percent) with match: 'exact' where a swatch has all inks within
     the tolerance, 'tint' where all inks of a swatch, times one factor up to 1, come within
-    tint_tolerance of the colour's, else 'other'.
-
-    The factor is that of the swatch's first ink that is not 0, which the colour then has to
-    use too: the two sides meet on that ink. Both are the distinct colours and swatches of
-    one document or palette, a set of hundreds.
-    """
-    near = near_numbers(colours.select(key, *inks), swatches.select(*inks).distinct(), inks, tolerance).select(F.col(key).alias("__k")).distinct().withColumn("__exact", F.lit(True))
-    left, right = (df.select(*[F.col(c).alias(f"{c}_{s}") for c in inks], *([key] if s == "a" else [])) for df, s in ((colours, "a"), (swatches.distinct(), "b")))
-    first = F.coalesce(*[F.when(F.col(f"{c}_b") > 0, F.lit(i)) for i, c in enumerate(inks)])
-    right = right.withColumn("__first", first).where("__first is not null")
-    # a colour can be a tint by any ink that it has; a swatch only by its first
-    left = left.withColumn("__first", F.explode(F.filter(F.array(*[F.when(F.col(f"{c}_a") > 0, F.lit(i)) for i, c in enumerate(inks)]), lambda x: x.isNotNull())))
-    at = lambda s: F.element_at(F.array(*[F.col(f"{c}_{s}") for c in inks]), F.col("__first") + 1)
-    both = left.join(right, "__first").withColumn("__f", at("a") / at("b")).where("__f > 0 and __f < 1.001")
-    for c in inks:
-        both = both.where(F.abs(F.col(f"{c}_b") * F.col("__f") - F.col(f"{c}_a")) <= tint_tolerance)
-    tints = both.select(F.col(key).alias("__t")).distinct().withColumn("__tint", F.lit(True))
+    tint_tolerance of the colour's, else 'other'. Both sides meet in cells (near_keys, scaled_matches), so
+    neither is compared with all of the other. Null inks match nothing; keys are unique."""
+    near = near_keys(colours, swatches, inks, tolerance, key).select(F.col(key).alias("__k"), F.lit(True).alias("__exact"))
+    tints = scaled_matches(colours, swatches.select(*inks).distinct(), inks, key, tint_tolerance).select(F.col(key).alias("__t"), F.lit(True).alias("__tint"))
     out = colours.join(near, colours[key] == near["__k"], "left").join(tints, colours[key] == tints["__t"], "left")
     return out.select(*[colours[c] for c in colours.columns], F.when(F.col("__exact"), "exact").when(F.col("__tint"), "tint").otherwise("other").alias("match"))
