@@ -14,10 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quoin.functions.text import font_key
+from quoin.functions.text import clean_family, font_key
 from quoin.lineage import cut
 from quoin.operators import joins
 from quoin.operators.hierarchy import given, pins
+from quoin.plans.roles import MOODS
 from quoin.plans.structure import NORMAL, effective_runs, resolved_styles
 from quoin.sources.idml import scan_idml, tables, unzipped, zipped
 
@@ -38,6 +39,25 @@ def font_map(entries: DataFrame) -> DataFrame:
     return named.select("doc_id", font_key(F.col("from_family"), F.nullif("from_style", F.lit(""))).alias("key"), F.trim("to_family").alias("family"), style.alias("style"))
 
 
+# Fixed value: what makes a font of a preset a headline's.
+BOLDISH = "(?i)bold|black|heavy|semibold|demi|extrabold"
+
+
+def preset(fonts: DataFrame, mood: str) -> DataFrame:
+    """Entries of a font map for all fonts (doc_id, family, style) of documents: bold ones take
+    the mood's headline font, others that of its body."""
+    head, body, _ = MOODS[mood]
+    bold = F.coalesce(F.col("style").rlike(BOLDISH), F.lit(False))
+    pick = lambda k: F.when(bold, head[k]).otherwise(body[k])
+    return fonts.select("doc_id", F.col("family").alias("from_family"), F.col("style").alias("from_style"), pick(0).alias("to_family"), pick(1).alias("to_style")).distinct()
+
+
+def unknown_families(mapping: DataFrame, fonts: DataFrame) -> DataFrame:
+    """(doc_id, family): target families that a document's font list (doc_id, family) doesn't have."""
+    told = lambda df: df.select("doc_id", "family", F.lower(clean_family(F.col("family"))).alias("__clean"))
+    return told(mapping).join(told(fonts).select("doc_id", "__clean").distinct(), ["doc_id", "__clean"], "left_anti").select("doc_id", "family").distinct()
+
+
 def wanted(fonts: DataFrame, mapping: DataFrame) -> DataFrame:
     """fonts (doc_id, font, font_style, …) with want_font and want_style: the mapped font, or
     the same as before."""

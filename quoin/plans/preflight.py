@@ -39,7 +39,6 @@ def sanitise(settings: DataFrame, json: str = "json") -> DataFrame:
     """Profiles from JSON text: numbers are kept if finite and not negative ('' is 0),
     booleans by truth, anything else takes the default."""
     raw = F.from_json(json, "map<string,string>")
-    camel = lambda k: "".join(w if i == 0 else w.capitalize() for i, w in enumerate(k.split("_")))
     out = []
     for k, v in DEFAULTS.items():
         given = raw[camel(k)]
@@ -50,6 +49,22 @@ def sanitise(settings: DataFrame, json: str = "json") -> DataFrame:
     return settings.select(*[c for c in settings.columns if c != json], *out)
 
 
+def camel(name: str) -> str:
+    head, *rest = name.split("_")
+    return head + "".join(w.capitalize() for w in rest)
+
+
+def save_profiles(profiles: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Profiles as lines of JSON: the name, and the settings as text that sanitise() reads."""
+    settings = F.to_json(F.struct(*[F.col(k).alias(camel(k)) for k in DEFAULTS]))
+    profiles.select("profile_id", settings.alias("json")).write.mode(mode).json(path)
+
+
+def load_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """Saved profiles, each setting checked, with defaults for what is missing."""
+    return sanitise(spark.read.schema("profile_id string, json string").json(path))
+
+
 def bleed_of(page: DataFrame) -> DataFrame:
     """page with bleed_pt: how far the page goes past its trim on the narrowest side, null without a trim box."""
     t, o = (lambda f: F.col(f"trim.{f}")), (lambda f: F.coalesce(F.col(f"bleed.{f}"), F.col(f"media.{f}")))

@@ -169,7 +169,8 @@ def compare_with_pdf(items: DataFrame, pages: DataFrame, story: DataFrame, pdf_t
 
 
 def findings(t: dict[str, DataFrame]) -> DataFrame:
-    """(doc_id, level, code, refs, count) of all documents; refs are the first 20."""
+    """(doc_id, level, code, refs, count) of all documents; refs are the first 20 in the order met:
+    items as they come in the document, stories as it lists them, others by name."""
     # fourteen reports read these two: they are computed once
     items = cut(placed_items(t["item"], t["page"]))
     frames, masters = items.where("kind = 'TextFrame'"), t["item"].where("kind = 'TextFrame' and is_master")
@@ -179,12 +180,18 @@ def findings(t: dict[str, DataFrame]) -> DataFrame:
     named = masters.select("doc_id", "story_id").unionByName(frames.select("doc_id", "story_id")).unionByName(t["story"].select("doc_id", F.explode("anchored_stories").alias("story_id")))
     everything = frames.select("doc_id", "item_id").unionByName(masters.select("doc_id", "item_id"))
 
-    def report(rows: DataFrame, level: str, code: str, ref: str | Column) -> DataFrame:
+    listed = t["story"].join(t["manifest"].where("kind = 'Story'").select("doc_id", "src", F.col("ord").alias("nth")), ["doc_id", "src"], "left").select("doc_id", "story_id", "nth")
+
+    def report(rows: DataFrame, level: str, code: str, ref: str | Column, order: str | None = None) -> DataFrame:
+        if order == "nth":
+            rows = rows.join(listed, ["doc_id", "story_id"], "left")
         ref = F.col(ref) if isinstance(ref, str) else ref
-        # the first 20 in the order of the refs, found without gathering the others
+        # the first 20, found without gathering the others
         counts = rows.groupBy("doc_id").agg(F.count("*").alias("count"))
-        refs = aggregates.examples(rows.select("doc_id", ref.alias("ref")).where("ref is not null").distinct(), ["doc_id"], [F.col("ref")], 20)
-        out = counts.join(refs.groupBy("doc_id").agg(F.array_sort(F.collect_list("ref")).alias("refs")), "doc_id", "left").withColumn("refs", F.coalesce("refs", F.array().cast("array<string>")))
+        refs = rows.select("doc_id", ref.alias("ref"), (F.col(order) if order else F.lit(0)).alias("nth")).where("ref is not null").groupBy("doc_id", "ref").agg(F.min("nth").alias("nth"))
+        refs = aggregates.examples(refs, ["doc_id"], [F.col("nth").asc_nulls_last(), F.col("ref")], 20)
+        in_order = F.transform(F.array_sort(F.collect_list(F.struct("example", "ref"))), lambda x: x["ref"])
+        out = counts.join(refs.groupBy("doc_id").agg(in_order.alias("refs")), "doc_id", "left").withColumn("refs", F.coalesce("refs", F.array().cast("array<string>")))
         return out.select("doc_id", F.lit(level).alias("level"), F.lit(code).alias("code"), "refs", "count")
 
     parts = t["manifest"]
@@ -194,14 +201,14 @@ def findings(t: dict[str, DataFrame]) -> DataFrame:
     fonts = font_usage(effective, t["font"])
     missing = parts.where("kind = 'Spread' and not there")  # whatever the part is named, and whether it has pages or not
     out = [
-        report(missing, "error", "missing-spread", "src"),
-        report(joins.dangling(parts.where("kind = 'Story'"), have, [("doc_id", "doc_id"), ("src", "src")]), "error", "missing-story", "src"),
-        report(joins.dangling(frames, stories, [("doc_id", "doc_id"), ("story_id", "story_id")]), "error", "frame-without-story", "item_id"),
-        report(joins.unreferenced(stories, named, [("doc_id", "doc_id"), ("story_id", "story_id")]), "info", "orphan-stories", "story_id"),
-        report(joins.broken_links(frames, ["doc_id"], "item_id", ["next", "prev"], everything), "warn", "broken-thread", "item_id"),
-        report(joins.in_several(frames, ["doc_id"], "story_id", F.col("next").isNotNull() | F.col("prev").isNotNull()), "warn", "story-in-several-frames", "story_id"),
-        report(art.where("linked > 0"), "info", "linked-artwork", "item_id"),
-        report(art.where("text_paths > 0"), "warn", "text-on-path", "item_id"),
+        report(missing, "error", "missing-spread", "src", "ord"),
+        report(joins.dangling(parts.where("kind = 'Story'"), have, [("doc_id", "doc_id"), ("src", "src")]), "error", "missing-story", "src", "ord"),
+        report(joins.dangling(frames, stories, [("doc_id", "doc_id"), ("story_id", "story_id")]), "error", "frame-without-story", "item_id", "ord"),
+        report(joins.unreferenced(stories, named, [("doc_id", "doc_id"), ("story_id", "story_id")]), "info", "orphan-stories", "story_id", "nth"),
+        report(joins.broken_links(frames, ["doc_id"], "item_id", ["next", "prev"], everything), "warn", "broken-thread", "item_id", "ord"),
+        report(joins.in_several(frames, ["doc_id"], "story_id", F.col("next").isNotNull() | F.col("prev").isNotNull()), "warn", "story-in-several-frames", "story_id", "nth"),
+        report(art.where("linked > 0"), "info", "linked-artwork", "item_id", "ord"),
+        report(art.where("text_paths > 0"), "warn", "text-on-path", "item_id", "ord"),
         report(totals.where("run_font_chars > 0"), "warn", "run-level-fonts", F.col("run_font_chars").cast("string")),
         report(fonts.where("status in ('NotAvailable', 'Substituted')"), "warn", "fonts-unavailable", F.concat_ws(" ", "family", "style")),
         report(t["layer"].where("not visible"), "info", "hidden-layers", "name"),
@@ -212,9 +219,33 @@ def findings(t: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, out)
 
 
-def structure_json(items: DataFrame, pages: DataFrame, story: DataFrame, limit: int = 300) -> DataFrame:
-    """One JSON text for each page, with its frames and the first characters of their text."""
+def story_styles(run: DataFrame, style: DataFrame) -> DataFrame:
+    """(doc_id, story_id, styles): the names of the paragraph styles of each story, each once, in the order met.
+    A style that the document doesn't define shows the last part of its id."""
+    met = run.groupBy("doc_id", "story_id", "para_style").agg(F.min("para_ord").alias("first")).where("para_style is not null")
+    names = style.where("kind = 'para'").select(F.col("doc_id").alias("s_doc"), F.col("self").alias("s_self"), F.col("name").alias("s_name"))
+    key = joins.normalised_key(F.col("para_style"), "ParagraphStyle/")
+    named = met.withColumn("key", key).join(names, (F.col("doc_id") == F.col("s_doc")) & (F.col("key") == F.col("s_self")), "left")
+    shown = F.regexp_replace(F.coalesce("s_name", F.substring_index("para_style", "/", -1)), r"^\$ID/", "")
+    named = named.withColumn("shown", shown).where("shown != ''").groupBy("doc_id", "story_id", "shown").agg(F.min("first").alias("first"))
+    return named.groupBy("doc_id", "story_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "shown"))), lambda x: x["shown"]).alias("styles"))
+
+
+def structure_json(items: DataFrame, pages: DataFrame, story: DataFrame, run: DataFrame | None = None, style: DataFrame | None = None, layer: DataFrame | None = None, limit: int = 300) -> DataFrame:
+    """One JSON text for each page: its spread and size, and its frames in order, with their place on
+    the page, layer, threads, readiness, and the first characters of their text.
+
+    run and style, if given, add the names of the paragraph styles of each frame's story; layer the names of layers."""
     f = items.where("kind = 'TextFrame' and page is not null").join(story.select("doc_id", "story_id", F.substring("text", 1, limit).alias("text")), ["doc_id", "story_id"], "left")
-    frames = f.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("item_id").alias("id"), F.col("story_id").alias("story"), "hidden", "box", "text"))).alias("frames"))
-    p = pages.where("not is_master").select("doc_id", F.col("ord").alias("page"), "name", "width_pt", "height_pt")
-    return p.join(frames, ["doc_id", "page"], "left").select("doc_id", "page", F.to_json(F.struct("page", "name", "width_pt", "height_pt", "frames")).alias("json"))
+    f = frame_support(f, story)
+    f = f.join(story_styles(run, style), ["doc_id", "story_id"], "left") if run is not None and style is not None else f.withColumn("styles", F.lit(None).cast("array<string>"))
+    named = layer.select("doc_id", F.col("self").alias("layer_id"), F.col("name").alias("layer")) if layer is not None else None
+    f = f.join(named, ["doc_id", "layer_id"], "left") if named is not None else f.withColumn("layer", F.col("layer_id"))
+    p = pages.where("not is_master").select("doc_id", F.col("ord").alias("page"), F.col("spread_id").alias("spread"), "name", "width_pt", "height_pt", "master", F.col("box").alias("of"))
+    f = f.join(p.select("doc_id", "page", "of"), ["doc_id", "page"])
+    told = F.struct(
+        "ord", F.col("item_id").alias("id"), F.col("story_id").alias("story"), "layer", "hidden", (F.col("box.x") - F.col("of.x")).alias("x"), (F.col("box.y") - F.col("of.y")).alias("y"), F.col("box.w").alias("w"), F.col("box.h").alias("h"),
+        affine.angle(F.col("world")).alias("angle"), F.col("vj").alias("vertical"), "columns", "inset", F.col("next").alias("threaded_to"), F.col("prev").alias("threaded_from"), F.col("level").alias("readiness"), "reasons", F.coalesce("styles", F.array().cast("array<string>")).alias("paragraph_styles"), "text",
+    )
+    frames = f.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(told)).alias("frames"))
+    return p.join(frames, ["doc_id", "page"], "left").select("doc_id", "page", F.to_json(F.struct("page", "spread", "name", "width_pt", "height_pt", "master", "frames")).alias("json"))
