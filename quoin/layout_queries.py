@@ -67,13 +67,14 @@ def swatch_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.resolve_swatches(rows, ["doc_id"]).select("doc_id", "id", "kind", "inks", "reversed", F.get("cmyk", F.lit(0)).alias("cyan"))
 
 
-@query(f"""
+#: Styles from the roots down: what they showed, what they shall show, what they must set, and what they show then.
+STYLES = f"""
 WITH RECURSIVE i AS (
   SELECT k, doc_id, CASE WHEN up IN (SELECT p_partkey FROM part) THEN up END AS up, CASE WHEN k % 4 = 1 OR k < 10 THEN 'Face ' || k % 3 END AS font, CASE k % 6 WHEN 0 THEN 'Bold' WHEN 1 THEN 'Regular' END AS style FROM ({TREE})
 ),
 goal(key, family, weight) AS (VALUES ('face 0|regular', 'New 0', 'Light'), ('face 1|bold', 'New 1', 'Bold')),
 w AS (
-  SELECT k, doc_id, was_font, was_style, CASE WHEN takes OR pinned THEN want_font ELSE font END AS new_font, CASE WHEN takes OR pinned THEN want_style ELSE style END AS new_style,
+  SELECT k, doc_id, was_font, was_style, want_font, want_style, CASE WHEN takes OR pinned THEN want_font ELSE font END AS new_font, CASE WHEN takes OR pinned THEN want_style ELSE style END AS new_style,
     CASE WHEN takes OR pinned THEN want_font ELSE got_font END AS end_font, CASE WHEN takes OR pinned THEN want_style ELSE got_style END AS end_style
   FROM (
     SELECT *, NOT takes AND was_font IS NOT NULL AND (got_font IS DISTINCT FROM want_font OR coalesce(got_style, 'Regular') <> want_style) AS pinned
@@ -83,7 +84,7 @@ w AS (
     )
   )
   UNION ALL
-  SELECT k, doc_id, was_font, was_style, CASE WHEN takes OR pinned THEN want_font ELSE font END AS new_font, CASE WHEN takes OR pinned THEN want_style ELSE style END AS new_style,
+  SELECT k, doc_id, was_font, was_style, want_font, want_style, CASE WHEN takes OR pinned THEN want_font ELSE font END AS new_font, CASE WHEN takes OR pinned THEN want_style ELSE style END AS new_style,
     CASE WHEN takes OR pinned THEN want_font ELSE got_font END AS end_font, CASE WHEN takes OR pinned THEN want_style ELSE got_style END AS end_style
   FROM (
     SELECT *, NOT takes AND was_font IS NOT NULL AND (got_font IS DISTINCT FROM want_font OR coalesce(got_style, 'Regular') <> want_style) AS pinned
@@ -93,15 +94,50 @@ w AS (
     )
   )
 )
-SELECT k::VARCHAR AS k, doc_id, new_font, new_style FROM w
-""")
-def pinned_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each style must set so that mapped fonts change and no others do."""
+"""
+
+
+def styles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(character styles in trees, font map of their documents)"""
     rows, k = tree(spark, sf_dir), F.col("k")
     own = {"font": F.when((k % 4 == 1) | (k < 10), F.concat(F.lit("Face "), (k % 3).cast("string"))), "font_style": F.when(k % 6 == 0, "Bold").when(k % 6 == 1, "Regular")}
     none = {f: F.lit(None).cast("string") for f in hierarchy.FIELDS if f not in own}
     style = rows.select("doc_id", F.lit("char").alias("kind"), F.concat(F.lit("CharacterStyle/"), k.cast("string")).alias("self"), F.concat(F.lit("CharacterStyle/"), F.col("up").cast("string")).alias("based_on"), *[c.alias(f) for f, c in (own | none).items()])
     entries = [(str(d), f, s, to, w) for d in range(5) for f, s, to, w in (("Face 0", "Regular", "New 0", "Light"), ("Face 1", "Bold", "New 1", None))]
-    mapping = fontmap.font_map(spark.createDataFrame(entries, "doc_id string, from_family string, from_style string, to_family string, to_style string"))
-    found = fontmap.plan_styles(style, mapping)
+    return style, fontmap.font_map(spark.createDataFrame(entries, "doc_id string, from_family string, from_style string, to_family string, to_style string"))
+
+
+@query(f"{STYLES} SELECT k::VARCHAR AS k, doc_id, new_font, new_style FROM w")
+def pinned_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each style must set so that mapped fonts change and no others do."""
+    found = fontmap.plan_styles(*styles(spark, sf_dir))
     return found.select(F.substring_index("self", "/", -1).alias("k"), "doc_id", "new_font", F.col("new_font_style").alias("new_style"))
+
+
+@query(f"""
+{STYLES},
+run AS (
+  SELECT w.*, p_size AS n, CASE WHEN doc_id = '2' AND k % 10 = 0 THEN 'Other' ELSE end_font END AS got, coalesce(end_style, 'Regular') AS got_style, coalesce(was_style, 'Regular') AS style,
+    doc_id = '1' AND k % 50 = 1 AS other_text, doc_id = '3' AND k % 100 = 3 AS gone
+  FROM w JOIN part ON p_partkey = k
+),
+t AS (
+  SELECT *, NOT gone AND (was_font IS NULL OR (got IS NOT DISTINCT FROM want_font AND got_style = want_style)) OR (gone AND was_font IS NULL) AS fits,
+    was_font IS NOT NULL AND (gone OR got IS DISTINCT FROM was_font OR got_style <> style) AS altered FROM run
+)
+SELECT doc_id, NOT bool_or(gone) AS same_structure, NOT bool_or(gone OR other_text) AS same_text, count(*) AS total, count(*) FILTER (WHERE altered) AS changed, count(*) FILTER (WHERE NOT altered) AS unchanged,
+  coalesce(sum(n) FILTER (WHERE altered), 0)::BIGINT AS chars, count(*) FILTER (WHERE NOT fits) AS mismatches, NOT bool_or(gone OR other_text OR NOT fits) AS ok
+FROM t GROUP BY doc_id
+""")
+def font_map_proof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether substituted documents say the same in the fonts that they should have; in three of five something was spoilt."""
+    style, mapping = styles(spark, sf_dir)
+    rows, k, doc = tree(spark, sf_dir), F.col("k"), F.col("doc_id")
+    own = [F.lit(None).cast("string").alias(f"{p}_{f}") for p in "pc" for f in hierarchy.FIELDS]
+    run = rows.select("doc_id", F.lit("s").alias("story_id"), k.alias("para_ord"), F.lit(0).alias("run_ord"), F.repeat(F.lit("a"), F.col("p_size").cast("int")).alias("text"), F.lit(None).cast("string").alias("para_style"), F.concat(F.lit("CharacterStyle/"), k.cast("string")).alias("char_style"), *own)
+    at = F.col("para_ord")
+    after = run.where(~((doc == "3") & (at % 100 == 3))).withColumn("text", F.when((doc == "1") & (at % 50 == 1), F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    after = after.withColumn("c_font", F.when((doc == "2") & (at % 10 == 0), "Other"))
+    new = fontmap.plan_styles(style, mapping)
+    new = new.withColumn("font", F.col("new_font")).withColumn("font_style", F.col("new_font_style")).drop("new_font", "new_font_style")
+    return fontmap.verify({"run": run, "style": style}, {"run": after, "style": new}, mapping)
