@@ -175,7 +175,7 @@ def findings(t: dict[str, DataFrame]) -> DataFrame:
     items = cut(placed_items(t["item"], t["page"]))
     frames, masters = items.where("kind = 'TextFrame'"), t["item"].where("kind = 'TextFrame' and is_master")
     effective = cut(effective_runs(t["run"], resolved_styles(t["style"])))
-    used = swatch_usage(items, effective, t["swatch"])
+    used = cut(swatch_usage(items, effective, t["swatch"]))  # three reports read it
     stories = t["story"].select("doc_id", "story_id")
     named = masters.select("doc_id", "story_id").unionByName(frames.select("doc_id", "story_id")).unionByName(t["story"].select("doc_id", F.explode("anchored_stories").alias("story_id")))
     everything = frames.select("doc_id", "item_id").unionByName(masters.select("doc_id", "item_id"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quoin.document_queries import FINDINGS, PAGES, PROFILES, facts
-from quoin.plans import preflight, printcheck
+from quoin.operators.hierarchy import FIELDS
+from quoin.plans import preflight, printcheck, structure
 from quoin.queries import joined, query, table
 
 
@@ -139,3 +140,62 @@ def print_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     swatch = used.select("doc_id", c.cast("string").alias("id"), F.lit("color").alias("type"), F.concat(F.lit("Colour "), c.cast("string")).alias("name"), F.lit("CMYK").alias("space"), F.lit("Process").alias("model"), value.alias("value"), F.lit(None).cast("string").alias("base"), F.lit(None).cast("double").alias("tint"), F.lit(None).cast("array<string>").alias("stops"))
     found = printcheck.hits(items, pages, story, effective, swatch, preflight.profile_table(spark, CHECKS))
     return found.select("doc_id", "profile_id", "page", "item_id", "check", "chars", F.round("size", 6).alias("size"), "extra")
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS k, (c_custkey % 10)::VARCHAR AS doc_id, c_custkey % 8 <> 7 AS there FROM customer),
+o AS (SELECT o_orderkey AS k, (o_custkey % 10)::VARCHAR AS doc_id, o_custkey AS c, o_orderkey % 3 <> 2 AS frame, o_orderkey % 37 = 0 AS master, CASE WHEN o_orderkey % 29 = 0 THEN 'nowhere' WHEN o_orderkey % 31 = 0 THEN 'i' || o_orderkey END AS next, o_orderkey % 12 AS fill, o_orderkey % 23 = 0 AS hidden FROM orders),
+f AS (SELECT * FROM o WHERE frame AND NOT master),
+art AS (SELECT * FROM o WHERE NOT frame AND NOT master),
+lost AS (SELECT * FROM c WHERE there AND k NOT IN (SELECT c FROM o WHERE frame) AND k NOT IN (SELECT k + 10 FROM c WHERE there AND k % 11 = 0)),
+several AS (SELECT doc_id, c FROM f GROUP BY ALL HAVING count(*) > 1 AND NOT bool_and(next IS NOT NULL)),
+used AS (SELECT DISTINCT doc_id, fill, ['process', 'rgb', 'spot', 'registration'][(fill % 4 + 1)::INT] AS kind FROM o WHERE NOT master AND NOT hidden),
+found(doc_id, level, code, ref, nth) AS (
+  SELECT (s_suppkey % 10)::VARCHAR, 'error', 'missing-spread', 'Spreads/' || s_suppkey, s_suppkey FROM supplier WHERE s_suppkey % 7 = 0
+  UNION ALL SELECT doc_id, 'error', 'missing-story', 'Stories/' || k, k FROM c WHERE NOT there
+  UNION ALL SELECT doc_id, 'error', 'frame-without-story', 'i' || k, k FROM f WHERE c NOT IN (SELECT k FROM c WHERE there)
+  UNION ALL SELECT doc_id, 'info', 'orphan-stories', 's' || k, k FROM lost
+  UNION ALL SELECT doc_id, 'warn', 'broken-thread', 'i' || k, k FROM f WHERE next = 'nowhere'
+  UNION ALL SELECT s.doc_id, 'warn', 'story-in-several-frames', 's' || s.c, c.k FROM several s LEFT JOIN c ON c.k = s.c AND c.there
+  UNION ALL SELECT doc_id, 'info', 'linked-artwork', 'i' || k, k FROM art WHERE k % 5 = 0
+  UNION ALL SELECT doc_id, 'warn', 'text-on-path', 'i' || k, k FROM art WHERE k % 14 = 0
+  UNION ALL SELECT doc_id, 'warn', 'run-level-fonts', (4 * count(*))::VARCHAR, 0 FROM c WHERE there AND k % 50 = 0 GROUP BY doc_id
+  UNION ALL SELECT DISTINCT doc_id, 'warn', 'fonts-unavailable', CASE WHEN k % 50 = 0 THEN 'X Regular' ELSE 'Base Regular' END, 0 FROM c WHERE there AND CASE WHEN k % 50 = 0 THEN doc_id::INT % 2 = 0 ELSE doc_id::INT % 3 = 0 END
+  UNION ALL SELECT (s_suppkey % 10)::VARCHAR, 'info', 'hidden-layers', 'Layer ' || s_suppkey, 0 FROM supplier WHERE s_suppkey % 4 = 0
+  UNION ALL SELECT doc_id, CASE kind WHEN 'spot' THEN 'info' ELSE 'warn' END, CASE kind WHEN 'rgb' THEN 'rgb-swatches' WHEN 'spot' THEN 'spot-swatches' ELSE 'registration-swatch' END, 'Colour ' || fill, 0 FROM used WHERE kind <> 'process'
+),
+nth AS (SELECT *, row_number() OVER (PARTITION BY doc_id, code ORDER BY nth NULLS LAST, ref) AS place FROM found)
+SELECT doc_id, level, code, string_agg(ref, ',' ORDER BY place) FILTER (WHERE place <= 20) AS refs, count(*) AS "count" FROM nth GROUP BY doc_id, level, code
+""")
+def structure_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is amiss in the structure of ten layouts, with the first references."""
+    c, k, none = F.col("c_custkey"), F.col("o_orderkey"), lambda t: F.lit(None).cast(t)
+    text_id = lambda prefix, of: F.concat(F.lit(prefix), of.cast("string"))
+    box = lambda *v: F.struct(*[F.lit(float(x)).alias(n) for n, x in zip("xywh", v)])
+    customer, supplier = table(spark, sf_dir, "customer").withColumn("doc_id", (c % 10).cast("string")), table(spark, sf_dir, "supplier").withColumn("doc_id", (F.col("s_suppkey") % 10).cast("string"))
+    told = customer.where(c % 8 != 7)
+    story = told.select("doc_id", text_id("s", c).alias("story_id"), text_id("Stories/", c).alias("src"), F.lit("abcd").alias("text"), F.when(c % 11 == 0, F.array(text_id("s", c + 10))).otherwise(F.array().cast("array<string>")).alias("anchored_stories"))
+    manifest = customer.select("doc_id", F.lit("Story").alias("kind"), c.alias("ord"), text_id("Stories/", c).alias("src"), (c % 8 != 7).alias("there"))
+    manifest = manifest.unionByName(supplier.select("doc_id", F.lit("Spread").alias("kind"), F.col("s_suppkey").alias("ord"), text_id("Spreads/", F.col("s_suppkey")).alias("src"), (F.col("s_suppkey") % 7 != 0).alias("there")))
+    frame = k % 3 != 2
+    one = lambda test: F.when(~frame & test, 1).otherwise(0)
+    item = table(spark, sf_dir, "orders").select(
+        (F.col("o_custkey") % 10).cast("string").alias("doc_id"), F.lit("sp").alias("spread_id"), text_id("i", k).alias("item_id"), F.when(frame, "TextFrame").otherwise("Rectangle").alias("kind"), k.alias("ord"), (k % 37 == 0).alias("is_master"),
+        F.when(frame, text_id("s", F.col("o_custkey"))).alias("story_id"), F.when(k % 29 == 0, "nowhere").when(k % 31 == 0, text_id("i", k)).alias("next"), none("string").alias("prev"), one(k % 5 == 0).alias("linked"), one(k % 14 == 0).alias("text_paths"),
+        text_id("c", k % 12).alias("fill"), none("string").alias("stroke"), (k % 23 == 0).alias("hidden"), box(10, 10, 5, 5).alias("box"),
+    )
+    docs = customer.select("doc_id").distinct()
+    page = docs.select("doc_id", F.lit("sp").alias("spread_id"), F.lit("p").alias("page_id"), F.lit(0).alias("ord"), F.lit(False).alias("is_master"), box(0, 0, 100, 100).alias("box"))
+    own = {f"{p}_{f}": none("string") for p in "pc" for f in FIELDS} | {"c_font": F.when(c % 50 == 0, "X")}
+    run = told.select("doc_id", text_id("s", c).alias("story_id"), F.lit(0).alias("para_ord"), F.lit("abcd").alias("text"), none("string").alias("para_style"), none("string").alias("char_style"), *[v.alias(n) for n, v in own.items()])
+    style = docs.select("doc_id", F.lit("para").alias("kind"), F.lit(structure.NORMAL).alias("self"), none("string").alias("based_on"), *[(F.lit("Base") if f == "font" else none("string")).alias(f) for f in FIELDS])
+    d = F.col("doc_id").cast("int")
+    font = docs.select("doc_id", F.explode(F.array(F.struct(F.lit("Base").alias("family"), F.when(d % 3 == 0, "Substituted").otherwise("Installed").alias("status")), F.struct(F.lit("X").alias("family"), F.when(d % 2 == 0, "NotAvailable").otherwise("Installed").alias("status")))).alias("f")).select("doc_id", "f.*", F.lit("Regular").alias("style"))
+    layer = supplier.select("doc_id", text_id("l", F.col("s_suppkey")).alias("self"), text_id("Layer ", F.col("s_suppkey")).alias("name"), (F.col("s_suppkey") % 4 != 0).alias("visible"))
+    n = F.substring("id", 2, 9).cast("int")
+    swatch = item.select("doc_id", F.col("fill").alias("id")).distinct().select(
+        "doc_id", "id", F.lit("color").alias("type"), text_id("Colour ", n).alias("name"), F.when(n % 4 == 1, "RGB").otherwise("CMYK").alias("space"), F.when(n % 4 == 2, "Spot").when(n % 4 == 3, "Registration").otherwise("Process").alias("model"),
+        F.array(*[F.lit(float(v)) for v in (10, 20, 30, 40)]).alias("value"), none("string").alias("base"), none("double").alias("tint"), none("array<string>").alias("stops"),
+    )
+    found = structure.findings({"item": item, "page": page, "run": run, "style": style, "swatch": swatch, "story": story, "manifest": manifest, "font": font, "layer": layer})
+    return found.select("doc_id", "level", "code", F.array_join("refs", ",").alias("refs"), "count")
