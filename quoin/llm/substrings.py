@@ -8,7 +8,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoin.llm._words import BASES, Texts, chunks, lists, signed, within
@@ -123,34 +123,35 @@ def remove_repeats(docs: DataFrame, window: int = 35, *, id_col: str = "doc_id",
 
     Returns id_col, n_words, n_removed, kept_text, kept_sha256. Null and empty texts have
     no words; texts shorter than a window keep all. Repeated rows and equal texts remove
-    each other. Null ids work (they are matched null-safe); rows that share an id are
-    judged each by its own words, as only hashes, not places, are carried back. Empty
+    each other. Null ids work; rows that share an id are judged each by its own words, as
+    hashes are carried back by a 64-bit hash of id and text. Empty
     tables give no rows; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
+    # hashes are carried back by id and text together: rows that share an id don't get each other's
+    rows = rows.withColumn("key", F.xxhash64("id", "text"))
+    keyed = rows.select(F.col("key").alias("id"), "text")
 
     # of texts that occur several times one row alone looks for windows: the others lose all
     # their windows anyway, and what they share with other texts that one row shares too
-    marks = rows.select("id", F.md5(F.col("text").cast("binary")).alias("sum"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")).where("text is not null")
-    groups = marks.groupBy("sum").agg(F.count("*").alias("copies"), F.min("id").alias("lead")).where("copies > 1")
+    marks = rows.select("key", F.md5(F.col("text").cast("binary")).alias("sum"), F.pmod("key", F.lit(SALTS)).alias("salt")).where("text is not null")
+    groups = marks.groupBy("sum").agg(F.count("*").alias("copies"), F.min("key").alias("lead")).where("copies > 1")
     groups = groups.select("sum", "lead", F.explode(F.array(*[F.lit(k).cast("long") for k in range(SALTS)])).alias("salt"))
-    copies = marks.join(groups, ["sum", "salt"]).groupBy(F.col("id").alias("c_id")).agg(F.collect_set("sum").alias("copied"), F.collect_set(F.when(F.col("id") != F.col("lead"), F.col("sum"))).alias("led"))
+    copies = marks.join(groups, ["sum", "salt"]).groupBy(F.col("key").alias("c_key")).agg(F.lit(True).alias("is_copy"), F.bool_or(F.col("key") != F.col("lead")).alias("is_led"))
 
     def shared(found: DataFrame, *keys: str) -> DataFrame:
-        """For each id, the first key of all that are found twice or more."""
+        """For each key of a row, the first hash of all that are found twice or more."""
         often = found.withColumn("n", F.sum("n").over(Window.partitionBy(*keys))).where("n > 1")
-        return often.groupBy(F.col("id").alias("f_id")).agg(F.collect_set(keys[0]).alias("found"))
-
-    def has(column: str) -> Column:
-        return F.coalesce(F.array_contains(column, F.md5(F.col("text").cast("binary"))), F.lit(False))
+        return often.groupBy(F.col("id").alias("f_key")).agg(F.collect_set(keys[0]).alias("found"))
 
     def beside(found: DataFrame) -> DataFrame:
-        both = rows.join(found, F.col("id").eqNullSafe(F.col("f_id")), "left").join(copies, F.col("id").eqNullSafe(F.col("c_id")), "left")
-        return both.select("id", "text", "found", has("copied").alias("copied"), has("led").alias("led"))
+        both = rows.join(found, F.col("key") == F.col("f_key"), "left").join(copies, F.col("key") == F.col("c_key"), "left")
+        no = F.lit(False)
+        return both.select("id", "key", "text", "found", F.coalesce("is_copy", no).alias("copied"), F.coalesce("is_led", no).alias("led"))
 
-    met = rows.mapInArrow(anchor_rows(window), f"h long, id {kind}, n int")
-    open_ = beside(shared(met, "h")).where("found is not null and not led").select("id", "text", "found")
-    candidates = open_.mapInArrow(candidate_rows(window), f"h1 long, h2 long, id {kind}, n int")
+    met = keyed.mapInArrow(anchor_rows(window), "h long, id long, n int")
+    open_ = beside(shared(met, "h")).where("found is not null and not led").select(F.col("key").alias("id"), "text", "found")
+    candidates = open_.mapInArrow(candidate_rows(window), "h1 long, h2 long, id long, n int")
     out = beside(shared(candidates, "h1", "h2")).select("id", "text", "found", "copied").mapInArrow(removed_rows(window), f"id {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string")
     return out.withColumnRenamed("id", id_col)

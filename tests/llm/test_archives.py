@@ -223,3 +223,24 @@ def test_nested_and_damaged_records(spark):
         b = sorted((x.start, x.end, x.record_type) for x in found if x.path.endswith("b.warc.gz"))
         n, m = len(first), len(last)
         assert b == [(0, n, "resource"), (n, n + m, "damaged"), (n + m, n + m + n, "resource"), (n + m + n, len(broken) + 4, "damaged")]
+
+
+def test_repeats_of_rows_that_share_an_id(spark):
+    """A thousand rows without an id cost what rows with own ids cost, and give the same."""
+    import time
+
+    from quoin.llm.substrings import remove_repeats
+
+    r = random.Random(8)
+    vocab = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(500):  # pairs that share 60 words
+        same = [r.choice(vocab) for _ in range(60)]
+        texts += [" ".join([r.choice(vocab) for _ in range(46)] + same + [r.choice(vocab) for _ in range(46)]) for _ in range(2)]
+    frame = lambda ids: spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(4)
+    told = lambda df: Counter((x.n_words, x.n_removed, x.kept_sha256) for x in df.collect())
+    want = told(remove_repeats(frame(range(1000))))
+    began = time.time()
+    assert told(remove_repeats(frame([None] * 1000))) == want and all(n == 60 for _, n, _ in want)
+    assert told(remove_repeats(frame([7] * 1000))) == want
+    assert time.time() - began < 60
