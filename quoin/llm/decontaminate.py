@@ -19,6 +19,7 @@ from quoin.llm._spark import materialise
 from quoin.llm._words import slices
 
 WINDOW = 13  #: words
+MANY = 8  #: places of an anchor that are extended one by one
 BLOCK_BYTES = 4 << 20  #: benchmark text in one automaton, which takes some forty times as much in each worker
 
 #: A-Z to a-z; what separates words to a space; all else stays, byte for byte
@@ -35,9 +36,11 @@ def fold(text: bytes) -> bytes:
 class Scanner:
     """One automaton over items (id, text), each text scanned once.
 
-    The automaton holds anchors: a window of an item of 13 words or more contains one of
-    the item's runs of 7 words that start at a multiple of 7. Where an anchor comes in a
+    The automaton holds anchors: a window of an item of 13 words or more contains exactly one
+    of the item's runs of 7 words that start at a multiple of 7. Where an anchor comes in a
     text, the match is extended to both sides word by word, and 13 words or more are hit.
+    Of an anchor with many places the windows around all places stand in a table, in which the few windows
+    of the text around it are looked up, so that a step serves all items at once.
     Shorter items are anchors as a whole.
     """
 
@@ -46,17 +49,30 @@ class Scanner:
         self.words = [fold((t or "").encode("utf-8", "surrogatepass")).split() for _, t in items]
         step = (width + 1) // 2
         anchors: dict[bytes, list[tuple[int, int]]] = {}
+        short: dict[bytes, set[str]] = {}
         for k, words in enumerate(self.words):
             if 0 < len(words) < width:
-                anchors.setdefault(b" ".join(words), []).append((k, 0))
+                short.setdefault(b" ".join(words), set()).add(self.ids[k])
             for at in range(0, len(words) - step + 1, step) if len(words) >= width else ():
                 anchors.setdefault(b" ".join(words[at : at + step]), []).append((k, at))
         self.automaton = ahocorasick.Automaton()
-        for run, places in anchors.items():
-            self.automaton.add_word(f" {run.decode('latin-1')} ", (len(run) + 2, places))
-        if anchors:
+        for run in anchors.keys() | short.keys():
+            places, around = anchors.get(run, []), None
+            if len(places) > MANY:
+                around, places = self.windows(places, step), []
+            self.automaton.add_word(f" {run.decode('latin-1')} ", (len(run) + 2, run.count(b" ") + 1, places, around, short.get(run)))
+        if len(self.automaton):
             self.automaton.make_automaton()
 
+    def windows(self, places: list[tuple[int, int]], step: int) -> dict[bytes, set[str]]:
+        """The windows that hold an anchor at some places, and the items that have them."""
+        out: dict[bytes, set[str]] = {}
+        for k, p in places:
+            own = self.words[k]
+            for s in range(max(0, p + step - self.width), min(p, len(own) - self.width) + 1):
+                out.setdefault(b" ".join(own[s : s + self.width]), set()).add(self.ids[k])
+        return out
+
     def runs(self, words: list[bytes]) -> tuple[list[list[int]], set[str]]:
         """(the hit words as [start, end), in order and apart; the items found)."""
         if not words or not len(self.automaton):
@@ -65,10 +81,23 @@ class Scanner:
         if not found:
             return [], set()
         first = np.cumsum([0] + [len(w) + 1 for w in words[:-1]])  # the space before each word
-        starts = np.searchsorted(first, [end - size + 1 for end, (size, _) in found])
+        starts = np.searchsorted(first, [end - size + 1 for end, (size, *_) in found])
         done: dict[tuple[int, int], int] = {}  # of an item laid along the text: where its last match ends
+        told: set[int] = set()  # sets of items that are in already
         hits, items = [], set()
-        for s, (_, (_, places)) in zip(starts.tolist(), found):
+
+        def meet(a: int, b: int, ids: set[str]) -> None:
+            hits.append((a, b))
+            if id(ids) not in told:
+                told.add(id(ids))
+                items.update(ids)
+
+        for s, (_, (_, n, places, around, short)) in zip(starts.tolist(), found):
+            if short:
+                meet(s, s + n, short)
+            for a in range(max(0, s + n - self.width), min(s, len(words) - self.width) + 1) if around else ():
+                if ids := around.get(b" ".join(words[a : a + self.width])):
+                    meet(a, a + self.width, ids)
             for k, p in places:
                 own, offset = self.words[k], s - p
                 if s < done.get((k, offset), 0):
@@ -79,7 +108,7 @@ class Scanner:
                 while b < len(words) and b - offset < len(own) and words[b] == own[b - offset]:
                     b += 1
                 done[k, offset] = b
-                if b - a >= min(self.width, len(own)):
+                if b - a >= self.width:
                     hits.append((a, b))
                     items.add(self.ids[k])
         return united(hits), items

@@ -244,3 +244,42 @@ def test_repeats_of_rows_that_share_an_id(spark):
     assert told(remove_repeats(frame([None] * 1000))) == want and all(n == 60 for _, n, _ in want)
     assert told(remove_repeats(frame([7] * 1000))) == want
     assert time.time() - began < 60
+
+
+def plain_hits(items, text, width=13):
+    from quoin.llm.decontaminate import fold
+
+    words, hit, found = fold(text.encode()).split(), set(), set()
+    for i, t in items:
+        own = fold((t or "").encode()).split()
+        n = min(width, len(own))
+        wins = {tuple(own[s : s + n]) for s in range(len(own) - n + 1)} if own else set()
+        for s in range(len(words) - n + 1) if own else ():
+            if tuple(words[s : s + n]) in wins:
+                hit |= set(range(s, s + n))
+                found.add(i)
+    return hit, found
+
+
+def test_anchors_that_many_items_share():
+    """An opening phrase of 20,000 items doesn't multiply the work, and hits are those of a plain search."""
+    import time
+
+    from quoin.llm.decontaminate import Scanner
+
+    r = random.Random(5)
+    opening = "which of the following statements is most".split()
+    say = lambda n: [f"w{r.randrange(50)}" for _ in range(n)]
+    items = [(f"i{k}", " ".join(opening + say(r.choice([3, 6, 20])) + opening * (k % 3) + say(9))) for k in range(60)]
+    items += [("short", " ".join(opening)), ("short again", " ".join(opening)), ("same", "a " * 800), ("none", None)] + [(f"copy{k}", items[0][1]) for k in range(20)]
+    texts = [" ".join(say(30) + items[k][1].split()[3:] + opening + say(4)) for k in range(40)] + [" ".join(opening * 30), "a " * 4000, " ".join(opening + say(6) + opening), "which of", items[0][1]]
+    scanner = Scanner(items)
+    for text in texts:
+        n, spans, found, _ = scanner.scan(text.encode())
+        hit, want = plain_hits(items, text)
+        assert {i for s, e in zip(spans[::2], spans[1::2]) for i in range(s, e)} == hit and set(found) == want and n == len(text.split())
+    many = Scanner([(f"i{k}", " ".join(opening + [f"x{k}"] + say(20))) for k in range(20000)])
+    began = time.time()
+    many.scan(" ".join((opening + say(1)) * 200).encode())
+    Scanner([("same", "a " * 800)]).scan(b"a " * 16000)
+    assert time.time() - began < 1.5
