@@ -22,6 +22,7 @@ SMALL = 5  #: sets up to this size differ in one element at most and are found b
 HOT = 24  #: classes of a key that are compared in blocks
 MANY = 4  #: classes of a component that is compared in blocks
 BLOCK = 32
+PASSES = 2  #: parts of the keys that are exchanged one after the other, so that a part alone lies on disks
 ROUNDS = 3  #: partners that each class is compared with first
 COUNTER_BITS = 18  #: of key frequencies: a fixed size, whatever the corpus
 MAP_BITS = 1 << 23  #: of the map that spares sets without a candidate; also fixed
@@ -218,7 +219,9 @@ def scan_rows(percent: int):
     return rows
 
 
-def key_rows(percent: int, counters):
+def key_rows(percent: int, counters, turn: int):
+    """The keys of one of PASSES parts, told apart by their hash."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, count = Classes(), counters.value
         for b in batches:
@@ -228,6 +231,7 @@ def key_rows(percent: int, counters):
                 pick = classes.fresh(cls, size)[text]
                 keys = keys_of(text[pick], h[pick], size, percent)
                 at = allocate(keys, count)
+                at = at[keys[2][at] % np.uint64(PASSES) == turn]
                 of = keys[0][at]
                 yield pa.RecordBatch.from_arrays([signed(keys[2][at]), signed(cls[of]), pa.array(size[of])], ["key", "class", "size"])
 
@@ -466,15 +470,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # what chance alone puts into a counter tells nothing of its keys
     count[count <= count.mean() + 6 * np.sqrt(count.mean()) + 2] = 0
 
-    keys = rows.mapInArrow(key_rows(percent, spark.sparkContext.broadcast(count.astype(np.int32) if count.max(initial=0) < 1 << 31 else count)), "key long, class long, size long")
+    counters = spark.sparkContext.broadcast(count.astype(np.int32) if count.max(initial=0) < 1 << 31 else count)
     group = Window.partitionBy("key")
-    ends = keys.withColumn("lo", F.min("class").over(group)).withColumn("hi", F.max("class").over(group)).where("lo != hi")
     nodes = materialise(texts.where("size > 0").groupBy("class").agg(F.first("size").alias("size"), F.any_value("sketch").alias("sketch"), F.min("id").alias("least")), "nodes")
     # keys of several classes; a class that several tasks met stands in a group once. With
     # them, from the same exchange, for each of ROUNDS orders the class that comes first
     head = lambda k: F.min(F.struct(F.xxhash64("class", F.lit(k)).alias("h"), "size", "class")).over(group)
     first = {f"head{k}": F.struct(head(k)["size"].alias("size"), head(k)["class"].alias("class"), F.lit(k).alias("k")) for k in range(ROUNDS)}
-    shared = materialise(ends.select("key", "class", "size").distinct().withColumns(first), "keys")
+    parts = []
+    for turn in range(PASSES):
+        keys = rows.mapInArrow(key_rows(percent, counters, turn), "key long, class long, size long")
+        ends = keys.withColumn("lo", F.min("class").over(group)).withColumn("hi", F.max("class").over(group)).where("lo != hi")
+        parts.append(materialise(ends.select("key", "class", "size").distinct().withColumns(first), "keys"))
+    shared = reduce(DataFrame.unionByName, parts)
 
     # each class with one partner for each order: of the classes that come first
     # in the groups of its keys, the one it shares most keys with
@@ -492,7 +500,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     named = open_keys(shared.select("key", "class", "size"), label).join(many, "label", "left")
     beside = F.coalesce(F.max("large").over(group), F.lit(False))  # a large component shares the key
     named = materialise(named.withColumns({"g": F.count(F.when(F.col("large").isNull(), 1)).over(group), "beside": beside}), "open")
-    drop(shared)
+    drop(*parts)
     few = named.where("large is null")
     a, b = (few.where(F.col("g") < HOT).select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("class", "size", "label")]) for s in "ab")
     across = a.join(b, "key").where(f"label_a != label_b and (size_a, class_a) < (size_b, class_b) and 100 * size_a >= {percent} * size_b")
