@@ -20,7 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     its own; on a cluster that is an error, since no machine's own folder would do."""
     found = spark.conf.get(DIR, None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError(f"{DIR} must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         found = spark.sparkContext.getCheckpointDir()

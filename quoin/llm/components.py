@@ -13,7 +13,9 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round gives every node the least label among its own and its neighbours', then
     the label of that label, so that long chains shorten by half. Rounds end when no label
-    changes, which the driver learns as one number; labels stay in the shared folder.
+    changes, which the driver learns as one number; the labels of a round go when the next are written.
+    Links may repeat and stand in either direction; one with a null end or from a node to
+    itself joins nothing and names no node. No links give no rows.
     """
     both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).where("node != other")
     both = materialise(both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct(), "edges")

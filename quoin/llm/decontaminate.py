@@ -278,7 +278,10 @@ def clean_rows(block: Block, text_col: str, share: int):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that are not contaminated, with their own columns. The hits of several
-    blocks count together, so they are united before a text is judged."""
+    blocks count together, so they are united before a text is judged.
+
+    Null and empty texts stay, as they have no hits; rows that share an id, and repeated
+    rows, are judged each by its own text. An empty benchmark keeps all; an empty table gives no rows."""
     n, blocks = blocks_of(benchmark, "item_id", "text", block_bytes)
     if n == 1:
         return docs.mapInArrow(clean_rows(Block(docs.sparkSession.sparkContext.broadcast(next(blocks))), text_col, share), docs.schema)

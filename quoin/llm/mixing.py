@@ -76,7 +76,8 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
 
     Rows that repeat an id are matched one to one with their numbers of copies: those of
     equal id and size have equal ranks but for ties, so the copies are summed and dealt to
-    the rows in turn. Documents without words are taken with their whole copies.
+    the rows in turn. Documents without words are taken with their whole copies. Null texts
+    have no words, null sources are one source and null ids are ids like others; an empty table gives no rows.
     """
     taken = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, seed=seed, weights=weights, limit=limit)
     taken = taken.groupBy(F.col(id_col).alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))

@@ -149,5 +149,6 @@ def keep_good(docs: DataFrame, *, text_col: str = "text", chars_col: str | None
     """The documents that pass, with their own columns, their texts without the lines that
     fail. Lines without words stay as they are, so a text that loses nothing is unchanged.
     chars_col, if named, holds the code points of a text and is set anew where lines go.
-    All columns are handed through; null texts are rejected; an empty table stays one."""
+    All columns are handed through; null and empty texts are rejected; repeated rows are
+    judged each, and all that pass stay; an empty table stays one."""
     return docs.mapInArrow(cleaned_rows(text_col, chars_col), docs.schema)
