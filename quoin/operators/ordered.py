@@ -144,6 +144,10 @@ def ordinals(rows: DataFrame, by: list[str], order: list[str], name: str = "inde
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
 
 
+# What is shown of a page without text.
+NO_HEADLINE, NO_BODY = "No text detected", "This PDF page may contain outlined text or image-only artwork."
+
+
 def page_hierarchy(pages: DataFrame, lines: str) -> DataFrame:
     """pages with kicker, headline and body from a column of lines.
 
@@ -161,8 +165,8 @@ def page_hierarchy(pages: DataFrame, lines: str) -> DataFrame:
     out = out.withColumn("body", F.substring(F.trim(F.regexp_replace(F.array_join(rest, " "), r"\s+", " ")), 1, 700))
     after = F.substring(F.array_join(F.slice("__l", 2, F.greatest(F.size("__l") - 1, F.lit(0))), " "), 1, 700)
     empty = F.size("__l") == 0
-    body = F.when(empty, "This PDF page may contain outlined text or image-only artwork.").when(F.col("body") == "", after).otherwise(F.col("body"))
-    return out.withColumn("body", body).withColumn("headline", F.when(empty, "No text detected").otherwise(F.col("headline"))).drop("__l")
+    body = F.when(empty, NO_BODY).when(F.col("body") == "", after).otherwise(F.col("body"))
+    return out.withColumn("body", body).withColumn("headline", F.when(empty, NO_HEADLINE).otherwise(F.col("headline"))).drop("__l")
 
 
 def sample_run(runs: DataFrame, by: list[str], *, text: str, size: str, upright: Column, order: list[str]) -> DataFrame:

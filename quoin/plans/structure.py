@@ -71,6 +71,7 @@ def frame_support(frames: DataFrame, story: DataFrame) -> DataFrame:
     f = frames.join(s, ["doc_id", "story_id"], "left")
     m = F.col("world")
     known = F.coalesce("has_story", F.lit(False))
+    # The reasons, in the order that they are told.
     hard = [(~known, "story not found"), (known & (F.col("tables") > 0), "table in story"), (known & (F.col("footnotes") > 0), "footnotes in story"), (known & (F.col("anchored") > 0), "anchored objects in story")]
     soft = [
         (F.col("next").isNotNull() | F.col("prev").isNotNull(), "threaded text"), (F.col("columns") > 1, "multiple columns"), (~F.col("axis_rect"), "non-rectangular frame"),
