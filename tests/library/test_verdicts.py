@@ -2,10 +2,13 @@
 
 import json
 
+import pytest
+
 from tests.library.pdfwriter import colourful, simple
 
 
 def test_changes_of_documents_and_profiles(spark, tmp_path):
+    pytest.importorskip("google.protobuf")  # Spark talks to its state by it
     from quoin.sources.pdf import scan_pdf, tables
     from quoin.streaming.verdicts import follow, measures
 
