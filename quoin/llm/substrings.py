@@ -151,7 +151,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, *, id_col: str = "doc_id",
         return both.select("id", "key", "text", "found", F.coalesce("is_copy", no).alias("copied"), F.coalesce("is_led", no).alias("led"))
 
     met = keyed.mapInArrow(anchor_rows(window), "h long, id long, n int")
-    open_ = beside(shared(met, "h")).where("found is not null and not led").select(F.col("key").alias("id"), "text", "found")
+    # the rows' own ids are read here too: so both joins with the texts ask for the same columns and use one exchange
+    open_ = beside(shared(met, "h")).where("found is not null and not led").select(F.col("key").alias("id"), "text", "found", F.col("id").alias("own_id"))
     candidates = open_.mapInArrow(candidate_rows(window), "h1 long, h2 long, id long, n int")
     out = beside(shared(candidates, "h1", "h2")).select("id", "text", "found", "copied").mapInArrow(removed_rows(window), f"id {kind}, n_words long, n_removed long, kept_text string, kept_sha256 string")
     return out.withColumnRenamed("id", id_col)
