@@ -34,7 +34,9 @@ WRITTEN: list[str] = []
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished writes now: it does so when the driver's
-    garbage is collected, which otherwise can be long after they are of use."""
+    garbage is collected, which otherwise can be long after they are of use. The last query
+    that ran is still referred to, so an empty one is run first."""
+    spark.range(0, 1, 1, 1).write.format("noop").mode("overwrite").save()
     gc.collect()
     spark._jvm.java.lang.System.gc()
 
