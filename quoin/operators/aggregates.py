@@ -14,7 +14,8 @@ def distinct_sorted(col: str | Column) -> Column:
 
 def inventory(events: DataFrame, scope: list[str], key: str, *, page: str, order: str, sets: list[str] = (), base: list[str] = (), lists: bool = True) -> DataFrame:
     """Events by key: uses, distinct pages, further distinct sets, and the base attributes
-    of the first event; ordered by pages, then uses (both falling), then first seen.
+    of the first event; ordered by pages, then uses (both falling), then first seen, and
+    by key where events share an order.
 
     place numbers the keys of a scope in that order. Pages are gathered as lists, which a
     document bounds, or only counted (n_pages) where lists is False. Without a scope the
@@ -23,7 +24,7 @@ def inventory(events: DataFrame, scope: list[str], key: str, *, page: str, order
     first = F.min_by(F.struct(*base), order).alias("__base") if base else F.lit(None).alias("__base")
     out = events.groupBy(*scope, key).agg(F.count("*").alias("uses"), distinct_sorted(page).alias("pages") if lists else F.count_distinct(page).alias("n_pages"), *[distinct_sorted(s).alias(f"{s}s") for s in sets], F.min(order).alias("first_seen"), first)
     spread = F.size("pages") if lists else F.col("n_pages")
-    order_by = [spread.desc(), F.col("uses").desc(), F.col("first_seen").asc()]
+    order_by = [spread.desc(), F.col("uses").desc(), F.col("first_seen").asc(), F.col(key).asc()]
     out = out.withColumn("place", F.row_number().over(Window.partitionBy(*scope).orderBy(*order_by))) if scope else ranked(out, order_by, "place")
     return out.select(*scope, key, "uses", "pages" if lists else "n_pages", *[f"{s}s" for s in sets], *[f"__base.{b}" for b in base], "first_seen", "place")
 

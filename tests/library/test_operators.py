@@ -65,3 +65,12 @@ def test_entry_without_corpus_part():
     import __spark_entry__ as e
 
     assert set(e.library.SQL) <= set(e.queries()) and callable(e.entry)
+
+
+def test_inventory_breaks_ties_by_key(spark):
+    from quoin.operators.aggregates import inventory
+
+    rows = [("d", f"k{k * 7 % 30:02}", 1, 5) for k in range(30)]  # thirty keys of as many pages, uses and one first place
+    events = spark.createDataFrame(rows, "doc string, key string, page int, seq int").repartition(5)
+    got = inventory(events, ["doc"], "key", page="page", order="seq").collect()
+    assert [x.key for x in sorted(got, key=lambda x: x.place)] == sorted(k for _, k, _, _ in rows)
