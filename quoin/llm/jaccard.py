@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoin.llm._spark import drop, materialise
@@ -26,7 +26,7 @@ PASSES = 2  #: parts of the keys that are exchanged one after the other, so that
 ROUNDS = 3  #: partners that each class is compared with first
 COUNTER_BITS = 18  #: of key frequencies: a fixed size, whatever the corpus
 MAP_BITS = 1 << 23  #: of the map that spares sets without a candidate; also fixed
-PAIRS = "a array<long>, b array<long>, classes array<long>"  #: pairs of two blocks
+PAIRS = "a array<long>, b array<long>, classes array<long>, level int"  #: pairs of two blocks, and when they are verified
 
 
 def shingles(t: Texts, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -306,6 +306,13 @@ def sides(named: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tuple(dealt(x, x.groupBy("of").agg(F.count("*").alias("n"))) for x in (asks, told))
 
 
+def level_of(apart: Column) -> Column:
+    """When the pairs of two blocks so many blocks apart are verified: 0, then those up to 3
+    apart, up to 15, up to 63. Each level has about four times the pairs of all before, so
+    what a level links once lies in one component before many more pairs are read."""
+    return F.ceil(F.log(4.0, apart + 1)).cast("int")
+
+
 def hot_pairs(hot: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Lists a, b of classes (and each class once), packed by blocks of each key: of the classes of keys with HOT
     classes or more those pairs whose histograms allow a link. A pair counts at its first
@@ -314,18 +321,36 @@ def hot_pairs(hot: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     whole = hot.select("key", F.pmod(F.xxhash64("class"), F.ceil(F.col("g") / BLOCK)).cast("int").alias("block"), "class", "label").join(keys, "class").join(nodes.select("class", "size", "sketch"), "class")
     whole = whole.groupBy("key", "block").agg(F.collect_list(F.struct("class", "label", "keys", "sketch", "size")).alias("a"))
     pairs = whole.join(whole.select("key", F.col("block").alias("other"), F.col("a").alias("b")), "key").where("block <= other")
-    return pairs.select("key", "a", "b").mapInArrow(hot_rows(percent), PAIRS)
+    return pairs.select("key", "a", "b", level_of(F.col("other") - F.col("block")).alias("level")).mapInArrow(hot_rows(percent), PAIRS)
+
+
+def named_by(label: DataFrame, c: str, rows: DataFrame) -> DataFrame:
+    """rows with the label of class c instead of it; a class without one is its own."""
+    own = label.select(F.col("node").alias(c), F.col("label").alias("__label"))
+    return rows.join(own, c, "left").withColumn(c, F.coalesce("__label", c)).drop("__label")
 
 
-def hot_links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among the pairs of ask_pairs and hot_pairs, by their whole sets: each row of
-    pairs meets the sets of its classes once. Of a row only links that join what it has not
-    joined yet are told, fewer than it has classes, since more would not change a component."""
-    of = near.select("k", F.explode("classes").alias("class")).join(sets, "class")
-    of = of.groupBy("k").agg(F.collect_list(F.struct("class", "elements")).alias("sets"))
+def hot_links(near: DataFrame, sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Links among the pairs of ask_pairs and hot_pairs, by their whole sets, as links of the
+    labels of their classes: each row of pairs meets the sets of its classes once. Only links
+    that join what a row and the labels have not joined yet are told, fewer than a row has
+    labels, since more would not change a component."""
+    of = near.select("k", F.explode("classes").alias("class")).withColumn("label", F.col("class"))
+    of = named_by(label, "label", of).join(sets, "class")
+    of = of.groupBy("k").agg(F.collect_list(F.struct("class", "label", "elements")).alias("sets"))
     return near.join(of, "k").select("a", "b", "sets").mapInArrow(near_rows(percent), "a long, b long").distinct()
 
 
+def merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels of all classes after further links between labels."""
+    new = components(links)
+    moved = named_by(new, "label", label)
+    alone = new.join(label.select("node"), "node", "left_anti")
+    out = materialise(moved.select("node", "label").unionByName(alone.select("node", "label")), "labels")
+    drop(label, new)
+    return out
+
+
 def folded(sketch: list[np.ndarray], to: int) -> np.ndarray:
     return np.stack([x.reshape(to, -1).sum(1, dtype=np.int32) for x in sketch])
 
@@ -351,7 +376,7 @@ def hot_rows(percent: int):
                     ask = np.flatnonzero(first & (of_b != of_a[i]) & ((ids_b > ids_a[i]) | (not same)))
                     found += [(int(ids_a[i]), int(ids_b[j])) for j in near_of(sk_a[i], n_a[i], others, ask, percent)]
                 if found:
-                    yield packed(found)
+                    yield packed(found, batch["level"][k].as_py())
 
     return rows
 
@@ -363,10 +388,12 @@ def near_rows(percent: int):
                 own, out = batch["sets"].slice(k, 1).flatten(), []
                 at, values = lists(own.field("elements"))
                 place = {c: n for n, c in enumerate(own.field("class").to_pylist())}
-                up = list(range(len(own)))
+                labels, part = np.unique(np.asarray(own.field("label"), np.int64), return_inverse=True)
+                labels, part = labels.tolist(), part.tolist()
+                up = list(range(len(labels)))
                 for x, y in zip(batch["a"][k].as_py(), batch["b"][k].as_py()):
                     i, j = place[x], place[y]
-                    tops = [i, j]
+                    tops = [part[i], part[j]]
                     for n in (0, 1):
                         while up[tops[n]] != tops[n]:
                             up[tops[n]] = tops[n] = up[up[tops[n]]]
@@ -375,7 +402,7 @@ def near_rows(percent: int):
                     p, q = values[at[i] : at[i + 1]], values[at[j] : at[j + 1]]
                     met = len(np.intersect1d(p, q, assume_unique=True))
                     if 100 * met >= percent * (len(p) + len(q) - met):
-                        out.append((x, y))
+                        out.append((labels[part[i]], labels[part[j]]))
                         up[tops[0]] = tops[1]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
@@ -388,8 +415,8 @@ def ask_pairs(asks: DataFrame, told: DataFrame, nodes: DataFrame, percent: int)
     allow a link. A row that is compared holds two blocks of histograms, not of sets."""
     sketch = nodes.select("class", "size", "sketch")
     a, b = (side.join(sketch, "class").groupBy("of", "block").agg(F.collect_list(F.struct("class", "sketch", "size")).alias("some")) for side in (asks, told))
-    pairs = a.select("of", F.col("some").alias("a")).join(b.select("of", F.col("some").alias("b")), "of")
-    return pairs.select("a", "b").mapInArrow(ask_rows(percent), PAIRS)
+    pairs = a.select("of", F.col("some").alias("a")).join(b.select("of", F.col("block"), F.col("some").alias("b")), "of")
+    return pairs.select("a", "b", level_of(F.col("block")).alias("level")).mapInArrow(ask_rows(percent), PAIRS)
 
 
 def near_of(sketch: list[np.ndarray], size: int, others: list[list[np.ndarray] | np.ndarray], some: np.ndarray, percent: int) -> list[int]:
@@ -409,10 +436,10 @@ def sketched(own: pa.Array) -> tuple[np.ndarray, list]:
     return np.asarray(own.field("class"), np.int64), [sketch, np.array([len(x) for x in sketch]), np.asarray(own.field("size"), np.int64)]
 
 
-def packed(found: list[tuple[int, int]]) -> pa.RecordBatch:
+def packed(found: list[tuple[int, int]], level: int) -> pa.RecordBatch:
     """The pairs of two blocks, and each class among them once: two blocks at most."""
     a, b = (list(side) for side in zip(*found))
-    return pa.RecordBatch.from_arrays([pa.array([x], pa.list_(pa.int64())) for x in (a, b, sorted({*a, *b}))], ["a", "b", "classes"])
+    return pa.RecordBatch.from_arrays([*(pa.array([x], pa.list_(pa.int64())) for x in (a, b, sorted({*a, *b}))), pa.array([level], pa.int32())], ["a", "b", "classes", "level"])
 
 
 def ask_rows(percent: int):
@@ -423,7 +450,7 @@ def ask_rows(percent: int):
                 every = np.arange(len(ids_b))
                 found = [(int(ids_a[i]), int(ids_b[j])) for i in range(len(ids_a)) for j in near_of(sk_a[i], n_a[i], others, every, percent)]
                 if found:
-                    yield packed(found)
+                    yield packed(found, batch["level"][k].as_py())
 
     return rows
 
@@ -450,8 +477,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Candidates whose histograms differ by more than linked sets can are dropped (close), the
     others are verified on whole sets: first each class with up to ROUNDS partners, which it
     shares most keys with; then, where a key's group still has several components, all pairs
-    across, those with large components and of hot keys in blocks (sides, ask_pairs, hot_pairs). Pairs inside one
-    component can't change the result and are left out; none is dropped otherwise.
+    across, those with large components and of hot keys in blocks (sides, ask_pairs, hot_pairs), near
+    blocks before others (level_of). Pairs inside one component can't change the result and are left out; none is dropped otherwise.
 
     Returns id_col, n_shingles, class (a hash of the set), component (a class of those that
     links join), component_id: the smallest id that links reach, by the id's own order. Null and empty texts have no shingles, a class
@@ -494,6 +521,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     met = materialise(links(tried, sets, percent), "links")
     drop(sets)
     label = components(met)
+    drop(met)
 
     # what is left lies across components: with large ones and in hot keys by blocks, else by pairs
     many = label.groupBy("label").agg(F.count("*").alias("members")).where(F.col("members") >= MANY).select("label", F.lit(True).alias("large"))
@@ -515,11 +543,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     drop(asks, told, named)
     wanted = near.select(F.explode("classes").alias("class")).unionByName(across.select(F.explode(F.array("a", "b")).alias("class")))
     sets = set_table(wanted, nodes, rows)
-    found = [links(across, sets, percent), hot_links(near, sets, percent)]
-    found = materialise(reduce(DataFrame.unionByName, found), "links")
+    # near blocks first: what they link is one component when the others are verified
+    more = [named_by(label, "b", named_by(label, "a", links(across, sets, percent))).select("a", "b")]
+    for level in sorted(x.level for x in near.select("level").distinct().collect()) or [0]:  # a few numbers
+        more.append(hot_links(near.where(F.col("level") == level), sets, label, percent))
+        found = materialise(reduce(DataFrame.unionByName, more), "links")
+        label = merged(label, found)
+        drop(found)
+        more = []
     drop(sets, near, across)
-    label = components(met.unionByName(found))
-    drop(met, found)
 
     # the least id of a component comes from its classes; each table is written before it is
     # joined, so that the rows of one component or of one class can be dealt to several tasks

@@ -522,6 +522,38 @@ def test_near_duplicates_on_every_path(spark, monkeypatch):
     links = [(a, b) for a in range(len(data)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
     got = by_id(jaccard.near_duplicates(spark.createDataFrame(list(enumerate(data)), "doc_id long, text string").repartition(5)))
     assert [got[i].component_id for i in range(len(data))] == components_of(len(data), links)
+
+
+def test_links_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    """Classes of one group all link, but only in the last step: a link for each joins them."""
+    from quoin.llm import jaccard
+
+    for name in ("HOT", "BLOCK"):
+        monkeypatch.setattr(jaccard, name, 2)
+    monkeypatch.setattr(jaccard, "close", lambda pairs, *more: pairs.select("a", "b").where("false"))  # nothing is tried first
+    given, plain = [], jaccard.components
+    monkeypatch.setattr(jaccard, "components", lambda links: (given.append(links.count()), plain(links))[1])
+    hot = [f"h{i}" for i in range(150)]
+    data = [" ".join(hot[:75] + [f"q{k}"] + hot[75:]) for k in range(64)]
+    got = by_id(jaccard.near_duplicates(spark.createDataFrame(list(enumerate(data)), "doc_id long, text string").repartition(5)))
+    assert {x.component_id for x in got.values()} == {0} and len({x["class"] for x in got.values()}) == 64
+    assert 63 <= sum(given) <= 3 * 64
+
+
+def test_components(spark):
+    from quoin.llm.components import components
+
+    r = random.Random(3)
+    order = r.sample(range(100), 100)
+    graphs = [[(k, k + 1) for k in range(99)], [(99, k) for k in range(99)], list(zip(order, order[1:])), [(r.randrange(100), r.randrange(100)) for _ in range(70)], [(a, b) for a in range(0, 60, 2) for b in range(0, 60, 2)]]
+    links = [(1000 * g + a, 1000 * g + b) for g, graph in enumerate(graphs) for a, b in graph]
+    want = components_of(5000, links)
+    named = {x for a, b in links if a != b for x in (a, b)}
+    got = components(spark.createDataFrame([*links, (None, 1), (7, None)], "a long, b long").repartition(5)).collect()
+    assert {x.node: x.label for x in got} == {x: want[x] for x in named} and len(got) == len(named)
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
 def test_repair_goes_on_until_no_pair_is_frequent():
     import numpy as np
 
