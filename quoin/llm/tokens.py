@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -19,37 +20,41 @@ END = 2  #: appended to each document
 BLOCK = 1 << 17  #: ids of a block, which has a grammar of its own; a longer document is a block by itself
 PAIRS = 5000  #: replaced in a round at most
 LEAST = 2  #: occurrences of a pair that get it a rule
-CACHE = 1_400_000  #: pieces of text whose ids a worker remembers
-LATIN = "\u0250"  #: below it Python and the pre-tokenizer agree on what a letter is
+CACHE = 600_000  #: pieces of text whose ids a worker remembers before it drops the rarer
+TEXT = pa.large_string()  #: no limit of 2 GB
+CHUNK = 1 << 23  #: bytes of text that are encoded together, or one longer document
+
+#: A piece of letters and marks. Below U+0250 Arrow and the pre-tokenizer agree on what a letter is.
+LETTERS, MARKS = r"\n?[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+", r"[!-/:-@\[-`{-~]{1,3}"
 
 #: Texts whose white space is single spaces and newlines can be cut there: the byte-level
 #: pre-tokenizer starts a new piece at each such place whatever stands around it.
-UNEVEN = ("  ", "\n\n", "\n ", " \n", *(chr(c) for c in (9, 11, 12, 13, 28, 29, 30, 31, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)))
-
-
-def uneven(text: str) -> bool:
-    return text.startswith(" ") or text.endswith(" ") or any(x in text for x in UNEVEN)
+UNEVEN = r"^ | $|  |\n\n|\n | \n|[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
+def runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of runs that begin at `start`, one run after another."""
+    out = np.repeat(start - np.cumsum(size) + size, size)
+    out += np.arange(len(out))
+    return out
 
-class Pieces(dict):
-    """Numbers of pieces; a new one gets the next number and is noted."""
-
-    def __init__(self, of: Encoder):
-        super().__init__()
-        self.of, self.new = of, []
 
-    def __missing__(self, piece: str) -> int:
-        self[piece] = n = self.of.number()
-        self.new.append(piece)
-        return n
+def spread(ids: np.ndarray, at: np.ndarray, put: np.ndarray | int) -> np.ndarray:
+    """The ids with others put among them, which are to stand at the places `at`."""
+    out, kept = np.empty(len(ids) + len(at), np.int32), np.ones(len(ids) + len(at), bool)
+    kept[at] = False
+    out[kept], out[at] = ids, put
+    return out
 
 
 class Encoder:
     """Encodes texts by the pieces between their spaces, each distinct piece once.
 
-    The tokenizers library encodes the pieces. Texts with other white space than single
-    spaces and newlines are encoded whole. Remembered pieces are dropped at CACHE.
+    Arrow splits the texts, numbers the distinct pieces of a call and finds those that are
+    remembered; the tokenizers library encodes the others. A piece that starts a line has its
+    newline before it. Letters with marks behind them are the ids of the letters and of the
+    marks, which the pre-tokenizer parts. Texts with other white space than single spaces and
+    newlines are encoded whole. Beyond CACHE only short pieces that were met again stay remembered.
     """
 
     loaded: dict[str, Encoder] = {}
@@ -57,9 +62,12 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that begin with a space
-        self.spaced[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
-        self.forget()
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that begin with a space, and the newline
+        self.opens[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("\u0120")]] = True
+        self.opens[self.whole(["\n"])[0]] = True
+        self.known = pa.array(["\n"], TEXT)  # after a space, without it; at the start of a line, with the newline; marks after letters, with a space
+        self.pool = np.array(self.whole(["\n"])[0], np.int32)  # their ids one after another
+        self.size, self.again = np.ones(1, np.int64), np.ones(1, bool)  # met again since it was learnt or kept
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -67,101 +75,95 @@ class Encoder:
             cls.loaded[path] = cls(path)
         return cls.loaded[path]
 
-    def forget(self) -> None:
-        self.pieces = 0
-        self.pool, self.used = np.zeros(1 << 20, np.int32), 0
-        self.start, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32)
-        self.first, self.later = Pieces(self), Pieces(self)  # at the start of a line; after a space, without it
-        self.break_id = None
-
-    def number(self) -> int:
-        self.pieces += 1
-        return self.pieces - 1
-
-    def store(self, numbers: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
-        """Keep the ids of numbered pieces."""
-        if self.pieces > len(self.start):
-            self.start, self.size = np.resize(self.start, 2 * self.pieces), np.resize(self.size, 2 * self.pieces)
-        if self.used + len(ids) > len(self.pool):
-            self.pool = np.resize(self.pool, 2 * (self.used + len(ids)))
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.size[numbers] = sizes
-        self.start[numbers] = self.used + np.cumsum(sizes) - sizes
-        self.used += len(ids)
-
-    def learn_first(self) -> None:
-        """Encode new pieces of line starts, many to a call, a newline (a piece of its own) before each."""
-        words, self.first.new = self.first.new, []
-        if words:
-            ids = self.ids(["\n" + "\n".join(words[k : k + 200]) for k in range(0, len(words), 200)])
-            cut = ids == self.break_id
-            self.store([self.first[w] for w in words], ids[~cut], np.diff(np.append(np.flatnonzero(cut), len(ids))) - 1)
-
-    def learn_later(self) -> None:
-        """Encode new pieces that follow a space, many to a call: a token that begins with
-        the space begins a piece. Letters with a mark behind them are the ids of the letters
-        and of the mark, which the pre-tokenizer parts."""
-        new, self.later.new = self.later.new, []
-        marked = [w for w in new if w[-1] in self.marks and w[:-1].isalpha() and max(w) < LATIN]
-        skip = set(marked)
-        stems = np.array([self.later[w[:-1]] for w in marked], np.int64)
-        words = [w for w in new if w not in skip] + self.later.new
-        self.later.new = []
-        if words:
-            ids = self.ids([" " + " ".join(words[k : k + 200]) for k in range(0, len(words), 200)])
-            self.store([self.later[w] for w in words], ids, np.diff(np.append(np.flatnonzero(self.spaced[ids]), len(ids))))
-        if marked:
-            size = self.size[stems].astype(np.int64)
-            last = np.cumsum(size + 1) - 1
-            ids, own = np.zeros(last[-1] + 1, np.int32), np.ones(last[-1] + 1, bool)
-            own[last] = False
-            ids[last] = [self.marks[w[-1]] for w in marked]
-            ids[own] = self.pool[np.repeat(self.start[stems] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-            self.store([self.later[w] for w in marked], ids, size + 1)
-
-    def ids(self, texts: list[str]) -> np.ndarray:
-        return np.array([i for got in self.whole(texts) for i in got], np.int32)
-
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str], end: int = END) -> tuple[np.ndarray, np.ndarray]:
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each text), about a MB of text at a time, as the library's results are large."""
+        ids, sizes, start, held = [np.zeros(0, np.int32)], [], 0, 0
+        for k, t in enumerate(texts, 1):
+            held += len(t)
+            if held >= 1 << 20 or k == len(texts):
+                got, start, held = self.whole(texts[start:k]), k, 0
+                sizes += map(len, got)
+                ids.append(np.fromiter(chain.from_iterable(got), np.int32))
+        return np.concatenate(ids), np.array(sizes, np.int64)
+
+    def spell(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each piece), many pieces to a call of the library: a newline, or a token
+        that begins with the space, begins a piece."""
+        if not len(pieces):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        spelt = pc.if_else(pc.starts_with(pieces, "\n"), pieces, pc.binary_join_element_wise(pa.scalar(" ", TEXT), pieces, pa.scalar("", TEXT)))
+        bounds = pa.array([*range(0, len(pieces), 200), len(pieces)], pa.int32())
+        ids, _ = self.flat(pc.binary_join(pa.ListArray.from_arrays(bounds, spelt), pa.scalar("", TEXT)).to_pylist())
+        return ids, np.diff(np.append(np.flatnonzero(self.opens[ids]), len(ids)))
+
+    def learn(self, pieces: pa.Array) -> np.ndarray:
+        """Numbers of distinct pieces; new ones are encoded and remembered."""
+        number = pc.fill_null(pc.index_in(pieces, value_set=self.known), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(number < 0)
+        self.again[number[number >= 0]] = True
+        found = pieces.take(pa.array(new))
+        marks = pc.starts_with(found, " ")
+        words, marks, last = found.filter(pc.invert(marks)), found.filter(marks), marks.to_numpy(zero_copy_only=False)
+        number[np.concatenate([new[~last], new[last]])] = len(self.known) + np.arange(len(new))
+        ids, size = self.spell(words)
+        own, own_size = self.flat([m[1:] for m in marks.to_pylist()])
+        self.pool, self.size = np.concatenate([self.pool, ids, own]), np.concatenate([self.size, size, own_size])
+        self.again = np.append(self.again, np.zeros(len(new), bool))
+        self.known = pa.concat_arrays([self.known, words, marks])
+        return number
+
+    def parts(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each piece) of distinct pieces."""
+        parted = pc.match_substring_regex(pieces, f"^{LETTERS}{MARKS}$")
+        both = pieces.filter(parted)
+        units = pa.concat_arrays([pieces.filter(pc.invert(parted)), pc.replace_substring_regex(both, f"{MARKS}$", ""), pc.replace_substring_regex(both, f"^{LETTERS}", " ")]).dictionary_encode()
+        number = self.learn(units.dictionary)
+        n = number[units.indices.to_numpy()]
+        parted = parted.to_numpy(zero_copy_only=False)
+        at = np.cumsum(1 + parted) - 1 - parted
+        part, plain = np.zeros(len(n), np.int64), len(n) - 2 * len(both)
+        part[at[~parted]], part[at[parted]], part[at[parted] + 1] = n[:plain], n[plain : plain + len(both)], n[plain + len(both) :]
+        size = self.size[part]
+        start = np.cumsum(self.size) - self.size
+        ids = self.pool[runs(start[part], size)]
+        if len(self.known) > CACHE or self.known.nbytes > 100 * CACHE:
+            self.again &= pc.less(pc.binary_length(self.known), 50).to_numpy(zero_copy_only=False)
+            self.again[0] = True
+            keep = np.flatnonzero(self.again) if 2 * self.again.sum() < CACHE else np.arange(1)
+            self.known, self.pool, self.size = self.known.take(pa.array(keep)), self.pool[runs(start[keep], self.size[keep])], self.size[keep]
+            self.again = np.zeros(len(keep), bool)
+        return ids, np.add.reduceat(size, at)
+
+    def encode(self, texts: list[str] | pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids of each text), end included."""
-        if self.pieces > CACHE:
-            self.forget()
-        if self.break_id is None:
-            (self.break_id,) = self.whole(["\n"])[0]
-            self.marks = {m: self.whole([m])[0][0] for m in ",."}
-            self.newline, self.end, self.first[""] = self.number(), self.number(), self.number()
-            self.store([self.newline, self.end, self.first[""]], np.array([self.break_id, end]), np.array([1, 1, 0]))
-        first, later = self.first.__getitem__, self.later.__getitem__
-        pieces = array("i")
-        odd: list[tuple[int, str]] = []
-        counts = np.zeros(len(texts), np.int64)
-        for k, t in enumerate(texts):
-            before = len(pieces)
-            if uneven(t):
-                odd.append((self.number(), t))
-                pieces.append(odd[-1][0])
-            else:
-                for n, line in enumerate(t.split("\n")):
-                    if n:
-                        pieces.append(self.newline)
-                    words = line.split(" ")
-                    pieces.append(first(words[0]))
-                    pieces.extend(map(later, words[1:]))
-            pieces.append(self.end)
-            counts[k] = len(pieces) - before
-        self.learn_first()
-        self.learn_later()
-        for (n, _), own in zip(odd, self.whole([t for _, t in odd])):
-            self.store([n], np.array(own, np.int32), np.array([len(own)]))
-        p = np.frombuffer(pieces, np.int32)
-        size = self.size[p].astype(np.int64)
-        total = np.concatenate([[0], np.cumsum(size)])
-        ids = self.pool[np.repeat(self.start[p] - total[:-1], size) + np.arange(total[-1])]
-        bounds = np.concatenate([[0], np.cumsum(counts)])
-        return ids, total[bounds[1:]] - total[bounds[:-1]]
+        if not len(texts):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        texts = pc.fill_null(pa.array(texts, TEXT) if isinstance(texts, list) else texts.cast(TEXT), "")
+        uneven = pc.match_substring_regex(texts, UNEVEN)
+        odd = texts.filter(uneven).to_pylist()
+        even = pc.if_else(uneven, pa.scalar("", TEXT), texts) if odd else texts
+        lines = pc.binary_join_element_wise(pa.scalar("\n", TEXT), pc.replace_substring(even, "\n", " \n"), pa.scalar("", TEXT))
+        del texts, even  # a call holds some copies of its texts
+        split = pc.split_pattern(lines, " ")
+        counts = pc.list_value_length(split).to_numpy()
+        found = split.flatten().dictionary_encode()
+        del lines, split
+        pool, size = self.parts(found.dictionary)
+        start, p = np.cumsum(size) - size, found.indices.to_numpy()
+        start, size = start[p], size[p]
+        starts = np.cumsum(counts) - counts
+        start[starts] += 1  # the newline put before the text
+        size[starts] -= 1
+        ids, sizes = pool[runs(start, size)], np.add.reduceat(size, starts)
+        if odd:  # they have no ids so far
+            at = np.flatnonzero(uneven.to_numpy(zero_copy_only=False))
+            own, sizes[at] = self.flat(odd)
+            ids = spread(ids, runs((np.cumsum(sizes) - sizes)[at], sizes[at]), own)
+        sizes += 1
+        return spread(ids, np.cumsum(sizes) - 1, end), sizes
 
 
 def compress(ids: np.ndarray, sizes: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -172,73 +174,62 @@ def compress(ids: np.ndarray, sizes: np.ndarray, vocabulary: int) -> tuple[np.nd
     one wins, and a pair that keeps fewer than LEAST waits. Pairs are taken down to a
     quarter of the best count; then that floor falls, so that rules go by frequency over
     the whole block. A pair of old symbols can only get rarer: what fell below LEAST is not
-    counted again until a neighbour is replaced.
+    counted again until a neighbour is replaced, and what is below the floor not until that falls.
     """
     n = len(ids)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
-    slot_bits = min(20, max(10, n.bit_length() - 1))  # of the table whose sums tell which pairs need an exact count
+    place_bits = n.bit_length()
     seq = np.append(ids, -1).astype(np.int32)  # position n stands for no neighbour
-    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
     ends = np.cumsum(sizes)
     after[ends - 1], before[ends - sizes], after[n], before[n] = n, n, n, n
     there, level = np.ones(n + 1, bool), np.zeros(n + 1, np.uint8)  # bits of the count that the pair at a waiting position has at most
     there[n], mark = False, np.zeros(n + 1, bool)
     none = np.iinfo(np.int32).max
-    rank_at, number = np.full(n + 1, none, np.int32), np.full(1 << slot_bits, -1, np.int32)
+    rank_at = np.full(n + 1, none, np.int32)
     rules, rounds, made = [], [], 0
     floor, at = 0, np.flatnonzero(after < n)
     while True:
-        a, b = seq[at], seq[after[at]]
-        narrow = vocabulary + made + PAIRS <= 1 << 16  # two numbers fit 32 bits
-        if narrow:
-            key = a.astype(np.uint32) << np.uint32(16) | b.astype(np.uint32)
-            slot = (key * np.uint32(0x9E3779B1)) >> np.uint32(32 - slot_bits)
+        bits = (vocabulary + made).bit_length()
+        key = seq[at].astype(np.int64) << bits | seq[after[at]]
+        if 2 * bits + place_bits < 64:  # places in order, pair by pair
+            key = np.sort(key << place_bits | at)
+            at = key & ((1 << place_bits) - 1)
+            key >>= place_bits
         else:
-            key = a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
-            slot = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - slot_bits)
-        slot = slot.astype(np.int32)
-        bound = np.bincount(slot, minlength=1 << slot_bits).astype(np.int32)[slot]  # no less than the pair's count
-        may = bound >= max(LEAST, floor)
-        if floor > LEAST:
-            wait = np.flatnonzero((bound >= LEAST) & ~may)
-            level[at[wait]] = np.frexp(bound[wait].astype(np.float32))[1]
-        may = np.flatnonzero(may)
-        at, key, slot = at[may], key[may], slot[may]
-        twin = np.flatnonzero(a[may] == b[may])
-        del a, b, bound, may  # a first round holds a number for each id in all of these
-        counted = key
+            order = np.lexsort((at, key))
+            at, key = at[order], key[order]
+        edge = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.append(edge, len(key)))
+        pairs, count = key[edge], size.copy()
+        twin = np.flatnonzero(pairs >> bits == pairs & ((1 << bits) - 1))
+        twin = twin[size[twin] > 1]
         if len(twin):  # of x x x, one pair of x
-            first = np.ones(len(twin), bool)
-            first[1:] = before[at[twin[1:]]] != at[twin[:-1]]
-            run = np.maximum.accumulate(np.where(first, np.arange(len(twin)), 0))
-            counted = np.delete(key, twin[(np.arange(len(twin)) - run) % 2 == 1])
-        counted = np.sort(counted)
-        edge = np.flatnonzero(np.append(True, counted[1:] != counted[:-1])) if len(counted) else np.zeros(0, np.int64)
-        count = np.diff(np.append(edge, len(counted)))
+            own = at[runs(edge[twin], size[twin])]
+            first = np.append(True, before[own[1:]] != own[:-1])
+            run = np.maximum.accumulate(np.where(first, np.arange(len(own)), 0))
+            count[twin] -= np.add.reduceat((np.arange(len(own)) - run) % 2, np.cumsum(size[twin]) - size[twin])
         if not floor and len(count):
             floor = max(LEAST, int(count.max()) // 4)
         best = np.flatnonzero(count >= max(LEAST, floor))
+        wait = np.flatnonzero((count >= LEAST) & (count < floor))
+        level[at[runs(edge[wait], size[wait])]] = np.repeat(np.frexp(count[wait].astype(np.float32))[1].astype(np.uint8), size[wait])
         if not len(best):
             if floor <= LEAST:
                 break
             floor = max(LEAST, floor // 4)
-            level[at] = 0
-            at = np.sort(np.concatenate([at, np.flatnonzero(level >= floor.bit_length())]))
+            at = np.flatnonzero(level >= floor.bit_length())
             level[at] = 0
             continue
-        best = best[np.argsort(-count[best], kind="stable")[:PAIRS]]
-        pairs = counted[edge[best]]
-        mult, bits = (np.uint32(0x9E3779B1), 32) if narrow else (np.uint64(0x9E3779B97F4A7C15), 64)
-        of = ((pairs * mult) >> pairs.dtype.type(bits - slot_bits)).astype(np.int32)
-        own = np.sort(np.unique(of, return_index=True)[1])  # of pairs in one slot the most frequent; others wait
-        pairs, of = pairs[own], of[own]
-        number[of] = np.arange(len(of))
-        rank = number[slot]
-        number[of] = -1
-        hit = np.flatnonzero(rank >= 0)
-        hit = hit[pairs[rank[hit]] == key[hit]]
-        spot, rank = at[hit], rank[hit]
+        order = np.argsort(-count[best], kind="stable")[:PAIRS]
+        rank = np.full(len(best), none, np.int32)
+        rank[order] = np.arange(len(order))
+        at, rank = at[runs(edge[best], size[best])], np.repeat(rank, size[best])  # what is not replaced now is counted again
+        spot = at
+        if len(best) > PAIRS:
+            spot, rank = at[rank < none], rank[rank < none]
+        pairs = pairs[best[order]]
         rank_at[spot] = rank
         wins = (rank <= rank_at[before[spot]]) & (rank <= rank_at[after[spot]])
         rank_at[spot] = none
@@ -251,8 +242,7 @@ def compress(ids: np.ndarray, sizes: np.ndarray, vocabulary: int) -> tuple[np.nd
         good = np.bincount(rank, minlength=len(pairs)) >= LEAST
         take = good[rank]
         spot, rank, pairs = spot[take], (np.cumsum(good) - 1)[rank[take]], pairs[good]
-        shift = pairs.dtype.type(bits // 2)
-        rules.append(np.stack([pairs >> shift, pairs & ((pairs.dtype.type(1) << shift) - pairs.dtype.type(1))], 1).astype(np.int64))
+        rules.append(np.stack([pairs >> bits, pairs & ((1 << bits) - 1)], 1))
         rounds.append(made)
         right = after[spot]
         seq[spot] = vocabulary + made + rank
@@ -262,13 +252,19 @@ def compress(ids: np.ndarray, sizes: np.ndarray, vocabulary: int) -> tuple[np.nd
         follow = after[right]
         after[spot] = follow
         before[follow] = spot
-        new = np.concatenate([spot, before[spot]])
-        level[new] = 0
-        mark[at] = mark[new] = True
-        mark[right] = mark[n] = False
-        at = np.flatnonzero(mark)
-        mark[at] = False
-        at = at[np.flatnonzero(after[at] < n)]
+        left = before[spot]
+        mark[spot] = mark[n] = True
+        left = left[~mark[left]]
+        mark[left] = True
+        level[spot] = level[left] = 0
+        rest = at[there[at] & ~mark[at]]
+        mark[spot] = mark[left] = False
+        at = np.concatenate([rest, spot[follow < n], left])
+        if floor > LEAST and len(spot) < n >> 8:  # what is left above the floor goes on among the next
+            floor = max(LEAST, floor // 4)
+            more = np.flatnonzero(level >= floor.bit_length())
+            level[more] = 0
+            at = np.concatenate([at, more])
     per = np.add.reduceat(there[:n], ends - sizes, dtype=np.int64)
     return seq[there].astype(np.int64), per, np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), np.array(rounds, np.int64)
 
@@ -288,11 +284,13 @@ def expand(symbols: np.ndarray, rules: np.ndarray, rounds: np.ndarray, vocabular
     size = length[seq]
     at = np.cumsum(size) - size
     out = np.zeros(int(size.sum()), np.int64)
-    while len(seq):  # each symbol is written or gives its two, which start where it starts and after the first
-        low = seq < vocabulary
-        out[at[low]] = seq[low]
-        at, pair = at[~low], rules[seq[~low] - vocabulary]
-        seq, at = np.concatenate([pair[:, 0], pair[:, 1]]), np.concatenate([at, at + length[pair[:, 0]]])
+    one, two = rules[:, 0].copy(), rules[:, 1].copy()
+    while len(seq):  # each symbol is written and, if it stands for two, written over by them: they start where it starts and after the first
+        out[at] = seq
+        ruled = np.flatnonzero(seq >= vocabulary)
+        rule, at = seq[ruled] - vocabulary, at[ruled]
+        seq = one[rule]
+        seq, at = np.concatenate([seq, two[rule]]), np.concatenate([at, at + length[seq]])
     return out
 
 
@@ -326,9 +324,12 @@ def block_rows(path: str, end: int):
                 block += 1
 
         for b in batches:
-            for k in range(0, len(b), 500):
-                part = b.slice(k, 500)
-                ids, sizes = encoder.encode([t or "" for t in part["text"].to_pylist()], end)
+            width = np.cumsum(pc.fill_null(pc.binary_length(b["text"]), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            k = 0
+            while k < len(b):
+                upto = max(k + 1, int(np.searchsorted(width, (width[k - 1] if k else 0) + CHUNK, "right")))
+                part, k = b.slice(k, upto - k), upto
+                ids, sizes = encoder.encode(part["text"], end)
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
                 s = 0
                 while s < len(sizes):  # documents up to the end of the block

@@ -331,6 +331,72 @@ def test_repair_round_trip():
         assert length[seq].sum() == n
 
 
+def test_odd_texts_have_the_ids_of_the_library(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+
+    from quoin.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE", 3000)  # pieces are dropped now and then
+    encoder = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    some = random.Random(12)
+    odd = [*"aBéßÑ中1٣,.!'st&$_é\u0250ªǅ\u0301\u200b\x00ĠĊ😀", "'s", "re", "<|endoftext|>"]
+    white = [" ", "\n", "\t", "\r", "\x1c", "\x85", "\xa0", "\u3000", "\u2028", "\ufeff"]
+    texts = ["", None, " ", "\n", "\n\n", "a\n", "\na", ",", "a ,", "don't '", "a''", "a &&&", "a&&&&", " a", "a  b"]
+    for _ in range(3000):
+        words = ["".join(some.choices(odd, k=some.randrange(1, 6))) for _ in range(some.randrange(12))]
+        texts.append("".join(w + some.choice(" \n") for w in words).strip() if some.random() < 0.8 else "".join(w + some.choice(white) for w in words))
+    for k in range(0, len(texts), 100):
+        for part in (texts[k : k + 100], pa.array(texts[k : k + 100], pa.string())):
+            ids, sizes = encoder.encode(part)
+            want = [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in texts[k : k + 100]]
+            assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert [len(x) for x in encoder.encode([])] == [0, 0]
+
+
+def test_known_pieces_are_not_encoded_again(monkeypatch):
+    import public_tokenizers
+
+    from quoin.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE", 3000)
+    encoder = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    sent, whole = [], encoder.whole
+    monkeypatch.setattr(encoder, "whole", lambda texts: sent.extend(texts) or whole(texts))
+    some = random.Random(4)
+    word = lambda: "".join(some.choices("abcdefgh", k=9))
+    often = [word() for _ in range(500)]
+    encoder.encode([" ".join(["x", *often])])
+    sent.clear()
+    encoder.encode([" ".join(["x", *(w + some.choice(["&&&", "!?", "."]) for w in often)])])
+    assert sum(map(len, sent)) < 20  # the marks alone
+    for _ in range(4):  # more pieces than are remembered; those that come again stay
+        encoder.encode([" ".join(["x", *often, *(word() for _ in range(1000))])])
+    sent.clear()
+    encoder.encode([" ".join(["x", *often])])
+    assert not sum(map(len, sent))
+
+
+def test_repair_looks_again_only_at_places_in_play(monkeypatch):
+    import numpy as np
+
+    from quoin.llm.tokens import compress, expand
+
+    r = np.random.default_rng(5)
+    words = [r.integers(0, 5000, r.integers(1, 6)) for _ in range(20_000)]
+    ids = np.concatenate([words[k] for k in (r.zipf(1.2, 20_000) - 1) % 20_000])
+    looked, real = [], np.flatnonzero
+    monkeypatch.setattr(np, "flatnonzero", lambda x: looked.append(len(x)) or real(x))
+    seq, per, rules, rounds = compress(ids, np.array([len(ids)]), 5000)
+    monkeypatch.undo()
+    assert (expand(seq, rules, rounds, 5000) == ids).all()
+    assert len(seq) + len(rules) < 25_200  # 25,104 with all places looked at in each round
+    assert sum(looked) < 20 * len(ids)
+    wide = compress(ids, np.array([len(ids)]), 1 << 28)  # two numbers and a place don't fit 64 bits
+    shift = lambda x: np.where(x < 5000, x, x - 5000 + (1 << 28))
+    assert (wide[0] == shift(seq)).all() and (wide[2] == shift(rules)).all()
+
+
 def test_repair_with_more_rules_than_16_bits_hold():
     import numpy as np
 
