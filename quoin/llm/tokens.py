@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ PAIRS = 5000  #: replaced in a round at most
 LEAST = 2  #: occurrences of a pair that get it a rule
 CACHE = 600_000  #: pieces of text whose ids a worker remembers before it drops the rarer
 TEXT = pa.large_string()  #: no limit of 2 GB
-CHUNK = 1 << 23  #: bytes of text that are encoded together, or one longer document
+CHUNK = 1 << 23  #: bytes of text that are encoded together, about, or one longer document
 
 #: A piece of letters and marks. Below U+0250 Arrow and the pre-tokenizer agree on what a letter is.
 LETTERS, MARKS = r"\n?[A-Za-z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+", r"[!-/:-@\[-`{-~]{1,3}"
@@ -294,6 +294,13 @@ def expand(symbols: np.ndarray, rules: np.ndarray, rounds: np.ndarray, vocabular
     return out
 
 
+def parted(width: np.ndarray) -> list[int]:
+    """Where to cut texts of a summed width into even parts of about CHUNK bytes, both ends included."""
+    parts = max(1, round(int(width[-1]) / CHUNK)) if len(width) else 0
+    inner = np.searchsorted(width, width[-1] / parts * np.arange(1, parts)) if parts else []
+    return np.unique(np.concatenate([[0], inner, [len(width)]])).astype(int).tolist()
+
+
 SCHEMA = "shard int, block int, ids array<{id}>, sizes binary, symbols binary, symbol_sizes binary, rules binary, rounds binary, lengths binary, width int, n_ids long"
 
 
@@ -325,10 +332,8 @@ def block_rows(path: str, end: int):
 
         for b in batches:
             width = np.cumsum(pc.fill_null(pc.binary_length(b["text"]), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-            k = 0
-            while k < len(b):
-                upto = max(k + 1, int(np.searchsorted(width, (width[k - 1] if k else 0) + CHUNK, "right")))
-                part, k = b.slice(k, upto - k), upto
+            for k, upto in pairwise(parted(width)):
+                part = b.slice(k, upto - k)
                 ids, sizes = encoder.encode(part["text"], end)
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
                 s = 0

@@ -377,6 +377,16 @@ def test_known_pieces_are_not_encoded_again(monkeypatch):
     assert not sum(map(len, sent))
 
 
+def test_texts_are_parted_evenly(monkeypatch):
+    import numpy as np
+
+    from quoin.llm import tokens
+
+    monkeypatch.setattr(tokens, "CHUNK", 100)
+    for sizes, want in (([], [0]), ([0], [0, 1]), ([40] * 5, [0, 2, 5]), ([10] * 21, [0, 10, 21]), ([10, 500], [0, 1, 2]), ([0, 0, 700, 0], [0, 2, 4]), ([30] * 3, [0, 3])):
+        assert tokens.parted(np.cumsum(np.array(sizes, np.int64))) == want, sizes
+
+
 def test_repair_looks_again_only_at_places_in_play(monkeypatch):
     import numpy as np
 
