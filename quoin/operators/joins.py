@@ -123,8 +123,8 @@ def worst_status(usage: DataFrame, resources: DataFrame, scope: list[str], *, ke
 
 def paired(a: DataFrame, b: DataFrame, group: list[str], value: str) -> DataFrame:
     """Two multisets of values compared group by group, in order: the n-th smallest of each
-    side stand in one row; rows of one side alone have nulls on the other."""
-    w = Window.partitionBy(*group).orderBy(value)
+    side stand in one row; rows of one side alone have nulls on the other. Null values come last."""
+    w = Window.partitionBy(*group).orderBy(F.col(value).asc_nulls_last())
     left, right = (x.select(*group, F.col(value).alias(f"{value}_{s}"), F.row_number().over(w).alias("n")) for x, s in ((a, "a"), (b, "b")))
     return left.join(right, [*group, "n"], "full_outer")
 

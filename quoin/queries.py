@@ -377,10 +377,13 @@ c AS (SELECT g, v, row_number() OVER (PARTITION BY g ORDER BY v) AS n FROM b)
 SELECT g, n::INT AS n, a.v AS v_a, c.v AS v_b FROM a FULL JOIN c USING (g, n)
 """)
 def multiset_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two multisets of each group, matched in order."""
+    """Two multisets of each group, matched in order. An order's prices are added as they are stored, file by file
+    and row by row: where their sum is a whole thousand, another order of adding can fall just below it."""
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    li = li.select("l_orderkey", "l_extendedprice", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
     a = o.select(F.col("o_custkey").alias("g"), F.floor(F.col("o_totalprice") / 1000).alias("v"))
-    b = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("g"), "o_orderkey").agg(F.floor(F.sum("l_extendedprice") / 1000).alias("v")).select("g", "v")
+    lines = o.join(li, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("g"), "o_orderkey", "l_extendedprice", "file", "place")
+    b = aggregates.sums_in_order(lines, ["g", "o_orderkey"], "l_extendedprice", ["file", "place"]).select("g", F.floor(F.col("l_extendedprice") / 1000).alias("v"))
     return joins.paired(a, b, ["g"], "v")
 
 
