@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quoin.functions.numbers import half_up
+from quoin.functions.text import GAPS, in_capitals, trimmed
 from quoin.lineage import cut
 
 
@@ -156,13 +157,14 @@ def page_hierarchy(pages: DataFrame, lines: str) -> DataFrame:
     characters; if nothing rests, all lines after the first. Each step is a column of its
     own, so that no list is built twice.
     """
-    out = pages.withColumn("__l", F.filter(F.transform(lines, F.trim), lambda x: x != ""))
-    fits = F.filter("__l", lambda x: (F.length(x) >= 3) & (F.length(x) <= 90) & (F.size(F.split(x, r"\s+")) <= 12))
+    # a function alone would get the line's number too, as the characters to trim
+    out = pages.withColumn("__l", F.filter(F.transform(lines, lambda x: trimmed(x)), lambda x: x != ""))
+    fits = F.filter("__l", lambda x: (F.length(x) >= 3) & (F.length(x) <= 90) & (F.size(F.split(x, GAPS)) <= 12))
     out = out.withColumn("headline", F.coalesce(F.get(fits, F.lit(0)), F.get("__l", F.lit(0))))
-    loud = F.filter("__l", lambda x: (x != F.col("headline")) & (F.length(x) < 45) & (F.upper(x) == x) & x.rlike("[A-Z]"))
+    loud = F.filter("__l", lambda x: (x != F.col("headline")) & (F.length(x) < 45) & in_capitals(x) & x.rlike("[A-Z]"))
     out = out.withColumn("kicker", F.coalesce(F.get(loud, F.lit(0)), F.lit("PAGE")))
     rest = F.filter("__l", lambda x: (x != F.col("headline")) & (x != F.col("kicker")))
-    out = out.withColumn("body", F.substring(F.trim(F.regexp_replace(F.array_join(rest, " "), r"\s+", " ")), 1, 700))
+    out = out.withColumn("body", F.substring(trimmed(F.regexp_replace(F.array_join(rest, " "), GAPS, " ")), 1, 700))
     after = F.substring(F.array_join(F.slice("__l", 2, F.greatest(F.size("__l") - 1, F.lit(0))), " "), 1, 700)
     empty = F.size("__l") == 0
     body = F.when(empty, NO_BODY).when(F.col("body") == "", after).otherwise(F.col("body"))
