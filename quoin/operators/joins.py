@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quoin.lineage import cut
+
 
 def normalised_key(raw: Column, prefix: str, known: Column | None = None) -> Column:
     """An id as the dimension spells it: a reference may leave the prefix out."""
@@ -60,49 +62,82 @@ def _cells(rows: DataFrame, levels: Column, box: Column) -> DataFrame:
     return rows.withColumn("__cx", F.explode(span("x", "w"))).withColumn("__cy", F.explode(span("y", "h"))).drop("__b")
 
 
+#: A scope of up to so many different pages is looked through page by page, a larger one by its grids.
+FEW = 64
+#: Lists of pages are broadcast if there are so many of both scopes and pages at most.
+SENT = 10_000
+
+
+def _best(box: str, pages: str) -> Column:
+    """(rank, first, page) of the best of a list of pages (first, page, of), or null: one that holds the centre of
+    the box, else the one that it overlaps most."""
+    own = F.col(box)
+
+    def told(p: Column) -> Column:
+        of = p["of"]
+        inside, spans = F.lit(True), []
+        for at, size in (("x", "w"), ("y", "h")):
+            inside = inside & (own[at] + own[size] / 2).between(of[at], of[at] + of[size])
+            spans.append(F.least(own[at] + own[size], of[at] + of[size]) - F.greatest(own[at], of[at]))
+        laid = (own["w"] > 0) & (own["h"] > 0) & (spans[0] > 0) & (spans[1] > 0)
+        return F.struct(F.when(inside, float("inf")).when(laid, spans[0] * spans[1]).alias("rank"), p["first"].alias("first"), p["page"].alias("page"))
+
+    return F.array_max(F.filter(F.transform(pages, told), lambda x: x["rank"].isNotNull()))
+
+
 def assign_boxes(items: DataFrame, pages: DataFrame, scope: list[str], *, item: str, page: str, order: str) -> DataFrame:
     """For each item the page of its scope that holds the centre of its box (edges count;
     the first page wins), else the page that it overlaps most, else null.
 
-    Boxes are structs (x, y, w, h) in a column named box on both sides. Grids of cells of 2**k
-    stand on levels k, and every box belongs to the level of its own size, where it touches four cells at
-    most. An item's centre is looked up in one cell on each level that has pages. Boxes that overlap
-    meet on the coarser level of the two: items also stand on the coarser levels of pages, and pages
-    on the coarser ones of items, so neither a page nor an item of any size is spread over many cells, and
-    pages without extent have a cell of their own. A pair is looked at in one cell alone, that of the
-    corner of their overlap. The best is taken by one aggregate with map-side combining; no group is sorted or
-    collected.
+    Boxes are structs (x, y, w, h) in a column named box on both sides. Of pages with one box only the
+    first can win, so the others are left out before any item is looked at. An item of a scope with few different
+    pages meets their list, which is broadcast if all lists are few; no row is made for a pair. Scopes
+    with more pages are looked up in grids (_from_grids). Whatever is met, the best is taken where it is met, so what is exchanged
+    is a row for each item, or, with grids, for each cell that an item touches.
 
     Null boxes and boxes that are not finite have no page; a page of negative extent holds nothing, an item of
     negative extent only has its centre. Pages of equal order: one of them. Rows of one item and box count once.
     """
     finite = lambda box: F.col(box).isNotNull() & F.forall(F.array(*[F.col(f"{box}.{f}") for f in "xywh"]), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < 1e300))
-    p = pages.select(*scope, F.col(page).alias("__page"), F.col(order).alias("__order"), F.col("box").alias("__of")).where(finite("__of")).where("__of.w >= 0 and __of.h >= 0")
-    p = p.withColumn("__own", _level("__of"))
-    b = items.select(*scope, item, "box").where(finite("box")).distinct().withColumn("__own", _level("box"))
+    p = pages.where(finite("box")).where("box.w >= 0 and box.h >= 0").groupBy(*scope, F.struct(*[F.col(f"box.{f}").alias(f) for f in "xywh"]).alias("of"))
+    p = cut(p.agg(F.max(F.struct((-F.col(order)).alias("first"), F.col(page).alias("page"))).alias("__p")).select(*scope, "__p.first", "__p.page", "of"))
+    sizes = p.groupBy(*scope).agg(F.count("*").alias("__n"))
+    few, many = (sizes.where(c).select(*scope) for c in (F.col("__n") <= FEW, F.col("__n") > FEW))
+    lists = cut(p.join(few, scope, "left_semi").groupBy(*scope).agg(F.collect_list(F.struct("first", "page", "of")).alias("__pages")))
+    scopes, n = lists.agg(F.count("*"), F.coalesce(F.sum(F.size("__pages")), F.lit(0))).first()
+    # the size of the written table says little of its rows, so the join is named
+    lists = F.broadcast(lists) if max(scopes, n) <= SENT else lists.hint("merge")
+    met = items.join(lists, scope, "left").withColumn("__best", F.when(finite("box"), _best("box", "__pages"))).select(*[items[c] for c in items.columns], "__best")
+    each = Window.partitionBy(*scope, item)  # an item may have rows of other boxes
+    out = met.withColumn("__best", F.when(F.col(item).isNotNull(), F.max("__best").over(each)))
+    if not many.isEmpty():
+        b = items.where(finite("box")).join(many, scope, "left_semi").select(*scope, item, "box").distinct()
+        grids = _from_grids(b, p.join(many, scope, "left_semi"), scope, item)
+        out = out.join(grids, [*scope, item], "left").withColumn("__best", F.coalesce("__best", "__far"))
+    return out.select(*items.columns, F.col("__best.page").alias(page))
+
+
+def _from_grids(b: DataFrame, p: DataFrame, scope: list[str], item: str) -> DataFrame:
+    """(scope, item, __far): the best (_best) of the pages (first, page, of) that each item (box) meets in grids.
+
+    Grids of cells of 2**k stand on levels k, and every box belongs to the level of its own size, where it touches four cells at
+    most. An item's centre is looked up in one cell on each level that has pages. Boxes that overlap
+    meet on the coarser level of the two: items also stand on the coarser levels of pages, and pages
+    on the coarser ones of items, so neither a page nor an item of any size is spread over many cells, and
+    pages without extent have a cell of their own. The pages of a cell are dealt into 64 lists, so one that holds very many
+    makes no row for each pair; items keep the best of each list."""
+    p, b = p.withColumn("__own", _level("of")), b.withColumn("__own", _level("box"))
     # the levels of a scope: some dozens at most, whatever the number of boxes
     of_pages, of_items = (rows.groupBy(*scope).agg(F.collect_set("__own").alias("__levels")) for rows in (p, b))
-    own, above = F.array("__own"), F.filter("__levels", lambda k: k > F.col("__own"))
+    both = F.array_union(F.array("__own"), F.filter("__levels", lambda k: k > F.col("__own")))
     centre = F.struct((F.col("box.x") + F.col("box.w") / 2).alias("x"), (F.col("box.y") + F.col("box.h") / 2).alias("y"), F.lit(0.0).alias("w"), F.lit(0.0).alias("h"))
     key = [*scope, "__level", "__cx", "__cy"]
-
-    c = _cells(b.join(of_pages, scope).withColumn("__c", centre), F.col("__levels"), F.col("__c")).select(*key, item, "__c")
-    held = c.join(_cells(p, own, F.col("__of")).select(*key, "__page", "__order", "__of"), key)
-    held = held.where("__c.x between __of.x and __of.x + __of.w and __c.y between __of.y and __of.y + __of.h").select(*scope, item, "__page", "__order", F.lit(float("inf")).alias("__rank"))
-
-    wide = b.where("box.w > 0 and box.h > 0").join(of_pages, scope)
-    left = _cells(wide, F.array_union(own, above), F.col("box")).select(*key, item, "box", "__own")
-    right = _cells(p.join(of_items, scope), F.array_union(own, above), F.col("__of")).select(*key, "__page", "__order", "__of", F.col("__own").alias("__p_own"))
-    both = left.join(right, key).where("__level = greatest(__own, __p_own)")
-    spans = []
-    for at, size, cell in (("x", "w", "__cx"), ("y", "h", "__cy")):
-        corner = F.greatest(F.col(f"box.{at}"), F.col(f"__of.{at}"))
-        both = both.where(F.floor(corner / F.pow(F.lit(2.0), F.col("__level"))) == F.col(cell))
-        spans.append(F.least(F.col(f"box.{at}") + F.col(f"box.{size}"), F.col(f"__of.{at}") + F.col(f"__of.{size}")) - corner)
-    laid = both.where((spans[0] > 0) & (spans[1] > 0)).select(*scope, item, "__page", "__order", (spans[0] * spans[1]).alias("__rank"))
-
-    best = held.unionByName(laid).groupBy(*scope, item).agg(F.max_by("__page", F.struct("__rank", -F.col("__order"))).alias(page))
-    return items.join(best, [*scope, item], "left")
+    near = b.join(of_pages, scope)
+    left = _cells(near.withColumn("__c", centre), F.col("__levels"), F.col("__c")).select(*key, item, "box")
+    left = left.unionByName(_cells(near.where("box.w > 0 and box.h > 0"), both, F.col("box")).select(*key, item, "box"))
+    right = _cells(p.join(of_items, scope), both, F.col("of")).groupBy(*key, F.pmod(F.xxhash64("of"), F.lit(64)).alias("__part")).agg(F.collect_list(F.struct("first", "page", "of")).alias("__pages"))
+    found = left.join(right.hint("merge"), key).select(*scope, item, _best("box", "__pages").alias("__far")).where("__far is not null")
+    return found.groupBy(*scope, item).agg(F.max("__far").alias("__far"))
 
 
 def worst_status(usage: DataFrame, resources: DataFrame, scope: list[str], *, keys: list[tuple[str, str]], status: str, ranks: dict[str, int]) -> DataFrame:
