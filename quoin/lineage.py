@@ -36,6 +36,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table that may be broadcast: some 30 MB of styles.
+SENT = 100_000
+
+
+def unsent(df: DataFrame, rows: int) -> DataFrame:
+    """df, which has so many rows, for a join: with more than SENT it is joined by sorting.
+
+    Spark broadcasts what is small on disk, but there repeated values and empty columns take
+    hardly any room: a cut table of 10 MB can be a thousand times that in the driver's memory."""
+    return df.hint("merge") if rows > SENT else df
+
+
 @contextmanager
 def dropped(spark: SparkSession) -> Iterator[None]:
     """Delete the tables that are cut inside, once what was made of them is written."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quoin.functions.affine import compose
 from quoin.functions.colour import cmyk_to_rgb, hex_of
-from quoin.lineage import cut
+from quoin.lineage import cut, unsent
 
 FIELDS = ("font", "font_style", "size", "leading", "justification", "fill", "tracking")
 
@@ -32,15 +32,15 @@ def resolve_chain(styles: DataFrame, scope: list[str], *, key: str = "self", par
     state = None
     while True:
         now = cut(now)  # each round reads the one before twice: without a cut the plan doubles too
-        before, state = state, now.agg(F.count("__next"), *[F.count(f) for f in fields]).first()
+        before, state = state, now.agg(F.count("__next"), *[F.count(f) for f in fields], F.count("*").alias("__rows")).first()
         if state == before or not state[0]:
             break
         up = now.select(*[F.col(s).alias(f"__{s}") for s in scope], F.col(key).alias("__key"), F.col("__next").alias("__after"), *[F.col(f).alias(f"__{f}") for f in fields])
-        both = now.join(up, [*[now[s].eqNullSafe(up[f"__{s}"]) for s in scope], now["__next"] == up["__key"]], "left")
+        both = now.join(unsent(up, state["__rows"]), [*[now[s].eqNullSafe(up[f"__{s}"]) for s in scope], now["__next"] == up["__key"]], "left")
         now = both.select(*[now[s] for s in scope], now[key], up["__after"].alias("__next"), *[F.coalesce(now[f], up[f"__{f}"]).alias(f) for f in fields])
     if root is not None:
         base = styles.where(F.col(key) == root).select(*[F.col(s).alias(f"__{s}") for s in scope], *[given(F.col(f)).alias(f"__{f}") for f in fields])
-        both = now.join(base, [now[s].eqNullSafe(base[f"__{s}"]) for s in scope], "left") if scope else now.crossJoin(F.broadcast(base.limit(1)))
+        both = now.join(unsent(base, base.count()), [now[s].eqNullSafe(base[f"__{s}"]) for s in scope], "left") if scope else now.crossJoin(F.broadcast(base.limit(1)))
         now = both.select(*[now[s] for s in scope], now[key], *[F.coalesce(now[f], base[f"__{f}"]).alias(f) for f in fields])
     return now.select(*scope, key, *fields)
 
@@ -107,7 +107,7 @@ def world_maps(items: DataFrame, scope: list[str], *, key: str, parent: str, own
     return whole.unionByName(lost)
 
 
-def pins(styles: DataFrame, scope: list[str], *, key: str, parent: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
+def pins(styles: DataFrame, scope: list[str], *, key: str, parent: str, fields: dict[str, tuple[str, str]], rows: int = 0) -> DataFrame:
     """styles with pinned: whether a style must set its fields itself to show what is wanted.
 
     fields: for each field the columns of what the style itself sets, and of what is wanted in
@@ -115,9 +115,9 @@ def pins(styles: DataFrame, scope: list[str], *, key: str, parent: str, fields:
     inherits in the end is what is wanted of its parent, and one look at the parent settles
     each style: no round resolves a chain again. A style is pinned only if it would
     differ although all above it are right. A null wanted value of the parent stands for nothing inherited;
-    a parent that is not in the table gives nothing."""
+    a parent that is not in the table gives nothing. rows, if known: how many styles there are (lineage.unsent)."""
     up = styles.select(*[F.col(s).alias(f"__{s}") for s in scope], F.col(key).alias("__key"), *[F.col(w).alias(f"__up_{f}") for f, (_, w) in fields.items()])
-    both = styles.join(up, [*[styles[s].eqNullSafe(up[f"__{s}"]) for s in scope], styles[parent] == up["__key"]], "left")
+    both = styles.join(unsent(up, rows), [*[styles[s].eqNullSafe(up[f"__{s}"]) for s in scope], styles[parent] == up["__key"]], "left")
     wrong = F.lit(False)
     for f, (own, want) in fields.items():
         wrong = wrong | ~F.coalesce(given(styles[own]), F.col(f"__up_{f}")).eqNullSafe(styles[want])

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quoin.functions.text import clean_family, font_key
-from quoin.lineage import cut
+from quoin.lineage import cut, unsent
 from quoin.operators import joins
 from quoin.operators.hierarchy import given, pins
 from quoin.plans.roles import MOODS
@@ -76,8 +76,9 @@ def plan_styles(style: DataFrame, mapping: DataFrame) -> DataFrame:
     wanted, because of what they inherit: these are pinned to it (hierarchy.pins).
     """
     before = resolved_styles(style).select("doc_id", "kind", "self", "font", "font_style")
+    rows = before.count()
     goal = wanted(before, mapping).select("doc_id", "kind", "self", F.col("font").alias("eff"), "want_font", "want_style", F.col("font_style").alias("eff_style"))
-    now = style.join(goal, ["doc_id", "kind", "self"])
+    now = style.join(unsent(goal, rows), ["doc_id", "kind", "self"])
     mapped = F.col("eff").isNotNull() & ((F.col("want_font") != F.col("eff")) | (F.col("want_style") != F.coalesce("eff_style", F.lit("Regular"))))
     takes = mapped & (given(F.col("font")).isNotNull() | given(F.col("font_style")).isNotNull())
     now = now.withColumn("new_font", F.when(takes, F.col("want_font")).otherwise(F.col("font"))).withColumn("new_font_style", F.when(takes, F.col("want_style")).otherwise(F.col("font_style")))
@@ -86,12 +87,12 @@ def plan_styles(style: DataFrame, mapping: DataFrame) -> DataFrame:
     named = joins.normalised_key(F.col("based_on"), F.when(para, "ParagraphStyle/").otherwise("CharacterStyle/"))
     there = style.select(F.col("doc_id").alias("__doc"), F.col("kind").alias("__kind"), F.col("self").alias("__named"))
     now = now.withColumn("__key", named)
-    now = now.join(there, (now["doc_id"] == there["__doc"]) & (now["kind"] == there["__kind"]) & (now["__key"] == there["__named"]), "left").drop("__doc", "__kind", "__key")
+    now = now.join(unsent(there, rows), (now["doc_id"] == there["__doc"]) & (now["kind"] == there["__kind"]) & (now["__key"] == there["__named"]), "left").drop("__doc", "__kind", "__key")
     now = now.withColumn("__up", F.coalesce("__named", F.when(para & (F.col("self") != NORMAL), NORMAL))).drop("__named")
     # a style without any font hands on its style name as it was
     wants = {"__font": F.when(F.col("eff").isNotNull(), F.col("want_font")), "__style": F.when(F.col("eff").isNotNull(), F.col("want_style")).otherwise(F.coalesce("eff_style", F.lit("Regular")))}
     now = now.withColumns(wants).withColumn("__own_style", F.coalesce(given(F.col("new_font_style")), F.when(F.col("__up").isNull(), "Regular")))
-    now = pins(now, ["doc_id", "kind"], key="self", parent="__up", fields={"font": ("new_font", "__font"), "style": ("__own_style", "__style")})
+    now = pins(now, ["doc_id", "kind"], key="self", parent="__up", fields={"font": ("new_font", "__font"), "style": ("__own_style", "__style")}, rows=rows)
     pinned = F.col("pinned") & F.col("eff").isNotNull()
     now = now.withColumn("new_font", F.when(pinned, F.col("want_font")).otherwise(F.col("new_font"))).withColumn("new_font_style", F.when(pinned, F.col("want_style")).otherwise(F.col("new_font_style")))
     return now.drop("eff", "eff_style", "want_font", "want_style", "pinned", "__up", "__font", "__style", "__own_style")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quoin.functions import affine
 from quoin.functions.numbers import places
 from quoin.functions.text import clean_family, is_default_paragraph, visible_length
-from quoin.lineage import cut
+from quoin.lineage import cut, unsent
 from quoin.operators import aggregates, joins
 from quoin.operators.hierarchy import FIELDS, cascade, resolve_chain, resolve_swatches
 
@@ -30,13 +30,15 @@ def resolved_styles(style: DataFrame) -> DataFrame:
 def effective_runs(run: DataFrame, resolved: DataFrame) -> DataFrame:
     """Runs with e, the fields in effect, and n, their visible characters."""
     out = run
+    is_para, is_root = F.col("kind") == "para", (F.col("kind") == "para") & (F.col("self") == NORMAL)
+    sizes = resolved.agg(F.count_if(is_para).alias("para"), F.count_if(~is_para).alias("char"), F.count_if(is_root).alias("root")).first()
     for kind, col, prefix in (("para", "para_style", "ParagraphStyle/"), ("char", "char_style", "CharacterStyle/")):
         dim = resolved.where(F.col("kind") == kind).select(F.col("doc_id").alias(f"{kind}_doc"), F.col("self").alias(f"{kind}_self"), F.struct(*FIELDS).alias(kind))
         key = joins.normalised_key(F.col(col), prefix)
-        out = out.withColumn(f"{kind}_key", key).join(dim, (F.col("doc_id") == F.col(f"{kind}_doc")) & (F.col(f"{kind}_key") == F.col(f"{kind}_self")), "left").drop(f"{kind}_doc", f"{kind}_self", f"{kind}_key")
+        out = out.withColumn(f"{kind}_key", key).join(unsent(dim, sizes[kind]), (F.col("doc_id") == F.col(f"{kind}_doc")) & (F.col(f"{kind}_key") == F.col(f"{kind}_self")), "left").drop(f"{kind}_doc", f"{kind}_self", f"{kind}_key")
     # a paragraph without a known style still has the root style
-    root = resolved.where((F.col("kind") == "para") & (F.col("self") == NORMAL)).select(F.col("doc_id").alias("root_doc"), F.struct(*FIELDS).alias("root"))
-    out = out.join(root, F.col("doc_id") == F.col("root_doc"), "left").drop("root_doc")
+    root = resolved.where(is_root).select(F.col("doc_id").alias("root_doc"), F.struct(*FIELDS).alias("root"))
+    out = out.join(unsent(root, sizes["root"]), F.col("doc_id") == F.col("root_doc"), "left").drop("root_doc")
     own = lambda p: F.struct(*[F.col(f"{p}_{f}").alias(f) for f in FIELDS])
     return out.withColumn("e", cascade(own("c"), F.col("char"), own("p"), F.coalesce("para", "root"))).withColumn("n", visible_length(F.col("text")))
 
